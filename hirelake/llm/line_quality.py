@@ -33,18 +33,27 @@ def word_list(text: Column) -> Column:
     return F.filter(F.split(text, _SPACES), lambda w: w != "")
 
 
-def repeated_words(window_hashes: Column, size: int = WINDOW) -> Column:
-    """How many words lie in windows that occur more than once, from the hash of each window."""
-    n = F.size(window_hashes)
-    placed = F.sort_array(F.arrays_zip(window_hashes.alias("h"), F.sequence(F.lit(1), n).alias("p")))
+def with_repeated_words(rows: DataFrame, hashes: str, size: int = WINDOW) -> DataFrame:
+    """Adds n_repeat_words: the words in windows that occur more than once, from each window's hash.
+
+    Each step is a column of its own: an expression inside a lambda is computed for every element.
+    """
 
     def shared(x: Column, i: Column) -> Column:
-        before, after = F.get(placed, i - 1), F.get(placed, i + 1)
+        before, after = F.get("_placed", i - 1), F.get("_placed", i + 1)
         return F.coalesce(x["h"] == before["h"], F.lit(False)) | F.coalesce(x["h"] == after["h"], F.lit(False))
 
-    at = F.sort_array(F.transform(F.filter(placed, shared), lambda x: x["p"]))
-    gaps = F.transform(at, lambda p, i: F.least(F.lit(size), F.coalesce(F.get(at, i + 1) - p, F.lit(size))))
-    return F.aggregate(gaps, F.lit(0).cast("int"), lambda a, b: a + b)
+    unique = F.size(F.array_distinct(hashes)) == F.size(hashes)
+    placed = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("p"))))
+    return (
+        rows.withColumn("_placed", F.when(~unique, placed))
+        .withColumn("_at", F.sort_array(F.transform(F.filter("_placed", shared), lambda x: x["p"])))
+        .withColumn("_gaps", F.transform("_at", lambda p, i: F.least(F.lit(size), F.coalesce(F.get("_at", i + 1) - p, F.lit(size)))))
+        .withColumn(
+            "n_repeat_words", F.coalesce(F.aggregate("_gaps", F.lit(0), lambda a, b: a + b), F.lit(0)).cast("long")
+        )
+        .drop("_placed", "_at", "_gaps")
+    )
 
 
 def line_table(text: Column) -> Column:
@@ -66,7 +75,7 @@ def measured(documents: DataFrame, text: str = "text") -> DataFrame:
     hashes = F.transform(
         F.sequence(F.lit(1), F.col("n_words") - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("_words", i, WINDOW))
     )
-    return (
+    rows = (
         documents.withColumn("_words", word_list(t))
         .withColumn("n_words", F.size("_words"))
         .withColumn("_hashes", F.when(F.col("n_words") > WINDOW, hashes).otherwise(F.array().cast("array<bigint>")))
@@ -74,15 +83,10 @@ def measured(documents: DataFrame, text: str = "text") -> DataFrame:
         .withColumn("word_chars", F.length(F.translate(t, SPACE, "")).cast("long"))
         .withColumn("n_symbols", (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long"))
         .withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"))
-        .withColumn(
-            "n_repeat_words",
-            F.when(F.size(F.array_distinct("_hashes")) == F.size("_hashes"), F.lit(0))
-            .otherwise(repeated_words(F.col("_hashes")))
-            .cast("long"),
-        )
         .withColumn("n_words", F.col("n_words").cast("long"))
-        .drop("_words", "_hashes", "_lines")
+        .drop("_words", "_lines")
     )
+    return with_repeated_words(rows, "_hashes").drop("_hashes")
 
 
 def removed_lines(

@@ -55,7 +55,7 @@ SQL_OP9 = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(text, '') AS text,
          regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
-         list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
   FROM documents
 ), win AS (
   SELECT doc_id, i, array_to_string(w[i:i+7], ' ') AS g
@@ -74,7 +74,7 @@ WITH d AS (
   SELECT doc_id, sum(len(string_split(line, ' '))) AS n FROM norm JOIN often USING (source, line) GROUP BY doc_id
 ), all_counts AS (
   SELECT d.doc_id, len(w)::BIGINT AS n_words,
-         coalesce(list_sum(list_transform(w, x -> length(x))), 0)::BIGINT AS word_chars,
+         coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
          len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols,
          (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
          coalesce(covered.n, 0)::BIGINT AS n_repeat_words, coalesce(lost.n, 0)::BIGINT AS n_removed_words
