@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hirelake.llm import line_quality, url_filters
+from hirelake.llm import decontaminate, line_quality, packing, secrets, token_counts, url_filters
+from hirelake.llm.shared import written
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -86,12 +87,73 @@ FROM all_counts
 """
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks = token_counts.token_blocks(_table(spark, sf_dir, "documents"))
+    return token_counts.count(written(blocks, "tokens"))
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        decontaminate.n_hit().alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.size("starts") > 0).alias("contaminated"),
+    )
+
+
+SQL_OP3 = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), b AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), win AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i:i+9], ' ') AS g
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0)
+), at AS (
+  SELECT doc_id, n, i, array_to_string(w[i:i+n-1], ' ') AS g
+  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM win))
+), hit AS (
+  SELECT doc_id, item_id, i, at.n FROM at JOIN win ON at.g = win.g AND at.n = win.n
+), words AS (
+  SELECT doc_id, count(DISTINCT p)::BIGINT AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hit) GROUP BY doc_id
+), items AS (
+  SELECT doc_id, count(*)::BIGINT AS n_items, string_agg(x, ',' ORDER BY x) AS ids
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS x FROM hit) GROUP BY doc_id
+)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(packing.pieces(_table(spark, sf_dir, "documents"), with_ids=False))
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets.scan(documents, secrets.train(documents)).select("doc_id", "spans")
+    base = F.filter("spans", lambda x: x["kind"].isin(*secrets.KINDS))
+    counts = [F.size(F.filter("spans", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in secrets.KINDS]
+    return found.select(
+        "doc_id", *counts, F.sha2(secrets.joined(base), 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans")
+    )
+
+
 QUERIES = {
+    "op2_token_counts": op2_token_counts,
+    "op3_decontamination": op3_decontamination,
+    "op5_best_fit_packing": op5_best_fit_packing,
+    "op8_secret_scan": op8_secret_scan,
     "op6_url_filters": op6_url_filters,
     "op9_line_quality": op9_line_quality,
 }
 
 ORACLE_SQL = {
+    "op3_decontamination": SQL_OP3,
     "op6_url_filters": SQL_OP6,
     "op9_line_quality": SQL_OP9,
 }
