@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from hirelake.llm import decontaminate, line_quality, packing, secrets, token_counts, url_filters
 from hirelake.llm.shared import written
@@ -137,9 +137,12 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
     found = secrets.scan(documents, secrets.train(documents)).select("doc_id", "spans")
     base = F.filter("spans", lambda x: x["kind"].isin(*secrets.KINDS))
-    counts = [F.size(F.filter("spans", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in secrets.KINDS]
+
+    def number(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
     return found.select(
-        "doc_id", *counts, F.sha2(secrets.joined(base), 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans")
+        "doc_id", *map(number, secrets.KINDS), F.sha2(secrets.joined(base), 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans")
     )
 
 
