@@ -112,11 +112,11 @@ WITH d AS (
 ), win AS (
   SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i:i+9], ' ') AS g
   FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0)
-), at AS (
+), placed AS (
   SELECT doc_id, n, i, array_to_string(w[i:i+n-1], ' ') AS g
   FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM win))
 ), hit AS (
-  SELECT doc_id, item_id, i, at.n FROM at JOIN win ON at.g = win.g AND at.n = win.n
+  SELECT doc_id, item_id, i, placed.n FROM placed JOIN win ON placed.g = win.g AND placed.n = win.n
 ), words AS (
   SELECT doc_id, count(DISTINCT p)::BIGINT AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hit) GROUP BY doc_id
 ), items AS (
