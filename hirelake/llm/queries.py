@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from hirelake.llm import decontaminate, line_quality, packing, secrets, token_counts, url_filters
-from hirelake.llm.shared import written
+from hirelake.llm import decontaminate, line_quality, packing, secrets, token_counts, url_filters, warc
+from hirelake.llm.shared import new_folder, written
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -129,6 +129,36 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_folder(spark, "warc")
+    warc.write(_table(spark, sf_dir, "pages"), folder)
+    captures = warc.assemble(written(warc.read(spark, folder, with_payload=False), "records"))
+
+    def key(head: str) -> Column:
+        return F.regexp_extract(head, r"key: (-?\d+)", 1).try_cast("long")
+
+    return captures.select(
+        key("metadata.head").alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        F.col("kind").alias("record_type"),
+        key("origin.metadata_head").alias("refers_to"),
+    )
+
+
+SQL_OP4 = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS body, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS digest FROM pages
+), j AS (
+  SELECT page_id, n, digest, max(page_id) OVER (PARTITION BY digest) AS last FROM p
+)
+SELECT page_id, n::BIGINT AS payload_bytes, digest AS payload_digest,
+       CASE WHEN n >= 1000 AND page_id <> last THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 1000 AND page_id <> last THEN last END AS refers_to
+FROM j
+"""
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(_table(spark, sf_dir, "documents"), with_ids=False))
 
@@ -149,6 +179,7 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_token_counts": op2_token_counts,
     "op3_decontamination": op3_decontamination,
+    "op4_warc": op4_warc,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op8_secret_scan": op8_secret_scan,
     "op6_url_filters": op6_url_filters,
@@ -157,6 +188,7 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op3_decontamination": SQL_OP3,
+    "op4_warc": SQL_OP4,
     "op6_url_filters": SQL_OP6,
     "op9_line_quality": SQL_OP9,
 }
