@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from hirelake.llm import decontaminate, line_quality, packing, secrets, token_counts, url_filters, warc
+from hirelake.llm import decontaminate, line_quality, ngram_join, packing, secrets, token_counts, url_filters, warc
 from hirelake.llm.shared import new_folder, written
 
 
@@ -176,6 +176,32 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+SQL_OP10 = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i+4], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id
+), links AS (
+  SELECT a, b FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * i >= 75 * (x.n + y.n - i)
+), reach AS (
+  SELECT doc_id AS node, doc_id AS root FROM d
+  UNION
+  SELECT links.b AS node, reach.root FROM reach JOIN links ON links.a = reach.node
+)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, (SELECT min(root) FROM reach WHERE node = d.doc_id) AS component_id
+FROM d LEFT JOIN sizes USING (doc_id)
+"""
+
+
 QUERIES = {
     "op2_token_counts": op2_token_counts,
     "op3_decontamination": op3_decontamination,
@@ -184,6 +210,7 @@ QUERIES = {
     "op8_secret_scan": op8_secret_scan,
     "op6_url_filters": op6_url_filters,
     "op9_line_quality": op9_line_quality,
+    "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
 
 ORACLE_SQL = {
@@ -191,4 +218,5 @@ ORACLE_SQL = {
     "op4_warc": SQL_OP4,
     "op6_url_filters": SQL_OP6,
     "op9_line_quality": SQL_OP9,
+    "op10_ngram_jaccard_join": SQL_OP10,
 }
