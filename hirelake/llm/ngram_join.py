@@ -32,14 +32,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from hirelake.llm import text as tx
+from hirelake.llm import repeats, text as tx
 from hirelake.llm.components import components
 from hirelake.llm.shared import written
 
 SIZE = 5
 PERCENT = 75
-#: Shingles of a bucket, of a batch that a task holds at once, and of a shard, about.
-BUCKET, BATCH, SHARD = 4_000_000, 2_000_000, 1_000_000
+#: Shingles of a shard, about.
+SHARD = 1_000_000
 #: Classes of one shingle that meet in one shard; more are searched in pairs of blocks.
 BLOCK = 2000
 #: Rounds of clustering by a least hash.
@@ -110,119 +110,12 @@ def measured(documents: DataFrame, key: str, text: str, size: int) -> DataFrame:
     return documents.select(key, text).mapInArrow(measure, f"`{key}` {kind}, n long, `set` binary")
 
 
-_ENTRY = pa.schema({"bucket": pa.int32(), "kind": pa.int32(), "ids": pa.binary(), "counts": pa.binary(), "keys": pa.binary()})
-_ENTRIES = "bucket int, kind int, ids binary, counts binary, keys binary"
-#: Kinds of entries: single shingles of rows, marks of shingles known to repeat, repeated shingles of rows.
-_SINGLE, _MARK, _REPEATED = range(3)
-
-
-def _grouped(rows: np.ndarray, ids: np.ndarray) -> tuple[bytes, bytes]:
-    """The ids of the rows present in a sorted list of rows, and how often each occurs."""
-    new = np.flatnonzero(np.append(True, rows[1:] != rows[:-1])) if len(rows) else np.zeros(0, np.int64)
-    return ids[rows[new]].tobytes(), np.diff(np.append(new, len(rows))).astype(np.uint32).tobytes()
-
-
-def _entries(buckets: int, size: int, most: int):
-    def flush(tokens: np.ndarray, rows: np.ndarray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
-        place = (tokens >> np.uint64(32)) % np.uint64(buckets)
-        tokens = (place << np.uint64(32)) | (tokens & np.uint64(0xFFFFFFFF))
-        order = np.argsort(tokens, kind="stable")  # rows stay in order within a shingle
-        tokens, rows = tokens[order], rows[order]
-        same = tokens[1:] == tokens[:-1]
-        repeated = np.append(False, same) | np.append(same, False)
-        out: dict[str, list] = {k: [] for k in _ENTRY.names}
-
-        def add(bucket: int, kind: int, r: np.ndarray, keys: np.ndarray) -> None:
-            order = np.argsort(r, kind="stable")
-            found = _grouped(r[order], ids)
-            for name, value in zip(out, (bucket, kind, *found, keys[order].tobytes()), strict=True):
-                out[name].append(value)
-
-        single, cut = np.flatnonzero(~repeated), np.arange(buckets + 1, dtype=np.uint64) << np.uint64(32)
-        bounds = np.searchsorted(tokens[single], cut)
-        marks = np.unique(tokens[repeated])
-        marked = np.searchsorted(marks, cut)
-        for b in range(buckets):
-            if bounds[b] < bounds[b + 1]:
-                at = single[bounds[b] : bounds[b + 1]]
-                add(b, _SINGLE, rows[at], tokens[at].astype(np.uint32))
-            if marked[b] < marked[b + 1]:
-                own = marks[marked[b] : marked[b + 1]].astype(np.uint32)
-                for name, value in zip(out, (b, _MARK, b"", b"", own.tobytes()), strict=True):
-                    out[name].append(value)
-        again = np.flatnonzero(repeated)
-        parts = max(1, len(again) // 500_000)
-        for p in range(parts):
-            at = again[rows[again] % parts == p]
-            if len(at):  # any group will do: these are only passed on
-                add(-1 - abs(int(ids[rows[at[0]]])) // (1 << 33), _REPEATED, rows[at], tokens[at])
-        yield pa.RecordBatch.from_pydict(out, _ENTRY)
-
-    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        n = rows = 0
-        seen: dict[bytes, tuple[np.ndarray, int]] = {}  # where the id of a set is: that of its copy with the least one
-
-        def ready() -> Iterator[pa.RecordBatch]:
-            if n:
-                yield from flush(*(np.concatenate([h[i] for h in held]) for i in range(3)))
+def _parts(size: int):
+    def parts(batch: pa.RecordBatch) -> Iterator[repeats.Parts]:
+        for first, n, own, bounds in sets_of(batch.column(1), size):
+            yield first, n, own, np.repeat(np.arange(n), np.diff(bounds)), None, digests(own, bounds)
 
-        for batch in batches:
-            ids = np.array(batch.column(0), dtype=np.int64)
-            for first, many, own, bounds in sets_of(batch.column(1), size):
-                found = digests(own, bounds)
-                fresh = np.zeros(many, bool)
-                own_ids = ids[first : first + many]
-                for k in range(many):
-                    if bounds[k] < bounds[k + 1]:
-                        kept, place = seen.setdefault(found[k], (own_ids, k))
-                        fresh[k] = kept is own_ids and place == k
-                        kept[place] = min(kept[place], own_ids[k])
-                row = np.repeat(np.arange(many), np.diff(bounds))
-                keep = fresh[row]
-                held.append((own[keep], row[keep] + rows, own_ids))
-                n, rows = n + int(keep.sum()), rows + many
-                if n >= most:
-                    yield from ready()
-                    held, n, rows, seen = [], 0, 0, {}
-        yield from ready()
-
-    return entries
-
-
-def _shared(table: pa.Table) -> pa.Table:
-    """The shingles of each row of one bucket that occur elsewhere too."""
-    ids, counts, keys, marks, out_ids, out = [], [], [], [], [], []
-    for b, kind, i, c, k in zip(*(table.column(n).to_pylist() for n in _ENTRY.names), strict=True):
-        if kind == _REPEATED:
-            at = np.concatenate([[0], np.cumsum(np.frombuffer(c, np.uint32).astype(np.int64))])
-            every = np.frombuffer(k, np.uint64).view(np.int64)
-            for r, x in enumerate(np.frombuffer(i, np.int64).tolist()):
-                out_ids.append(x)
-                out.append(every[at[r] : at[r + 1]])
-        elif kind == _MARK:
-            marks.append(np.frombuffer(k, np.uint32))
-        else:
-            bucket = b
-            ids.append(np.frombuffer(i, np.int64))
-            counts.append(np.frombuffer(c, np.uint32))
-            keys.append(np.frombuffer(k, np.uint32))
-    if keys:
-        key, row = np.concatenate(keys), np.repeat(np.arange(sum(map(len, ids))), np.concatenate(counts))
-        known = np.unique(np.concatenate(marks)) if marks else key[:0]
-        every = np.sort(np.concatenate([key, known]))
-        often = np.unique(every[1:][every[1:] == every[:-1]])
-        if len(often):
-            at = np.minimum(np.searchsorted(often, key), len(often) - 1)
-            hit = often[at] == key
-            key, row = key[hit], row[hit]
-            new = np.flatnonzero(np.append(True, row[1:] != row[:-1])) if len(row) else np.zeros(0, np.int64)
-            every_id = np.concatenate(ids)
-            tokens = (np.int64(bucket) << np.int64(32)) | key.astype(np.int64)
-            for a, b in zip(new.tolist(), [*new[1:].tolist(), len(row)], strict=True):
-                out_ids.append(int(every_id[row[a]]))
-                out.append(tokens[a:b])
-    return pa.table({"id": pa.array(out_ids, pa.int64()), "tokens": pa.array(out, pa.list_(pa.int64()))})
+    return parts
 
 
 def _number_of(set_digest: str) -> Column:
@@ -232,15 +125,11 @@ def _number_of(set_digest: str) -> Column:
 
 def survivors(documents: DataFrame, sets: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
     """number, n and the repeated shingles (tokens) of each class that may have a partner."""
-    spark = documents.sparkSession
     total = sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    buckets = max(1, -(-total // BUCKET))
     reps = sets.where(F.col("n") > 0).groupBy("set").agg(F.min(F.struct(F.xxhash64(key).alias("id"), "n")).alias("r"))
     reps = reps.select("set", F.col("r.id").alias("id"), F.col("r.n").alias("n"))
-    rows = documents.select(F.xxhash64(key).alias("id"), text).mapInArrow(_entries(buckets, size, BATCH), _ENTRIES)
-    partitions = max(buckets, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    found = rows.repartition(partitions, "bucket").groupBy("bucket").applyInArrow(_shared, "id long, tokens array<long>")
-    whole = found.groupBy("id").agg(F.collect_list("tokens").alias("tokens"))  # as large as one text
+    found = repeats.repeated(documents.select(F.xxhash64(key).alias("id"), text), _parts(size), total)
+    whole = found.groupBy("id").agg(F.collect_list("places").alias("tokens"))  # as large as one text
     tokens = F.array_distinct(F.flatten("tokens"))
     kept = whole.join(reps, "id").select(_number_of("set").alias("number"), "n", tokens.alias("tokens"))
     return kept.where(100 * F.size("tokens") >= percent * F.col("n"))
