@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from hirelake.llm import decontaminate, line_quality, ngram_join, packing, secrets, token_counts, url_filters, warc
+from hirelake.llm import decontaminate, line_quality, ngram_join, packing, secrets, suffix_dedup, token_counts, url_filters, warc
 from hirelake.llm.shared import new_folder, written
 
 
@@ -163,6 +163,12 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(_table(spark, sf_dir, "documents"), with_ids=False))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.dedup(_table(spark, sf_dir, "documents"))
+    n_spans = F.size("spans").cast("long").alias("n_spans")
+    return found.select("doc_id", "n_bytes", suffix_dedup.n_removed().alias("n_removed"), n_spans, "kept_sha256")
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
     found = secrets.scan(documents, secrets.train(documents)).select("doc_id", "spans")
@@ -207,6 +213,7 @@ QUERIES = {
     "op3_decontamination": op3_decontamination,
     "op4_warc": op4_warc,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_secret_scan": op8_secret_scan,
     "op6_url_filters": op6_url_filters,
     "op9_line_quality": op9_line_quality,
