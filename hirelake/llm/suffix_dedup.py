@@ -11,7 +11,7 @@ document that comes before, or earlier in the same one. Strings never cross docu
    kept for the first place; at all other places those strings start earlier.
 4. What is left, different contexts of one fingerprint, is dealt to shards. Each shard is cut into
    parts; each part gets a suffix array (Larsson-Sadakane refinement: groups of equal prefixes are
-   split by the rank of what follows, doubling the compared length up to the span) and common
+   split by the rank of what follows, doubling the compared length) and common
    prefixes (Kasai), and the parts' sorted strings are merged by binary search. A fingerprint with
    more than `block` contexts is dealt in pairs of blocks, so no shard grows with it.
 
@@ -82,21 +82,21 @@ def winnow(raw: np.ndarray, offsets: np.ndarray, span: int, gram: int) -> tuple[
     return tuple(np.concatenate(x) for x in found)
 
 
-def suffix_array(t: np.ndarray, depth: int = SPAN) -> tuple[np.ndarray, np.ndarray]:
-    """The suffixes in order of their first `depth` bytes at least, and the first 8 bytes at each place as a number."""
+def suffix_array(t: np.ndarray, span: int = SPAN) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes in order, and the first 8 bytes at each place as a number (so many places past the end are zeros)."""
     n = len(t)
-    padded = np.concatenate([t, np.zeros(depth + 16, np.uint8)])
-    word = np.zeros(n + depth + 8, np.uint64)
+    padded = np.concatenate([t, np.zeros(span + 16, np.uint8)])
+    word = np.zeros(n + span + 8, np.uint64)
     for k in range(8):
         word |= padded[k : k + len(word)].astype(np.uint64) << np.uint64(56 - 8 * k)
     order = np.argsort(word[:n], kind="stable")
     sorted_word = word[order]
     new = np.append(True, sorted_word[1:] != sorted_word[:-1]) if n else np.zeros(0, bool)
-    rank = np.full(n + depth + 8, -1, np.int64)
+    rank = np.full(n + 1, -1, np.int64)
     rank[order] = np.flatnonzero(new)[np.cumsum(new) - 1]
     at = np.flatnonzero(~(new & np.append(new[1:], True))) if n else np.zeros(0, np.int64)  # places in groups of several
     h = 8
-    while h < depth and len(at):
+    while len(at):  # whole suffixes differ, if only in length; Kasai's rule needs their full order
         own = order[at]
         group = rank[own]
         key = group * (n + 1) + rank[np.minimum(own + h, n)] + 1
@@ -280,8 +280,8 @@ def _rows(documents: DataFrame, key: str, text: str) -> DataFrame:
     return documents.select(F.col(key).alias("key"), o.alias("o"), digest.alias("digest"), body.alias("text")).withColumn("id", F.xxhash64("o", "digest"))
 
 
-def contexts_of(found: DataFrame, block: int, shard_bytes: int) -> DataFrame:
-    """The different contexts of fingerprints that have several, dealt to shards."""
+def contexts_of(found: DataFrame, block: int, shard_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """The different contexts, each at its first place, and those of fingerprints that have several, dealt to shards."""
     firsts = found.groupBy("fp", "same").agg(F.min(F.struct("o", "id", "a")).alias("f"), F.max("context").alias("context"))
     firsts = written(firsts.select("fp", "same", "f.*", "context"), "contexts")
     many = firsts.groupBy("fp").agg(F.count("*").alias("m")).where(F.col("m") > 1)
@@ -303,11 +303,11 @@ def ranges(
     facts = rows.select("key", "o", "digest", "id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.encode("text", "UTF-8"), 256).alias("sha256"))
     facts = written(facts, "facts")
     first = facts.groupBy("digest").agg(F.min("o").alias("o"))
-    reps = first.select(F.xxhash64("o", "digest").alias("id"))
     total = facts.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0] * 2 // (span - gram + 2)
-    found = repeats.repeated(rows.select("id", "digest", "text"), _parts(span, gram), total)
-    places = found.groupBy("id").agg(F.flatten(F.collect_list("places")).alias("places")).join(reps, "id", "left_semi")
-    texts = written(rows.select("id", "o", "text").dropDuplicates(["id"]).join(places, "id"), "texts")
+    # by o, which names the first copy of a text as every batch sees it; texts that share a key share places, which only adds candidates
+    found = repeats.repeated(rows.select("o", "digest", "text"), _parts(span, gram), total).withColumnRenamed("id", "o")
+    places = found.groupBy("o").agg(F.flatten(F.collect_list("places")).alias("places")).join(first.select("o").distinct(), "o", "left_semi")
+    texts = written(rows.select("id", "o", "text").dropDuplicates(["id"]).join(places, "o").select("id", "o", "text", "places"), "texts")
     seen = written(texts.mapInArrow(_occurrences(span, gram), _OCCURRENCE), "occurrences")
     firsts, dealt = contexts_of(seen, block, shard_bytes)
     later = seen.select("id", "a", "e").join(firsts.select("id", "a"), ["id", "a"], "left_anti").select("id", F.col("a").alias("s"), "e")
