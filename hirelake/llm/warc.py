@@ -34,21 +34,17 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP_TYPE = "application/http; msgtype="
 
 
-def with_record_types(pages: DataFrame, key: str = "page_id", payload: str = "html", least: int = LEAST_SHARED) -> DataFrame:
-    """key, url, payload text, digest, n (copies so far of that row) and response_key, which is null for a response.
+def revisits(pages: DataFrame, key: str = "page_id", payload: str = "html", least: int = LEAST_SHARED) -> DataFrame:
+    """key and a map of payload digest -> key of the response, for the rows that revisit another's payload.
 
-    The copies of a digest are counted before they meet, and a hot digest's rows meet its one row of
-    totals in a join whose large side Spark splits.
+    No payload leaves its task here: digests alone are counted, and a hot digest's rows meet its one
+    row of totals in a join whose large side Spark splits.
     """
     body = F.coalesce(F.col(payload), F.lit(""))
-    rows = pages.select(
-        F.col(key).alias("key"), F.col("url").alias("url"), body.alias("body"), F.sha1(F.encode(body, "UTF-8")).alias("digest")
-    ).withColumn("bytes", F.octet_length("body").cast("long"))
-    largest = rows.where(F.col("bytes") >= least).groupBy("digest").agg(F.max("key").alias("last"), F.count("*").alias("copies"))
-    shared = largest.where(F.col("copies") > 1).select("digest", "last")
-    return rows.join(shared, "digest", "left").withColumn(
-        "response_key", F.when((F.col("bytes") >= least) & F.col("last").isNotNull() & (F.col("key") != F.col("last")), F.col("last"))
-    )
+    rows = pages.where(F.octet_length(body) >= least).select(F.col(key).alias("key"), F.sha1(F.encode(body, "UTF-8")).alias("digest"))
+    shared = rows.groupBy("digest").agg(F.max("key").alias("last"), F.count("*").alias("copies")).where(F.col("copies") > 1)
+    found = rows.join(shared, "digest").where(F.col("key") != F.col("last"))
+    return found.groupBy("key").agg(F.map_from_entries(F.collect_set(F.struct("digest", "last"))).alias("origins"))
 
 
 def _record(kind: str, ident: Column, more: list[tuple[str, Column]], block: Column, mime: str) -> Column:
@@ -66,9 +62,15 @@ def ident_of(kind: str, key: Column) -> Column:
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *parts), F.lit(">"))
 
 
-def records(pages: DataFrame, key: str = "page_id", payload: str = "html", date: str = "2026-01-01T00:00:00Z") -> DataFrame:
-    """key and value: the text of each record."""
-    rows = with_record_types(pages, key, payload)
+def records(
+    pages: DataFrame, archives: int, key: str = "page_id", payload: str = "html", date: str = "2026-01-01T00:00:00Z"
+) -> DataFrame:
+    """value: the text of each record, dealt by key to so many partitions; the payloads are shuffled once."""
+    body = F.coalesce(F.col(payload), F.lit(""))
+    rows = pages.select(F.col(key).alias("key"), F.col("url").alias("url"), body.alias("body")).repartition(archives, "key")
+    rows = rows.join(revisits(pages, key, payload), "key", "left").select(
+        "key", "url", "body", F.sha1(F.encode("body", "UTF-8")).alias("digest"), F.octet_length("body").cast("long").alias("bytes"), "origins"
+    ).withColumn("response_key", F.col("origins")[F.col("digest")])
     k, url = F.col("key"), F.regexp_replace(F.coalesce("url", F.lit("")), r"[\r\n]", "")
     own = ident_of("capture", k)
     common = [("WARC-Date", F.lit(date)), ("WARC-Target-URI", url)]
@@ -84,15 +86,14 @@ def records(pages: DataFrame, key: str = "page_id", payload: str = "html", date:
     fields = F.concat(F.lit("key: "), F.coalesce(k.cast("string"), F.lit("")), F.lit("\r\n"))
     metadata = _record("metadata", ident_of("metadata", k), [*common, beside], fields, "application/warc-fields")
     every = F.array(request, F.when(F.col("response_key").isNull(), response).otherwise(revisit), metadata)
-    return rows.select(k, F.explode(every).alias("value"))
+    return rows.select(F.explode(every).alias("value"))
 
 
 def write(pages: DataFrame, folder: str, key: str = "page_id", payload: str = "html", archive_bytes: int = ARCHIVE_BYTES, compression: str = "gzip") -> int:
     """Writes the archives into a folder; returns how many."""
     total = pages.agg(F.sum(F.coalesce(F.octet_length(payload), F.lit(0)).cast("long") + 1500)).first()[0] or 0
     archives = max(1, -(-total // archive_bytes))
-    dealt = records(pages, key, payload).repartition(archives, F.xxhash64("key", F.substring("value", 1, 400)))
-    dealt.select("value").write.option("lineSep", END).option("compression", compression).text(folder)
+    records(pages, archives, key, payload).write.option("lineSep", END).option("compression", compression).text(folder)
     return archives
 
 
