@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from hirelake.llm import decontaminate, line_quality, ngram_join, packing, secrets, suffix_dedup, token_counts, url_filters, warc
+from hirelake.llm import decontaminate, line_quality, ngram_join, packing, secrets, suffix_dedup, token_counts, toxicity, url_filters, warc
 from hirelake.llm.shared import new_folder, written
 
 
@@ -87,6 +87,13 @@ FROM all_counts
 """
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score(documents, toxicity.train(documents, _table(spark, sf_dir, "labels")))
+    predicted = (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted")
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", predicted)
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks = token_counts.token_blocks(_table(spark, sf_dir, "documents"))
     return token_counts.count(written(blocks, "tokens"))
@@ -209,6 +216,7 @@ FROM d LEFT JOIN sizes USING (doc_id)
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_token_counts": op2_token_counts,
     "op3_decontamination": op3_decontamination,
     "op4_warc": op4_warc,
