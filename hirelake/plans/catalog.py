@@ -1,14 +1,16 @@
-"""Registered queries and their SQL."""
+"""All queries of the posting domain, and their SQL."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from hirelake.plans import catalog_dashboard
+
+_PARTS = [catalog_dashboard.R]
+QUERIES = {name: query for part in _PARTS for name, query in part.queries.items()}
+ORACLE_SQL = {name: text for part in _PARTS for name, text in part.oracle.items()}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """The conversion funnel."""
+    return catalog_dashboard.q_funnel(spark, sf_dir)
