@@ -91,7 +91,7 @@ class Index:
         at = np.minimum(np.searchsorted(self.prefix, hashes), len(self.prefix) - 1)
         place = np.flatnonzero(self.prefix[at] == hashes)
         first, many = self.first[at[place]], (self.last - self.first)[at[place]]
-        starts, found = [], []
+        starts, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for k in range(int(many.max(initial=0))):  # the k-th window of each word: bounded by the benchmark
             place, first, many = place[many > k], first[many > k], many[many > k]
             window = first + k
