@@ -67,3 +67,41 @@ def retry_gate(retries: Column, n: Column, threshold: float = 0.2, least: int =
 def is_degenerate(axes: list[Column], rationale: Column) -> Column:
     """All axes alike and nothing said about any."""
     return (F.size(F.array_distinct(F.array(*axes))) == 1) & F.forall(F.map_values(rationale), lambda v: F.size(v) == 0)
+
+
+def bootstrap_mean(rows: DataFrame, value: str, group: str, resamples: int = 200, seed: int = 42, ci: float = 0.95) -> DataFrame:
+    """mean, low and high of each group by a Poisson bootstrap: a row's weight in a resample comes from a hash.
+
+    One pass with map-side sums; no group is gathered. The weights differ from those of resampling
+    with a random generator, so the ends agree with such an interval only up to chance.
+    """
+    u = (F.pmod(F.xxhash64(F.lit(seed), "_b", value, "_row"), F.lit(1 << 40)) + 0.5) / F.lit(float(1 << 40))
+    ends, weight, p, acc = [], F.lit(7), 0.36787944117144233, 0.0
+    for k in range(7):
+        acc += p
+        ends.append(acc)
+        p /= k + 1
+    for k in reversed(range(7)):
+        weight = F.when(u < ends[k], k).otherwise(weight)
+    own = rows.where(F.col(value).isNotNull()).withColumn("_row", F.xxhash64(*rows.columns))
+    drawn = own.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))).withColumn("_w", weight)
+    means = drawn.groupBy(group, "_b").agg(F.try_divide(F.sum(F.col("_w") * F.col(value)), F.sum("_w")).alias("m"))
+    tail = (1 - ci) / 2
+    ends_of = means.groupBy(group).agg(F.percentile("m", tail).alias("low"), F.percentile("m", 1 - tail).alias("high"))
+    return rows.groupBy(group).agg(F.avg(value).alias("mean")).join(ends_of, group, "left")
+
+
+def per_job(runs: DataFrame, job: str, predicted: str) -> DataFrame:
+    """The mean of each job's runs, to a whole number by halves to even."""
+    return runs.groupBy(job).agg(F.bround(F.avg(predicted)).alias("mean"), F.count(predicted).alias("runs"))
+
+
+def coherence(text: Column, scores: dict[str, Column], words: dict[str, tuple[str, ...]], least: int = 4) -> Column:
+    """The first axis whose words are in a text about gaps though its score is high."""
+    low, out = F.lower(text), F.lit(None).cast("string")
+    for axis in reversed(list(words)):
+        hit = F.lit(False)
+        for w in words[axis]:
+            hit = hit | F.contains(low, F.lit(w))
+        out = F.when(hit & (scores[axis] >= least), axis).otherwise(out)
+    return out
