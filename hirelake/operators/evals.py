@@ -69,13 +69,13 @@ def is_degenerate(axes: list[Column], rationale: Column) -> Column:
     return (F.size(F.array_distinct(F.array(*axes))) == 1) & F.forall(F.map_values(rationale), lambda v: F.size(v) == 0)
 
 
-def bootstrap_mean(rows: DataFrame, value: str, group: str, resamples: int = 200, seed: int = 42, ci: float = 0.95) -> DataFrame:
-    """mean, low and high of each group by a Poisson bootstrap: a row's weight in a resample comes from a hash.
+def bootstrap_mean(rows: DataFrame, key: str, value: str, group: str, resamples: int = 200, seed: int = 42, ci: float = 0.95) -> DataFrame:
+    """mean, low and high of each group by a Poisson bootstrap: a row's weight in a resample comes from a hash of its key.
 
     One pass with map-side sums; no group is gathered. The weights differ from those of resampling
     with a random generator, so the ends agree with such an interval only up to chance.
     """
-    u = (F.pmod(F.xxhash64(F.lit(seed), "_b", value, "_row"), F.lit(1 << 40)) + 0.5) / F.lit(float(1 << 40))
+    u = (F.pmod(F.xxhash64(F.lit(seed), "_b", key), F.lit(1 << 40)) + 0.5) / F.lit(float(1 << 40))
     ends, weight, p, acc = [], F.lit(7), 0.36787944117144233, 0.0
     for k in range(7):
         acc += p
@@ -83,7 +83,7 @@ def bootstrap_mean(rows: DataFrame, value: str, group: str, resamples: int = 200
         p /= k + 1
     for k in reversed(range(7)):
         weight = F.when(u < ends[k], k).otherwise(weight)
-    own = rows.where(F.col(value).isNotNull()).withColumn("_row", F.xxhash64(*rows.columns))
+    own = rows.where(F.col(value).isNotNull())
     drawn = own.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))).withColumn("_w", weight)
     means = drawn.groupBy(group, "_b").agg(F.try_divide(F.sum(F.col("_w") * F.col(value)), F.sum("_w")).alias("m"))
     tail = (1 - ci) / 2

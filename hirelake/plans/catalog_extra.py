@@ -245,7 +245,7 @@ def q_coherence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = V.axes(spark, sf_dir).select("dedup_key", "classification", (F.col("s1") - F.col("s0")).cast("double").alias("delta"))
-    return E.bootstrap_mean(rows, "delta", "classification", resamples=100)
+    return E.bootstrap_mean(rows, "dedup_key", "delta", "classification", resamples=100)
 
 
 R.queries["q_bootstrap"] = q_bootstrap

@@ -124,3 +124,31 @@ def test_lifecycle_and_evals(spark):
     assert evals.errors(pairs.limit(0), "a", "b").first().mae is None
     assert evals.weighted_kappa(spark.createDataFrame([(1, 1), (5, 5), (9, 1)], "a int, b int"), "a", "b").first().kappa == 1.0
     assert one(spark, evals.retry_gate(F.lit(5), F.lit(10))) == "SUPPRESSED"
+
+
+def test_places(spark):
+    from datetime import date
+
+    from hirelake.functions import places
+
+    assert one(spark, places.places(F.lit("Paris, | N/A; paris / Rome or  Remote "))) == ["Paris", "Rome", "Remote"]
+    assert one(spark, places.workplace(F.lit("Hybrid or remote"))) == "REMOTE" and one(spark, places.workplace(F.lit(None).cast("string"))) == "UNSPECIFIED"
+    assert tuple(one(spark, places.platform(F.lit("https://boards.greenhouse.io/acme/jobs/1")))) == ("greenhouse", "acme")
+    assert places.business_days_before(date(2026, 4, 6), 3) == date(2026, 4, 1)
+    assert places.business_days_before(date(2026, 4, 5), 1) == date(2026, 4, 3)
+
+
+def test_contract(spark):
+    from hirelake.operators import contract
+
+    raw = spark.createDataFrame([("84 Data Jobs", "x", "a"), ("Analyst", None, "Bad Co"), ("Join our talent network", None, "a"), ("Data Engineer", "short", "a"), ("Data Engineer", None, "a")], "title string, body string, company string")
+    denied = spark.createDataFrame([("bad co",)], "name string")
+    got = [(r.route, r.reasons, r.body) for r in contract.routed(raw, denied).collect()]
+    assert [g[0] for g in got] == ["dropped", "dropped", "quarantined", "quarantined", "clean"]
+    assert got[3][1] == ["jd_full_junk"] and got[3][2] is None and got[2][1] == ["title_non_posting"]
+
+
+def test_bootstrap(spark):
+    df = spark.createDataFrame([(i, i % 2, float(i % 10)) for i in range(400)], "k int, g int, v double")
+    for r in evals.bootstrap_mean(df, "k", "v", "g").collect():
+        assert r.low < r["mean"] < r.high and r.high - r.low < 2
