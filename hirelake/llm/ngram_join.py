@@ -9,8 +9,8 @@
    classes with too few others. Large groups of copies end here, without their pairs.
 4. The rest meets on its rarest shingles (the prefix that every link must touch). In each shard an
    inverted index answers the T-occurrence query of each class: short lists are merged by a heap,
-   long ones probed by binary search. A shingle with more than `block` classes is searched block by
-   block, so no shard grows with it and none is cut off.
+   long ones probed by binary search. Classes that meet through more than `block` others are
+   searched part by part, so no shard grows with them and none is cut off.
 
 Words and shingles are compared by 64-bit hashes, shared shingles by 32 bits of them and their
 bucket: a false link needs two texts one shingle short of it that collide (about 1e-7 for a pair).
@@ -39,8 +39,8 @@ from hirelake.llm.shared import written
 SIZE = 5
 PERCENT = 75
 #: Shingles of a shard, about.
-SHARD = 1_000_000
-#: Classes of one shingle that meet in one shard; more are searched in pairs of blocks.
+SHARD = 300_000
+#: Classes of a block that meet in one shard; more are searched in pairs of parts.
 BLOCK = 2000
 #: Rounds of clustering by a least hash.
 ROUNDS = 2
@@ -194,11 +194,13 @@ def divide_skip(lists: list[np.ndarray], least: int, mu: float = MU) -> dict[int
             counts[x] = n
     if not counts:
         return counts
-    ids, total = np.fromiter(counts, np.int64, len(counts)), np.fromiter(counts.values(), np.int64, len(counts))
+    ids, total = (np.fromiter(x, np.int64, len(counts)) for x in (counts, counts.values()))
     for k, probed in enumerate(reversed(long)):
         at = np.minimum(np.searchsorted(probed, ids), len(probed) - 1)
         total += probed[at] == ids
-        hope = total + (n_long - k - 1) >= least
+        hope = total + (len(long) - k - 1) >= least
+        if not hope.any():
+            return {}
         ids, total = ids[hope], total[hope]
     return dict(zip(ids[total >= least].tolist(), total[total >= least].tolist(), strict=True))
 
@@ -211,25 +213,18 @@ def search(tokens: list[np.ndarray], sizes: np.ndarray, labels: np.ndarray, perc
     every, rows = every[order], rows[order]
     names, first = np.unique(every, return_index=True)
     last = np.append(first[1:], len(every))
-    group = {int(x): int(x) for x in labels}
-
-    def root(x: int) -> int:
-        while group[x] != x:
-            group[x] = group[group[x]]
-            x = group[x]
-        return x
-
+    group = np.array(labels)
     pairs = []
     for i, own in enumerate(tokens):
         n = int(sizes[i])
+        least = -(-percent * n // 100)
         at = np.searchsorted(names, own)
         lists = [r[np.searchsorted(r, i, side="right") :] for r in (rows[first[k] : last[k]] for k in at.tolist())]
-        smallest = -(-percent * n // 100)
-        for j in divide_skip([x for x in lists if len(x)], max(1, smallest)) if smallest <= len(own) else ():
-            m = int(sizes[j])
-            x, y = root(int(labels[i])), root(int(labels[j]))
-            if x != y and len(np.intersect1d(own, tokens[j], assume_unique=True)) >= least_overlap(n, m, percent):
-                group[max(x, y)] = min(x, y)
+        other = group != group[i]
+        lists = [x for x in (r[other[r]] for r in lists if len(r)) if len(x)]
+        for j in divide_skip(lists, max(1, least)):
+            if group[i] != group[j] and len(np.intersect1d(own, tokens[j], assume_unique=True)) >= least_overlap(n, int(sizes[j]), percent):
+                group[group == max(group[i], group[j])] = min(group[i], group[j])
                 pairs.append((i, j))
     return pairs
 
@@ -258,20 +253,24 @@ def contested(classes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
 
 
 def searched(rest: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
-    """Links (a, b) between classes of different clusters, by T-occurrence search in shards."""
+    """Links (a, b) between classes of different clusters, by T-occurrence search in shards.
+
+    Classes that share prefix shingles, directly or through others, form a block; a block goes to one
+    shard, and a larger one than `block` in pairs of parts.
+    """
     smallest = F.ceil(F.lit(percent) * F.col("n") / 100)
     prefix = F.slice("tokens", 1, (F.size("tokens") - smallest + 1).cast("int"))
-    meet = rest.select("number", F.explode(prefix).alias("token"))
-    size = meet.groupBy("token").agg(F.count("*").alias("m")).where(F.col("m") > 1)
+    meet = written(rest.select("number", F.explode(prefix).alias("token")), "prefixes")
+    first = meet.groupBy("token").agg(F.min("number").alias("b"), F.count("*").alias("m")).where(F.col("m") > 1)
+    roots = written(components(meet.join(first, "token").select(F.col("number").alias("a"), "b")), "blocks")
+    size = roots.groupBy("root").agg(F.count("*").alias("m"))
     total = rest.agg(F.coalesce(F.sum(F.size("tokens")), F.lit(0))).first()[0]
-    shards = max(1, -(-total // SHARD)) * 4
-    blocks = F.ceil(F.col("m") / block)
-    own = F.pmod(F.xxhash64("number"), blocks)
-    dealt = meet.join(size, "token").select(
-        "number", "token", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("other")
-    )
-    where = F.pmod(F.xxhash64("token", F.least("own", "other"), F.greatest("own", "other")), F.lit(shards))
-    members = dealt.select("number", where.alias("shard")).distinct().join(rest, "number")
+    shards = max(2 * int(rest.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // SHARD))
+    parts = F.ceil(F.col("m") / block)
+    own = F.pmod(F.xxhash64("node"), parts)
+    dealt = roots.join(size, "root").select("root", "node", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("other"))
+    where = F.pmod(F.xxhash64("root", F.least("own", "other"), F.greatest("own", "other")), F.lit(shards))
+    members = dealt.select(F.col("node").alias("number"), where.alias("shard")).distinct().join(rest, "number")
     return members.groupBy("shard").applyInArrow(_search_shard(percent), "a long, b long")
 
 
