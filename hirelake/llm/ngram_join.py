@@ -129,9 +129,7 @@ def survivors(documents: DataFrame, sets: DataFrame, key: str, text: str, size:
     reps = sets.where(F.col("n") > 0).groupBy("set").agg(F.min(F.struct(F.xxhash64(key).alias("id"), "n")).alias("r"))
     reps = reps.select("set", F.col("r.id").alias("id"), F.col("r.n").alias("n"))
     found = repeats.repeated(documents.select(F.xxhash64(key).alias("id"), text), _parts(size), total)
-    whole = found.groupBy("id").agg(F.collect_list("places").alias("tokens"))  # as large as one text
-    tokens = F.array_distinct(F.flatten("tokens"))
-    kept = whole.join(reps, "id").select(_number_of("set").alias("number"), "n", tokens.alias("tokens"))
+    kept = found.join(reps, "id").select(_number_of("set").alias("number"), "n", F.col("places").alias("tokens"))
     return kept.where(100 * F.size("tokens") >= percent * F.col("n"))
 
 

@@ -14,8 +14,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from hirelake.llm import text as tx
+
 #: Parts of a bucket, and of a batch that a task holds at once, about.
-BUCKET, BATCH = 4_000_000, 2_000_000
+BUCKET, BATCH = 2_000_000, 1_000_000
 
 _ENTRY = pa.schema({"bucket": pa.int32(), "kind": pa.int32(), "ids": pa.binary(), "counts": pa.binary(), "keys": pa.binary(), "places": pa.binary()})
 _ENTRIES = "bucket int, kind int, ids binary, counts binary, keys binary, places binary"
@@ -99,17 +101,38 @@ def _entries(parts_of: Callable[[pa.RecordBatch], Iterator[Parts]], buckets: int
     return entries
 
 
-def _shared(table: pa.Table) -> pa.Table:
-    """The parts of each row of one bucket that occur elsewhere too."""
-    ids, counts, keys, places, marks, out_ids, out = [], [], [], [], [], [], []
+_GROUP = pa.schema({"group": pa.int32(), "ids": pa.binary(), "counts": pa.binary(), "places": pa.binary()})
+
+
+def _grouped(ids: np.ndarray, counts: np.ndarray, places: np.ndarray, groups: int, out: dict[str, list]) -> None:
+    """Rows (id, so many places) dealt by id to groups, each group packed into one row."""
+    where = (tx.mix(ids.view(np.uint64).copy()) % np.uint64(groups)).astype(np.int64)
+    order = np.argsort(where, kind="stable")
+    by = np.argsort(np.repeat(where, counts), kind="stable")  # a row's places stay together and in order
+    places, ids, counts, where = places[by], ids[order], counts[order], where[order]
+    bounds = np.searchsorted(where, np.arange(groups + 1))
+    ends = np.concatenate([[0], np.cumsum(counts)])
+    for g in np.unique(where).tolist():
+        a, b = bounds[g], bounds[g + 1]
+        for name, value in zip(out, (g, ids[a:b].tobytes(), counts[a:b].astype(np.uint32).tobytes(), places[ends[a] : ends[b]].tobytes()), strict=True):
+            out[name].append(value)
+
+
+def _shared(groups: int):
+    def shared(table: pa.Table) -> pa.Table:
+        return _shared_of(table, groups)
+
+    return shared
+
+
+def _shared_of(table: pa.Table, groups: int) -> pa.Table:
+    """The parts of each row of one bucket that occur elsewhere too, packed by group of ids."""
+    ids, counts, keys, places, marks = [], [], [], [], []
+    out: dict[str, list] = {k: [] for k in _GROUP.names}
     bucket = 0
     for b, kind, i, c, k, p in zip(*(table.column(n).to_pylist() for n in _ENTRY.names), strict=True):
         if kind == _PASSED:
-            at = np.concatenate([[0], np.cumsum(np.frombuffer(c, np.uint32).astype(np.int64))])
-            every = np.frombuffer(p, np.int64)
-            for r, x in enumerate(np.frombuffer(i, np.int64).tolist()):
-                out_ids.append(x)
-                out.append(every[at[r] : at[r + 1]])
+            _grouped(np.frombuffer(i, np.int64), np.frombuffer(c, np.uint32).astype(np.int64), np.frombuffer(p, np.int64), groups, out)
         elif kind == _MARK:
             marks.append(np.frombuffer(k, np.uint32))
         else:
@@ -119,25 +142,40 @@ def _shared(table: pa.Table) -> pa.Table:
             keys.append(np.frombuffer(k, np.uint32))
             places.append(np.frombuffer(p, np.uint32))
     if keys:
-        key, row = np.concatenate(keys), np.repeat(np.arange(sum(map(len, ids))), np.concatenate(counts))
+        key, row = np.concatenate(keys), np.repeat(np.arange(sum(map(len, ids)), dtype=np.int32), np.concatenate(counts))
+        del keys
         known = np.unique(np.concatenate(marks)) if marks else key[:0]
         every = np.sort(np.concatenate([key, known]))
         often = np.unique(every[1:][every[1:] == every[:-1]])
+        del every
         if len(often):
-            at = np.minimum(np.searchsorted(often, key), len(often) - 1)
-            hit = often[at] == key
+            hit = np.isin(key, often)
             place = np.concatenate(places)
             value = place[hit].astype(np.int64) if len(place) else (np.int64(bucket) << np.int64(32)) | key[hit].astype(np.int64)
             row, every_id = row[hit], np.concatenate(ids)
-            new = _starts(row).tolist()
-            for a, z in zip(new, [*new[1:], len(row)], strict=True):
-                out_ids.append(int(every_id[row[a]]))
-                out.append(value[a:z])
-    return pa.table({"id": pa.array(out_ids, pa.int64()), "places": pa.array(out, pa.list_(pa.int64()))})
+            new = _starts(row)
+            _grouped(every_id[row[new]], np.diff(np.append(new, len(row))), value, groups, out)
+    return pa.Table.from_pydict(out, _GROUP)
+
+
+def _by_id(table: pa.Table) -> pa.Table:
+    """The places of each id of one group, in order."""
+    ids, places = [], []
+    for i, c, p in zip(*(table.column(n).to_pylist() for n in _GROUP.names[1:]), strict=True):
+        ids.append(np.repeat(np.frombuffer(i, np.int64), np.frombuffer(c, np.uint32)))
+        places.append(np.frombuffer(p, np.int64))
+    ids, places = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (ids, places))
+    order = np.lexsort((places, ids))
+    ids, places = ids[order], places[order]
+    new = np.append(True, (ids[1:] != ids[:-1]) | (places[1:] != places[:-1])) if len(ids) else np.zeros(0, bool)
+    ids, places = ids[new], places[new]
+    first = _starts(ids)
+    lists = pa.LargeListArray.from_arrays(pa.array(np.append(first, len(ids)), pa.int64()), pa.array(places, pa.int64()))
+    return pa.table({"id": pa.array(ids[first], pa.int64()), "places": lists.cast(pa.list_(pa.int64()))})
 
 
 def repeated(rows: DataFrame, parts_of: Callable[[pa.RecordBatch], Iterator[Parts]], total: int, bucket: int = BUCKET, batch: int = BATCH) -> DataFrame:
-    """id and places of the parts that occur elsewhere, as lists over several rows; rows' first column is their id (long).
+    """id and places of the parts that occur elsewhere, in order; rows' first column is their id (long).
 
     total: about how many parts there are. Without places, the parts themselves are returned, as
     numbers that are equal for equal parts.
@@ -145,4 +183,5 @@ def repeated(rows: DataFrame, parts_of: Callable[[pa.RecordBatch], Iterator[Part
     buckets = max(1, -(-total // bucket))
     entries = rows.mapInArrow(_entries(parts_of, buckets, batch), _ENTRIES)
     partitions = max(buckets, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return entries.repartition(partitions, "bucket").groupBy("bucket").applyInArrow(_shared, "id long, places array<long>")
+    found = entries.repartition(partitions, "bucket").groupBy("bucket").applyInArrow(_shared(partitions), "group int, ids binary, counts binary, places binary")
+    return found.repartition(partitions, "group").groupBy("group").applyInArrow(_by_id, "id long, places array<long>")

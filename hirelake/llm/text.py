@@ -60,7 +60,7 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
-def slices(offsets: np.ndarray, most: int = 1 << 21):
+def slices(offsets: np.ndarray, most: int = 1 << 20):
     """Ranges of rows with about `most` bytes each; a longer text is alone."""
     first, n = 0, len(offsets) - 1
     while first < n:
