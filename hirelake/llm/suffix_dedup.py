@@ -24,6 +24,7 @@ compared by hashes (64, 64 and 128 bits). Other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from hirelake.llm import repeats, text as tx
-from hirelake.llm.shared import written
+from hirelake.llm.shared import new_folder, written
 
 SPAN = 100
 GRAM = 32
@@ -220,6 +221,16 @@ def _parts(span: int, gram: int):
     return parts
 
 
+def _known(part: np.ndarray, offsets: np.ndarray, places: pa.Array, span: int, gram: int) -> tuple[np.ndarray, ...]:
+    """The fingerprints of the texts at the given places of each."""
+    found = winnow(part, offsets, span, gram)
+    place, row = found[1], found[4]
+    lengths = np.asarray(places.value_lengths(), dtype=np.int64)
+    at = np.asarray(places.flatten()) + np.repeat(offsets[:-1], lengths)
+    keep = np.isin(place, at)  # places of different texts can't be mixed up: all are places in the slice
+    return tuple(x[keep] for x in found)
+
+
 def _occurrences(span: int, gram: int):
     def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -228,49 +239,67 @@ def _occurrences(span: int, gram: int):
             for low, high in tx.slices(offsets):
                 own = offsets[low : high + 1]
                 part, own = raw[own[0] : own[-1]], own - own[0]
-                h, place, first, last, row = winnow(part, own, span, gram)
-                keep = np.zeros(len(h), bool)
-                bounds = np.searchsorted(row, np.arange(high - low + 1))
-                for k in range(high - low):
-                    mine = slice(bounds[k], bounds[k + 1])
-                    keep[mine] = np.isin(place[mine] - own[k], np.asarray(places[low + k].values))
-                h, place, first, last, row = (x[keep] for x in (h, place, first, last, row))
+                h, place, first, last, row = _known(part, own, places.slice(low, high - low), span, gram)
                 end = last + span
                 same = tx.mix(tx.word_hashes(part, first, end) + (place - first).astype(np.uint64))
-                order = np.lexsort((same, h))
-                new = np.ones(len(order), bool)
-                new[1:] = (h[order][1:] != h[order][:-1]) | (same[order][1:] != same[order][:-1])
-                shown = np.zeros(len(order), bool)
-                shown[order[new]] = True  # the text of a context once in a slice
-                data = part.tobytes()
-                contexts = [data[a:b] if x else None for a, b, x in zip(first.tolist(), end.tolist(), shown.tolist(), strict=True)]
                 columns = [h.view(np.int64), same.view(np.int64), o[low + row], ids[low + row], first - own[row], end - own[row]]
-                arrays = [*(pa.array(c, pa.int64()) for c in columns), pa.array(contexts, pa.binary())]
-                yield pa.RecordBatch.from_arrays(arrays, names=["fp", "same", "o", "id", "a", "e", "context"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["fp", "same", "o", "id", "a", "e"])
 
     return occurrences
 
 
-_OCCURRENCE = "fp long, same long, o long, id long, a long, e long, context binary"
+_OCCURRENCE = "fp long, same long, o long, id long, a long, e long"
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """n_removed, n_spans and digest of the rest of each text, from its ranges."""
+def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bytes of the contexts wanted of each text."""
     for batch in batches:
-        out: dict[str, list] = {"id": [], "spans": [], "kept_sha256": []}
-        for ident, t, ranges in zip(batch.column("id").to_pylist(), batch.column("text"), batch.column("ranges"), strict=True):
-            data = t.as_py().encode()
-            s, e = (np.asarray(ranges.values.field(n)) for n in ("s", "e"))
-            order = np.argsort(s, kind="stable")
-            s, e = s[order], np.maximum.accumulate(e[order])
-            new = np.append(True, s[1:] > e[:-1])
-            s, e = s[new], e[np.append(np.flatnonzero(new)[1:] - 1, len(e) - 1)]
-            kept = b"".join(data[a:b] for a, b in zip([0, *e.tolist()], [*s.tolist(), len(data)], strict=True))
-            out["id"].append(ident)
-            out["spans"].append([{"s": a, "e": b} for a, b in zip(s.tolist(), e.tolist(), strict=True)])
-            out["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
-        spans = pa.list_(pa.struct({"s": pa.int64(), "e": pa.int64()}))
-        yield pa.RecordBatch.from_pydict(out, pa.schema({"id": pa.int64(), "spans": spans, "kept_sha256": pa.string()}))
+        raw, offsets = tx.buffers(batch.column("text"))
+        wanted = batch.column("wanted")
+        row = np.repeat(np.arange(batch.num_rows), np.asarray(wanted.value_lengths(), dtype=np.int64))
+        shard, a, e = (np.asarray(wanted.flatten().field(n)) for n in ("shard", "a", "e"))
+        data = raw.tobytes()
+        at = offsets[row]
+        own = [data[x:y] for x, y in zip((at + a).tolist(), (at + e).tolist(), strict=True)]
+        o, ids = (np.asarray(batch.column(n))[row] for n in ("o", "id"))
+        yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in (shard, o, ids, a)), pa.array(own, pa.binary())], names=["shard", "o", "id", "a", "context"])
+
+
+def _cut(span: int, gram: int):
+    """The spans to remove and the digest of the rest, of each text that loses bytes."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct({"s": pa.int64(), "e": pa.int64()}))
+        for batch in batches:
+            raw, offsets = tx.buffers(batch.column("text"))
+            out: dict[str, list] = {"id": [], "spans": [], "kept_sha256": []}
+            ids, firsts, ranges = batch.column("id").to_pylist(), batch.column("firsts"), batch.column("ranges")
+            for low, high in tx.slices(offsets):
+                own = offsets[low : high + 1]
+                part, own = raw[own[0] : own[-1]], own - own[0]
+                _, _, first, last, row = _known(part, own, batch.column("places").slice(low, high - low), span, gram)
+                bounds = np.searchsorted(row, np.arange(high - low + 1))
+                for k in range(high - low):
+                    a, e = (x[bounds[k] : bounds[k + 1]] - own[k] for x in (first, last + span))
+                    if firsts[low + k].is_valid:
+                        later = ~np.isin(a, np.asarray(firsts[low + k].values))
+                        a, e = a[later], e[later]
+                    if ranges[low + k].is_valid:
+                        a, e = (np.append(x, np.asarray(ranges[low + k].values.field(n))) for x, n in ((a, "s"), (e, "e")))
+                    if not len(a):
+                        continue
+                    order = np.argsort(a, kind="stable")
+                    a, e = a[order], np.maximum.accumulate(e[order])
+                    new = np.append(True, a[1:] > e[:-1])
+                    a, e = a[new].tolist(), e[np.append(np.flatnonzero(new)[1:] - 1, len(e) - 1)].tolist()
+                    data = part[own[k] : own[k + 1]].tobytes()
+                    kept = b"".join(data[x:y] for x, y in zip([0, *e], [*a, len(data)], strict=True))
+                    out["id"].append(ids[low + k])
+                    out["spans"].append([{"s": x, "e": y} for x, y in zip(a, e, strict=True)])
+                    out["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
+            yield pa.RecordBatch.from_pydict(out, pa.schema({"id": pa.int64(), "spans": kind, "kept_sha256": pa.string()}))
+
+    return cut
 
 
 def _rows(documents: DataFrame, key: str, text: str) -> DataFrame:
@@ -280,46 +309,54 @@ def _rows(documents: DataFrame, key: str, text: str) -> DataFrame:
     return documents.select(F.col(key).alias("key"), o.alias("o"), digest.alias("digest"), body.alias("text")).withColumn("id", F.xxhash64("o", "digest"))
 
 
-def contexts_of(found: DataFrame, block: int, shard_bytes: int) -> tuple[DataFrame, DataFrame]:
-    """The different contexts, each at its first place, and those of fingerprints that have several, dealt to shards."""
-    firsts = found.groupBy("fp", "same").agg(F.min(F.struct("o", "id", "a")).alias("f"), F.max("context").alias("context"))
-    firsts = written(firsts.select("fp", "same", "f.*", "context"), "contexts")
+def dealt_contexts(firsts: DataFrame, block: int, shard_bytes: int) -> DataFrame:
+    """shard, id, a and e of the contexts whose fingerprint has several."""
     many = firsts.groupBy("fp").agg(F.count("*").alias("m")).where(F.col("m") > 1)
     several = firsts.join(many, "fp")
-    total = several.agg(F.coalesce(F.sum(F.octet_length("context")), F.lit(0))).first()[0]
+    total = several.agg(F.coalesce(F.sum(F.col("e") - F.col("a")), F.lit(0))).first()[0]
     shards = max(1, -(-total // shard_bytes))
     blocks = F.ceil(F.col("m") / block)
     own = F.pmod(F.xxhash64("same"), blocks)
     dealt = several.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
     where = F.pmod(F.xxhash64("fp", F.least("own", "other"), F.greatest("own", "other")), F.lit(shards))
-    return firsts, dealt.select(where.alias("shard"), "o", "id", "a", "context")
+    return dealt.select(where.alias("shard"), "id", "a", "e")
+
+
+def candidates(rows: DataFrame, facts: DataFrame, span: int, gram: int) -> DataFrame:
+    """id, o, text and places of the first copies that share a fingerprint, as a table bucketed by id.
 
+    Later steps join small tables to it by id, so the texts are shuffled once.
+    """
+    spark = rows.sparkSession
+    first = facts.groupBy("digest").agg(F.min("o").alias("o")).select("o", F.xxhash64("o", "digest").alias("id"))
+    size = facts.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
+    # by o, which names the first copy of a text as every batch sees it; texts that share a key share places, which only adds candidates
+    found = repeats.repeated(rows.select("o", "digest", "text"), _parts(span, gram), size * 2 // (span - gram + 2))
+    places = found.withColumnRenamed("id", "o").join(first, "o").select("id", "places")
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // (32 << 20)))
+    texts = rows.select("id", "o", "text").repartition(n, "id").join(places, "id")
+    name = f"candidates_{uuid.uuid4().hex}"
+    texts.write.bucketBy(n, "id").option("path", new_folder(spark, "candidates")).saveAsTable(name)
+    return spark.table(name)
 
-def ranges(
+
+def dedup(
     documents: DataFrame, key: str = "doc_id", text: str = "text", span: int = SPAN, gram: int = GRAM, block: int = BLOCK, shard_bytes: int = SHARD_BYTES, part_bytes: int = PART_BYTES
-) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Facts of each row, the texts that may lose bytes, and the ranges (id, s, e) to be removed from them."""
+) -> DataFrame:
+    """key, n_bytes, spans (removed, as s and e in bytes) and kept_sha256 of each row."""
     rows = _rows(documents, key, text)
     facts = rows.select("key", "o", "digest", "id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.encode("text", "UTF-8"), 256).alias("sha256"))
     facts = written(facts, "facts")
-    first = facts.groupBy("digest").agg(F.min("o").alias("o"))
-    total = facts.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0] * 2 // (span - gram + 2)
-    # by o, which names the first copy of a text as every batch sees it; texts that share a key share places, which only adds candidates
-    found = repeats.repeated(rows.select("o", "digest", "text"), _parts(span, gram), total).withColumnRenamed("id", "o")
-    places = found.groupBy("o").agg(F.flatten(F.collect_list("places")).alias("places")).join(first.select("o").distinct(), "o", "left_semi")
-    texts = written(rows.select("id", "o", "text").dropDuplicates(["id"]).join(places, "o").select("id", "o", "text", "places"), "texts")
-    seen = written(texts.mapInArrow(_occurrences(span, gram), _OCCURRENCE), "occurrences")
-    firsts, dealt = contexts_of(seen, block, shard_bytes)
-    later = seen.select("id", "a", "e").join(firsts.select("id", "a"), ["id", "a"], "left_anti").select("id", F.col("a").alias("s"), "e")
-    parts = dealt.groupBy("shard").applyInArrow(_resolve(span, part_bytes), "id long, s long, e long")
-    return facts, texts, later.unionByName(parts)
-
-
-def dedup(documents: DataFrame, key: str = "doc_id", text: str = "text", span: int = SPAN, **options) -> DataFrame:
-    """key, n_bytes, n_removed, spans (removed, as s and e in bytes) and kept_sha256 of each row."""
-    facts, texts, gone = ranges(documents, key, text, span, **options)
-    own = gone.groupBy("id").agg(F.collect_list(F.struct("s", "e")).alias("ranges"))
-    cut = texts.select("id", "text").join(own, "id").mapInArrow(_cut, "id long, spans array<struct<s:long,e:long>>, kept_sha256 string")
+    texts = candidates(rows, facts, span, gram)
+    seen = texts.select("id", "o", "text", "places").mapInArrow(_occurrences(span, gram), _OCCURRENCE)
+    firsts = written(seen.groupBy("fp", "same").agg(F.min(F.struct("o", "id", "a", "e")).alias("f")).select("fp", "same", "f.id", "f.a", "f.e"), "firsts")
+    wanted = dealt_contexts(firsts, block, shard_bytes).groupBy("id").agg(F.collect_set(F.struct("shard", "a", "e")).alias("wanted"))
+    contexts = texts.select("id", "o", "text").join(wanted, "id").mapInArrow(_contexts, "shard long, o long, id long, a long, context binary")
+    parts = contexts.groupBy("shard").applyInArrow(_resolve(span, part_bytes), "id long, s long, e long")
+    own = parts.groupBy("id").agg(F.collect_list(F.struct("s", "e")).alias("ranges"))
+    first_places = firsts.groupBy("id").agg(F.collect_list("a").alias("firsts"))
+    joined = texts.select("id", "text", "places").join(first_places, "id", "left").join(own, "id", "left")
+    cut = joined.mapInArrow(_cut(span, gram), "id long, spans array<struct<s:long,e:long>>, kept_sha256 string").dropDuplicates(["id"])
     first = facts.groupBy("digest").agg(F.min("o").alias("first"))
     copy = (F.col("o") > F.col("first")) & (F.col("n_bytes") >= span)
     whole = F.array(F.struct(F.lit(0).cast("long").alias("s"), F.col("n_bytes").alias("e")))
