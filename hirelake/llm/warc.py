@@ -180,7 +180,11 @@ def assemble(found: DataFrame) -> DataFrame:
     )
     revisit = F.col("kind") == "revisit"
     digest = F.regexp_replace("digest", "^sha1:", "")
-    return captures.join(origin, "refers_to", "left").select(
+    # only revisits look for an origin: the others' empty references would all meet in one task
+    kinds = {f.name: f.dataType for f in origin.schema}
+    alone = captures.where(~revisit).withColumns({n: F.lit(None).cast(kinds[n]) for n in ("origin", "o")})
+    every = captures.where(revisit).join(origin, "refers_to", "left").unionByName(alone)
+    return every.select(
         "record_id", "uri", "date", "kind", "refers_to", "head", "request", "metadata", "origin",
         F.when(revisit, F.col("o.bytes")).otherwise(F.col("bytes")).alias("payload_bytes"),
         F.when(revisit, F.coalesce("o.sha1", digest)).otherwise(F.col("sha1")).alias("payload_digest"),
