@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame, functions as F
 
 CAPACITY = 2048
 END_ID = 0
+#: Text of a group that is packed apart, in bytes; its lengths are what a task holds.
+GROUP_BYTES = 32 << 20
 #: Fixed names of the vocabulary: as merges, and the same tokens as ranks, which give the same ids.
 VOCABULARY = "byte_bpe_50k.json"
 RANKS = "byte_bpe_50k.tiktoken"
@@ -109,8 +111,14 @@ def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.nd
     return bins, offsets
 
 
+def groups_for(documents: DataFrame, text: str = "text", group_bytes: int = GROUP_BYTES) -> int:
+    """How many groups to pack apart: by the bytes of text, so a group has enough pieces to fill its sequences."""
+    total = documents.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
+    return max(1, total // group_bytes)
+
+
 def pack(cut: DataFrame, key: str = "doc_id", capacity: int = CAPACITY, groups: int | None = None) -> DataFrame:
-    """The pieces with sequence_id and offset. groups: how many are packed apart; as many as shuffle partitions."""
+    """The pieces with sequence_id and offset. groups: how many are packed apart; if none is given, as many as shuffle partitions."""
     n = groups or int(cut.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = cut.withColumn("__group", F.pmod(F.xxhash64(key, "piece", "length", "ids_crc32"), F.lit(n)))
     full = dealt.columns

@@ -167,7 +167,8 @@ FROM j
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(packing.pieces(_table(spark, sf_dir, "documents"), with_ids=False))
+    documents = _table(spark, sf_dir, "documents")
+    return packing.pack(packing.pieces(documents, with_ids=False), groups=packing.groups_for(documents))
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
