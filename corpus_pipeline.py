@@ -44,7 +44,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(packing.pieces(docs, with_ids=False))
+    return packing.pack(packing.pieces(docs, with_ids=False), groups=packing.groups_for(docs))
 
 
 STAGES = [
