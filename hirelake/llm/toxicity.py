@@ -2,8 +2,8 @@
 
 Strings are tokens: runs without white space, and runs of single letters set apart by spaces. The
 kernel of two tokens sums over the letter triples both hold in order, each with DECAY to the power
-of the stretch it spans, so letters may be left out or put between; marks between letters count for
-the stretch only, and some digits stand for letters. Each token is divided by the norm of its
+of the stretch it spans, so letters may be left out or put between; marks between letters don't
+count, and some digits stand for letters. Each token is divided by the norm of its
 triples, and the kernel sharpened to exp(SHARP * (k - 1)), so near misses count little. Nystrom
 features are the kernel against landmark tokens, whitened; a linear machine on them is folded back
 into one weight per landmark, which is what scores tokens.
@@ -54,15 +54,17 @@ _CODES[0x41:0x5B] = _CODES[0x61:0x7B] = np.arange(1, 27)
 _CODES[0x80:] = 28 + (np.arange(0x80, 0x100) & 3)
 for _mark, _letter in {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}.items():
     _CODES[ord(_mark)] = ord(_letter) - 96
-#: Codes that make up triples.
-_PART = np.ones(_SIDE, bool)
-_PART[[0, 27]] = False
+_MARK = 27
 
 _STEPS = [(a, b) for a in range(1, REACH) for b in range(1, REACH - a + 1)]
 
 
 def _matrices(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Rows of codes, padded with 0, for tokens of like length, and which token each row is of."""
+    """Rows of codes without marks, padded with 0, for tokens of like length, and which token each row is of."""
+    codes_of = _CODES[raw]
+    kept = codes_of != _MARK
+    place = np.concatenate([[0], np.cumsum(kept)])
+    packed, start, end = codes_of[kept], place[start], place[end]
     n = end - start
     extra = np.maximum(0, -(-(n - LONG) // STRIDE))
     which = np.repeat(np.arange(len(n)), extra + 1)
@@ -77,13 +79,13 @@ def _matrices(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> Iterator[t
             own = mine[k : k + (1 << 15)]
             at = np.arange(high)
             inside = at < length[own][:, None]
-            codes = np.where(inside, _CODES[raw[np.minimum(first[own][:, None] + at, len(raw) - 1)]], 0)
+            codes = np.where(inside, packed[np.minimum(first[own][:, None] + at, len(packed) - 1)], 0)
             yield codes.astype(np.int32), which[own]
 
 
 def _triples(codes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
     """Number of each triple, whether it counts, and its weight, for each pair of steps."""
-    wide, part = codes.shape[1], _PART[codes]
+    wide, part = codes.shape[1], codes > 0
     for a, b in _STEPS:
         if a + b < wide:
             x, y, z = slice(0, wide - a - b), slice(a, wide - b), slice(a + b, wide)
