@@ -45,7 +45,7 @@ BLOCK = 2000
 #: Rounds of clustering by a least hash.
 ROUNDS = 2
 #: Weight of the merge against the probes when the lists are divided.
-MU = 0.05
+MU = 0.005
 
 
 def least_overlap(a: int, b: int, percent: int = PERCENT) -> int:
