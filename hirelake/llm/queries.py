@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from hirelake.llm import decontaminate, line_quality, ngram_join, packing, secrets, suffix_dedup, token_counts, toxicity, url_filters, warc
-from hirelake.llm.shared import new_folder, written
+from hirelake.llm.shared import new_folder, small_batches, written
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
