@@ -41,6 +41,7 @@ SHARD_BYTES, PART_BYTES = 2 << 20, 1 << 20
 #: Contexts of one fingerprint that meet in one shard; more are dealt in pairs of blocks.
 BLOCK = 4000
 _LAST = (1 << 63) - 1
+_PARTITIONS = "spark.sql.shuffle.partitions"
 
 
 def winnow(raw: np.ndarray, offsets: np.ndarray, span: int, gram: int) -> tuple[np.ndarray, ...]:
@@ -323,9 +324,10 @@ def dealt_contexts(firsts: DataFrame, block: int, shard_bytes: int) -> DataFrame
 
 
 def candidates(rows: DataFrame, facts: DataFrame, span: int, gram: int) -> DataFrame:
-    """id, o, text and places of the first copies that share a fingerprint, as a table bucketed by id.
+    """id, o, text and places of the first copies that share a fingerprint, one row of each id, as a table bucketed by id.
 
-    Later steps join small tables to it by id, so the texts are shuffled once.
+    Later steps join small tables to it by id, so the texts are shuffled once. Rows that repeat a key
+    and text become one before the shuffle and after it, however many they are.
     """
     spark = rows.sparkSession
     first = facts.groupBy("digest").agg(F.min("o").alias("o")).select("o", F.xxhash64("o", "digest").alias("id"))
@@ -333,10 +335,15 @@ def candidates(rows: DataFrame, facts: DataFrame, span: int, gram: int) -> DataF
     # by o, which names the first copy of a text as every batch sees it; texts that share a key share places, which only adds candidates
     found = repeats.repeated(rows.select("o", "digest", "text"), _parts(span, gram), size * 2 // (span - gram + 2))
     places = found.withColumnRenamed("id", "o").join(first, "o").select("id", "places")
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // (32 << 20)))
-    texts = rows.select("id", "o", "text").repartition(n, "id").join(places, "id")
+    n = max(int(spark.conf.get(_PARTITIONS)), -(-size // (32 << 20)))
+    texts = rows.select("id", "o", "text").dropDuplicates(["id"]).join(places, "id")
     name = f"candidates_{uuid.uuid4().hex}"
-    texts.write.bucketBy(n, "id").option("path", new_folder(spark, "candidates")).saveAsTable(name)
+    before = spark.conf.get(_PARTITIONS)
+    spark.conf.set(_PARTITIONS, n)  # the shuffle that drops repeated rows deals them to their buckets
+    try:
+        texts.write.bucketBy(n, "id").option("path", new_folder(spark, "candidates")).saveAsTable(name)
+    finally:
+        spark.conf.set(_PARTITIONS, before)
     return spark.table(name)
 
 
@@ -356,7 +363,7 @@ def dedup(
     own = parts.groupBy("id").agg(F.collect_list(F.struct("s", "e")).alias("ranges"))
     first_places = firsts.groupBy("id").agg(F.collect_list("a").alias("firsts"))
     joined = texts.select("id", "text", "places").join(first_places, "id", "left").join(own, "id", "left")
-    cut = joined.mapInArrow(_cut(span, gram), "id long, spans array<struct<s:long,e:long>>, kept_sha256 string").dropDuplicates(["id"])
+    cut = joined.mapInArrow(_cut(span, gram), "id long, spans array<struct<s:long,e:long>>, kept_sha256 string")
     first = facts.groupBy("digest").agg(F.min("o").alias("first"))
     copy = (F.col("o") > F.col("first")) & (F.col("n_bytes") >= span)
     whole = F.array(F.struct(F.lit(0).cast("long").alias("s"), F.col("n_bytes").alias("e")))

@@ -101,6 +101,18 @@ def test_suffix_dedup_edges(spark):
     assert sorted((r.doc_id is None, r.doc_id or 0, r.n == r.n_bytes) for r in got) == [(False, 2, False), (False, 2, False), (False, 5, True), (True, 0, True)]
 
 
+def test_suffix_dedup_repeated_rows(spark):
+    """Rows that repeat a key and text are one document, also where their fingerprints have several contexts."""
+    docs = pieces(4)
+    want = brute.removed(docs, 30)
+    null = "z" + docs[5][1] + "unlike the others " * 3
+    want |= {None: brute.removed([*docs, (10_000, null)], 30)[10_000]}
+    every = [*docs, *docs[::2], *docs[::3], *docs[:4] * 20, (None, null), (None, null)]
+    found = suffix_dedup.dedup(rows(spark, every), span=30, gram=8).withColumn("n", suffix_dedup.n_removed()).collect()
+    assert sorted((r.doc_id for r in found), key=str) == sorted((d for d, _ in every), key=str)
+    assert {(r.doc_id, (r.n_bytes, r.n, len(r.spans), r.kept_sha256)) for r in found} == set(want.items())
+
+
 def test_suffix_array():
     r = random.Random(9)
     for _ in range(50):
