@@ -118,6 +118,11 @@ def _parts(size: int):
     return parts
 
 
+def _head_of(set_digest: str) -> Column:
+    """The first 64 bits of a set's digest, as `repeats.heads` takes them."""
+    return F.conv(F.hex(F.substring(set_digest, 1, 8)), 16, -10).cast("long")
+
+
 def _number_of(set_digest: str) -> Column:
     """64 bits for a set's digest: the class's number in the joins that follow."""
     return F.xxhash64(set_digest)
@@ -126,9 +131,10 @@ def _number_of(set_digest: str) -> Column:
 def survivors(documents: DataFrame, sets: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
     """number, n and the repeated shingles (tokens) of each class that may have a partner."""
     total = sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    reps = sets.where(F.col("n") > 0).groupBy("set").agg(F.min(F.struct(F.xxhash64(key).alias("id"), "n")).alias("r"))
+    reps = sets.where(F.col("n") > 0).groupBy("set").agg(F.min(F.struct(F.xxhash64(key).bitwiseXOR(_head_of("set")).alias("id"), "n")).alias("r"))
     reps = reps.select("set", F.col("r.id").alias("id"), F.col("r.n").alias("n"))
-    found = repeats.repeated(documents.select(F.xxhash64(key).alias("id"), text), _parts(size), total)
+    # ids of key and set: the texts of one key, or of no key, are apart
+    found = repeats.repeated(documents.select(F.xxhash64(key).alias("id"), text), _parts(size), total, by_digest=True)
     kept = found.join(reps, "id").select(_number_of("set").alias("number"), "n", F.col("places").alias("tokens"))
     return kept.where(100 * F.size("tokens") >= percent * F.col("n"))
 

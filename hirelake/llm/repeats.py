@@ -27,6 +27,11 @@ _SINGLE, _MARK, _PASSED = range(3)
 Parts = tuple[int, int, np.ndarray, np.ndarray, np.ndarray | None, list | None]
 
 
+def heads(found: list) -> np.ndarray:
+    """The first 64 bits of each digest."""
+    return np.frombuffer(b"".join(x[:8] for x in found), ">i8").astype(np.int64)
+
+
 def _starts(rows: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.append(True, rows[1:] != rows[:-1])) if len(rows) else np.zeros(0, np.int64)
 
@@ -70,7 +75,7 @@ def _flush(buckets: int, hashes: np.ndarray, rows: np.ndarray, places: np.ndarra
     return pa.RecordBatch.from_pydict(out, _ENTRY)
 
 
-def _entries(parts_of: Callable[[pa.RecordBatch], Iterator[Parts]], buckets: int, most: int):
+def _entries(parts_of: Callable[[pa.RecordBatch], Iterator[Parts]], buckets: int, most: int, by_digest: bool):
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         n = rows = 0
@@ -85,6 +90,8 @@ def _entries(parts_of: Callable[[pa.RecordBatch], Iterator[Parts]], buckets: int
             ids = np.array(batch.column(0), dtype=np.int64)
             for first, many, hashes, row, places, found in parts_of(batch):
                 own_ids = ids[first : first + many]
+                if by_digest:
+                    own_ids = own_ids ^ heads(found)
                 fresh = np.zeros(many, bool)
                 for k in np.unique(row).tolist():
                     kept, place = seen.setdefault(found[k], (own_ids, k))
@@ -174,14 +181,17 @@ def _by_id(table: pa.Table) -> pa.Table:
     return pa.table({"id": pa.array(ids[first], pa.int64()), "places": lists.cast(pa.list_(pa.int64()))})
 
 
-def repeated(rows: DataFrame, parts_of: Callable[[pa.RecordBatch], Iterator[Parts]], total: int, bucket: int = BUCKET, batch: int = BATCH) -> DataFrame:
+def repeated(
+    rows: DataFrame, parts_of: Callable[[pa.RecordBatch], Iterator[Parts]], total: int, bucket: int = BUCKET, batch: int = BATCH, by_digest: bool = False
+) -> DataFrame:
     """id and places of the parts that occur elsewhere, in order; rows' first column is their id (long).
 
     total: about how many parts there are. Without places, the parts themselves are returned, as
-    numbers that are equal for equal parts.
+    numbers that are equal for equal parts. by_digest: an id becomes the exclusive or of itself and
+    the head of its text's digest, so rows with one id and different texts are apart.
     """
     buckets = max(1, -(-total // bucket))
-    entries = rows.mapInArrow(_entries(parts_of, buckets, batch), _ENTRIES)
+    entries = rows.mapInArrow(_entries(parts_of, buckets, batch, by_digest), _ENTRIES)
     partitions = max(buckets, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     found = entries.repartition(partitions, "bucket").groupBy("bucket").applyInArrow(_shared(partitions), "group int, ids binary, counts binary, places binary")
     return found.repartition(partitions, "group").groupBy("group").applyInArrow(_by_id, "id long, places array<long>")

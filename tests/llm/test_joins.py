@@ -79,6 +79,20 @@ def test_repeated_rows_and_empty(spark):
     assert ngram_join.join(rows(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("key", [None, 7])
+def test_ngram_join_texts_of_one_key(spark, key):
+    """Unrelated texts under one key, each with near copies of other keys, link with those only."""
+    r = random.Random(6)
+    base = [[f"t{i}w{r.randrange(10_000)}" for _ in range(60)] for i in range(4)]
+    docs = [(key, " ".join(w)) for w in base] + [(100 + 10 * i + k, " ".join([*w[:-1], f"end{k}"])) for i, w in enumerate(base) for k in range(2)]
+    got = {(x.doc_id, x.n_shingles, x.component_id) for x in ngram_join.join(rows(spark, docs)).collect()}
+    least = [100 + 10 * i if key is None else 7 for i in range(4)]
+    assert got == {*((key, 56, c) for c in least), *((100 + 10 * i + k, 56, least[i]) for i in range(4) for k in range(2))}
+    sets = ngram_join.measured(rows(spark, docs), "doc_id", "text", 5)
+    classes = ngram_join.survivors(rows(spark, docs), sets, "doc_id", "text", 5, 75).collect()
+    assert len(classes) == 12 and all(x.n >= len(x.tokens) for x in classes)
+
+
 def pieces(seed, n=40):
     r = random.Random(seed)
     blocks = ["".join(r.choice("abcd é\n") for _ in range(r.randint(20, 90))) for _ in range(8)]
