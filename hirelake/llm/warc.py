@@ -6,10 +6,11 @@ the same payload in WARC-Refers-To. Archives are written by Spark's text writer,
 their own end mark, so tasks that run again leave whole files; `read` takes any WARC 1.x file,
 plain or gzip (one or many members), and follows Content-Length, never an end mark.
 
-Archives are dealt by a hash of the key into as many files as `archive_bytes` asks for; one record
-may be larger, and one archive is what a task holds at once.
+Archives are dealt by a hash of the row into as many files as `archive_bytes` asks for (and as many
+for rows that repeat often); one record may be larger, and one archive is what a task holds at once.
 
-Defined cases: a null payload is empty. Of rows that share a key, all get their own records.
+Defined cases: a null payload is empty. Of rows that share a key, or have none, all get their own
+records, equal rows too; rows without a key are responses.
 Captures that miss a request or metadata record keep nulls there; request or metadata records
 without a capture are dropped. A revisit whose response isn't in the archives has a null payload.
 Repeated record ids count once. Other columns are ignored, whatever their names.
@@ -24,6 +25,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from hirelake.llm.shared import written
+
 #: Payloads under so many bytes are never written as a revisit.
 LEAST_SHARED = 1000
 ARCHIVE_BYTES = 16 << 20
@@ -34,17 +37,25 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP_TYPE = "application/http; msgtype="
 
 
-def revisits(pages: DataFrame, key: str = "page_id", payload: str = "html", least: int = LEAST_SHARED) -> DataFrame:
-    """key and a map of payload digest -> key of the response, for the rows that revisit another's payload.
+def _facts(pages: DataFrame, key: str, payload: str) -> DataFrame:
+    """key, url, body, its digest and bytes, and a hash (128 bits) of the first two and the digest, of each row; a null url or payload is empty."""
+    body = F.coalesce(F.col(payload), F.lit(""))
+    rows = pages.select(F.col(key).alias("key"), F.coalesce("url", F.lit("")).alias("url"), body.alias("body"))
+    rows = rows.withColumns({"digest": F.sha1(F.encode("body", "UTF-8")), "bytes": F.octet_length("body").cast("long")})
+    own = F.coalesce(F.col("key").cast("string"), F.lit(""))
+    size = F.when(F.col("key").isNull(), F.lit("none")).otherwise(F.length(own).cast("string"))  # tells key and url apart
+    return rows.withColumn("row", F.md5(F.encode(F.concat_ws(":", "digest", size, own, "url"), "UTF-8")))
+
 
-    No payload leaves its task here: digests alone are counted, and a hot digest's rows meet its one
-    row of totals in a join whose large side Spark splits.
+def revisits(facts: DataFrame, least: int = LEAST_SHARED) -> DataFrame:
+    """row and origin (row of the response) of the rows that revisit another's payload, each once.
+
+    No payload leaves its task here: digests alone meet, and a hot digest's rows meet its one row in
+    a join whose large side Spark splits. Rows without a key, or with that of the response, are responses.
     """
-    body = F.coalesce(F.col(payload), F.lit(""))
-    rows = pages.where(F.octet_length(body) >= least).select(F.col(key).alias("key"), F.sha1(F.encode(body, "UTF-8")).alias("digest"))
-    shared = rows.groupBy("digest").agg(F.max("key").alias("last"), F.count("*").alias("copies")).where(F.col("copies") > 1)
-    found = rows.join(shared, "digest").where(F.col("key") != F.col("last"))
-    return found.groupBy("key").agg(F.map_from_entries(F.collect_set(F.struct("digest", "last"))).alias("origins"))
+    rows = facts.where((F.col("bytes") >= least) & F.col("key").isNotNull()).select("key", "digest", "row").distinct()
+    last = rows.groupBy("digest").agg(F.max(F.struct("key", "row")).alias("last"))
+    return rows.join(last, "digest").where(F.col("key") != F.col("last.key")).select("row", F.col("last.row").alias("origin"))
 
 
 def _record(kind: str, ident: Column, more: list[tuple[str, Column]], block: Column, mime: str) -> Column:
@@ -55,24 +66,39 @@ def _record(kind: str, ident: Column, more: list[tuple[str, Column]], block: Col
     return F.concat(F.lit(f"{VERSION}\r\n"), *[F.coalesce(x, F.lit("")) for x in lines], size, F.lit(END), block)
 
 
-def ident_of(kind: str, key: Column) -> Column:
+def ident_of(kind: str, row: Column, number: Column) -> Column:
     """A record id that a task which runs again makes alike."""
-    h = F.sha2(F.concat_ws(":", F.lit(kind), key.cast("string")), 256)
+    h = F.sha2(F.concat_ws(":", F.lit(kind), row, number.cast("string")), 256)
     parts = [F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *parts), F.lit(">"))
 
 
+def _numbered(pages: DataFrame, archives: int, key: str, payload: str, archive_bytes: int) -> DataFrame:
+    """The facts, origin and number of each row, dealt to partitions; number tells equal rows apart.
+
+    Rows with equal key, url and payload are one row before they are shuffled, and get their count
+    there, so numbers don't depend on the order of rows. Copies that are more than an archive are
+    dealt in chunks; other payloads are shuffled once.
+    """
+    every = _facts(pages, key, payload)
+    facts = written(every.drop("body"), "facts")
+    copies = facts.groupBy("row").agg(F.count("*").alias("copies"), (F.min("bytes") + 1500).alias("size"))
+    copies = copies.withColumn("chunk", F.greatest(F.lit(1), F.floor(F.lit(archive_bytes) / F.col("size"))).cast("long")).drop("size")
+    origins, each = revisits(facts), every.dropDuplicates(["row"])
+    few = each.join(copies.where("copies <= chunk"), "row").join(origins, "row", "left").withColumn("first", F.lit(0).cast("long"))
+    many = each.join(copies.where("copies > chunk"), "row").join(origins, "row", "left")
+    many = many.withColumn("first", F.explode(F.expr("sequence(0L, copies - 1, chunk)"))).repartition(archives, "row", "first")
+    return few.unionByName(many).withColumn("number", F.explode(F.expr("sequence(first, least(first + chunk, copies) - 1)")))
+
+
 def records(
-    pages: DataFrame, archives: int, key: str = "page_id", payload: str = "html", date: str = "2026-01-01T00:00:00Z"
+    pages: DataFrame, archives: int, key: str = "page_id", payload: str = "html", date: str = "2026-01-01T00:00:00Z", archive_bytes: int = ARCHIVE_BYTES
 ) -> DataFrame:
-    """value: the text of each record, dealt by key to so many partitions; the payloads are shuffled once."""
-    body = F.coalesce(F.col(payload), F.lit(""))
-    rows = pages.select(F.col(key).alias("key"), F.col("url").alias("url"), body.alias("body")).repartition(archives, "key")
-    rows = rows.join(revisits(pages, key, payload), "key", "left").select(
-        "key", "url", "body", F.sha1(F.encode("body", "UTF-8")).alias("digest"), F.octet_length("body").cast("long").alias("bytes"), "origins"
-    ).withColumn("response_key", F.col("origins")[F.col("digest")])
-    k, url = F.col("key"), F.regexp_replace(F.coalesce("url", F.lit("")), r"[\r\n]", "")
-    own = ident_of("capture", k)
+    """value: the text of each record, in the session's shuffle partitions, and `archives` more for what repeats often."""
+    rows = _numbered(pages, archives, key, payload, archive_bytes)
+    k, url = F.col("key"), F.regexp_replace("url", r"[\r\n]", "")
+    row = (F.col("row"), F.col("number"))
+    own = ident_of("capture", *row)
     common = [("WARC-Date", F.lit(date)), ("WARC-Target-URI", url)]
     host = F.regexp_extract(url, r"^[^:]*://([^/?#]*)", 1)
     get = F.concat(F.lit("GET "), F.coalesce(F.nullif(F.regexp_replace(url, r"^[^:]*://[^/?#]*", ""), F.lit("")), F.lit("/")), F.lit(" HTTP/1.1\r\nHost: "), host, F.lit(END))
@@ -80,12 +106,12 @@ def records(
     sha = ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest")))
     beside = ("WARC-Concurrent-To", own)
     response = _record("response", own, [*common, sha], F.concat(answer, F.col("body")), HTTP_TYPE + "response")
-    refers = [("WARC-Refers-To", ident_of("capture", F.col("response_key"))), ("WARC-Profile", F.lit(PROFILE))]
+    refers = [("WARC-Refers-To", ident_of("capture", F.col("origin"), F.lit(0))), ("WARC-Profile", F.lit(PROFILE))]
     revisit = _record("revisit", own, [*common, sha, *refers], answer, HTTP_TYPE + "response")
-    request = _record("request", ident_of("request", k), [*common, beside], get, HTTP_TYPE + "request")
+    request = _record("request", ident_of("request", *row), [*common, beside], get, HTTP_TYPE + "request")
     fields = F.concat(F.lit("key: "), F.coalesce(k.cast("string"), F.lit("")), F.lit("\r\n"))
-    metadata = _record("metadata", ident_of("metadata", k), [*common, beside], fields, "application/warc-fields")
-    every = F.array(request, F.when(F.col("response_key").isNull(), response).otherwise(revisit), metadata)
+    metadata = _record("metadata", ident_of("metadata", *row), [*common, beside], fields, "application/warc-fields")
+    every = F.array(request, F.when(F.col("origin").isNull(), response).otherwise(revisit), metadata)
     return rows.select(F.explode(every).alias("value"))
 
 
@@ -93,7 +119,17 @@ def write(pages: DataFrame, folder: str, key: str = "page_id", payload: str = "h
     """Writes the archives into a folder; returns how many."""
     total = pages.agg(F.sum(F.coalesce(F.octet_length(payload), F.lit(0)).cast("long") + 1500)).first()[0] or 0
     archives = max(1, -(-total // archive_bytes))
-    records(pages, archives, key, payload).write.option("lineSep", END).option("compression", compression).text(folder)
+    spark = pages.sparkSession
+    ours = {"spark.sql.shuffle.partitions": str(archives), "spark.sql.adaptive.coalescePartitions.enabled": "false"}  # a partition is an archive
+    before = {name: spark.conf.get(name) for name in ours}
+    try:
+        for name, value in ours.items():
+            spark.conf.set(name, value)
+        texts = records(pages, archives, key, payload, archive_bytes=archive_bytes)
+        texts.write.option("lineSep", END).option("compression", compression).text(folder)
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
     return archives
 
 

@@ -94,6 +94,35 @@ def test_warc_round_trip(spark):
     assert warc.assemble(warc.read(spark, empty)).count() == 0
 
 
+def test_warc_repeated_and_null_keys(spark):
+    """Each row comes back, whatever it shares with others: key, payload or both."""
+    long, other = "p" * 1200, "o" * 1500
+    pages = [
+        (None, "http://n/1", long), (None, "http://n/2", "small"), (None, None, None), (None, "http://n/2", "small"),
+        (1, "http://a/1", long), (1, "http://a/2", other), (1, "http://a/2", other), (1, "http://a/3", "tiny"),
+        (2, "http://b/1", long), (2, "http://b/2", long), (2, "http://b/2", long), *[(3, "http://c", "again")] * 40, *[(4, "http://d", other)] * 40,
+    ]
+    folder = new_folder(spark, "warc")
+    warc.write(with_extra(spark, pages, "page_id long, url string, html string"), folder, archive_bytes=20_000)
+    found = warc.assemble(warc.read(spark, folder)).collect()
+    last = {long: 2, other: 4}
+
+    def want(k, u, h):
+        revisit = k is not None and k != last.get(h, k)
+        text = h or ""
+        return (str(k or ""), u or "", text, len(text), hashlib.sha1(text.encode()).hexdigest(), "revisit" if revisit else "response", str(last[h]) if revisit else None)
+
+    def key(head):
+        return head.split("key: ")[1].split("\r")[0]
+
+    got = [
+        (key(r.metadata.head), r.uri or "", bytes(r.payload or b"").decode(), r.payload_bytes, r.payload_digest, r.kind, key(r.origin.metadata_head) if r.origin else None)
+        for r in found
+    ]
+    assert sorted(got, key=str) == sorted((want(*p) for p in pages), key=str)
+    assert len({r.record_id for r in found}) == len({r.request.record_id for r in found}) == len(pages)
+
+
 def test_warc_members():
     record = b"WARC/1.0\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
     data = gzip.compress(record) + gzip.compress(record)
