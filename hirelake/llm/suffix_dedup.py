@@ -330,11 +330,11 @@ def candidates(rows: DataFrame, facts: DataFrame, span: int, gram: int) -> DataF
     and text become one before the shuffle and after it, however many they are.
     """
     spark = rows.sparkSession
-    first = facts.groupBy("digest").agg(F.min("o").alias("o")).select("o", F.xxhash64("o", "digest").alias("id"))
+    first = facts.groupBy("digest").agg(F.min("o").alias("o"), F.min("id").alias("named")).select("named", F.xxhash64("o", "digest").alias("first"))
     size = facts.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
-    # by o, which names the first copy of a text as every batch sees it; texts that share a key share places, which only adds candidates
-    found = repeats.repeated(rows.select("o", "digest", "text"), _parts(span, gram), size * 2 // (span - gram + 2))
-    places = found.withColumnRenamed("id", "o").join(first, "o").select("id", "places")
+    # the least id of a text's copies names it, as every batch with that copy sees it; texts that share a key are apart
+    found = repeats.repeated(rows.select("id", "digest", "text"), _parts(span, gram), size * 2 // (span - gram + 2))
+    places = found.join(first, found["id"] == first["named"]).select(F.col("first").alias("id"), "places")
     n = max(int(spark.conf.get(_PARTITIONS)), -(-size // (32 << 20)))
     texts = rows.select("id", "o", "text").dropDuplicates(["id"]).join(places, "id")
     name = f"candidates_{uuid.uuid4().hex}"

@@ -127,6 +127,15 @@ def test_suffix_dedup_repeated_rows(spark):
     assert {(r.doc_id, (r.n_bytes, r.n, len(r.spans), r.kept_sha256)) for r in found} == set(want.items())
 
 
+def test_passed_on_entries_spread():
+    """What repeats within a batch doesn't meet in one group, however small the ids are."""
+    hashes, rows_of = np.repeat(np.arange(50, dtype=np.uint64), 2), np.arange(100) % 10
+    hashes, rows_of = hashes[np.argsort(rows_of, kind="stable")], np.sort(rows_of)
+    found = [repeats._flush(1, hashes, rows_of, None, np.arange(10 * k, 10 * k + 10)).to_pydict() for k in range(20)]
+    passed = [b for x in found for b, kind in zip(x["bucket"], x["kind"], strict=True) if kind == repeats._PASSED]
+    assert len(passed) == 20 and len(set(passed)) > 15 and max(passed) < 0
+
+
 def test_suffix_array():
     r = random.Random(9)
     for _ in range(50):
