@@ -256,11 +256,11 @@ def contested(classes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     return back.where(100 * F.size("t") >= percent * F.col("n")).select("number", "n", "label", F.transform("t", lambda x: x["token"]).alias("tokens"))
 
 
-def searched(rest: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
-    """Links (a, b) between classes of different clusters, by T-occurrence search in shards.
+def dealt_classes(rest: DataFrame, percent: int, block: int) -> DataFrame:
+    """shard (and the columns of rest) of the classes that may link to others.
 
-    Classes that share prefix shingles, directly or through others, form a block; a block goes to one
-    shard, and a larger one than `block` in pairs of parts.
+    Classes that share prefix shingles, directly or through others, form a block; blocks go to shards,
+    and one larger than `block` in pairs of parts, each pair a shard of its own (below zero).
     """
     smallest = F.ceil(F.lit(percent) * F.col("n") / 100)
     prefix = F.slice("tokens", 1, (F.size("tokens") - smallest + 1).cast("int"))
@@ -272,9 +272,15 @@ def searched(rest: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
     shards = max(2 * int(rest.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // SHARD))
     parts = F.ceil(F.col("m") / block)
     own = F.pmod(F.xxhash64("node"), parts)
-    dealt = roots.join(size, "root").select("root", "node", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("other"))
-    where = F.pmod(F.xxhash64("root", F.least("own", "other"), F.greatest("own", "other")), F.lit(shards))
-    members = dealt.select(F.col("node").alias("number"), where.alias("shard")).distinct().join(rest, "number")
+    dealt = roots.join(size, "root").select("root", "node", "m", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("other"))
+    pair = -1 - F.shiftrightunsigned(F.xxhash64("root", F.least("own", "other"), F.greatest("own", "other")), 1)
+    where = F.when(F.col("m") > block, pair).otherwise(F.pmod(F.xxhash64("root"), F.lit(shards)))
+    return dealt.select(F.col("node").alias("number"), where.alias("shard")).distinct().join(rest, "number")
+
+
+def searched(rest: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) between classes of different clusters, by T-occurrence search in shards."""
+    members = dealt_classes(rest, percent, block)
     return members.groupBy("shard").applyInArrow(_search_shard(percent), "a long, b long")
 
 

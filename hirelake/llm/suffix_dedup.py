@@ -12,13 +12,13 @@ document that comes before, or earlier in the same one. Strings never cross docu
 4. What is left, different contexts of one fingerprint, is dealt to shards. Each shard is cut into
    parts; each part gets a suffix array (Larsson-Sadakane refinement: groups of equal prefixes are
    split by the rank of what follows, doubling the compared length) and common
-   prefixes (Kasai), and the parts' sorted strings are merged by binary search. A fingerprint with
-   more than `block` contexts is dealt in pairs of blocks, so no shard grows with it.
+   prefixes (Kasai), and the parts' sorted strings are merged by binary search. The strings of a
+   fingerprint with more than `block` contexts meet by their hashes instead, so no shard grows with it.
 
 Defined cases: a null text is empty; texts under the span lose nothing. Keys are integers; a null
 key comes last. Rows that repeat a key and text are one document, each with its own result row;
 different texts of one key come in a fixed order of their own. Fingerprints, contexts and texts are
-compared by hashes (64, 64 and 128 bits). Other columns are ignored.
+compared by hashes (64, 64 and 128 bits), strings of a hot fingerprint by 64 bits and that. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ SPAN = 100
 GRAM = 32
 #: Bytes of contexts in a shard and in a part of it, about.
 SHARD_BYTES, PART_BYTES = 2 << 20, 1 << 20
-#: Contexts of one fingerprint that meet in one shard; more are dealt in pairs of blocks.
+#: Contexts of one fingerprint that meet in one shard; the strings of more meet by hashes.
 BLOCK = 4000
 _LAST = (1 << 63) - 1
 _PARTITIONS = "spark.sql.shuffle.partitions"
@@ -310,17 +310,49 @@ def _rows(documents: DataFrame, key: str, text: str) -> DataFrame:
     return documents.select(F.col(key).alias("key"), o.alias("o"), digest.alias("digest"), body.alias("text")).withColumn("id", F.xxhash64("o", "digest"))
 
 
-def dealt_contexts(firsts: DataFrame, block: int, shard_bytes: int) -> DataFrame:
-    """shard, id, a and e of the contexts whose fingerprint has several."""
+def dealt_contexts(firsts: DataFrame, block: int, shard_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """shard, id, a and e of the contexts whose fingerprint has several, each once; fp, id, a and e where it has more than `block`."""
     many = firsts.groupBy("fp").agg(F.count("*").alias("m")).where(F.col("m") > 1)
     several = firsts.join(many, "fp")
-    total = several.agg(F.coalesce(F.sum(F.col("e") - F.col("a")), F.lit(0))).first()[0]
+    few = several.where(F.col("m") <= block)
+    total = few.agg(F.coalesce(F.sum(F.col("e") - F.col("a")), F.lit(0))).first()[0]
     shards = max(1, -(-total // shard_bytes))
-    blocks = F.ceil(F.col("m") / block)
-    own = F.pmod(F.xxhash64("same"), blocks)
-    dealt = several.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    where = F.pmod(F.xxhash64("fp", F.least("own", "other"), F.greatest("own", "other")), F.lit(shards))
-    return dealt.select(where.alias("shard"), "id", "a", "e")
+    return few.select(F.pmod(F.xxhash64("fp"), F.lit(shards)).alias("shard"), "id", "a", "e"), several.where(F.col("m") > block).select("fp", "id", "a", "e")
+
+
+def _strings(span: int):
+    """Fingerprint and hash of each string in the contexts wanted of each text."""
+
+    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, offsets = tx.buffers(batch.column("text"))
+            wanted, o, ids = batch.column("wanted"), np.asarray(batch.column("o")), np.asarray(batch.column("id"))
+            for low, high in tx.slices(offsets):
+                own = wanted.slice(low, high - low)
+                row = np.repeat(np.arange(low, high), np.asarray(own.value_lengths(), dtype=np.int64))
+                fp, a, e = (np.asarray(own.flatten().field(n)) for n in ("fp", "a", "e"))
+                many = e - a - span + 1
+                s = np.repeat(a, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                row, fp = np.repeat(row, many), np.repeat(fp, many)
+                at = offsets[row] - offsets[low] + s
+                h = tx.word_hashes(raw[offsets[low] : offsets[high]], at, at + span).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (fp, h, o[row], ids[row], s)], names=["fp", "h", "o", "id", "s"])
+
+    return strings
+
+
+def hot_ranges(texts: DataFrame, hot: DataFrame, span: int) -> DataFrame:
+    """id, s and e of the strings of hot fingerprints that start earlier.
+
+    Strings meet by fingerprint and hash, so only equal ones do, however many contexts there are;
+    a common string is reduced to its first place before it meets its copies.
+    """
+    wanted = hot.groupBy("id").agg(F.collect_set(F.struct("fp", "a", "e")).alias("wanted"))
+    strings = texts.select("id", "o", "text").join(wanted, "id").mapInArrow(_strings(span), "fp long, h long, o long, id long, s long")
+    strings = written(strings, "strings")
+    first = strings.groupBy("fp", "h").agg(F.min(F.struct("o", "id", "s")).alias("f"), F.count("*").alias("n")).where(F.col("n") > 1)
+    later = strings.join(first, ["fp", "h"]).where(F.struct("o", "id", "s") != F.col("f"))
+    return later.select("id", "s", (F.col("s") + span).alias("e"))
 
 
 def candidates(rows: DataFrame, facts: DataFrame, span: int, gram: int) -> DataFrame:
@@ -357,9 +389,11 @@ def dedup(
     texts = candidates(rows, facts, span, gram)
     seen = texts.select("id", "o", "text", "places").mapInArrow(_occurrences(span, gram), _OCCURRENCE)
     firsts = written(seen.groupBy("fp", "same").agg(F.min(F.struct("o", "id", "a", "e")).alias("f")).select("fp", "same", "f.id", "f.a", "f.e"), "firsts")
-    wanted = dealt_contexts(firsts, block, shard_bytes).groupBy("id").agg(F.collect_set(F.struct("shard", "a", "e")).alias("wanted"))
+    few, hot = dealt_contexts(firsts, block, shard_bytes)
+    wanted = few.groupBy("id").agg(F.collect_set(F.struct("shard", "a", "e")).alias("wanted"))
     contexts = texts.select("id", "o", "text").join(wanted, "id").mapInArrow(_contexts, "shard long, o long, id long, a long, context binary")
     parts = contexts.groupBy("shard").applyInArrow(_resolve(span, part_bytes), "id long, s long, e long")
+    parts = parts.unionByName(hot_ranges(texts, hot, span))
     own = parts.groupBy("id").agg(F.collect_list(F.struct("s", "e")).alias("ranges"))
     first_places = firsts.groupBy("id").agg(F.collect_list("a").alias("firsts"))
     joined = texts.select("id", "text", "places").join(first_places, "id", "left").join(own, "id", "left")

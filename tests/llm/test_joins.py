@@ -56,6 +56,15 @@ def test_search_in_parts(spark):
     assert whole and closed(whole) == closed(parts)
 
 
+def test_parts_of_a_block_are_shards(spark):
+    """However many pairs of parts a block has, no shard gets more than one."""
+    r = random.Random(8)
+    rest = [(i, i, 2, [7, 1000 + i]) for i in r.sample(range(10_000), 400)]
+    rest = spark.createDataFrame(rest, "number long, label long, n long, tokens array<long>")
+    sizes = [x["count"] for x in ngram_join.dealt_classes(rest, 75, 20).groupBy("shard").count().collect()]
+    assert len(sizes) == 20 * 21 // 2 and max(sizes) < 100
+
+
 def test_divide_skip():
     r = random.Random(5)
     for _ in range(200):
@@ -127,6 +136,13 @@ def test_suffix_dedup_repeated_rows(spark):
     assert {(r.doc_id, (r.n_bytes, r.n, len(r.spans), r.kept_sha256)) for r in found} == set(want.items())
 
 
+def test_contexts_are_dealt_once(spark):
+    """Contexts of a hot fingerprint stay out of the shards, and the others enter one each."""
+    firsts = spark.createDataFrame([(fp, k, 100 * fp + k, 0, 130) for fp, m in ((1, 50), (2, 4), (3, 1)) for k in range(m)], "fp long, same long, id long, a long, e long")
+    few, hot = suffix_dedup.dealt_contexts(firsts, 10, 400)
+    assert sorted(x.id for x in few.collect()) == [200, 201, 202, 203] and sorted(x.id for x in hot.collect()) == list(range(100, 150))
+
+
 def test_passed_on_entries_spread():
     """What repeats within a batch doesn't meet in one group, however small the ids are."""
     hashes, rows_of = np.repeat(np.arange(50, dtype=np.uint64), 2), np.arange(100) % 10
