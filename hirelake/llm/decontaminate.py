@@ -7,7 +7,7 @@ length bounds the end; the words between are then compared one by one.
 
 Defined cases: a null text has no words; an item without words has no window; a null item id
 marks words as hit but isn't listed; repeated item ids count once; repeated documents each get
-their own row. Word hashes have 64 bits. Other columns are ignored.
+their own row. Word hashes have 64 bits. Other columns are ignored, or pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,8 +18,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from hirelake.llm import text as tx
+from hirelake.llm.shared import written
 
 WINDOW = 10
 #: Benchmark text that is broadcast at once, in bytes; a larger benchmark is joined in blocks.
@@ -38,16 +40,16 @@ def words_of(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarra
 
 def item_windows(ids: list, texts: list, size: int) -> tuple[np.ndarray, list]:
     """The windows as rows of word hashes, padded with 0, and the item of each."""
-    rows, items = [], []
-    for _, n, hashes, bounds in words_of(pa.array(texts, pa.large_string())):
-        for k in range(n):
-            own = hashes[bounds[k] : bounds[k + 1]]
-            for i in range(max(1, len(own) - size + 1) if len(own) else 0):
-                window = np.zeros(size, np.uint64)
-                window[: len(own[i : i + size])] = own[i : i + size]
-                rows.append(window)
-                items.append(ids[k])
-    return (np.array(rows) if rows else np.zeros((0, size), np.uint64)), items
+    tables, items = [np.zeros((0, size), np.uint64)], []
+    for first, n, hashes, bounds in words_of(pa.array(texts, pa.large_string())):
+        own = np.diff(bounds)
+        many = np.where(own > 0, np.maximum(own - size + 1, 1), 0)
+        which = np.repeat(np.arange(n), many)
+        start = bounds[which] + np.arange(len(which)) - np.repeat(np.cumsum(many) - many, many)
+        inside = np.arange(size) < np.minimum(own[which], size)[:, None]
+        tables.append(np.where(inside, hashes[np.minimum(start[:, None] + np.arange(size), max(len(hashes) - 1, 0))] if len(hashes) else np.uint64(0), np.uint64(0)))
+        items += [ids[first + k] for k in which.tolist()]
+    return np.concatenate(tables), items
 
 
 def word_counts(documents: DataFrame, text: str, vocabulary: np.ndarray) -> np.ndarray:
@@ -73,8 +75,10 @@ def word_counts(documents: DataFrame, text: str, vocabulary: np.ndarray) -> np.n
 class Index:
     """Windows by their rarest word."""
 
-    def __init__(self, table: np.ndarray, items: list, counts: dict[int, int]) -> None:
-        used = np.array([[counts.get(int(x), 0) if x else np.iinfo(np.int64).max for x in w] for w in table])
+    def __init__(self, table: np.ndarray, items: list, vocabulary: np.ndarray, counts: np.ndarray) -> None:
+        """vocabulary: the words of the table, sorted; counts: how often each occurs in the texts."""
+        at = np.searchsorted(vocabulary, table)
+        used = np.where(table > 0, np.append(counts, 0)[at], np.iinfo(np.int64).max)
         self.offset = used.argmin(axis=1) if len(table) else np.zeros(0, np.int64)
         self.length = (table != 0).sum(axis=1)
         prefix = table[np.arange(len(table)), self.offset]
@@ -116,11 +120,17 @@ def _merge(starts: np.ndarray, ends: np.ndarray) -> tuple[list, list]:
     return starts[new].tolist(), ends[np.append(np.flatnonzero(new)[1:] - 1, len(ends) - 1)].tolist()
 
 
-def _find(index, column: str):
+_KINDS = {"n_words": pa.int64(), "starts": pa.list_(pa.int32()), "ends": pa.list_(pa.int32()), "items": pa.list_(pa.string())}
+_SPANS = StructType([StructField("starts", ArrayType(IntegerType())), StructField("ends", ArrayType(IntegerType())), StructField("items", ArrayType(StringType()))])
+
+
+def _find(index, hits_only: bool):
+    """The first column with the words, spans and items of the second, a text; hits_only: of texts with any."""
+
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep, out = [n for n in batch.schema.names if n != column], {k: [] for k in ("n_words", "starts", "ends", "items")}
-            for _, n, hashes, bounds in words_of(batch.column(column)):
+            out: dict[str, list] = {k: [] for k in _KINDS}
+            for _, n, hashes, bounds in words_of(batch.column(1)):
                 start, window = index.value.occurrences(hashes, bounds)
                 row = np.searchsorted(bounds, start, side="right") - 1
                 order = np.argsort(row, kind="stable")
@@ -128,87 +138,72 @@ def _find(index, column: str):
                 cut = np.searchsorted(row, np.arange(n + 1))
                 for k in range(n):
                     s, w = start[cut[k] : cut[k + 1]], window[cut[k] : cut[k + 1]]
-                    if len(s):
-                        a, b = _merge(s - bounds[k], s - bounds[k] + index.value.length[w])
-                    else:
-                        a, b = [], []
+                    a, b = _merge(s - bounds[k], s - bounds[k] + index.value.length[w]) if len(s) else ([], [])
                     out["starts"].append(a)
                     out["ends"].append(b)
                     out["items"].append(sorted({index.value.items[i] for i in set(w.tolist())} - {None}))
                 out["n_words"] += np.diff(bounds).tolist()
-            kinds = {"n_words": pa.int64(), "starts": pa.list_(pa.int32()), "ends": pa.list_(pa.int32()), "items": pa.list_(pa.string())}
-            arrays = [batch.column(n) for n in keep] + [pa.array(out[k], t) for k, t in kinds.items()]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*keep, *kinds])
+            found = pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(out[k], t) for k, t in _KINDS.items())], names=["row", *_KINDS])
+            yield found.filter(pa.array([bool(x) for x in out["starts"]], pa.bool_())) if hits_only else found
 
     return find
 
 
-def _kind(df: DataFrame, name: str) -> str:
-    return df.schema[name].dataType.simpleString()
+def _index(documents: DataFrame, text: str, items: DataFrame, size: int) -> Index:
+    """Of one block of the benchmark, which the driver holds."""
+    rows = items.collect()  # a block of the benchmark, of block_bytes on average
+    table, ids = item_windows([r.i for r in rows], [r.t for r in rows], size)
+    vocabulary = np.unique(table[table != 0])
+    counts = word_counts(documents, text, vocabulary) if len(vocabulary) else np.zeros(0, np.int64)
+    return Index(table, ids, vocabulary, counts)
 
 
-def find(
-    documents: DataFrame,
-    benchmark: DataFrame,
-    key: str = "doc_id",
-    text: str = "text",
-    item: str = "item_id",
-    item_text: str = "text",
-    carry: tuple[str, ...] = (),
-    size: int = WINDOW,
-    block_bytes: int = BLOCK_BYTES,
-) -> DataFrame:
-    """key and the columns in carry (text among them, if wanted) with n_words, the hit word spans (starts,
-    ends) and items."""
+def found_rows(documents: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", size: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """row (a struct of all columns) with n_words, the hit word spans (starts, ends) and items.
+
+    A benchmark of several blocks is searched block by block over numbered rows, written once; only
+    what is found is shuffled, by the row's number.
+    """
     items = benchmark.select(F.col(item).cast("string").alias("i"), F.coalesce(item_text, F.lit("")).alias("t"))
     total = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
     blocks = max(1, -(-total // block_bytes))
-    cols = list(dict.fromkeys([key, *carry]))
-    source = documents.select(*cols, F.col(text).alias("__text"))
-    parts = []
-    for b in range(blocks):
-        own = items if blocks == 1 else items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b)
-        rows = own.collect()  # a block of the benchmark, of block_bytes on average
-        table, ids = item_windows([r.i for r in rows], [r.t for r in rows], size)
-        vocabulary = np.unique(table[table != 0])
-        counts = word_counts(documents, text, vocabulary) if len(vocabulary) else np.zeros(0, np.int64)
-        index = Index(table, ids, dict(zip(vocabulary.tolist(), counts.tolist(), strict=True)))
-        kinds = ", ".join(f"`{c}` {_kind(source, c)}" for c in cols)
-        schema = f"{kinds}, n_words long, starts array<int>, ends array<int>, items array<string>"
-        parts.append(source.mapInArrow(_find(documents.sparkSession.sparkContext.broadcast(index), "__text"), schema))
+    share = documents.sparkSession.sparkContext.broadcast
+    source = documents.select(F.struct(*(f"`{c}`" for c in documents.columns)).alias("row"), F.col(text).alias("text"))
+    whole = StructType([source.schema["row"], StructField("n_words", LongType()), *_SPANS.fields])
     if blocks == 1:
-        return parts[0]
-    return _over_blocks(parts, cols)
-
-
-def _over_blocks(parts: list[DataFrame], cols: list[str]) -> DataFrame:
-    """Spans and items of a row over all blocks. Equal rows are counted and dealt out again."""
-    marked = [p.withColumn("__block", F.lit(b)) for b, p in enumerate(parts)]
-    rows = marked[0]
-    for more in marked[1:]:
-        rows = rows.unionByName(more)
-    own = [*cols, "n_words", "starts", "ends", "items", "__block"]
-    once = rows.groupBy(*own).agg(F.count("*").alias("copies"))
-    whole = once.groupBy(*cols, "n_words").agg(
-        F.max("copies").alias("copies"),
-        F.flatten(F.collect_list("starts")).alias("starts"),
-        F.flatten(F.collect_list("ends")).alias("ends"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+        return source.mapInArrow(_find(share(_index(documents, text, items, size)), False), whole)
+    numbered = written(source.select(F.monotonically_increasing_id().alias("n"), "row", "text"), "numbered")
+    parts = None
+    for b in range(blocks):
+        index = _index(documents, text, items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b), size)
+        hits = numbered.select(F.col("n").alias("row"), "text").mapInArrow(_find(share(index), True), StructType([StructField("row", LongType()), *whole.fields[1:]]))
+        parts = hits if parts is None else parts.unionByName(hits)
+    parts = parts.groupBy("row").agg(
+        F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")
     )
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans = [
-                _merge(np.array(s), np.array(e)) if s else ([], [])
-                for s, e in zip(batch.column("starts").to_pylist(), batch.column("ends").to_pylist(), strict=True)
-            ]
-            t = pa.Table.from_batches([batch])
-            for k, name in enumerate(("starts", "ends")):
-                t = t.set_column(t.schema.get_field_index(name), name, pa.array([x[k] for x in spans], pa.list_(pa.int32())))
-            yield from t.to_batches()
+            spans = [_merge(np.array(s), np.array(e)) for s, e in zip(batch.column("starts").to_pylist(), batch.column("ends").to_pylist(), strict=True)]
+            columns = [batch.column("row"), *(pa.array([x[k] for x in spans], pa.list_(pa.int32())) for k in range(2)), batch.column("items")]
+            yield pa.RecordBatch.from_arrays(columns, names=["row", *_SPANS.names])
+
+    merged = parts.mapInArrow(merge, StructType([StructField("row", LongType()), *_SPANS.fields])).withColumnRenamed("row", "n")
+    counted = numbered.select("n", "row", "text").mapInArrow(_counted, StructType([StructField("n", LongType()), source.schema["row"], StructField("n_words", LongType())]))
+    none = [F.coalesce(x.name, F.array().cast(x.dataType)).alias(x.name) for x in _SPANS.fields]
+    return counted.join(merged, "n", "left").select("row", "n_words", *none)
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        many = [int(x) for _, _, _, bounds in words_of(batch.column(2)) for x in np.diff(bounds)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(many, pa.int64())], names=["n", "row", "n_words"])
+
 
-    merged = whole.mapInArrow(merge, whole.schema)
-    return merged.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("copy", "copies")
+def find(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """key with n_words, the hit word spans (starts, ends) and items of each row."""
+    own = documents.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    return found_rows(own, benchmark, "text", **options).select(F.col("row.key").alias(key), "n_words", *_SPANS.names)
 
 
 def n_hit(starts: str = "starts", ends: str = "ends"):
@@ -217,9 +212,8 @@ def n_hit(starts: str = "starts", ends: str = "ends"):
 
 def clean(documents: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
     """The documents without any hit word, with all their columns."""
-    cols = documents.columns
-    found = find(documents, benchmark, key=cols[0], text=text, carry=tuple(cols), **options)
-    return found.where(F.size("starts") == 0).select(*cols)
+    found = found_rows(documents, benchmark, text, **options)
+    return found.where(F.size("starts") == 0).select("row.*")
 
 
 def items_digest(items: list) -> str:

@@ -186,9 +186,8 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     def number(kind: str) -> Column:
         return F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
-    return found.select(
-        "doc_id", *map(number, secrets.KINDS), F.sha2(secrets.joined(base), 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans")
-    )
+    kinds = [number(kind) for kind in (*secrets.KINDS, secrets.ADDED)]
+    return found.select("doc_id", *kinds, F.sha2(secrets.joined(base), 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"))
 
 
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

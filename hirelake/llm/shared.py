@@ -1,4 +1,4 @@
-"""The folder that driver and executors share."""
+"""The folder that driver and executors share, tables written there, and names that don't clash."""
 
 from __future__ import annotations
 
@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """The folder named by spark.checkpoint.dir. Where that is unset, a local session gets a temporary one; a cluster's raises."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="hirelake-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -25,15 +28,44 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """The rows of df, written as a table in the shared folder and read again; cuts the lineage."""
     folder = new_folder(df.sparkSession, name)
     df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+    out = df.sparkSession.read.schema(df.schema).parquet(folder)
+    out.written_to = folder
+    return out
 
 
-#: Rows of an Arrow batch of texts: a batch and its copies are what a Python worker holds at once.
-BATCH_ROWS = 1000
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+def delete(spark: SparkSession, folder: str) -> None:
+    """Removes a folder from the store that it is in."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes tables that `written` made, once all that reads them has been written itself."""
+    for table in tables:
+        delete(table.sparkSession, table.written_to)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as no column of df has, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
+#: Rows and bytes of an Arrow batch of texts: a batch and its copies are what a Python worker holds at once.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20}
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Rows of text are large, so Arrow batches get fewer of them; a lower setting stays."""
-    if not 0 < int(spark.conf.get(_BATCH)) <= BATCH_ROWS:
-        spark.conf.set(_BATCH, BATCH_ROWS)
+    """Rows of text are large, so Arrow batches get fewer of them; lower settings stay.
+
+    The setting stays with the session, since Spark reads it when a result is at last asked for.
+    Operators give the same results at any setting.
+    """
+    for name, most in BATCH.items():
+        if not 0 < int(str(spark.conf.get(name)).rstrip("bB")) <= most:
+            spark.conf.set(name, most)

@@ -29,8 +29,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from hirelake.llm import text as tx
+from hirelake.llm.shared import fresh
 
 DECAY = 0.6
 #: Letters of a triple lie within so many bytes of the first.
@@ -319,10 +321,9 @@ def train(
 
 
 def score(documents: DataFrame, model: Model | None, text: str = "text", name: str = "score") -> DataFrame:
-    """All columns, with the score of each whole text."""
-    given = documents.drop(name) if name in documents.columns else documents
+    """All columns, with the score of each whole text under the name; an own column of that name is replaced."""
+    given = documents.drop(name)
     shared = documents.sparkSession.sparkContext.broadcast(model)
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -352,11 +353,10 @@ def score(documents: DataFrame, model: Model | None, text: str = "text", name: s
             arrays = [*(batch.column(n) for n in batch.schema.names), pa.array(out, pa.float64())]
             yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names, name])
 
-    return given.mapInArrow(run, f"{kinds}, `{name}` double")
+    return given.mapInArrow(run, StructType([*given.schema.fields, StructField(name, DoubleType())]))
 
 
 def clean(documents: DataFrame, model: Model | None, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows whose text scores under the threshold, with their columns."""
-    cols = documents.columns
-    name = "__toxicity"
-    return score(documents, model, text, name).where(F.col(name) < threshold).select(*cols)
+    name = fresh(documents, "toxicity")[0]
+    return score(documents, model, text, name).where(F.col(name) < threshold).drop(name)

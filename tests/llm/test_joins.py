@@ -183,4 +183,8 @@ def test_decontamination(spark, block_bytes):
     kept = decontaminate.clean(rows(spark, docs), bench, block_bytes=block_bytes)
     assert sorted(x.doc_id for x in kept.collect()) == sorted(d for d, x in brute.contaminated(docs, items).items() if not x[1])
     assert decontaminate.find(rows(spark, []), bench).count() == 0
+    clash = spark.createDataFrame([(d, t, i, "s", "e", "i", 1, "r", "k") for i, (d, t) in enumerate([*docs, docs[0]])], "doc_id long, text string, n_words int, starts string, ends string, items string, n int, `row` string, key string")
+    kept = decontaminate.clean(clash, bench, block_bytes=block_bytes)
+    want = brute.contaminated(docs, items)
+    assert kept.columns == clash.columns and sorted(x.n_words for x in kept.collect()) == [i for i, (d, _) in enumerate([*docs, docs[0]]) if not want[d][1]]
     assert decontaminate.find(rows(spark, docs), bench.limit(0)).where("size(starts) > 0").count() == 0
