@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from hirelake.llm import text as tx
-from hirelake.llm.shared import written
+from hirelake.llm.shared import discard, written
 
 #: Fixed values of the contract: kind, pattern, least length (of group 2 for assign).
 ASSIGN = re.compile(
@@ -527,6 +527,7 @@ def train(documents: DataFrame, text: str = "text", most: int = TRAIN_LINES, doc
     rows = []
     for sort in (_MATCHED, _DIGITS, _PLAIN):
         rows += lines.where(F.col("sort") == sort).dropDuplicates(["line"]).orderBy("turn", "line").limit(most).collect()  # bounded by most
+    discard(lines)
     return fit([(r.sort, r.file, r.line, list(zip(r.s, r.e, strict=True))) for r in rows], kinds)
 
 

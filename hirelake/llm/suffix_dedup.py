@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from hirelake.llm import repeats, text as tx
-from hirelake.llm.shared import new_folder, written
+from hirelake.llm.shared import discard, new_folder, written
 
 SPAN = 100
 GRAM = 32
@@ -341,8 +341,8 @@ def _strings(span: int):
     return strings
 
 
-def hot_ranges(texts: DataFrame, hot: DataFrame, span: int) -> DataFrame:
-    """id, s and e of the strings of hot fingerprints that start earlier.
+def hot_ranges(texts: DataFrame, hot: DataFrame, span: int) -> tuple[DataFrame, DataFrame]:
+    """id, s and e of the strings of hot fingerprints that start earlier, and the table they are read from.
 
     Strings meet by fingerprint and hash, so only equal ones do, however many contexts there are;
     a common string is reduced to its first place before it meets its copies.
@@ -352,7 +352,7 @@ def hot_ranges(texts: DataFrame, hot: DataFrame, span: int) -> DataFrame:
     strings = written(strings, "strings")
     first = strings.groupBy("fp", "h").agg(F.min(F.struct("o", "id", "s")).alias("f"), F.count("*").alias("n")).where(F.col("n") > 1)
     later = strings.join(first, ["fp", "h"]).where(F.struct("o", "id", "s") != F.col("f"))
-    return later.select("id", "s", (F.col("s") + span).alias("e"))
+    return later.select("id", "s", (F.col("s") + span).alias("e")), strings
 
 
 def candidates(rows: DataFrame, facts: DataFrame, span: int, gram: int) -> DataFrame:
@@ -369,14 +369,16 @@ def candidates(rows: DataFrame, facts: DataFrame, span: int, gram: int) -> DataF
     places = found.join(first, found["id"] == first["named"]).select(F.col("first").alias("id"), "places")
     n = max(int(spark.conf.get(_PARTITIONS)), -(-size // (32 << 20)))
     texts = rows.select("id", "o", "text").dropDuplicates(["id"]).join(places, "id")
-    name = f"candidates_{uuid.uuid4().hex}"
+    name, folder = f"candidates_{uuid.uuid4().hex}", new_folder(spark, "candidates")
     before = spark.conf.get(_PARTITIONS)
     spark.conf.set(_PARTITIONS, n)  # the shuffle that drops repeated rows deals them to their buckets
     try:
-        texts.write.bucketBy(n, "id").option("path", new_folder(spark, "candidates")).saveAsTable(name)
+        texts.write.bucketBy(n, "id").option("path", folder).saveAsTable(name)
     finally:
         spark.conf.set(_PARTITIONS, before)
-    return spark.table(name)
+    out = spark.table(name)
+    out.written_to, out.named = folder, name
+    return out
 
 
 def dedup(
@@ -393,11 +395,14 @@ def dedup(
     wanted = few.groupBy("id").agg(F.collect_set(F.struct("shard", "a", "e")).alias("wanted"))
     contexts = texts.select("id", "o", "text").join(wanted, "id").mapInArrow(_contexts, "shard long, o long, id long, a long, context binary")
     parts = contexts.groupBy("shard").applyInArrow(_resolve(span, part_bytes), "id long, s long, e long")
-    parts = parts.unionByName(hot_ranges(texts, hot, span))
+    ranges, *strings = hot_ranges(texts, hot, span)
+    parts = parts.unionByName(ranges)
     own = parts.groupBy("id").agg(F.collect_list(F.struct("s", "e")).alias("ranges"))
     first_places = firsts.groupBy("id").agg(F.collect_list("a").alias("firsts"))
     joined = texts.select("id", "text", "places").join(first_places, "id", "left").join(own, "id", "left")
-    cut = joined.mapInArrow(_cut(span, gram), "id long, spans array<struct<s:long,e:long>>, kept_sha256 string")
+    cut = written(joined.mapInArrow(_cut(span, gram), "id long, spans array<struct<s:long,e:long>>, kept_sha256 string"), "cut")
+    documents.sparkSession.sql(f"DROP TABLE {texts.named}")
+    discard(texts, firsts, *strings)
     first = facts.groupBy("digest").agg(F.min("o").alias("first"))
     copy = (F.col("o") > F.col("first")) & (F.col("n_bytes") >= span)
     whole = F.array(F.struct(F.lit(0).cast("long").alias("s"), F.col("n_bytes").alias("e")))

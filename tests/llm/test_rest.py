@@ -68,7 +68,7 @@ def test_token_counts(spark, block_bytes):
     texts = ["", None, "hello world " * 30, "a", "x" * 500, "é" * 20, "end <|endoftext|> here"]
     docs = with_extra(spark, [(t,) for t in texts], "text string").coalesce(1)
     blocks = token_counts.token_blocks(docs, block_bytes=block_bytes)
-    encode = packing.encoder()
+    encode = packing.encoder(added=False)
     got = [r.n_tokens for r in token_counts.count(blocks).orderBy("start").collect()]
     assert got == [len(encode(t or "")) for t in texts]
     assert token_counts.count(blocks.limit(0)).count() == 0
@@ -77,10 +77,27 @@ def test_token_counts(spark, block_bytes):
 def test_token_counts_without_end(spark):
     ids = lambda *x: np.array(x, "<u2").tobytes()
     blocks = spark.createDataFrame([(0, 0, ids(5, 6)), (0, 1, b""), (0, 2, ids(50256, 50256, 7)), (1, 0, ids(8))], "file int, block long, bytes binary")
-    got = sorted(map(tuple, token_counts.count(blocks).collect()))
+    for run in (1, 2, 4096):
+        got = sorted(map(tuple, token_counts.count(blocks, run=run).collect()))
     assert got == [(0, 0, 2, True), (0, 3, 0, True), (0, 4, 1, False), (1, 0, 1, False)]
 
 
+@pytest.mark.parametrize("block_bytes, run", [(6, 3), (64, 2), (1 << 18, 4096)])
+def test_token_counts_of_flat_files(spark, tmp_path, block_bytes, run):
+    r = np.random.default_rng(3)
+    want = []
+    for name, n in (("a.bin", 500), ("b.bin", 1), ("empty.bin", 0), ("c.bin", 77)):
+        ids = r.choice([5, 6, 50256, 196, 80], size=n, p=[0.4, 0.2, 0.1, 0.2, 0.1])
+        (tmp_path / name).write_bytes(ids.astype("<u2").tobytes())
+        start = 0
+        for k in [*np.flatnonzero(ids == 50256).tolist(), n]:
+            if k > start or k < n:
+                want.append((name, start, k - start, k < n))
+            start = k + 1
+    got = token_counts.count(token_counts.file_blocks(spark, str(tmp_path), block_bytes), run=run).collect()
+    assert sorted((x.file.split("/")[-1], x.start, x.n_tokens, x.ended) for x in got) == sorted(want)
+
+
 def test_warc_round_trip(spark):
     long = "p" * 1000
     pages = [(1, "http://a.b/x", long), (2, "http://a.b/y?q", long), (3, "http://c.d", "small"), (4, "http://c.d/", "small"), (5, None, None), (6, "u", "é" * 600), (7, "z", long), (8, "w", "WARC/1.1\r\n\r\n" * 200)]
@@ -155,14 +172,40 @@ def test_packing(spark):
     assert packing.pack(packing.pieces(spark.createDataFrame([], "doc_id long, text string"))).count() == 0
 
 
-def test_ranks_equal_merges():
+def test_ranks_equal_merges(spark):
+    """The ids are those of the merges file with its defaults, the added token's text among them."""
     import public_tokenizers
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path(packing.VOCABULARY))
-    t.encode_special_tokens = True
-    for text in ["Hello, wörld! 123", "  x\n\n y\t", "<|endoftext|>", "日本語 text", "a" * 100, "can't WON'T"]:
-        assert packing.encoder()(text).tolist() == t.encode(text, add_special_tokens=False).ids
+    texts = ["Hello, wörld! 123", "  x\n\n y\t", "<|endoftext|>", "a <|endoftext|> b<|endoftext|><|endoftext|>", "<|endoftext", "日本語 text עברית हिन्दी", "a" * 100, "can't WON'T", "é" * 3000, "\u2028 \xa0\x00"]
+    texts += [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
+    r = random.Random(2)
+    texts += ["".join(chr(r.choice([32, 10, 39, r.randrange(32, 127), r.randrange(160, 0x2FFF), r.randrange(0x1F300, 0x1F6FF)])) for _ in range(60)) for _ in range(300)]
+    for text, want in zip(texts, t.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert packing.encoder()(text).tolist() == want.ids
+    cut = packing.pieces(spark.createDataFrame([(1, "<|endoftext|> x")], "doc_id long, text string")).first()
+    assert cut.ids == [50256, *t.encode(" x", add_special_tokens=False).ids, 0]
+
+
+def test_sum_of_squares_is_least():
+    """Each piece goes where the sum of squared counts of open bins by gap becomes smallest, a new bin among the choices."""
+    r = np.random.default_rng(6)
+    for _ in range(60):
+        lengths = r.integers(1, 13, size=40)
+        bins, offsets = packing.sum_of_squares(lengths, 12)
+        gaps: dict[int, int] = {}
+        for b, o, n in zip(bins.tolist(), offsets.tolist(), lengths.tolist(), strict=True):
+            def total(change, gaps=gaps):
+                after = list({**gaps, **change}.values())
+                return sum(after.count(g) ** 2 for g in range(1, 12))
+
+            choices = {k: total({k: g - n}) for k, g in gaps.items() if g >= n}
+            choices["new"] = total({"new": 12 - n})
+            assert (choices[b] if b in gaps else choices["new"]) == min(choices.values())
+            assert o == 12 - gaps.get(b, 12)
+            gaps[b] = gaps.get(b, 12) - n
+        assert min(gaps.values()) >= 0
 
 
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
