@@ -10,7 +10,7 @@
 4. The rest meets on its rarest shingles (the prefix that every link must touch). In each shard an
    inverted index answers the T-occurrence query of each class: short lists are merged by a heap,
    long ones probed by binary search. Where more than `block` classes meet through each other, they
-   are dealt by shingle and size, and the most frequent of those part by part, so no shard grows with them and none is cut off.
+   are searched part by part, or, if they are very many, by shingle and size, so no shard grows with them and none is cut off.
 
 Words and shingles are compared by 64-bit hashes, shared shingles by 32 bits of them and their
 bucket: a false link needs two texts one shingle short of it that collide (about 1e-7 for a pair).
@@ -40,8 +40,10 @@ SIZE = 5
 PERCENT = 75
 #: Shingles of a shard, about.
 SHARD = 300_000
-#: Classes of a block that meet in one shard; more meet by each prefix shingle and size.
-BLOCK = 500
+#: Classes of a block that meet in one shard; more are searched in pairs of parts.
+BLOCK = 2000
+#: Parts of a block at most; the classes of a larger one meet by each prefix shingle and size.
+PARTS = 16
 #: Rounds of clustering by a least hash.
 ROUNDS = 2
 #: Weight of the merge against the probes when the lists are divided.
@@ -262,38 +264,42 @@ def _bands(n: Column, percent: int) -> Column:
     return F.array(own, own + 1)
 
 
-def dealt_classes(rest: DataFrame, percent: int, block: int) -> DataFrame:
+def _in_pairs(groups: DataFrame, block: int, shards: int) -> DataFrame:
+    """number and shard of the classes of groups (number, key, m): a group of up to `block` in one shard, of more in pairs of parts, each pair a shard of its own (below zero)."""
+    parts = F.ceil(F.col("m") / block)
+    own = F.pmod(F.xxhash64("number"), parts)
+    dealt = groups.select("number", "m", "key", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("other"))
+    pair = -1 - F.shiftrightunsigned(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")), 1)
+    where = F.when(F.col("m") > block, pair).otherwise(F.pmod(F.xxhash64("key"), F.lit(shards)))
+    return dealt.select("number", where.alias("shard"))
+
+
+def dealt_classes(rest: DataFrame, percent: int, block: int, most_parts: int = PARTS) -> DataFrame:
     """shard (and the columns of rest) of the classes that may link to others.
 
-    Classes that share prefix shingles, directly or through others, form a block, and small blocks go
-    to shards whole. The classes of a larger block, which unlike ones chain together, are dealt by
-    prefix shingle and band of size instead: two that link share a shingle and a band. Only where more than `block`
-    classes share both, they are dealt in pairs of parts, each pair a shard of its own (below zero).
+    Classes that share prefix shingles, directly or through others, form a block; blocks go to shards,
+    and one larger than `block` in pairs of parts. Unlike classes may chain into a block of more than
+    `most_parts` parts; those classes are dealt by prefix shingle and band of size instead: two that
+    link share a shingle and a band. So no class is copied more often than it has parts or shingles.
     """
     smallest = F.ceil(F.lit(percent) * F.col("n") / 100)
     prefix = F.slice("tokens", 1, (F.size("tokens") - smallest + 1).cast("int"))
-    meet = written(rest.select("number", "n", F.size("tokens").alias("many"), F.explode(prefix).alias("token")), "prefixes")
+    meet = written(rest.select("number", "n", F.explode(prefix).alias("token")), "prefixes")
     first = meet.groupBy("token").agg(F.min("number").alias("b"), F.count("*").alias("m")).where(F.col("m") > 1).select("token", "b")
     roots = written(components(meet.join(first, "token").select(F.col("number").alias("a"), "b")), "blocks")
     size = roots.groupBy("root").agg(F.count("*").alias("m"))
-    sized = roots.join(size, "root")
+    sized = roots.join(size, "root").select(F.col("node").alias("number"), F.col("root").alias("key"), "m")
     total = rest.agg(F.coalesce(F.sum(F.size("tokens")), F.lit(0))).first()[0]
     shards = max(2 * int(rest.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // SHARD))
-    small = sized.where(F.col("m") <= block).select(F.col("node").alias("number"), F.pmod(F.xxhash64("root"), F.lit(shards)).alias("shard"))
-    large = meet.join(sized.where(F.col("m") > block).select(F.col("node").alias("number")), "number", "left_semi")
-    large = large.select("number", "many", "token", F.explode(_bands(F.col("n"), percent)).alias("band"))
-    sets = written(large.groupBy("token", "band").agg(F.count("*").alias("m"), F.sum("many").alias("load"), F.sum(F.xxhash64("number").cast("decimal(20,0)")).alias("own")).where(F.col("m") > 1), "sets")
-    # shingles with the same classes are one
-    sets = sets.withColumn("key", F.xxhash64("own", "m"))
-    load = sets.groupBy("key").agg(F.max("load").alias("load")).agg(F.coalesce(F.sum("load"), F.lit(0))).first()[0]
-    more = max(shards, -(-load // SHARD))
-    dealt = large.join(sets.select("token", "band", "m", "key"), ["token", "band"]).select("number", "m", "key").distinct()
-    parts = F.ceil(F.col("m") / block)
-    own = F.pmod(F.xxhash64("number"), parts)
-    dealt = dealt.select("number", "m", "key", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("other"))
-    pair = -1 - F.shiftrightunsigned(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")), 1)
-    where = F.when(F.col("m") > block, pair).otherwise(F.lit(shards) + F.pmod(F.col("key"), F.lit(more)))
-    return small.unionByName(dealt.select("number", where.alias("shard")).distinct()).join(rest, "number")
+    dealt = _in_pairs(sized.where(F.col("m") <= block * most_parts), block, shards)
+    chained = sized.where(F.col("m") > block * most_parts).select("number")
+    if not chained.isEmpty():
+        own = meet.join(chained, "number", "left_semi").select("number", "token", F.explode(_bands(F.col("n"), percent)).alias("band"))
+        # shingles with the same classes are one
+        sets = own.groupBy("token", "band").agg(F.count("*").alias("m"), F.sum(F.xxhash64("number").cast("decimal(20,0)")).alias("sum")).where(F.col("m") > 1)
+        groups = own.join(sets.select("token", "band", "m", F.xxhash64("sum", "m").alias("key")), ["token", "band"]).select("number", "key", "m").distinct()
+        dealt = dealt.unionByName(_in_pairs(groups, block, 1 << 62))
+    return dealt.distinct().join(rest, "number")
 
 
 def searched(rest: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:

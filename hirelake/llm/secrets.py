@@ -503,6 +503,12 @@ def fit(rows: list[tuple[int, int, str, list[tuple[int, int]]]], kinds: list[str
     if not rows:
         return None
     every = examples(rows, kinds or list(SECRETS))
+    parts = [_tagged(every[k : k + 500]) for k in range(0, len(every), 500)]
+    return Field().fit(np.concatenate([x for x, _, _ in parts], axis=1), *(np.concatenate([p[k] for p in parts]) for k in (1, 2)))
+
+
+def _tagged(every: list[tuple[str, int, list[tuple[int, int]]]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features, chain beginnings and tags of some training lines."""
     raw, offsets = tx.buffers(pa.array([line for line, _, _ in every], pa.large_string()))
     start, end, row = tokens(raw, offsets)
     x, new = features(raw, offsets, start, end, row, np.array([f for _, f, _ in every], np.int64))
@@ -516,7 +522,7 @@ def fit(rows: list[tuple[int, int, str, list[tuple[int, int]]]], kinds: list[str
             tags[own] = INSIDE
             tags[own[:1]] = BEGIN
     tags[new & (tags == INSIDE)] = BEGIN
-    return Field().fit(x, new, tags)
+    return x, new, tags
 
 
 def train(documents: DataFrame, text: str = "text", most: int = TRAIN_LINES, documents_most: int = TRAIN_DOCUMENTS, kinds: list[str] | None = None) -> Field | None:
@@ -539,7 +545,7 @@ def _found(texts: list, column: pa.Array, field: Field | None) -> list[list[tupl
     base = [[(s, k, e) for s, k, e, _ in base_spans(t)] if t else [] for t in texts]
     if field is not None:
         raw, offsets = tx.buffers(column)
-        for first, last in tx.slices(offsets):
+        for first, last in tx.slices(offsets, 1 << 18):
             own = offsets[first : last + 1]
             part = raw[own[0] : own[-1]]
             row, start, end = field_spans(part, own - own[0], field)

@@ -232,8 +232,8 @@ def fit(texts: list[str], toxic: np.ndarray, share: float, n_landmarks: int = LA
     """The model from some texts and their labels; share: of toxic rows among all labelled ones."""
     if not toxic.any():
         return None
-    sentences = [[s.lower().split() for s in re.split(r"[.!?\n]", t)] for t in texts]
-    sentences = [[s for s in x if s] for x in sentences]
+    words: dict[str, str] = {}  # one object for each word, however often it occurs
+    sentences = [[[words.setdefault(w, w) for w in s.lower().split()] for s in re.split(r"[.!?\n]", t) if s.strip()] for t in texts]
     bad, good = Counter(), Counter()
     for parts, label in zip(sentences, toxic, strict=True):
         (bad if label else good).update(set().union(*parts))
@@ -243,7 +243,9 @@ def fit(texts: list[str], toxic: np.ndarray, share: float, n_landmarks: int = LA
     odds = np.array([np.log((bad[w] + 0.1) / n_bad) - np.log((good[w] + 0.1) / n_good) for w in every])
     ranked = sorted((w for w in bad if len(w) > 2 and bad[w] > 1), key=lambda w: (-odds[place[w]] * bad[w] ** 0.5, w))[: n_landmarks * 4]
     common = [w for w, _ in sorted(good.items(), key=lambda x: (-x[1], x[0])) if len(w) > 2 and odds[place[w]] < 1]
-    near = vectors(ranked) @ vectors(ranked).T if ranked else np.zeros((0, 0))
+    own = vectors(ranked)
+    near = own @ own.T
+    del own
     telling: list[int] = []
     for i in range(len(ranked)):  # each unlike the ones before it
         if len(telling) < n_landmarks * 2 // 3 and (not telling or near[i, telling].max() < 0.8):

@@ -57,20 +57,21 @@ def test_search_in_parts(spark):
 
 
 def test_parts_of_a_block_are_shards(spark):
-    """However many pairs of parts a hot shingle has, no shard gets more than one."""
+    """However many pairs of parts a block or a hot shingle has, no shard gets more than one."""
     r = random.Random(8)
     rest = [(i, i, 2, [7, 1000 + i]) for i in r.sample(range(10_000), 400)]
     rest = spark.createDataFrame(rest, "number long, label long, n long, tokens array<long>")
-    sizes = [x["count"] for x in ngram_join.dealt_classes(rest, 75, 20).groupBy("shard").count().collect()]
-    assert len(sizes) == 20 * 21 // 2 and max(sizes) < 100
+    for most_parts in (100, 1):
+        sizes = [x["count"] for x in ngram_join.dealt_classes(rest, 75, 20, most_parts).groupBy("shard").count().collect()]
+        assert len(sizes) == 20 * 21 // 2 and max(sizes) < 100
 
 
 def test_chained_block_stays_apart(spark):
     """Classes that chain into one block by shingles of two each are no common shard."""
     rest = [(i, i, 2, [i, i + 1]) for i in range(300)]
     rest = spark.createDataFrame(rest, "number long, label long, n long, tokens array<long>")
-    dealt = ngram_join.dealt_classes(rest, 50, 20).groupBy("shard").agg(F.collect_set("number").alias("own")).collect()
-    assert max(len(x.own) for x in dealt) < 150
+    dealt = ngram_join.dealt_classes(rest, 50, 20, 2).groupBy("shard").agg(F.collect_set("number").alias("own")).collect()
+    assert max(len(x.own) for x in dealt) == 2
     together = {(a, a + 1) for x in dealt for a in x.own if a + 1 in x.own}
     assert together == {(i, i + 1) for i in range(299)}
 
