@@ -105,3 +105,16 @@ def coherence(text: Column, scores: dict[str, Column], words: dict[str, tuple[st
             hit = hit | F.contains(low, F.lit(w))
         out = F.when(hit & (scores[axis] >= least), axis).otherwise(out)
     return out
+
+
+def keyword_coverage(rows: DataFrame, wanted: DataFrame, row: str, item: str, word: str, salts: int = 8) -> DataFrame:
+    """Of each row and item that share words: how many, and which part of the item's words.
+
+    Both sides hold distinct words. The words that items ask for are few against the rows', so they
+    are copied to each salt and a common word's rows are dealt over the salts.
+    """
+    total = wanted.groupBy(item).agg(F.count("*").alias("words"))
+    each = wanted.join(total, item).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    dealt = rows.withColumn("salt", F.pmod(F.xxhash64(row), F.lit(salts)).cast("int"))
+    shared = dealt.join(each, [word, "salt"]).groupBy(row, item).agg(F.count("*").alias("shared"), F.first("words").alias("words"))
+    return shared.select(row, item, "shared", F.round(F.col("shared") / F.col("words"), 6).alias("coverage"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from hirelake.functions import mail as M
+
 
 def common_length(a: str, b: str) -> int:
     """Length of the longest common subsequence, by bit vectors."""
@@ -67,25 +69,63 @@ def fuzzy(a: Column, b: Column, kind: str = "token_sort") -> Column:
     return run(a, b)
 
 
-def fuzzy_pairs(names: DataFrame, name: str, least: int = 85, kind: str = "token_sort") -> DataFrame:
-    """Pairs of different names (a < b) of at least that ratio that share a word.
+def _keys(names: DataFrame, least: int) -> DataFrame:
+    """name, part (gram or word), of the name's keys, and whether it is in its prefix.
 
-    Names are made distinct first, so copies of a name never meet.
+    A ratio of at least `least` bounds what two names can lack of each other, so only a prefix of
+    the rarest keys need meet. Keys are the letter pairs in words, numbered where they repeat, and
+    the words. With d the share that may differ, a name of n letters and w words has at least
+    t = (1 - 2d)n - 1 - 2(w - 1) pairs in common with a partner: all but t - 1 of its pairs make
+    the prefix. Where the shared words alone make the ratio, they hold all but a part m of one
+    name, whose rarest words up to that part are its prefix. Names too short for a bound (t < 1)
+    bring all their keys.
     """
+    part = (least - 0.5) / 100
+    d, missing = 2 * (1 - part), 1 - part / (2 - part)
+    once = names.select(F.col("name"), F.array_sort(F.array_distinct(F.filter(F.split(F.lower("name"), r"\s+"), lambda w: w != ""))).alias("words"))
+    once = once.withColumns({"n": F.length(F.array_join("words", " ")), "w": F.size("words")}).where("w > 0")
+    grams = once.select(
+        "name", "n", "w",
+        F.explode(F.flatten(F.transform("words", lambda x: F.when(F.length(x) > 1, F.transform(F.sequence(F.lit(1), F.length(x) - 1), lambda i: F.substr(x, i, F.lit(2)))).otherwise(F.array(x))))).alias("gram"),
+    )
+    turn = F.row_number().over(Window.partitionBy("name", "gram").orderBy("gram"))
+    grams = grams.select("name", "n", "w", F.concat(F.lit("g"), turn.cast("string"), F.lit(":"), "gram").alias("key"), F.lit(1).alias("size"))
+    words = once.select("name", "n", "w", F.explode("words").alias("word")).select("name", "n", "w", F.concat(F.lit("w:"), "word").alias("key"), F.length("word").alias("size"))
+    every = grams.unionByName(words)
+    counted = every.join(every.groupBy("key").agg(F.count("*").alias("df")), "key")
+    kind = F.startswith("key", F.lit("w:"))
+    order = Window.partitionBy("name", kind).orderBy("df", "key")
+    before = F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    all_grams = F.count("*").over(Window.partitionBy("name", kind))
+    t = F.ceil((1 - 2 * d) * F.col("n") - 1 - 2 * (F.col("w") - 1))
+    inside = F.when(kind, (before <= missing * F.col("n")) | (t < 1)).otherwise((before < all_grams - t + 1) | (t < 1))
+    return counted.select("name", "key", inside.alias("prefix"))
+
+
+def fuzzy_candidates(left: DataFrame, right: DataFrame, least: int) -> DataFrame:
+    """a and b of the pairs of names that may reach the ratio, each once."""
+    tagged = left.select("name", F.lit(0).alias("side")).unionByName(right.select("name", F.lit(1).alias("side"))).distinct()
+    keys = _keys(tagged.select("name").distinct(), least).join(tagged, "name")
+    a, b = keys.where("side = 0").alias("a"), keys.where("side = 1").alias("b")
+    is_word = F.startswith("a.key", F.lit("w:"))
+    # pairs of letters meet prefix with prefix, words prefix with all
+    meets = (F.col("a.key") == F.col("b.key")) & F.when(is_word, F.col("a.prefix") | F.col("b.prefix")).otherwise(F.col("a.prefix") & F.col("b.prefix"))
+    return a.join(b, meets).select(F.col("a.name").alias("a"), F.col("b.name").alias("b")).distinct()
+
+
+def fuzzy_pairs(names: DataFrame, name: str, least: int = 85, kind: str = "token_set") -> DataFrame:
+    """Pairs of different names (a < b) of at least that ratio. Names are made distinct first, so copies of a name never meet."""
     once = names.select(F.col(name).alias("name")).where(F.col("name").isNotNull()).distinct()
-    words = once.select("name", F.explode(F.array_distinct(F.split(F.lower("name"), r"\s+"))).alias("word")).where("word != ''")
-    pairs = words.alias("a").join(words.alias("b"), (F.col("a.word") == F.col("b.word")) & (F.col("a.name") < F.col("b.name")))
-    distinct = pairs.select(F.col("a.name").alias("a"), F.col("b.name").alias("b")).distinct()
-    return distinct.withColumn("ratio", fuzzy(F.col("a"), F.col("b"), kind)).where(F.col("ratio") >= least)
+    pairs = fuzzy_candidates(once, once, least).where("a < b")
+    return pairs.withColumn("ratio", fuzzy(F.col("a"), F.col("b"), kind)).where(F.col("ratio") >= least)
 
 
 def best_fuzzy(left: DataFrame, right: DataFrame, name: str, least: int = 90) -> DataFrame:
-    """The best right name for each left name among those with the same first word; ties go to the greater name."""
-    first = lambda c: F.split(F.lower(F.col(c)), r"\s+")[0]
-    a = left.select(F.col(name).alias("l_name")).distinct().withColumn("_k", first("l_name"))
-    b = right.select(F.col(name).alias("r_name")).distinct().withColumn("_k", first("r_name"))
-    scored = a.join(b, "_k").withColumn("ratio", fuzzy(F.col("l_name"), F.col("r_name"), "token_set")).where(F.col("ratio") >= least)
-    return scored.groupBy("l_name").agg(F.max_by(F.struct("r_name", "ratio"), F.struct("ratio", F.col("r_name"))).alias("x")).select("l_name", "x.*")
+    """The best right name for each left name; ties go to the greater name."""
+    a, b = (x.select(F.col(name).alias("name")).where(F.col(name).isNotNull()).distinct() for x in (left, right))
+    scored = fuzzy_candidates(a, b, least).withColumn("ratio", fuzzy(F.col("a"), F.col("b"), "token_set")).where(F.col("ratio") >= least)
+    best = scored.groupBy(F.col("a").alias("l_name")).agg(F.max_by(F.struct(F.col("b").alias("r_name"), "ratio"), F.struct("ratio", F.col("b"))).alias("x"))
+    return best.select("l_name", "x.*")
 
 
 def votes(rows: DataFrame, group: str, candidate: str, voter: str, weight: str) -> DataFrame:
@@ -99,17 +139,28 @@ def votes(rows: DataFrame, group: str, candidate: str, voter: str, weight: str)
 
 
 def mail_matches(mail: DataFrame, jobs: DataFrame, key: str, days: int = 60) -> DataFrame:
-    """The best job of each message among those of its key, by signals: title word in the body and time.
+    """The best job of each message among those of its key, by five signals in order: company, title, timing, ats_domain, sender_company.
 
-    Messages and jobs meet on the key (a company's name or domain), never all with all.
+    mail: message_id, key, subject, body, sender, sent. jobs: dedup_key, key, company, title, status,
+    first_seen. Messages and jobs meet on the key (a company's name or domain), never all with all.
+    The company must be named in subject or sender; four signals match at once, three do if one is of the sender's
+    domain, fewer wait for a look. The domain counts in classified mail only.
     """
     both = mail.join(jobs, key)
-    timing = F.abs(F.floor((F.unix_micros(F.col("sent").cast("timestamp")) - F.unix_micros(F.col("first_seen").cast("timestamp"))) / 86_400_000_000)) <= days
-    title = F.exists(F.split(F.lower("title"), r"\s+"), lambda w: (F.length(w) >= 4) & F.contains(F.lower("body"), w))
-    signals = F.array_compact(F.array(F.lit("company"), F.when(title, "title"), F.when(timing, "timing")))
-    scored = both.withColumn("signals", signals).withColumn("score", F.size("signals"))
+    text, sender, company = F.lower(F.concat_ws(" ", "subject", "body")), F.col("sender"), F.col("company")
+    classified = M.email_class("subject", "body").isNotNull()
+    signals = F.array_compact(
+        F.array(
+            F.when(M.names_company(company, F.col("subject"), sender), "company"),
+            F.when(M.names_title(F.col("title"), text), "title"),
+            F.when(M.within_days(F.col("sent"), F.col("first_seen"), days), "timing"),
+            F.when(classified & M.from_applicant_system(sender), "ats_domain"),
+            F.when(classified & M.from_company(sender, company), "sender_company"),
+        )
+    )
+    scored = both.withColumn("signals", signals).withColumn("score", F.size("signals")).where(F.array_contains("signals", "company"))
     order = F.struct("score", (F.col("status") == "applied").cast("int"), -F.col("dedup_key"))
     best = scored.groupBy("message_id").agg(F.max_by(F.struct("dedup_key", "score", "signals"), order).alias("x"))
-    action = F.when(F.col("x.score") >= 4, "auto").when(F.col("x.score") >= 1, "pending").otherwise("drop")
+    sure = F.arrays_overlap("x.signals", F.array(F.lit("ats_domain"), F.lit("sender_company")))
+    action = F.when((F.col("x.score") >= 4) | ((F.col("x.score") >= 3) & sure), "auto").otherwise("pending")
     return best.select("message_id", "x.dedup_key", "x.score", F.array_join("x.signals", ",").alias("signals"), action.alias("action"))
-

@@ -159,9 +159,10 @@ def q_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.jobs(spark, sf_dir).join(closed, "dedup_key", "left").select("dedup_key", F.coalesce("closed", "first_seen").alias("recent"))
 
 
-@R.add("SELECT event_id, ts, to_status FROM v_events WHERE job_id = 11")
+@R.add("SELECT job_id, event_id, ts, to_status FROM v_events")
 def q_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.stage_events(spark, sf_dir).where("job_id = 11").select("event_id", "ts", "to_status")
+    """The events of every job; a reader of one job filters by job_id."""
+    return V.stage_events(spark, sf_dir).select("job_id", "event_id", "ts", "to_status")
 
 
 @R.add("""
@@ -258,15 +259,15 @@ def q_retry_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @R.add("""
-WITH w AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]{3,}')) AS words FROM benchmark),
-k AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]{3,}')) AS words FROM documents WHERE source = 'src1')
-SELECT doc_id, len(list_intersect(k.words, w.words)) AS shared, round(len(list_intersect(k.words, w.words))::DOUBLE / nullif(len(w.words), 0), 6) AS coverage FROM k, w WHERE item_id = 0
+WITH w AS (SELECT item_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]{3,}'))) AS word FROM benchmark),
+n AS (SELECT item_id, count(*) AS words FROM w GROUP BY 1),
+k AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]{3,}'))) AS word FROM documents)
+SELECT doc_id, item_id, count(*) AS shared, round(count(*)::DOUBLE / any_value(words), 6) AS coverage FROM k JOIN w USING (word) JOIN n USING (item_id) GROUP BY doc_id, item_id
 """)
 def q_keyword_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = lambda t: F.array_distinct(F.regexp_extract_all(F.lower(t), F.lit("[a-z0-9]{3,}"), F.lit(0)))
-    wanted = V.table(spark, sf_dir, "benchmark").where("item_id = 0").select(words("text")).first()
-    own = F.array(*[F.lit(w) for w in (wanted[0] if wanted else [])]).cast("array<string>")  # the words of one item
-    rows = V.table(spark, sf_dir, "documents").where("source = 'src1'").select("doc_id", F.size(F.array_intersect(words("text"), own)).alias("shared"))
-    return rows.select("doc_id", F.col("shared").cast("long").alias("shared"), F.round(F.try_divide("shared", F.size(own)), 6).alias("coverage"))
+    words = lambda t: F.explode(F.array_distinct(F.regexp_extract_all(F.lower(t), F.lit("[a-z0-9]{3,}"), F.lit(0)))).alias("word")
+    items, docs = V.table(spark, sf_dir, "benchmark").select("item_id", words("text")), V.table(spark, sf_dir, "documents").select("doc_id", words("text"))
+    return E.keyword_coverage(docs, items, "doc_id", "item_id", "word")
+
 
 

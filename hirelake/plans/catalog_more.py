@@ -257,12 +257,29 @@ def q_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_mail_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages against the jobs of the company whose number they carry; on the fixtures, the conversation's number."""
-    jobs = V.jobs(spark, sf_dir).withColumn("title", F.concat_ws(" ", F.lit("Senior"), "classification"))
-    mail = V.mail(spark, sf_dir).select("message_id", F.col("conv_id").alias("company_id"), "body", F.lit("1998-06-01").cast("timestamp_ntz").alias("sent"))
+    names = F.concat(F.lit("Company"), F.col("company_id").cast("string"))
+    jobs = V.jobs(spark, sf_dir).select("dedup_key", "company_id", "status", "first_seen", names.alias("company"), F.concat_ws(" ", F.lit("Senior"), "classification").alias("title"))
+    domain = F.when(F.col("turn") % 3 == 0, F.lit("greenhouse.io")).when(F.col("turn") % 3 == 1, F.concat(F.lit("company"), F.col("conv_id").cast("string"), F.lit(".com"))).otherwise("example.org")
+    mail = V.mail(spark, sf_dir).select(
+        "message_id", F.col("conv_id").alias("company_id"), F.concat(F.lit("Your application to Company"), F.col("conv_id").cast("string")).alias("subject"),
+        F.concat(F.lit("Thank you for applying as apply. "), "body").alias("body"), F.concat(F.lit("jobs@"), domain).alias("sender"),
+        F.timestamp_add("day", (F.col("message_id") % 400).cast("int"), F.lit("1996-01-01").cast("timestamp_ntz")).alias("sent"),
+    )
     return X.mail_matches(mail, jobs, "company_id")
 
 
-R.queries["q_mail_match"] = q_mail_match
+R.add("""
+WITH m AS (SELECT conv_id * 1000 + turn AS message_id, conv_id, turn, lower('Your application to Company' || conv_id || ' Thank you for applying as apply. ' || coalesce(text, '')) AS body,
+  TIMESTAMP '1996-01-01' + ((conv_id * 1000 + turn) % 400)::INT * INTERVAL 1 DAY AS sent FROM conversations),
+s AS (SELECT message_id, dedup_key, status, [x FOR x IN ['company', CASE WHEN contains(body, classification) THEN 'title' END,
+  CASE WHEN abs(floor((epoch_us(sent) - epoch_us(first_seen)) / 86400000000.0)) <= 60 THEN 'timing' END,
+  CASE WHEN turn % 3 = 0 THEN 'ats_domain' END, CASE WHEN turn % 3 = 1 THEN 'sender_company' END] IF x IS NOT NULL] AS signals
+  FROM m JOIN v_jobs ON company_id = conv_id),
+b AS (SELECT *, row_number() OVER (PARTITION BY message_id ORDER BY len(signals) DESC, (status = 'applied')::INT DESC, dedup_key) AS rn FROM s)
+SELECT message_id, dedup_key, len(signals) AS score, array_to_string(signals, ',') AS signals,
+  CASE WHEN len(signals) >= 4 OR len(signals) >= 3 AND (list_contains(signals, 'ats_domain') OR list_contains(signals, 'sender_company')) THEN 'auto' ELSE 'pending' END AS action
+FROM b WHERE rn = 1
+""")(q_mail_match)
 
 
 @R.add("SELECT message_id, body FROM v_mail QUALIFY row_number() OVER (PARTITION BY message_id ORDER BY body) = 1")
@@ -470,17 +487,17 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.add("SELECT ts::DATE::TIMESTAMP AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def q_stream_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = S.run_once(S.daily(_stream(spark, sf_dir), "event_type"), f"daily_{uuid.uuid4().hex}", mode="complete")
+    out = S.run_once(S.daily(_stream(spark, sf_dir), "event_type"), "daily", mode="update", keys=("day", "event_type"))
     return out.select(F.col("day").cast("timestamp_ntz").alias("day"), "event_type", "n")
 
 
 @R.add("SELECT DISTINCT user_id FROM events")
 def q_stream_once(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.run_once(S.exactly_once(_stream(spark, sf_dir), "user_id", ttl="400 days").select("user_id"), f"once_{uuid.uuid4().hex}")
+    return S.run_once(S.exactly_once(_stream(spark, sf_dir), "user_id", ttl="400 days").select("user_id"), "once")
 
 
 @R.add(_STREAK + "SELECT user_id::VARCHAR AS source, count(*) AS alerts FROM s WHERE broken AND streak = 3 GROUP BY user_id")
 def q_stream_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _stream(spark, sf_dir).withColumn("source", F.col("user_id").cast("string"))
     alerts = S.break_alerts(rows, "source", F.col("event_type") == "error", F.col("event_type").isin("purchase", "signup"))
-    return S.run_once(alerts, f"breaks_{uuid.uuid4().hex}").groupBy("source").agg(F.count("*").alias("alerts"))
+    return S.run_once(alerts, "breaks").groupBy("source").agg(F.count("*").alias("alerts"))

@@ -7,6 +7,8 @@ it says so. Times are TIMESTAMP: cast NTZ columns first.
 from __future__ import annotations
 
 import sys
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -25,7 +27,8 @@ def exactly_once(rows: DataFrame, key: str, ts: str = "ts", ttl: str = "14 days"
     """The first row of each key; a key is forgotten when the watermark is past its time to live."""
     if rows.isStreaming:
         return rows.withWatermark(ts, ttl).dropDuplicatesWithinWatermark([key])
-    return rows.dropDuplicates([key])
+    every = F.struct(*(f"`{c}`" for c in rows.columns))
+    return rows.groupBy(key).agg(F.min_by(every, F.struct(F.col(ts), F.xxhash64(every))).alias("first")).select("first.*")
 
 
 def daily(rows: DataFrame, *keys: str, ts: str = "ts", late: str = "1 day") -> DataFrame:
@@ -56,12 +59,11 @@ class BreakCounter(StatefulProcessor):
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
         count, fired = self.state.get() if self.state.exists() else (0, False)
         out = []
-        for pdf in rows:
-            for r in pdf.sort_values(["ts", "event_id"]).itertuples():
-                count, fired = (count + 1, fired) if r.broken else (0, False) if r.good else (count, fired)
-                if count >= self.threshold and not fired:
-                    fired = True
-                    out.append((key[0], r.ts, count))
+        for r in pd.concat(list(rows)).sort_values(["ts", "event_id"]).itertuples():  # a key's rows of one trigger may come in several chunks
+            count, fired = (count + 1, fired) if r.broken else (0, False) if r.good else (count, fired)
+            if count >= self.threshold and not fired:
+                fired = True
+                out.append((key[0], r.ts, count))
         self.state.update((int(count), bool(fired)))
         yield pd.DataFrame(out, columns=["source", "ts", "streak"]).astype({"streak": "int32"})
 
@@ -79,18 +81,42 @@ _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def run_once(stream: DataFrame, name: str, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
-    """Everything there is, into a table in memory (for tests and small results). State is kept in RocksDB, as custom state asks for."""
-    conf = stream.sparkSession.conf
-    before = conf.get(_PROVIDER)
-    conf.set(_PROVIDER, ROCKSDB)
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the one that spark.checkpoint.dir names; where that is unset, in a temporary one of a local session."""
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        top = tempfile.mkdtemp(prefix="hirelake-")
+        spark.sparkContext.setCheckpointDir(top)
+    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def run_once(stream: DataFrame, name: str, mode: str = "append", keys: tuple[str, ...] = ()) -> DataFrame:
+    """Everything there is, as Parquet files in the shared folder, with the checkpoint beside them. State is kept in RocksDB, as custom state asks for.
+
+    append: by the file sink. update: each micro-batch's rows under its number, which a repeated
+    batch overwrites; of rows with equal keys the newest batch counts.
+    """
+    spark = stream.sparkSession
+    folder, before = shared_folder(spark, name), spark.conf.get(_PROVIDER)
+    out = f"{folder}/rows"
+    spark.conf.set(_PROVIDER, ROCKSDB)
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
     try:
-        writer = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
-        query = (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()
+        writer = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{folder}/state")
+        query = (writer.format("parquet").start(out) if mode == "append" else writer.foreachBatch(keep).start())
         query.awaitTermination()
     finally:
-        conf.set(_PROVIDER, before)
-    return stream.sparkSession.table(name)
+        spark.conf.set(_PROVIDER, before)
+    kind = stream.schema
+    if mode == "append":
+        return spark.read.schema(kind).parquet(out)
+    rows = spark.read.schema(T.StructType([*kind.fields, T.StructField("batch", T.LongType())])).parquet(out)
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*kind.names), "batch").alias("last")).select("last.*")
 
 
 def into_snapshot(stream: DataFrame, apply: object, checkpoint: str) -> object:

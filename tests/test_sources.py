@@ -1,7 +1,10 @@
 """Feeds, sinks and streams on small inputs."""
 
+import random
+
 from pyspark.sql import functions as F
 
+from hirelake.functions import mail
 from hirelake.operators import matching
 from hirelake.sources import feeds
 from hirelake.streaming import stateful
@@ -50,3 +53,44 @@ def test_breaks_once_per_streak(spark, tmp_path):
     stream = stateful.source(spark, str(tmp_path / "in"), df.schema)
     out = stateful.run_once(stateful.break_alerts(stream, "source", F.col("kind") == "b", F.col("kind") == "g"), "breaks_small")
     assert sorted(r.ts.minute for r in out.collect()) == [2, 10]
+
+
+def test_fuzzy_blocking_loses_nothing(spark):
+    """Every pair of names at the threshold meets, as against all pairs."""
+    r = random.Random(4)
+    words = ["stripe", "inc", "acme", "corp", "global", "health", "hinge", "labs", "river", "mountain", "analytics", "data", "group"]
+    names = {"Acme Corp", "AcmeCorp", "Inc Stripe", "Stripe Inc", "acme corp holdings", "Acmee Corp"}
+    for _ in range(120):
+        own = [r.choice(words) for _ in range(r.randint(1, 4))]
+        k = r.randrange(len(own))
+        at = r.randrange(len(own[k]))
+        own[k] = r.choice([own[k], own[k][:at] + own[k][at + 1 :], own[k][:at] + r.choice("aeiou") + own[k][at:]])
+        names.add(" ".join(own).title())
+    df = spark.createDataFrame([(n,) for n in [*names, None, "", "  "]], "name string")
+    for kind, least in (("token_set", 85), ("token_sort", 85), ("token_set", 90)):
+        got = {(x.a, x.b): x.ratio for x in matching.fuzzy_pairs(df, "name", least, kind).collect()}
+        score = matching._RATIOS[kind]
+        assert got == {(a, b): score(a, b) for a in names for b in names if a < b and score(a, b) >= least}
+    left, right = df.where("length(name) % 2 = 0"), df.where("length(name) % 2 = 1")
+    got = {x.l_name: (x.ratio, x.r_name) for x in matching.best_fuzzy(left, right, "name", 90).collect()}
+    even, odd = [n for n in names if len(n) % 2 == 0], [n for n in names if len(n) % 2]
+    every = {n: max(((matching.token_set_ratio(n, m), m) for m in odd), default=(0, "")) for n in even}
+    assert got == {n: x for n, x in every.items() if x[0] >= 90}
+
+
+def test_mail_signals(spark):
+    rows = [
+        ("Hinge Health Inc.", "Interview with Hinge Health", "x@mail.hingehealth.com", "Senior Product Designer", "the product designer role"),
+        ("Acme", "Hello", "Acme Careers <no-reply@greenhouse.io>", "Data Engineer", "engineer wanted"),
+        ("Acme", "Hello", "x@notgreenhouse.io", "Lead Data", "lead data"),
+        (None, None, None, None, None),
+    ]
+    df = spark.createDataFrame(rows, "company string, subject string, sender string, title string, body string")
+    c = F.col
+    got = df.select(
+        mail.names_company(c("company"), c("subject"), c("sender")).alias("a"), mail.from_applicant_system(c("sender")).alias("b"),
+        mail.from_company(c("sender"), c("company")).alias("c"), mail.names_title(c("title"), F.lower("body")).alias("d"), mail.company_of_sender(c("sender")).alias("e"),
+    )
+    assert [tuple(r) for r in got.collect()] == [(True, False, True, True, "Hingehealth"), (True, True, False, True, "Acme"), (False, False, False, False, "Notgreenhouse"), (False, False, False, False, None)]
+    text = spark.createDataFrame([("Hi there. We would like to schedule time! Bye",)], "body string")
+    assert text.select(mail.snippet(c("body"), ("offer", "schedule time"))).first()[0] == "We would like to schedule time!"
