@@ -156,3 +156,143 @@ MAIL_PHRASES = (
         "successfully submitted", "received your application", "thank you for your application",
     )),
 )
+
+
+#: Marks of HTML in a text, and entities beside the numbered ones.
+HTML_SIGNAL = r"(?i)</?(?:p|div|br|ul|ol|li|span|strong|em|b|i|h[1-6]|table|a)\b[^>]*>|&(?:nbsp|amp|lt|gt|quot|#\d+);"
+ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&rsquo;", "\u2019"), ("&ndash;", "\u2013"), ("&mdash;", "\u2014"), ("&bull;", "\u2022"), ("&amp;", "&"))
+#: Tails of cards behind a title.
+CARD_TAIL = r"(?i)\s*(?:posted\s+(?:\d+\+?\s+\w+\s+ago|today|yesterday).*|\d+\+?\s+(?:days?|hours?|weeks?|months?)\s+ago.*|(?:apply now|view job|learn more|save job|easy apply).*)$"
+#: Words of an error that tell of credentials.
+CREDENTIAL_WORDS = ("credential", "expired", "token", "auth", "invalid", "unauthorized")
+#: Tiers of enrichment in order.
+TIERS = ("static", "search", "browser", "exhausted", "agentic", "agentic_exhausted")
+
+
+def html_to_text(html: Column) -> Column:
+    """Text without tags: script, style and comments go, blocks and items become lines, entities their letters."""
+    text = F.regexp_replace(html, r"(?is)<(script|style|head|noscript)\b.*?</\1\s*>|<!--.*?-->", " ")
+    text = F.regexp_replace(text, r"(?i)<li\b[^>]*>", "\n- ")
+    text = F.regexp_replace(text, r"(?i)</(?:p|div|section|article|ul|ol|table|h[1-6])\s*>", "\n\n")
+    text = F.regexp_replace(text, r"(?i)<br\s*/?>|</(?:tr|li)\s*>", "\n")
+    text = F.regexp_replace(text, r"(?s)<[^>]+>", "")
+    for entity, letter in ENTITIES:
+        text = F.replace(text, F.lit(entity), F.lit(letter))
+    text = F.regexp_replace(F.regexp_replace(text, r"[ \t\u00a0]+", " "), r" ?\n ?", "\n")
+    return F.trim(F.regexp_replace(F.regexp_replace(text, r"\n{3,}", "\n\n"), r"^\s+|\s+$", ""))
+
+
+def clean_html(html: Column) -> Column:
+    """Text of HTML without its repeated blocks."""
+    return without_repeated_blocks(html_to_text(html))
+
+
+def plain_body(body: Column) -> Column:
+    """The body as text where it shows signs of HTML, else as it is."""
+    return F.when(F.regexp_like(body, F.lit(HTML_SIGNAL)), html_to_text(body)).otherwise(body)
+
+
+def clean_title(title: Column) -> Column:
+    """Without a card's tail, a workplace, city or request number behind it, and logo letters before it; the title itself if nothing stays."""
+    out = F.regexp_replace(title, CARD_TAIL, "")
+    out = F.regexp_replace(out, r"(?i)\s*[-–—|·•]\s*(?:remote|hybrid|on-?site|anywhere|multiple|worldwide).*$", "")
+    out = F.regexp_replace(out, r"\s+[-–—|·•]\s+[A-Z][A-Za-z. ]+,\s*(?:[A-Z]{2}|[A-Z][a-z]+(?: [A-Z][a-z]+)*)$", "")
+    out = F.regexp_replace(out, r"(?<=[a-z)])[A-Z]{2,}\d+.*$", "")
+    out = F.regexp_replace(out, r"(?<=[a-z)])[A-Z]{2,}(?:,\s*[A-Za-z][A-Za-z]+)+$", "")
+    out = F.regexp_replace(out, r"^[A-Z]{1,2}(?=[A-Z][a-z]{2,})", "")
+    return F.coalesce(F.nullif(F.trim(out), F.lit("")), title)
+
+
+def is_valid_posting(title: Column, company: Column, url: Column) -> Column:
+    """Title, company and URL aren't blank, and the title has 3 to 200 characters."""
+    some = lambda x: F.coalesce(F.trim(x), F.lit("")) != ""
+    return some(title) & some(company) & some(url) & F.length(F.trim(title)).between(3, 200)
+
+
+def title_bleeds(title: Column, locations: Column) -> Column:
+    """Whether a word of a location stands in the title behind its first closing bracket."""
+    after = F.lower(F.regexp_extract(title, r"(?s)\)(.*)$", 1))
+    words = F.flatten(F.transform(locations, lambda x: F.regexp_extract_all(x, F.lit("[A-Za-z]{2,}"), F.lit(0))))
+    return F.coalesce((after != "") & F.exists(words, lambda w: F.contains(after, F.lower(w))), F.lit(False))
+
+
+def is_candidate_line(line: Column, skipped: tuple[str, ...] = ("unsubscribe", "view job", "view in browser", "privacy", "click here"), least: int = 3, most: int = 120) -> Column:
+    """Whether a line of a mail may be a title or a company: of a fit length, no URL, none of the phrases."""
+    text = F.trim(line)
+    out = F.length(text).between(least, most) & ~F.startswith(text, F.lit("http")) & ~(F.startswith(text, F.lit("(")) & F.contains(text, F.lit("http")))
+    for phrase in skipped:
+        out = out & ~F.contains(F.lower(text), F.lit(phrase))
+    return F.coalesce(out, F.lit(False))
+
+
+def error_kind(error: Column) -> Column:
+    """credential for an error of access, else degraded."""
+    return F.when(F.regexp_like(F.lower(error), F.lit("|".join(CREDENTIAL_WORDS))), "credential").otherwise("degraded")
+
+
+def resume_index(tier: Column) -> Column:
+    """The place of the tier to run next: 0 without one, behind the last for one that isn't known."""
+    out = F.lit(len(TIERS))
+    for k, name in enumerate(TIERS):
+        out = F.when(tier == name, k + 1).otherwise(out)
+    return F.when(tier.isNull(), 0).otherwise(out)
+
+
+def may_enrich(tier: Column, terminal: tuple[str, ...] = ("exhausted", "agentic", "agentic_exhausted")) -> Column:
+    """Whether the tier isn't a last one; no tier at all is none."""
+    return tier.isNull() | ~tier.isin(*terminal)
+
+
+def resolved_view(reasons: Column, locations: Column, view: str = "hide") -> Column:
+    """hide: rows without reasons and unresolved locations; only: the others; all. Any other view is hide."""
+    none = F.array().cast("array<string>")
+    clear = (F.size(F.coalesce(reasons, none)) == 0) & ~F.coalesce(F.exists(locations, lambda x: x["unresolved"]), F.lit(False))
+    return F.lit(True) if view == "all" else ~clear if view == "only" else clear
+
+
+def title_and_company(title: Column) -> Column:
+    """struct(title, company) of "title - company"; without a dash the company is null."""
+    parts = F.split(title, r"\s+[-–|]\s+", 2)
+    return F.struct(F.trim(F.get(parts, F.lit(0))).alias("title"), F.nullif(F.trim(F.get(parts, F.lit(1))), F.lit("")).alias("company"))
+
+
+def json_or(text: Column, schema: str, default: Column) -> Column:
+    """The parsed JSON, or the default where it is null or broken."""
+    return F.coalesce(F.from_json(text, schema), default)
+
+
+def one_of(value: Column, allowed: tuple[str, ...]) -> Column:
+    """The allowed value that equals it but for case, space, hyphens and underscores, else one that begins with it or it with; null for none."""
+    norm = lambda x: F.regexp_replace(F.lower(F.trim(x)), r"[\s_-]+", "")
+    own = norm(value)
+    exact = [F.when(own == norm(F.lit(a)), a) for a in allowed]
+    near = [F.when((own != "") & (F.startswith(norm(F.lit(a)), own) | F.startswith(own, norm(F.lit(a)))), a) for a in allowed]
+    return F.coalesce(*exact, *near)
+
+
+def surface_of(source: Column) -> Column:
+    """ats for ats:*, careers for careers and careers:*, else email."""
+    return F.when(F.startswith(source, F.lit("ats:")), "ats").when((source == "careers") | F.startswith(source, F.lit("careers:")), "careers").otherwise("email")
+
+
+def shifted_hours(hours: Column, by: int = 1) -> Column:
+    """Hours of a schedule, moved and sorted."""
+    return F.array_sort(F.transform(hours, lambda h: (h + by) % 24))
+
+
+def remote_flag(value: Column) -> Column:
+    """A vendor's remote field, as text: null stays unknown; false, 0 and empty are false, all else is true."""
+    return F.when(value.isNotNull(), ~F.lower(F.trim(value)).isin("", "false", "0", "{}", "[]", "null"))
+
+
+def is_blocked_brand(name: Column, brands: tuple[str, ...]) -> Column:
+    """Whether the name is one of the brands, but for case and marks."""
+    norm = F.regexp_replace(F.lower(name), "[^a-z0-9]+", "")
+    return F.coalesce(norm.isin(*["".join(c for c in b.lower() if c.isalnum()) for b in brands]), F.lit(False))
+
+
+def without_chrome(text: Column, markers: tuple[str, ...]) -> Column:
+    """The text before the earliest of the markers of a page's tail."""
+    places = [F.nullif(F.locate(m, text), F.lit(0)) for m in markers]
+    first = F.least(*places, F.lit(None).cast("int")) if places else F.lit(None).cast("int")
+    return F.when(first.isNotNull(), F.trim(F.substr(text, F.lit(1), first - 1))).otherwise(text)

@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
+from hirelake.functions.ratios import fuzzy
 from hirelake.functions.vocab import TERMINAL_TIERS
 
 #: Seniority words and their factor, in order; penalty words come first.
@@ -81,6 +82,31 @@ def industry_factor(text: Column, industries: tuple[str, ...]) -> Column:
     return F.when(n >= 2, 100).when(n == 1, 75).otherwise(30)
 
 
+def title_factor(title: Column, targets: tuple[str, ...], unwanted: tuple[str, ...] = ()) -> Column:
+    """50 without targets, 0 with an unwanted phrase, else the best ratio of sorted words against a target."""
+    if not targets:
+        return F.lit(50)
+    low = F.lower(title)
+    best = F.greatest(*(fuzzy(low, F.lit(t.lower()), "token_sort") for t in targets), F.lit(0))
+    out = best
+    for phrase in unwanted:
+        out = F.when(F.contains(low, F.lit(phrase.lower())), 0).otherwise(out)
+    return out
+
+
+def place_factor(location: Column, targets: tuple[str, ...]) -> Column:
+    """50 without targets, 100 for remote, 90 for the whole United States, else the best partial ratio against a target."""
+    if not targets:
+        return F.lit(50)
+    low = F.lower(location)
+    best = F.greatest(*(fuzzy(low, F.lit(t.lower()), "partial") for t in targets), F.lit(0))
+    return F.when(F.contains(low, F.lit("remote")), 100).when(low.isin("united states", "us", "usa"), 90).otherwise(best)
+
+
+def company_factor(company: Column, unwanted: tuple[str, ...]) -> Column:
+    return F.when(F.lower(company).isin(*[c.lower() for c in unwanted]), 0).otherwise(50)
+
+
 def heuristic_score(factors: dict[str, Column], weights: dict[str, float]) -> Column:
     """The weighted sum, to one digit by halves to even."""
     return F.bround(_sum([factors[k].cast("double") * F.lit(float(weights.get(k, 0))) for k in factors]), 1)

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from hirelake.functions import content, fit, names, salary, urls
+from hirelake.functions import content, fit, names, ratios, salary, urls
 from hirelake.operators import evals, lifecycle, matching, merge
 
 
@@ -98,10 +98,10 @@ def test_urls(spark):
 
 
 def test_matching():
-    assert matching.ratio("abc", "abc") == 100 and matching.ratio("", "") == 100 and matching.ratio("abc", "xyz") == 0
-    assert matching.token_sort_ratio("data scientist senior", "senior data scientist") == 100
-    assert matching.token_set_ratio("acme corp", "acme corp holdings") == 100
-    assert matching.partial_ratio("york", "new york city") == 100
+    assert ratios.ratio("abc", "abc") == 100 and ratios.ratio("", "") == 100 and ratios.ratio("abc", "xyz") == 0
+    assert ratios.token_sort_ratio("data scientist senior", "senior data scientist") == 100
+    assert ratios.token_set_ratio("acme corp", "acme corp holdings") == 100
+    assert ratios.partial_ratio("york", "new york city") == 100
 
 
 def test_merge(spark):

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from hirelake.functions import mail
+from hirelake.functions import mail, ratios
 from hirelake.operators import matching
 from hirelake.sources import feeds
 from hirelake.streaming import stateful
@@ -69,12 +69,12 @@ def test_fuzzy_blocking_loses_nothing(spark):
     df = spark.createDataFrame([(n,) for n in [*names, None, "", "  "]], "name string")
     for kind, least in (("token_set", 85), ("token_sort", 85), ("token_set", 90)):
         got = {(x.a, x.b): x.ratio for x in matching.fuzzy_pairs(df, "name", least, kind).collect()}
-        score = matching._RATIOS[kind]
+        score = ratios._RATIOS[kind]
         assert got == {(a, b): score(a, b) for a in names for b in names if a < b and score(a, b) >= least}
     left, right = df.where("length(name) % 2 = 0"), df.where("length(name) % 2 = 1")
     got = {x.l_name: (x.ratio, x.r_name) for x in matching.best_fuzzy(left, right, "name", 90).collect()}
     even, odd = [n for n in names if len(n) % 2 == 0], [n for n in names if len(n) % 2]
-    every = {n: max(((matching.token_set_ratio(n, m), m) for m in odd), default=(0, "")) for n in even}
+    every = {n: max(((ratios.token_set_ratio(n, m), m) for m in odd), default=(0, "")) for n in even}
     assert got == {n: x for n, x in every.items() if x[0] >= 90}
 
 
