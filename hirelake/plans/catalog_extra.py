@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hirelake.functions import places as P
+from hirelake.functions import content, locations, places as P, urls
 from hirelake.operators import contract as C, evals as E, health as H, lifecycle as L, metrics as M
 from hirelake.plans import views as V
 from hirelake.plans.views import Registry
+from hirelake.sources import boards
 
 R = Registry()
 _AGE = "(epoch_us({a}) - epoch_us({b})) / 86400000000.0"
@@ -271,3 +272,55 @@ def q_keyword_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
+
+
+@R.add("""
+SELECT s_suppkey, CASE WHEN code IS NOT NULL THEN 'City' || s_suppkey END AS city, code AS country_code, CASE WHEN s_suppkey % 5 = 2 THEN 'TX' END AS region_code,
+  CASE s_suppkey % 3 WHEN 0 THEN 'REMOTE' WHEN 1 THEN 'HYBRID' ELSE 'UNSPECIFIED' END AS workplace_type, code IS NULL AS unresolved
+FROM (SELECT s_suppkey, (['DE', 'GB', 'US', NULL, 'JP'])[s_suppkey % 5 + 1] AS code FROM supplier)
+""")
+def q_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    land = F.element_at(F.array(*map(F.lit, ("Germany", "UK", "TX", "Atlantis", "japan"))), (F.col("s_suppkey") % 5 + 1).cast("int"))
+    tail = F.when(F.col("s_suppkey") % 3 == 0, " / Remote").when(F.col("s_suppkey") % 3 == 1, " (Hybrid)").otherwise("")
+    text = F.concat(F.lit("City"), F.col("s_suppkey").cast("string"), F.lit(", "), land, tail)
+    rows = V.table(spark, sf_dir, "supplier").select("s_suppkey", F.explode(locations.parsed(text)).alias("x"))
+    return rows.select("s_suppkey", "x.city", "x.country_code", "x.region_code", "x.workplace_type", "x.unresolved")
+
+
+@R.add("""
+SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'greenhouse' WHEN 1 THEN 'recruitee' END AS platform, CASE WHEN p_partkey % 3 < 2 THEN 'c' || p_size END AS slug, CASE WHEN p_partkey % 3 = 0 THEN p_partkey::VARCHAR END AS posting_id FROM part
+""")
+def q_boards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    slug, ident = F.concat(F.lit("c"), F.col("p_size").cast("string")), F.col("p_partkey").cast("string")
+    url = (
+        F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("https://boards.greenhouse.io/"), slug, F.lit("/jobs/"), ident))
+        .when(F.col("p_partkey") % 3 == 1, F.concat(F.lit("https://"), slug, F.lit(".recruitee.com/o/"), ident)).otherwise(F.concat(F.lit("https://example.com/jobs/"), ident))
+    )
+    rows = V.table(spark, sf_dir, "part").select("p_partkey", url.alias("url")).withColumn("b", urls.board(F.col("url")))
+    return rows.select("p_partkey", "b.platform", "b.slug", urls.posting_id(F.col("url"), F.col("b.platform")).alias("posting_id"))
+
+
+@R.add("""
+SELECT p_partkey, length(trim(left(p_name, p_partkey % 6))) BETWEEN 3 AND 200 AND p_partkey % 7 <> 0 AND p_partkey % 11 <> 0 AS valid FROM part
+""")
+def q_valid_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    title = F.left("p_name", (F.col("p_partkey") % 6).cast("int"))
+    company, url = F.when(F.col("p_partkey") % 7 != 0, "c"), F.when(F.col("p_partkey") % 11 != 0, "u").otherwise(" ")
+    return V.table(spark, sf_dir, "part").select("p_partkey", content.is_valid_posting(title, company, url).alias("valid"))
+
+
+@R.add("""
+SELECT p_partkey, p_name AS title, 'https://jobs.example.com/' || p_partkey AS url, 'City' || p_size || ', ' || p_brand AS location, p_partkey::VARCHAR AS source_id,
+  TIMESTAMP '2026-01-01' + p_size * INTERVAL 1 DAY AS posted, 'exact' AS posted_precision, CASE WHEN p_size % 2 = 0 THEN 'annual' END AS period, CASE WHEN p_size % 2 = 0 THEN p_size * 1000.0 END AS pay_low
+FROM part
+""")
+def q_board_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pay = F.when(F.col("p_size") % 2 == 0, F.array(F.struct((F.col("p_size") * 100_000).alias("min_cents"), (F.col("p_size") * 200_000).alias("max_cents"), F.lit("Annual pay").alias("title"))))
+    payload = F.to_json(
+        F.struct(
+            F.col("p_name").alias("title"), F.concat(F.lit("https://jobs.example.com/"), "p_partkey").alias("absolute_url"), F.struct(F.concat(F.lit("City"), "p_size", F.lit(", "), "p_brand").alias("name")).alias("location"),
+            F.col("p_partkey").alias("id"), F.date_format(F.timestamp_add("day", F.col("p_size").cast("int"), F.lit("2026-01-01").cast("timestamp_ntz")), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("first_published"), pay.alias("pay_input_ranges"),
+        )
+    )
+    rows = boards.records(V.table(spark, sf_dir, "part").select("p_partkey", payload.alias("payload")), "greenhouse")
+    return rows.select("p_partkey", "title", "url", "location", "source_id", F.to_timestamp_ntz(F.date_format("posted", "yyyy-MM-dd HH:mm:ss")).alias("posted"), "posted_precision", "period", "pay_low")
