@@ -38,6 +38,7 @@ TITLE_STOP_WORDS = (
 )
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
 
+#: Codes and words of legal entities before a name, and levels behind a title.
 _ENTITY_CODE = r"^(?:\d{2,6}|[A-Z]{2,3}\d{2,5})\s+(?=[A-Za-z])"
 _ENTITY_WORD = r"(?i)\b(?:Inc|Incorporated|LLC|L\.?\s?L\.?\s?C|Corp|Corporation|Ltd|Limited|Co|Company|S\.A\.|GmbH)\b\.?"
 _LEVEL = (

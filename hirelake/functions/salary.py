@@ -21,6 +21,7 @@ PERIODS = (
     (r"(?i)/\s*wk\b|per\s+week|weekly", "weekly"),
     (r"(?i)/\s*day\b|per\s+day|daily", "daily"),
 )
+#: The patterns of amounts and ranges.
 _CURRENCY = r"(?:USD|CAD|EUR|GBP|AUD|SGD|INR|[$£€₹CASca]{0,3})\s*"
 _AMOUNT = r"([0-9][0-9,]*\.?[0-9]*)\s*([KkMm])?(?![A-Za-z])"
 RANGE = _CURRENCY + _AMOUNT + r"\s*(?:to|-|–|—|~)\s*" + _CURRENCY + _AMOUNT

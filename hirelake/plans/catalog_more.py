@@ -227,7 +227,7 @@ def q_loc_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("s_suppkey", F.array_join(merged, ",").alias("places"))
 
 
-R.queries["q_loc_merge"] = q_loc_merge
+R.add("SELECT s_suppkey, 'Remote,' || n_name || ',Onsite,' || r_name AS places FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")(q_loc_merge)
 
 
 # matching
