@@ -164,7 +164,7 @@ ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#
 #: Tails of cards behind a title.
 CARD_TAIL = r"(?i)\s*(?:posted\s+(?:\d+\+?\s+\w+\s+ago|today|yesterday).*|\d+\+?\s+(?:days?|hours?|weeks?|months?)\s+ago.*|(?:apply now|view job|learn more|save job|easy apply).*)$"
 #: Words of an error that tell of credentials.
-CREDENTIAL_WORDS = ("credential", "expired", "token", "auth", "invalid", "unauthorized")
+CREDENTIAL_WORDS = ("rejected", "401", "403", "expired", "invalid", "unauthorized")
 #: Tiers of enrichment in order.
 TIERS = ("static", "search", "browser", "exhausted", "agentic", "agentic_exhausted")
 
@@ -216,7 +216,14 @@ def title_bleeds(title: Column, locations: Column) -> Column:
     return F.coalesce((after != "") & F.exists(words, lambda w: F.contains(after, F.lower(w))), F.lit(False))
 
 
-def is_candidate_line(line: Column, skipped: tuple[str, ...] = ("unsubscribe", "view job", "view in browser", "privacy", "click here"), least: int = 3, most: int = 120) -> Column:
+#: Phrases of lines of a mail that are neither title nor company.
+SKIPPED = (
+    "here's your", "weekly update", "new roles", "good fit", "apply early", "stand out", "unsubscribe", "view in browser", "copyright", "privacy policy", "terms of service",
+    "email preferences", "manage your", "you received", "you're receiving", "click here",
+)
+
+
+def is_candidate_line(line: Column, skipped: tuple[str, ...] = SKIPPED, least: int = 3, most: int = 150) -> Column:
     """Whether a line of a mail may be a title or a company: of a fit length, no URL, none of the phrases."""
     text = F.trim(line)
     out = F.length(text).between(least, most) & ~F.startswith(text, F.lit("http")) & ~(F.startswith(text, F.lit("(")) & F.contains(text, F.lit("http")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 def errors(pairs: DataFrame, true: str, predicted: str) -> DataFrame:
@@ -118,3 +118,47 @@ def keyword_coverage(rows: DataFrame, wanted: DataFrame, row: str, item: str, wo
     dealt = rows.withColumn("salt", F.pmod(F.xxhash64(row), F.lit(salts)).cast("int"))
     shared = dealt.join(each, [word, "salt"]).groupBy(row, item).agg(F.count("*").alias("shared"), F.first("words").alias("words"))
     return shared.select(row, item, "shared", F.round(F.col("shared") / F.col("words"), 6).alias("coverage"))
+
+
+def position_swap(first: DataFrame, second: DataFrame, pair: str) -> DataFrame:
+    """pair, winner and agreed of pairs judged in both orders: what both say, else a tie. A pair judged once isn't agreed on."""
+    both = first.select(pair, F.col("winner").alias("_a")).join(second.select(pair, F.col("winner").alias("_b")), pair, "full_outer")
+    same = F.coalesce(F.col("_a") == F.col("_b"), F.lit(False))
+    return both.select(pair, F.when(same, F.col("_a")).otherwise("tie").alias("winner"), same.alias("agreed"))
+
+
+def recommended(results: DataFrame) -> DataFrame:
+    """site and model. results: model, site, verdict, secondary, and uniformity, retry, latency, memory of the model.
+
+    The model that passes every site wins all of them (of several the least figures in that order);
+    where none does, each site has its own, by verdict and the secondary figure. Ties go to the least name.
+    """
+    ranks = F.coalesce(*[F.when(F.col("verdict") == v, k) for k, v in enumerate(("PASS", "WARN", "FAIL", "SKIP"))], F.lit(99))
+    best = F.min_by("model", F.struct(ranks.alias("r"), F.coalesce("secondary", F.lit(999.0)).alias("s"), "model"))
+    per_site = results.groupBy("site").agg(best.alias("_own"))
+    sites = results.agg(F.count_distinct("site").alias("sites"))
+    swept = results.where("verdict = 'PASS'").groupBy("model").agg(F.count_distinct("site").alias("n"), F.min(F.struct("uniformity", "retry", "latency", "memory")).alias("figures"))
+    sweeper = swept.join(F.broadcast(sites), F.col("n") == F.col("sites")).agg(F.min_by("model", F.struct("figures", "model")).alias("_all"))  # one row each
+    return per_site.join(F.broadcast(sweeper), F.lit(True)).select("site", F.coalesce("_all", "_own").alias("model"), F.when(F.col("_all").isNotNull(), "single").otherwise("per_site").alias("mode"))
+
+
+def baseline_sample(rows: DataFrame, key: str, bucket: str, per_bucket: int = 25, holdout: float = 0.2, seed: int = 42) -> DataFrame:
+    """So many rows of each bucket by a hash of key and seed, with part: of all that were drawn, the last share by another hash is held out."""
+    draw = F.conv(F.substr(F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}"))), F.lit(1), F.lit(15)), 16, 10).cast("long")
+    split = F.conv(F.substr(F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}:split"))), F.lit(1), F.lit(15)), 16, 10).cast("long")
+    drawn = rows.withColumn("_d", F.row_number().over(Window.partitionBy(bucket).orderBy(draw, key))).where(F.col("_d") <= per_bucket)
+    place = F.percent_rank().over(Window.orderBy(split, key))  # the sample only: buckets times per_bucket rows
+    return drawn.withColumn("part", F.when(place >= 1 - holdout, "holdout").otherwise("dev")).drop("_d")
+
+
+def ungrounded(facts: DataFrame, profile: DataFrame, key: str, fact: str) -> DataFrame:
+    """Facts (key, fact) that aren't among the profile's, without regard to case and spaces around; each once. Blank facts don't count."""
+    plain = lambda df: df.select(key, F.lower(F.trim(fact)).alias("_f")).where(F.coalesce("_f", F.lit("")) != "")
+    return plain(facts).distinct().join(plain(profile).distinct(), [key, "_f"], "left_anti").withColumnRenamed("_f", fact)
+
+
+def assessed(payload: Column, axes: tuple[str, ...]) -> Column:
+    """The scores of a model's JSON as an array of int in the order of the axes, or null where one is missing or no number. A score may stand alone or in an object as score."""
+    one = lambda a: F.coalesce(F.get_json_object(payload, f"$.{a}.score"), F.get_json_object(payload, f"$.{a}"))
+    every = F.array(*[one(a).try_cast("double").cast("int") for a in axes])
+    return F.when(~F.exists(every, lambda x: x.isNull()), every)

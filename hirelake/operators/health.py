@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from hirelake.functions.content import error_kind
 from hirelake.plans.views import days_between
 
 
@@ -45,3 +46,26 @@ def failure_burst(events: DataFrame, as_of: Column, failed: Column, least: int =
 
 def heartbeat(*signals: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), signals)
+
+
+def degraded(sources: DataFrame) -> DataFrame:
+    """Sources that are degraded, the newest break first."""
+    return sources.where("status = 'degraded'").orderBy(F.col("last_break").desc_nulls_last(), "source")
+
+
+def needing_attention(sources: DataFrame) -> DataFrame:
+    """Sources that are degraded or hold an error, with kind, by the newest of error, break and update."""
+    kind = F.coalesce(error_kind(F.col("last_error")), F.lit("degraded"))
+    own = sources.where((F.col("status") == "degraded") | F.col("last_error").isNotNull()).withColumn("kind", kind)
+    return own.withColumn("at", F.coalesce("error_at", "last_break", "updated")).orderBy(F.col("at").desc_nulls_last(), "source")
+
+
+def verdict(alive: Column, beat: Column, beat_status: Column, stale: Column, degraded_names: Column) -> Column:
+    """struct(status, exit_code, reasons): down without a process or a heartbeat that can be read, else degraded for each cause, else ok."""
+    down = F.when(~F.coalesce(alive, F.lit(False)), "no live process").when(F.coalesce(beat_status, F.lit("missing")) == "missing", "no heartbeat").when(beat_status == "unreadable", "heartbeat unreadable")
+    causes = F.array_compact(F.array(
+        F.when(stale, F.concat(F.lit("heartbeat stale: "), F.coalesce(beat, F.lit("")))), F.when(beat_status == "degraded", F.lit("heartbeat degraded")),
+        F.when(F.size(degraded_names) > 0, F.concat(F.lit("degraded sources: "), F.array_join(degraded_names, ", "))),
+    ))
+    made = lambda s, code, reasons: F.struct(F.lit(s).alias("status"), F.lit(code).alias("exit_code"), reasons.alias("reasons"))
+    return F.when(down.isNotNull(), made("down", 2, F.array(down))).when(F.size(causes) > 0, made("degraded", 1, causes)).otherwise(made("ok", 0, causes))

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hirelake.plans import catalog_dashboard, catalog_extra, catalog_more
+from hirelake.plans import catalog_dashboard, catalog_extra, catalog_more, catalog_state
 
-_PARTS = [catalog_dashboard.R, catalog_more.R, catalog_extra.R]
+_PARTS = [catalog_dashboard.R, catalog_more.R, catalog_extra.R, catalog_state.R]
 QUERIES = {name: query for part in _PARTS for name, query in part.queries.items()}
 ORACLE_SQL = {name: text for part in _PARTS for name, text in part.oracle.items()}
 
