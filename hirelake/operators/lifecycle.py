@@ -67,3 +67,17 @@ def as_of_join(left: DataFrame, right: DataFrame, key: str, ts: str, value: str)
     b = right.select(*[F.col(c) if c in (key, ts) else F.lit(None).cast(left.schema[c].dataType).alias(c) for c in cols], F.lit(0).alias("_side"), F.col(value).alias("_value"))
     w = Window.partitionBy(key).orderBy(ts, "_side", F.col("_value")).rowsBetween(Window.unboundedPreceding, 0)
     return a.unionByName(b).withColumn("found", F.last("_value", ignorenulls=True).over(w)).where(F.col("_side") == 1).drop("_side", "_value")
+
+
+def slot_gaps(slots: DataFrame, key: str, slot: str, cycle: int) -> DataFrame:
+    """The distinct slots of each key with gap, the way to the next one; the last wraps round the cycle, and a single slot's gap is the whole cycle."""
+    w = Window.partitionBy(key).orderBy(slot)
+    first = F.min(slot).over(Window.partitionBy(key))
+    return slots.select(key, slot).where(F.col(slot).isNotNull()).distinct().withColumn("gap", F.coalesce(F.lead(slot).over(w), first + cycle) - F.col(slot))
+
+
+def confirming_events(jobs: DataFrame, events: DataFrame) -> DataFrame:
+    """dedup_key, status, event_id and ts of each job whose latest event names its present status; of equal times the greater event_id."""
+    last = events.where(F.col("to_status").isNotNull()).groupBy("job_id").agg(F.max_by(F.struct("to_status", "event_id", "ts"), F.struct("ts", "event_id")).alias("x"))
+    met = jobs.select("dedup_key", "status").join(last.select(F.col("job_id").alias("dedup_key"), "x.*"), "dedup_key")
+    return met.where(F.col("status") == F.col("to_status")).drop("to_status")

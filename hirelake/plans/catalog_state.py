@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from hirelake.operators import companies as C, evals as E, health as H, records as K
+from hirelake.operators import companies as C, evals as E, health as H, lifecycle as L, records as K
 from hirelake.plans import views as V
 from hirelake.plans.views import Registry
 from hirelake.sources import mailbox
@@ -313,3 +313,19 @@ def q_linked_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     second = F.when(key % 4 != 3, _text("https://boards.myworkdayjobs.com/", key)).otherwise("none")
     body = _text("Here's your weekly update\nEngineer ", key, "\n\nname\n(", first, ")\nUnsubscribe\n(again ", first, ".)\nFirm ", F.col("company_id"), "\n ", second, ",\nLast\n")
     return mailbox.linked_postings(V.jobs(spark, sf_dir).select("dedup_key", body.alias("body"))).select("dedup_key", "place", "title", "company", "url")
+
+
+# slots and present states
+
+@R.add("WITH s AS (SELECT DISTINCT user_id, hour(ts) AS slot FROM events) SELECT user_id, slot, coalesce(lead(slot) OVER (PARTITION BY user_id ORDER BY slot), min(slot) OVER (PARTITION BY user_id) + 24) - slot AS gap FROM s")
+def q_slot_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    slots = V.table(spark, sf_dir, "events").select("user_id", F.hour("ts").cast("long").alias("slot"))
+    return L.slot_gaps(slots, "user_id", "slot", 24)
+
+
+@R.add("""
+WITH l AS (SELECT job_id, to_status, event_id, ts FROM v_events WHERE to_status IS NOT NULL QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY ts DESC, event_id DESC) = 1)
+SELECT dedup_key, status, event_id, ts FROM v_jobs JOIN l ON job_id = dedup_key WHERE status = to_status
+""")
+def q_confirming_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.confirming_events(V.jobs(spark, sf_dir), V.stage_events(spark, sf_dir))
