@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from hirelake.llm import decontaminate, line_quality, ngram_join, packing, secrets, suffix_dedup, token_counts, toxicity, url_filters, warc
+from hirelake.llm import decontaminate, importance, language, line_quality, merkle, ngram_join, packing, secrets, suffix_dedup, token_counts, toxicity, url_filters, warc
 from hirelake.llm.shared import new_folder, small_batches, written
 
 
@@ -216,6 +216,106 @@ FROM d LEFT JOIN sizes USING (doc_id)
 """
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    told = [F.replace("text", F.lit("\n"), F.lit("")) if c == "text" else c for c in merkle.COLUMNS]
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, merkle.leaf(told)).otherwise(merkle.leaf(merkle.COLUMNS))
+    rows = merkle.manifest(documents, carry={"shown": tampered})
+    rows = rows.withColumn("folded_root", merkle.folded(F.col("shown"), F.col("path")))
+    proof = F.sha2(merkle.siblings(F.col("path")), 256).alias("proof_sha256")
+    return rows.select("doc_id", "leaf", "subroot", "root", proof, "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+#: The table of CRC-32 as a common table expression, and the CRC-32 of a list of bytes.
+SQL_CRC = """crc AS (
+  SELECT list(c ORDER BY i) AS t
+  FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(3988292384, c // 2) ELSE c // 2 END) AS c FROM range(256) r(i))
+)"""
+
+
+def _sql_crc(text: str) -> str:
+    digits = f"list_transform(range(1, strlen({text}) + 1), lambda i: (instr('0123456789ABCDEF', substr(hex(encode({text})), 2 * i - 1, 1)) - 1) * 16 + instr('0123456789ABCDEF', substr(hex(encode({text})), 2 * i, 1)) - 1)"
+    return f"xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, {digits}), lambda a, b: xor(t[xor(a % 256, b) + 1], a // 256)))"
+
+
+SQL_OP11 = f"""
+WITH RECURSIVE {SQL_CRC}, cut AS (
+  SELECT doc_id, source, concat(coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-'), coalesce(strlen(source) || ':' || source, '-'),
+         coalesce(strlen(lang) || ':' || lang, '-'), coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-')) AS head,
+         CASE WHEN {_sql_crc("doc_id::VARCHAR")} % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS shown, text
+  FROM documents, crc
+), leaves AS (
+  SELECT doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf, sha256(head || coalesce(strlen(shown) || ':' || shown, '-')) AS shown,
+         row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS place
+  FROM cut
+), tree AS (
+  SELECT source, 0 AS level, list(leaf ORDER BY doc_id) AS nodes FROM leaves GROUP BY source
+  UNION ALL
+  SELECT source, level + 1, list_transform(range(0, len(nodes), 3), lambda i: sha256(array_to_string(nodes[i + 1:i + 3], ''))) FROM tree WHERE len(nodes) > 1
+), subroots AS (
+  SELECT source, nodes[1] AS subroot, row_number() OVER (ORDER BY encode(source) NULLS FIRST) - 1 AS place FROM tree WHERE len(nodes) = 1
+), top AS (
+  SELECT 0 AS level, list(subroot ORDER BY place) AS nodes FROM subroots
+  UNION ALL
+  SELECT level + 1, list_transform(range(0, len(nodes), 3), lambda i: sha256(array_to_string(nodes[i + 1:i + 3], ''))) FROM top WHERE len(nodes) > 1
+), own AS (
+  SELECT doc_id, level, place // (3 ** level)::BIGINT AS p, nodes FROM leaves JOIN tree ON leaves.source IS NOT DISTINCT FROM tree.source WHERE len(nodes) > 1
+  UNION ALL
+  SELECT doc_id, 100 + level, subroots.place // (3 ** level)::BIGINT AS p, nodes FROM leaves JOIN subroots ON leaves.source IS NOT DISTINCT FROM subroots.source, top WHERE len(nodes) > 1
+), steps AS (
+  SELECT doc_id, level, array_to_string(nodes[p - p % 3 + 1:p], '') AS before, array_to_string(nodes[p + 2:p - p % 3 + 3], '') AS after FROM own
+), paths AS (
+  SELECT doc_id, string_agg(before || after, '' ORDER BY level) AS proof, list(before || '|' || after ORDER BY level) AS steps FROM steps GROUP BY doc_id
+), folds AS (
+  SELECT leaves.doc_id, leaf, subroot, (SELECT nodes[1] FROM top WHERE len(nodes) = 1) AS root, sha256(coalesce(proof, '')) AS proof_sha256,
+         list_reduce(list_prepend(shown, coalesce(steps, [])), lambda a, s: sha256(split_part(s, '|', 1) || a || split_part(s, '|', 2))) AS folded_root
+  FROM leaves JOIN subroots ON leaves.source IS NOT DISTINCT FROM subroots.source LEFT JOIN paths ON paths.doc_id = leaves.doc_id
+)
+SELECT *, folded_root = root AS verified FROM folds
+"""
+
+
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    model = language.train(documents.where(language.learnable()))
+    held_out = (F.crc32(F.col("doc_id").cast("string")) % 4 == 2).alias("held_out")
+    return language.predict(documents, model).select("doc_id", held_out, "lang_pred", "score")
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = importance.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+SQL_OP13 = f"""
+WITH {SQL_CRC}, texts AS (
+  SELECT doc_id, false AS target, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents
+  UNION ALL
+  SELECT NULL, true, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') FROM benchmark
+), grams AS (
+  SELECT doc_id, target, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS g FROM texts
+), counted AS (
+  SELECT doc_id, target, g, count(*) AS n FROM grams GROUP BY doc_id, target, g
+), hashed AS (
+  SELECT g, {_sql_crc("g")} % 10000 AS bucket FROM (SELECT DISTINCT g FROM counted), crc
+), sums AS (
+  SELECT bucket, coalesce(sum(n) FILTER (NOT target), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (target), 0)::DOUBLE AS t FROM counted JOIN hashed USING (g) GROUP BY bucket
+), gains AS (
+  SELECT bucket, floor(1000 * ln((t + 1) * (sum(s) OVER () + 10000) / ((s + 1) * (sum(t) OVER () + 10000)))) AS gain FROM sums
+), weighed AS (
+  SELECT doc_id, sum(n)::BIGINT AS n_features, floor(sum(n * gain) / sum(n))::BIGINT AS weight
+  FROM counted JOIN hashed USING (g) JOIN gains USING (bucket) WHERE NOT target GROUP BY doc_id
+), scored AS (
+  SELECT doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || left(sha256('7:' || doc_id), 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+  FROM texts LEFT JOIN weighed USING (doc_id) WHERE NOT target
+), ranks AS (
+  SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM scored WHERE n_words >= 20
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 25 * n // 100 THEN rank END AS rank FROM scored LEFT JOIN ranks USING (doc_id)
+"""
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_token_counts": op2_token_counts,
@@ -227,6 +327,9 @@ QUERIES = {
     "op6_url_filters": op6_url_filters,
     "op9_line_quality": op9_line_quality,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_language_id": op12_language_id,
+    "op13_importance_resampling": op13_importance_resampling,
 }
 
 ORACLE_SQL = {
@@ -235,4 +338,6 @@ ORACLE_SQL = {
     "op6_url_filters": SQL_OP6,
     "op9_line_quality": SQL_OP9,
     "op10_ngram_jaccard_join": SQL_OP10,
+    "op11_merkle_manifest": SQL_OP11,
+    "op13_importance_resampling": SQL_OP13,
 }
