@@ -264,8 +264,9 @@ def title_and_company(title: Column) -> Column:
 
 
 def json_or(text: Column, schema: str, default: Column) -> Column:
-    """The parsed JSON, or the default where it is null or broken."""
-    return F.coalesce(F.from_json(text, schema), default)
+    """The parsed JSON, or the default where it is null, broken or the JSON null. (A parser that is lenient makes a struct of nulls of broken text.)"""
+    sound = F.coalesce(F.get_json_object(text, "$"), F.lit("null")) != "null"
+    return F.coalesce(F.when(sound, F.from_json(text, schema)), default)
 
 
 def one_of(value: Column, allowed: tuple[str, ...]) -> Column:

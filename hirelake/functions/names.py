@@ -126,3 +126,8 @@ def body_mentions(words: Column, body: Column, stem: int = 5) -> Column:
     """Whether the beginning of any of the words is in the body."""
     low = F.lower(body)
     return F.exists(words, lambda w: F.contains(low, F.left(w, F.lit(stem))))
+
+
+def is_target_role(title: Column, words: tuple[str, ...]) -> Column:
+    """Whether a title has one of the words, whole; a null title hasn't."""
+    return F.coalesce(F.regexp_like(title, F.lit(r"(?i)\b(?:" + "|".join(words) + r")\b")), F.lit(False))

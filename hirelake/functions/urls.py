@@ -168,3 +168,9 @@ def ranked_results(urls: Column, blocked: tuple[str, ...], ranked: tuple[str, ..
     once = F.filter(F.array_distinct(urls), lambda u: ~under(u, blocked))
     marked = F.transform(once, lambda u, i: F.struct(domain_rank(u, ranked).alias("r"), i.alias("i"), u.alias("u")))
     return F.transform(F.array_sort(marked), lambda x: x["u"])
+
+
+def requisition_in(url: Column) -> Column:
+    """The number of a posting that stands in an address: two capitals and six digits or more, else 15 digits or more, else jobId; null for none."""
+    found = [F.regexp_extract(url, p, g) for p, g in ((r"[A-Z]{2}\d{6,}[A-Z0-9\-]*", 0), (r"\b\d{15,}\b", 0), (r"[?&]jobId=([A-Za-z0-9\-]+)", 1))]
+    return F.coalesce(*(F.nullif(x, F.lit("")) for x in found))

@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import math
+from collections.abc import Iterator
+from statistics import NormalDist
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 
 def errors(pairs: DataFrame, true: str, predicted: str) -> DataFrame:
@@ -91,6 +98,101 @@ def bootstrap_mean(rows: DataFrame, key: str, value: str, group: str, resamples:
     return rows.groupBy(group).agg(F.avg(value).alias("mean")).join(ends_of, group, "left")
 
 
+#: Chances of 0, 1, ... draws of a row in a resample of a large table (Poisson with mean 1), added up.
+_DRAWS = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(12)])
+_MIXERS = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
+
+
+def draws(hashes: np.ndarray, resamples: int, seed: int) -> np.ndarray:
+    """How often each row is in each resample: a function of the row's hash alone, so that lost tasks draw again what they drew."""
+    x = hashes.astype(np.uint64)[:, None] + (np.arange(resamples, dtype=np.uint64) + np.uint64(seed) * np.uint64(1 << 32) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    x ^= x >> np.uint64(30)
+    x *= _MIXERS[0]
+    x ^= x >> np.uint64(27)
+    x *= _MIXERS[1]
+    x ^= x >> np.uint64(31)
+    return np.searchsorted(_DRAWS, (x >> np.uint64(11)).astype(np.float64) / (1 << 53), side="right")
+
+
+def resampled_sums(rows: DataFrame, key: str, value: str, group: str, resamples: int, seed: int) -> DataFrame:
+    """group, b, w and wx: the sums of draws and of draws times value of each resample.
+
+    A task keeps one array of sums a group and sends it once, so rows are never copied; at most 64 groups are held at a time.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for name, (w, wx) in held.items():
+                columns = {group: pa.array([name] * resamples, kind), "b": pa.array(np.arange(resamples, dtype=np.int32)), "w": pa.array(w), "wx": pa.array(wx)}
+                yield pa.RecordBatch.from_pydict(columns)
+            held.clear()
+
+        for batch in batches:
+            kind = batch.schema.types[0]
+            names, hashes, values = batch.column(0).dictionary_encode(), np.array(batch.column(1)), np.array(batch.column(2), dtype=np.float64)
+            code = np.array(names.indices.fill_null(-1))
+            for c in np.unique(code).tolist():
+                name = names.dictionary[c].as_py() if c >= 0 else None
+                w, wx = held.setdefault(name, (np.zeros(resamples), np.zeros(resamples)))
+                at = np.flatnonzero(code == c)
+                for a in range(0, len(at), 256):
+                    own = at[a : a + 256]
+                    n = draws(hashes[own], resamples, seed)
+                    w += n.sum(axis=0)
+                    wx += values[own] @ n
+            if len(held) > 64:
+                yield from out()
+        yield from out()
+
+    own = rows.where(F.col(value).isNotNull()).select(group, F.xxhash64(key).alias("h"), F.col(value).cast("double").alias("x"))
+    kind = T.StructType([rows.schema[group], *T.StructType.fromDDL("b int, w double, wx double").fields])
+    return own.mapInArrow(run, kind).groupBy(group, "b").agg(F.sum("w").alias("w"), F.sum("wx").alias("wx"))
+
+
+def bca_ends(estimates: np.ndarray, value: float, acceleration: float, ci: float = 0.95) -> tuple[float, float]:
+    """The ends of a bias-corrected and accelerated interval, of the resamples' estimates."""
+    normal, n = NormalDist(), len(estimates)
+    below = ((estimates < value).sum() + (estimates <= value).sum()) / (2 * n)
+    if not 0 < below < 1:
+        return float("nan"), float("nan")
+    bias, out = normal.inv_cdf(below), []
+    for tail in ((1 - ci) / 2, (1 + ci) / 2):
+        z = bias + normal.inv_cdf(tail)
+        out.append(float(np.quantile(estimates, normal.cdf(bias + z / (1 - acceleration * z)))))
+    return out[0], out[1]
+
+
+def bca_mean(rows: DataFrame, key: str, value: str, group: str, resamples: int = 10_000, seed: int = 42, ci: float = 0.95) -> DataFrame:
+    """n, mean, low and high of each group: the BCa bootstrap interval of the mean.
+
+    Bias comes from the share of resamples below the mean, acceleration from the leave-one-out means,
+    which need no second pass over pairs of rows: for a mean it is the third central moment over six
+    times the second to the power of 1.5. Draws are Poisson and come from the rows' hashes, so the
+    ends agree with those of another generator up to chance. One row has no ends (null), equal rows
+    have their value at both. A group's resamples (a parameter) are gathered, never its rows.
+    """
+    counted = rows.where(F.col(value).isNotNull()).groupBy(group).agg(
+        F.count("*").alias("n"), F.avg(F.col(value).cast("double")).alias("mean"), F.skewness(F.col(value).cast("double")).alias("skew"), F.min(value).cast("double").alias("least"), F.max(value).cast("double").alias("most")
+    )
+    sums = resampled_sums(rows, key, value, group, resamples, seed).where("w > 0")
+    lists = sums.groupBy(group).agg(F.collect_list(F.col("wx") / F.col("w")).alias("m"))
+    same = counted[group].eqNullSafe(lists[group])
+    ready = counted.join(lists, same, "left").drop(lists[group])
+
+    @F.pandas_udf("struct<low:double,high:double>")
+    def ends(n: pd.Series, mean: pd.Series, skew: pd.Series, least: pd.Series, most: pd.Series, m: pd.Series) -> pd.DataFrame:
+        out = []
+        for count, value_, s, a, b, found in zip(n, mean, skew, least, most, m, strict=True):
+            flat = a == b
+            out.append((None, None) if count < 2 else (value_, value_) if flat else bca_ends(np.asarray(found), value_, s / (6 * math.sqrt(count)), ci))
+        return pd.DataFrame(out, columns=["low", "high"], dtype="float64")
+
+    found = ready.withColumn("e", ends("n", "mean", "skew", "least", "most", "m"))
+    return found.select(group, "n", "mean", F.nanvl("e.low", F.lit(None)).alias("low"), F.nanvl("e.high", F.lit(None)).alias("high"))
+
+
 def per_job(runs: DataFrame, job: str, predicted: str) -> DataFrame:
     """The mean of each job's runs, to a whole number by halves to even."""
     return runs.groupBy(job).agg(F.bround(F.avg(predicted)).alias("mean"), F.count(predicted).alias("runs"))

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hirelake.plans import catalog_dashboard, catalog_extra, catalog_more, catalog_state
+from hirelake.plans import catalog_dashboard, catalog_extra, catalog_more, catalog_pages, catalog_rounds, catalog_state
+from hirelake.plans.views import whole
 
-_PARTS = [catalog_dashboard.R, catalog_more.R, catalog_extra.R, catalog_state.R]
-QUERIES = {name: query for part in _PARTS for name, query in part.queries.items()}
-ORACLE_SQL = {name: text for part in _PARTS for name, text in part.oracle.items()}
+_PARTS = [catalog_dashboard.R, catalog_more.R, catalog_extra.R, catalog_state.R, catalog_pages.R, catalog_rounds.R]
+QUERIES = whole(*(part.queries for part in _PARTS))
+ORACLE_SQL = whole(*(part.oracle for part in _PARTS))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

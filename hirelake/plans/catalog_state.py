@@ -223,7 +223,7 @@ _SOURCES = """s AS (SELECT user_id, 'u' || user_id AS source, CASE WHEN user_id
 
 
 @R.add(f"WITH {_SOURCES} SELECT source, last_break FROM s WHERE status = 'degraded'")
-def q_degraded(spark: SparkSession, sf_dir: str) -> DataFrame:
+def q_degraded_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.degraded(_sources(spark, sf_dir)).select("source", "last_break")
 
 

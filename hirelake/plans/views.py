@@ -118,9 +118,21 @@ class Registry:
 
     def add(self, oracle: str | None = None) -> Callable[[Query], Query]:
         def keep(query: Query) -> Query:
+            if query.__name__ in self.queries:
+                raise ValueError(f"two queries of the name {query.__name__}")
             self.queries[query.__name__] = query
             if oracle is not None:
                 self.oracle[query.__name__] = sql(oracle)
             return query
 
         return keep
+
+
+def whole(*parts: dict) -> dict:
+    """All entries of the parts; a name that two of them have raises."""
+    out: dict = {}
+    for part in parts:
+        if clash := out.keys() & part.keys():
+            raise ValueError(f"names that are used twice: {sorted(clash)}")
+        out |= part
+    return out

@@ -7,6 +7,7 @@ empty wins. What a platform doesn't give is null, so a later step may fill it.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import chain
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -105,6 +106,42 @@ def record(payload: Column, platform: str, slug: Column | None = None) -> dict[s
     }
 
 
+def record_of(payload: Column, platform: Column, slug: Column) -> Column:
+    """The fields of payloads of any platform as one struct: the rules are looked up by the row's platform, so one plan maps them all. Unknown platforms: nulls."""
+    names = sorted({n for rule in RULES.values() for n in rule})
+    # each platform's paths, a field an array, looked up once a row
+    rules = F.create_map(*chain.from_iterable((F.lit(p), F.struct(*(F.array(*(F.lit(f"$.{x}") for x in rule.get(n, ()))).cast("array<string>").alias(n) for n in names))) for p, rule in RULES.items()))
+
+    def looked_up(row: Column) -> Column:
+        def each(n: str) -> Column:
+            return F.filter(F.transform(row["rule"][n], lambda p: F.nullif(F.trim(F.call_function("get_json_object", row["payload"], p)), F.lit(""))), lambda v: v.isNotNull())
+
+        return F.struct(*(row[n].alias(n) for n in ("payload", "platform", "slug")), *(each(n).alias(n) for n in names))
+
+    def fields(row: Column) -> Column:
+        kind, first = row["platform"], {n: F.get(row[n], F.lit(0)) for n in names}
+        remote = F.lower(F.coalesce(first["remote"], first["workplace"]))
+        place = F.when(kind.isin(*JOINED), F.nullif(F.array_join(row["location"], ", "), F.lit(""))).when((kind == "ashby") & (remote == "true"), F.coalesce(first["location"], F.lit("Remote"))).otherwise(first["location"])
+        url = (
+            F.when(kind == "smartrecruiters", F.concat(F.lit("https://jobs.smartrecruiters.com/"), row["slug"], F.lit("/"), first["source_id"]))
+            .when(kind == "workday", F.concat(F.lit("https://"), row["slug"], F.lit(".myworkdayjobs.com"), first["path"]))
+            .when(kind == "amazon", F.concat(F.lit("https://www.amazon.jobs"), first["url"])).otherwise(first["url"])
+        )
+        ident = F.when(kind == "workday", F.nullif(F.regexp_extract(first["path"], r"_([^_/]+)$", 1), F.lit(""))).otherwise(first["source_id"])
+        posted = F.coalesce(first["posted"].try_cast("timestamp"), F.timestamp_millis(first["posted_ms"].try_cast("long")))
+        low, high = (F.coalesce(first[f"pay_{x}"].try_cast("double"), first[f"cents_{x}"].try_cast("double") / 100) for x in ("min", "max"))
+        return F.struct(
+            F.when(kind == "phenom", title_from_slug(first["url"])).otherwise(first["title"]).alias("title"), url.alias("url"), place.alias("location"),
+            F.coalesce(first["body"], html_to_text(first["html"])).alias("body"), ident.alias("source_id"), posted.alias("posted"), F.when(posted.isNotNull(), "exact").alias("posted_precision"),
+            first["refreshed"].try_cast("timestamp").alias("refreshed"), F.when(remote.isNotNull(), remote.isin("true", "remote")).alias("is_remote"), low.alias("pay_low"), high.alias("pay_high"),
+            F.when(low.isNotNull() | high.isNotNull(), period_of(first["interval"])).alias("period"), F.upper(first["currency"]).alias("currency"),
+        )
+
+    # the row's values pass through arrays of one, so that no step repeats the one before it
+    once = F.array(F.struct(payload.alias("payload"), platform.alias("platform"), slug.alias("slug"), F.try_element_at(rules, platform).alias("rule")))
+    return F.get(F.transform(F.transform(once, looked_up), fields), F.lit(0))
+
+
 def records(payloads: DataFrame, platform: str, payload: str = "payload", wanted: tuple[str, ...] = (), unwanted: tuple[str, ...] = (), slug: str | None = None) -> DataFrame:
     """One row per payload whose raw title passes the gate, with its locations parsed; without title or URL it is left out."""
     fields = record(F.col(payload), platform, F.col(slug) if slug else None)

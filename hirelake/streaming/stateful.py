@@ -85,7 +85,7 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder in the one that spark.checkpoint.dir names; where that is unset, in a temporary one of a local session."""
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not top:
-        if not spark.sparkContext.master.startswith("local"):
+        if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         top = tempfile.mkdtemp(prefix="hirelake-")
         spark.sparkContext.setCheckpointDir(top)
