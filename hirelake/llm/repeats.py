@@ -4,6 +4,11 @@ A task hashes its rows' parts in batches. Parts that repeat inside a batch are k
 passed on, and their bucket gets one mark; the others go to buckets as 32 bits each. So a part that
 a third of all rows share sends one mark a batch and never fills a bucket. Equal texts of a batch
 count once, under the least id of them. A part is told from others by 32 bits and its bucket.
+
+Buckets grow in number with the corpus and have one size. Up to GROUPS of them a task deals its
+parts straight to buckets; beyond that it deals them to GROUPS groups of neighbouring buckets first,
+and tasks that each hold many parts of a few groups deal those on. So an entry never holds just a
+few parts, and what a task does for a million parts doesn't grow with the corpus.
 """
 
 from __future__ import annotations
@@ -12,12 +17,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from hirelake.llm import text as tx
 
 #: Parts of a bucket, and of a batch that a task holds at once, about.
 BUCKET, BATCH = 2_000_000, 1_000_000
+#: Places that a task deals parts to at most.
+GROUPS = 2048
 
 _ENTRY = pa.schema({"bucket": pa.int32(), "kind": pa.int32(), "ids": pa.binary(), "counts": pa.binary(), "keys": pa.binary(), "places": pa.binary()})
 _ENTRIES = "bucket int, kind int, ids binary, counts binary, keys binary, places binary"
@@ -36,47 +43,84 @@ def _starts(rows: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.append(True, rows[1:] != rows[:-1])) if len(rows) else np.zeros(0, np.int64)
 
 
-def _flush(buckets: int, hashes: np.ndarray, rows: np.ndarray, places: np.ndarray | None, ids: np.ndarray) -> pa.RecordBatch:
+def _pack(out: dict[str, list], kind: int, parts: np.ndarray, rows: np.ndarray, places: np.ndarray | None, ids: np.ndarray, each: int) -> None:
+    """An entry for each bucket, or group of `each` buckets, that any of the parts is in: a loop over what there is. Groups keep the whole parts."""
+    to = (parts >> np.uint64(32)).astype(np.int64) // each
+    order = np.lexsort((rows, to))
+    for at in np.split(order, _starts(to[order])[1:]) if len(order) else []:
+        new = _starts(rows[at])
+        counts = np.diff(np.append(new, len(at))).astype(np.uint32)
+        keys = parts[at] if each > 1 else parts[at].astype(np.uint32)
+        mark = kind == _MARK
+        found = (int(to[at[0]]), kind, b"" if mark else ids[rows[at[new]]].tobytes(), b"" if mark else counts.tobytes(), keys.tobytes(), b"" if places is None else places[at].tobytes())
+        for name, value in zip(out, found, strict=True):
+            out[name].append(value)
+
+
+def _flush(buckets: int, hashes: np.ndarray, rows: np.ndarray, places: np.ndarray | None, ids: np.ndarray, each: int = 1) -> pa.RecordBatch:
     where = (hashes >> np.uint64(32)) % np.uint64(buckets)
     parts = (where << np.uint64(32)) | (hashes & np.uint64(0xFFFFFFFF))
     order = np.argsort(parts, kind="stable")  # rows stay in order within a part
     parts, rows = parts[order], rows[order]
-    places = parts.view(np.int64) if places is None else places[order]
+    places = None if places is None else places[order]
     same = parts[1:] == parts[:-1]
     repeated = np.append(False, same) | np.append(same, False) if len(parts) else np.zeros(0, bool)
     out: dict[str, list] = {k: [] for k in _ENTRY.names}
-
-    def add(bucket: int, kind: int, at: np.ndarray) -> None:
-        at = at[np.argsort(rows[at], kind="stable")]
-        new = _starts(rows[at])
-        counts = np.diff(np.append(new, len(at))).astype(np.uint32)
-        keys = parts[at].astype(np.uint32) if kind == _SINGLE else parts[:0]
-        own = places[at] if kind == _PASSED or places.dtype != np.int64 else places[:0]
-        for name, value in zip(out, (bucket, kind, ids[rows[at[new]]].tobytes(), counts.tobytes(), keys.tobytes(), own.astype(np.int64 if kind == _PASSED else own.dtype).tobytes()), strict=True):
-            out[name].append(value)
-
-    single, cut = np.flatnonzero(~repeated), np.arange(buckets + 1, dtype=np.uint64) << np.uint64(32)
-    bounds = np.searchsorted(parts[single], cut)
-    marks = np.unique(parts[repeated])
-    marked = np.searchsorted(marks, cut)
-    for b in range(buckets):
-        if bounds[b] < bounds[b + 1]:
-            add(b, _SINGLE, single[bounds[b] : bounds[b + 1]])
-        if marked[b] < marked[b + 1]:
-            own = marks[marked[b] : marked[b + 1]].astype(np.uint32)
-            for name, value in zip(out, (b, _MARK, b"", b"", own.tobytes(), b""), strict=True):
-                out[name].append(value)
+    single, marks = np.flatnonzero(~repeated), np.unique(parts[repeated])
+    _pack(out, _SINGLE, parts[single], rows[single], None if places is None else places[single], ids, each)
+    _pack(out, _MARK, marks, np.zeros(len(marks), np.int64), None, ids, each)
     again = np.flatnonzero(repeated)
     groups = max(1, len(again) // 500_000)
     for p in range(groups):
         at = again[rows[again] % groups == p]
         if len(at):  # any group will do, as long as few share it: these are only passed on
             salt = np.sum(tx.mix(ids[np.unique(rows[at])].view(np.uint64)), dtype=np.uint64, keepdims=True)
-            add(-1 - (int(tx.mix(salt)[0]) >> 34), _PASSED, at)
+            at = at[np.argsort(rows[at], kind="stable")]
+            new = _starts(rows[at])
+            counts = np.diff(np.append(new, len(at))).astype(np.uint32)
+            own = (parts[at].view(np.int64) if places is None else places[at]).astype(np.int64)
+            found = (-1 - (int(tx.mix(salt)[0]) >> 34), _PASSED, ids[rows[at[new]]].tobytes(), counts.tobytes(), b"", own.tobytes())
+            for name, value in zip(out, found, strict=True):
+                out[name].append(value)
     return pa.RecordBatch.from_pydict(out, _ENTRY)
 
 
-def _entries(parts_of: Callable[[pa.RecordBatch], Iterator[Parts]], buckets: int, most: int, by_digest: bool):
+def _split(most: int):
+    """Deals the parts of groups on to their buckets, as many at once as a task may hold."""
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple]] = {_SINGLE: [], _MARK: []}
+
+        def ready() -> pa.RecordBatch:
+            out: dict[str, list] = {k: [] for k in _ENTRY.names}
+            for kind, entries in held.items():
+                if entries:
+                    ids, parts, rows, places = ([e[k] for e in entries] for k in range(4))
+                    shift = np.cumsum([0, *(len(i) for i in ids[:-1])])
+                    row = np.concatenate([r + n for r, n in zip(rows, shift, strict=True)])
+                    own = None if places[0] is None else np.concatenate(places)
+                    _pack(out, kind, np.concatenate(parts), row, own, np.concatenate(ids), 1)
+                entries.clear()
+            return pa.RecordBatch.from_pydict(out, _ENTRY)
+
+        n = 0
+        for batch in batches:
+            passed = np.array(batch.column(1)) == _PASSED
+            yield batch.filter(pa.array(passed))
+            for _, kind, i, c, k, p in zip(*(batch.filter(pa.array(~passed)).column(name).to_pylist() for name in _ENTRY.names), strict=True):
+                ids, parts = np.frombuffer(i, np.int64), np.frombuffer(k, np.uint64)
+                rows = np.zeros(len(parts), np.int64) if kind == _MARK else np.repeat(np.arange(len(ids)), np.frombuffer(c, np.uint32))
+                held[kind].append((ids, parts, rows, np.frombuffer(p, np.uint32) if p else None))
+                n += len(parts)
+                if n >= most:
+                    yield ready()
+                    n = 0
+        yield ready()
+
+    return split
+
+
+def _entries(parts_of: Callable[[pa.RecordBatch], Iterator[Parts]], buckets: int, most: int, by_digest: bool, each: int = 1):
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         n = rows = 0
@@ -85,7 +129,7 @@ def _entries(parts_of: Callable[[pa.RecordBatch], Iterator[Parts]], buckets: int
         def ready() -> Iterator[pa.RecordBatch]:
             if n:
                 places = None if held[0][2] is None else np.concatenate([h[2] for h in held])
-                yield _flush(buckets, np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]), places, np.concatenate([h[3] for h in held]))
+                yield _flush(buckets, np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]), places, np.concatenate([h[3] for h in held]), each)
 
         for batch in batches:
             ids = np.array(batch.column(0), dtype=np.int64)
@@ -192,7 +236,12 @@ def repeated(
     the head of its text's digest, so rows with one id and different texts are apart.
     """
     buckets = max(1, -(-total // bucket))
-    entries = rows.mapInArrow(_entries(parts_of, buckets, batch, by_digest), _ENTRIES)
+    each = -(-buckets // GROUPS)
+    entries = rows.mapInArrow(_entries(parts_of, buckets, batch, by_digest, each), _ENTRIES)
+    if each > 1:
+        turns = max(1, total // GROUPS // (8 * batch))  # tasks that share a group
+        dealt = entries.repartition(F.col("bucket"), F.pmod(F.spark_partition_id(), F.lit(turns))).sortWithinPartitions("bucket")
+        entries = dealt.mapInArrow(_split(batch), _ENTRIES)
     partitions = max(buckets, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     found = entries.repartition(partitions, "bucket").groupBy("bucket").applyInArrow(_shared(partitions), "group int, ids binary, counts binary, places binary")
     return found.repartition(partitions, "group").groupBy("group").applyInArrow(_by_id, "id long, places array<long>")

@@ -199,3 +199,46 @@ def test_decontamination(spark, block_bytes):
     want = brute.contaminated(docs, items)
     assert kept.columns == clash.columns and sorted(x.n_words for x in kept.collect()) == [i for i, (d, _) in enumerate([*docs, docs[0]]) if not want[d][1]]
     assert decontaminate.find(rows(spark, docs), bench.limit(0)).where("size(starts) > 0").count() == 0
+
+
+@pytest.mark.parametrize("buckets", [1, 1000, 400_000, 8_000_000])
+def test_dealing_does_not_walk_all_buckets(buckets):
+    """What a task makes of its parts is bounded by the parts and by GROUPS, not by the buckets that the corpus has."""
+    r = np.random.default_rng(1)
+    hashes = (r.integers(0, 1 << 31, 200_000, dtype=np.uint64) << np.uint64(32)) | np.arange(200_000, dtype=np.uint64)
+    each = -(-buckets // repeats.GROUPS)
+    found = repeats._flush(buckets, hashes, np.repeat(np.arange(200), 1000), None, np.arange(200), each)
+    assert found.num_rows <= min(buckets, repeats.GROUPS) * 2 + 1
+    width = 4 if each == 1 else 8
+    assert sum(len(k) for k in found["keys"].to_pylist()) == width * len(hashes)
+
+
+@pytest.mark.parametrize(("groups", "batch"), [(10_000, 300), (3, 300), (1, 50), (7, 100_000)])
+def test_repeated_parts_through_groups(spark, monkeypatch, groups, batch):
+    """With and without the step through groups of buckets, the same parts are found."""
+    monkeypatch.setattr(repeats, "GROUPS", groups)
+    r = random.Random(groups)
+    docs = [(i, [r.randrange(4000) for _ in range(r.randint(0, 40))]) for i in range(300)] + [(1000 + i, [5, 6, 7]) for i in range(50)]
+    table = spark.createDataFrame(docs, "id long, p array<long>").repartition(6)
+
+    def parts_of(batch):
+        import hashlib
+
+        lists = batch.column(1)
+        flat = np.asarray(lists.flatten()).astype(np.uint64)
+        row = np.repeat(np.arange(len(lists)), np.asarray(lists.value_lengths(), dtype=np.int64))
+        place = np.arange(len(flat), dtype=np.uint32) - np.repeat(np.asarray(lists.offsets)[:-1], np.asarray(lists.value_lengths(), dtype=np.int64)).astype(np.uint32)
+        digests = [hashlib.sha256(str(x).encode()).digest() for x in lists.to_pylist()]
+        yield 0, len(lists), repeats.tx.mix(flat + np.uint64(1)), row, place, digests
+
+    got = {x.id: x.places for x in repeats.repeated(table, parts_of, 8000, bucket=100, batch=batch).collect()}
+    # equal lists of one batch count once, under the least id; at least one of them is there
+    seen = {}
+    for i, p in docs:
+        for v in set(p):
+            seen.setdefault(v, set()).add(tuple(p))
+    for i, p in docs[:300]:
+        elsewhere = [k for k, v in enumerate(p) if len(seen[v]) > 1 or p.count(v) > 1]
+        assert set(elsewhere) <= set(got.get(i, [])) or not p, i
+        extra = set(got.get(i, [])) - set(elsewhere)
+        assert not extra or sum(q == p for _, q in docs) > 1
