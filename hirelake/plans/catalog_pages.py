@@ -8,7 +8,7 @@ from hirelake.functions import blocks as B, content
 from hirelake.operators import gazetteer as G
 from hirelake.plans import views as V
 from hirelake.plans.views import Registry
-from hirelake.sources import boards, captures, recipes
+from hirelake.sources import boards, captures, recipes, senders
 from hirelake.streaming.stateful import shared_folder
 
 R = Registry()
@@ -261,3 +261,42 @@ def q_json_or(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.when(F.col("event_id") % 4 == 0, F.col("props")).when(F.col("event_id") % 4 == 1, F.substring("props", 1, 5)).when(F.col("event_id") % 4 == 2, "nope")
     got = content.json_or(text, "k long", F.struct(F.lit(-1).cast("long").alias("k")))
     return V.table(spark, sf_dir, "events").select("event_id", got["k"].alias("k"))
+
+
+# alert mail by senders
+
+#: Sender of each kind of mail, and its card of a part: t, c and k stand for title, company and key.
+_MAILS = {
+    "a@glassdoor.com": """<a href="https://www.glassdoor.com/partner/jobListing.htm?x=1&amp;jobListingId={k}"><span class="gd-628b46d9ce">{c}</span><p class="gd-6c2846d4dc">{t}</p><p class="gd-28d35bae2f">Austin, TX</p><p class="gd-28d35bae2f">$120K - $150K</p></a>""",
+    "b@glassdoor.com": """<a href="https://www.glassdoor.com/partner/jobListing.htm?jobListingId={k}"><span><span>{c}</span><span>3.6 ★</span></span><p>5d</p><p>$90K - $110K</p><p>{t}</p><p>Austin, TX</p></a>""",
+    "c@glassdoor.com": """<a href="https://www.glassdoor.com/partner/jobListing.htm?jobListingId={k}"><img src="l"></a><a href="https://www.glassdoor.com/partner/jobListing.htm?jobListingId={k}"><table><tr><td class="gd-10qqdaw">{t}</td></tr></table><span class="gd-forujw">{c} · </span><span class="gd-56kyx5">Austin, TX</span></a>""",
+    "no-reply@ziprecruiter.com": """<div><a href="https://www.ziprecruiter.com/jobs/x/{k}">{t}</a><span>{c}</span><p>Austin, TX</p></div>""",
+    "m@notifications.monster.com": """<table class="width-100"><tr><td><a class="hdline-2" href="https://click.monster.com/{k}">{t}</a></td></tr><tr><td class="hdline-3 left-20"><span class="hdline-3">{c}</span><span class="hdline-3"> - </span><span class="hdline-3">Austin</span><span class="hdline-3"> - </span><span class="hdline-3">TX</span></td></tr></table>""",
+    "hello@trueup.io": """<div style="border:1px solid #ccc"><a href="https://boards.example.org/p/{k}">{t}</a><a href="https://www.trueup.io/co/x">{c}</a><div>AUSTIN, TX</div></div>""",
+    "noreply@jobright.ai": """<a href="https://jobright.ai/jobs/info/aaaaaaaaaaaaaaaaaaaa{k}"><p style="font-weight:600">{c}</p><p>Health · Series B</p><span>93 %</span><a href="https://jobright.ai/jobs/info/aaaaaaaaaaaaaaaaaaaa{k}">{t}</a><p>Austin, TX</p><a href="#">APPLY NOW</a></a>""",
+    "no-reply@us.greenhouse-jobs.com": "{t}\n( https://job-boards.greenhouse.io/acme/jobs/{k}?gh_src=1 )\n\n{c}\nDepartment\n\n",
+    "alert@indeed.com": "{t}\n{c} - Austin, TX\n$70,000 a year\nEasily apply\nJust posted\nhttps://engage.indeed.com/f/a/{k}\n\n",
+    "donotreply@match.indeed.com": "{t}\n{c} - Austin, TX\nhttps://www.indeed.com/pagead/clk/dl?x={k}\n\n",
+    "jobs-noreply@linkedin.com": "{t}\n{c}\nAustin, TX\nView job: https://www.linkedin.com/comm/jobs/view/{k}\n\n---------------\n\n",
+    "x@unknown.example.org": "{t}\nhttps://www.linkedin.com/comm/jobs/view/{k}\n{c}\n",
+}
+_SENDERS = list(_MAILS)
+
+
+@R.add(f"""
+WITH s AS (SELECT *, (['{"', '".join(_SENDERS)}'])[p_partkey % {len(_SENDERS)} + 1] AS sender FROM part)
+SELECT p_partkey, sender, p_name AS title, p_brand AS company, CASE sender WHEN 'hello@trueup.io' THEN 'AUSTIN, TX' WHEN 'no-reply@us.greenhouse-jobs.com' THEN NULL ELSE 'Austin, TX' END AS location,
+  CASE WHEN p_partkey % {len(_SENDERS)} < 7 THEN 'markup' ELSE 'lines' END AS layout FROM s WHERE sender <> 'x@unknown.example.org'
+""")
+def q_sender_mail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mails made of all parts: a sender's hold twenty cards each."""
+    part = V.table(spark, sf_dir, "part").withColumn("no", (F.col("p_partkey") % len(_SENDERS)).cast("int"))
+    card = F.element_at(F.array(*map(F.lit, _MAILS.values())), F.col("no") + 1)
+    for mark, value in (("{t}", "p_name"), ("{c}", "p_brand"), ("{k}", "p_partkey")):
+        card = F.replace(card, F.lit(mark), F.col(value).cast("string"))
+    bodies = part.groupBy("no", F.floor(F.col("p_partkey") / (20 * len(_SENDERS))).alias("batch")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", card.alias("card")))), lambda x: x["card"]), "").alias("cards"))
+    body = F.when(F.col("no") < 7, F.concat(F.lit("<html><body>"), "cards", F.lit("</body></html>"))).otherwise(F.concat(F.lit("Hello\nJobs are based on you on Indeed\n"), "cards"))
+    body = F.when(F.col("no").isin(8, 10), F.col("cards")).otherwise(body)
+    mail = bodies.select(F.element_at(F.array(*map(F.lit, _SENDERS)), F.col("no") + 1).alias("sender"), body.alias("body"))
+    found = senders.postings(mail)
+    return found.select(F.regexp_extract("url", r"(\d+)$", 1).cast("long").alias("p_partkey"), "sender", "title", "company", "location", "layout")

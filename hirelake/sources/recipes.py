@@ -1,17 +1,19 @@
 """Declarative recipes: where a page keeps its postings, as data instead of code.
 
 A recipe names a container, one for each posting, and for each field the rules that are tried in
-turn inside it: a selector, what to take of the first element found (`text` or an attribute), and
-a pattern whose group is the value. A rule with `every` gives all elements' values as a list. Blocks without title or url are no
-postings. Relative links are resolved against the page's own address.
+turn inside it: a selector, what to take of the first element found (`text`, `own` for text that isn't in
+elements inside it, or an attribute), and a pattern whose group is the value. Values that match `skip`, or don't match
+`match`, are passed over, as are empty ones where either is given; `nth` takes a later one, `join` all from there on; `lead`
+is put before what was found. A rule with `every` gives all elements' values as a list. `within` makes the block
+the nearest ancestor of the container that it names, `up` one so many levels up. Blocks without title or url are no postings. Relative links are resolved against the page's own address.
 
 Recipes are checked once on the driver (they are few: one a source) and sent to the tasks; a page
 meets the recipe of its source, is parsed once and gives its rows, all in one pass without a
 shuffle. `replay` runs two versions of the recipes over the stored pages in such a pass.
 
 Selectors are a part of CSS: names, `*`, `#id`, `.class`, `[attr]` with = ~= |= ^= $= *=, `:first-child`,
-`:last-child`, `:nth-child(n)`, `:not(one of these)`, the combinators and commas. Others raise when
-the recipe is checked. Markup is read as it stands: elements that aren't closed end with their
+`:last-child`, `:nth-child(n)`, `:not(one of these)`, the combinators and commas; a rule's `:scope` is the
+block itself. Others raise when the recipe is checked. Markup is read as it stands: elements that aren't closed end with their
 parent, end tags without a start are passed over, script, style and template have no text.
 
 Defined results: a null or broken page, and a source without a recipe, give no rows. A null address
@@ -24,8 +26,9 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 from collections.abc import Callable, Iterator, Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 from html.parser import HTMLParser
+from itertools import islice
 from urllib.parse import urljoin
 
 import pyarrow as pa
@@ -38,6 +41,8 @@ REQUIRED = ("title", "url")
 #: Elements that hold nothing, and those whose content isn't text.
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _MUTE = {"script", "style", "template"}
+#: The selector of a rule that takes from the block itself.
+SCOPE = ":scope"
 
 
 @dataclass(frozen=True)
@@ -47,6 +52,11 @@ class Rule:
     regex: str | None = None
     group: int = 0
     every: bool = False
+    skip: str | None = None
+    match: str | None = None
+    nth: int = 0
+    join: str | None = None
+    lead: str = ""
 
 
 @dataclass(frozen=True)
@@ -54,6 +64,8 @@ class Recipe:
     source: str
     container: str
     fields: Mapping[str, tuple[Rule, ...]]
+    up: int = 0
+    within: str | None = None
 
 
 @dataclass(frozen=True)
@@ -74,15 +86,17 @@ def _only(data: Mapping, allowed: set[str], what: str) -> None:
 
 
 def _rule(name: str, data: Mapping) -> Rule:
-    _only(data, {"selector", "attr", "regex", "group", "every"}, f"rule of {name}")
-    rule = Rule(data.get("selector", ""), data.get("attr", ""), data.get("regex"), data.get("group", 0), bool(data.get("every", False)))
+    _only(data, {"selector", "attr", "regex", "group", "every", "skip", "match", "nth", "join", "lead"}, f"rule of {name}")
+    more = {k: data[k] for k in ("skip", "match", "nth", "join", "lead") if k in data}
+    rule = Rule(data.get("selector", ""), data.get("attr", ""), data.get("regex"), data.get("group", 0), bool(data.get("every", False)), **more)
     if not rule.selector or not rule.take:
         raise ValueError(f"rule of {name} needs a selector and attr")
-    selectors(rule.selector)
-    if rule.regex is not None:
-        re.compile(rule.regex)
-    if not isinstance(rule.group, int) or rule.group < 0:
-        raise ValueError(f"rule of {name}: group must be a number")
+    if rule.selector != SCOPE:
+        selectors(rule.selector)
+    for pattern in filter(None, (rule.regex, rule.skip, rule.match)):
+        re.compile(pattern)
+    if not all(isinstance(n, int) and n >= 0 for n in (rule.group, rule.nth)):
+        raise ValueError(f"rule of {name}: group and nth must be numbers")
     if rule.every and name in FIELDS:
         raise ValueError(f"{name} is one value, not a list")
     return rule
@@ -98,26 +112,27 @@ def checked(surface: str, data: Mapping) -> Recipe | Aliases:
         return Aliases(data.get("source", ""), *map(tuple, lists))
     if surface not in ("email", "careers"):
         raise ValueError(f"unknown surface {surface!r}")
-    _only(data, {"source", "container_selector", "fields"}, "recipe")
+    _only(data, {"source", "container_selector", "fields", "up", "within"}, "recipe")
     fields = data.get("fields")
     if not data.get("container_selector") or not isinstance(fields, Mapping):
         raise ValueError("a recipe needs container_selector and fields")
     if missing := [f for f in REQUIRED if f not in fields]:
         raise ValueError(f"fields lack {missing}")
-    selectors(data["container_selector"])
+    for text in filter(None, (data["container_selector"], data.get("within"))):
+        selectors(text)
     rules = {n: tuple(_rule(n, r) for r in (f if isinstance(f, list) else [f])) for n, f in fields.items()}
     for name, own in rules.items():
         if not own or len({r.every for r in own}) > 1:
             raise ValueError(f"rules of {name} are none, or some for one value and some for a list")
         if name not in FIELDS and not own[0].every:
             raise ValueError(f"unknown field {name}; further ones must be lists")
-    return Recipe(data.get("source", ""), data["container_selector"], rules)
+    return Recipe(data.get("source", ""), data["container_selector"], rules, int(data.get("up", 0)), data.get("within"))
 
 
 def as_mapping(recipe: Recipe) -> dict:
     """What `checked` makes the same recipe of."""
-    rule = lambda r: {"selector": r.selector, "attr": r.take, "regex": r.regex, "group": r.group, "every": r.every}
-    return {"source": recipe.source, "container_selector": recipe.container, "fields": {n: [rule(r) for r in rules] for n, rules in recipe.fields.items()}}
+    rule = lambda r: {"attr" if k == "take" else k: v for k, v in asdict(r).items()}
+    return {"source": recipe.source, "container_selector": recipe.container, "up": recipe.up, "within": recipe.within, "fields": {n: [rule(r) for r in rules] for n, rules in recipe.fields.items()}}
 
 
 class Page(HTMLParser):
@@ -168,6 +183,11 @@ class Page(HTMLParser):
         a, b = bisect_right(self._at, i), bisect_right(self._at, self.end[i])
         return "".join(t.strip() for p, t in self._texts[a:b] if i <= p < self.end[i] and (p == i or self.names[p] not in _MUTE))
 
+    def own_text(self, i: int) -> str:
+        """The trimmed texts of element i alone, joined."""
+        a, b = bisect_right(self._at, i), bisect_right(self._at, self.end[i])
+        return "".join(t.strip() for p, t in self._texts[a:b] if p == i)
+
     def select(self, test: Callable[[Page, int], bool], inside: int = 0) -> Iterator[int]:
         return (i for i in range(inside + 1, self.end[inside]) if test(self, i))
 
@@ -284,29 +304,40 @@ def selectors(text: str) -> Callable[[Page, int], bool]:
 
 
 def _value(page: Page, i: int, rule: Rule) -> str:
-    value = page.text(i) if rule.take == "text" else page.attrs[i].get(rule.take, "")
+    """What a rule makes of an element; empty if it is passed over."""
+    value = page.text(i) if rule.take == "text" else page.own_text(i) if rule.take == "own" else page.attrs[i].get(rule.take, "")
+    if (rule.skip and re.search(rule.skip, value)) or (rule.match and not re.search(rule.match, value)):
+        return ""
     if rule.regex and value:
         m = re.search(rule.regex, value)
         value = (m.group(rule.group) or "") if m and rule.group <= (m.re.groups) else ""
-    return value
+    return rule.lead + value if value else ""
 
 
 class Extractor:
     """A recipe ready to run."""
 
     def __init__(self, recipe: Recipe) -> None:
-        self.container = selectors(recipe.container)
-        self.rules = {n: [(r, selectors(r.selector)) for r in rules] for n, rules in recipe.fields.items()}
+        self.container, self.up = selectors(recipe.container), recipe.up
+        self.within = selectors(recipe.within) if recipe.within else None
+        self.rules = {n: [(r, None if r.selector == SCOPE else selectors(r.selector)) for r in rules] for n, rules in recipe.fields.items()}
+
+    def _values(self, page: Page, block: int, rule: Rule, test: Callable[[Page, int], bool] | None) -> Iterator[str]:
+        return (_value(page, i, rule) for i in ([block] if test is None else page.select(test, block)))
 
     def _one(self, page: Page, block: int, name: str) -> str:
         for rule, test in self.rules.get(name, ()):
-            if (i := next(page.select(test, block), None)) is not None and (value := _value(page, i, rule)):
+            values = self._values(page, block, rule, test)
+            if rule.skip or rule.match or rule.nth or rule.join is not None:
+                values = islice(filter(None, values), rule.nth, None)
+            value = rule.join.join(values) if rule.join is not None else next(values, "")
+            if value:
                 return value
         return ""
 
     def _many(self, page: Page, block: int, name: str) -> list[str]:
         for rule, test in self.rules[name]:
-            if values := [v for i in page.select(test, block) if (v := _value(page, i, rule))]:
+            if values := [v for v in self._values(page, block, rule, test) if v]:
                 return values
         return []
 
@@ -314,6 +345,12 @@ class Extractor:
         """place, the fields (None where empty) and the lists of each posting."""
         out = []
         for block in page.select(self.container):
+            while self.within is not None and block > 0 and not self.within(page, block):
+                block = page.parents[block]
+            for _ in range(self.up):
+                block = max(0, page.parents[block])
+            if block <= 0:
+                continue
             row = {n: self._one(page, block, n) or None for n in FIELDS}
             if all(row[n] for n in REQUIRED):
                 row["url"] = _joined(base, row["url"])
@@ -355,6 +392,19 @@ def _applied(pages: DataFrame, versions: Sequence[Mapping[str, Recipe]], source:
     return rows.mapInArrow(run, StructType([rows.schema["page"], StructField("s", StringType()), *StructType.fromDDL(f"found {schema}").fields]))
 
 
+def first_found(pages: DataFrame, layouts: Sequence[Mapping[str, Recipe]], source: Column, html: Column, base: Column, name: str = "posting") -> DataFrame:
+    """As extract, with several recipes a source: of a page, the first that finds anything counts. Postings that repeat a url and title on a page count once."""
+
+    def first(versions: list[list[dict]]) -> list[dict]:
+        seen: dict[tuple, dict] = {}
+        for row in next(filter(None, versions), []):
+            seen.setdefault((row["url"], row["title"]), row)
+        return [row | {"place": i} for i, row in enumerate(seen.values())]
+
+    found = _applied(pages, layouts, source, html, base, f"array<{POSTING}>", pa.list_(_POSTING), first)
+    return found.select("page.*", F.explode("found").alias(name))
+
+
 def extract(pages: DataFrame, recipes: Mapping[str, Recipe], source: Column, html: Column, base: Column, name: str = "posting") -> DataFrame:
     """The pages' columns and each posting as a struct (place, the fields, lists), one row a posting."""
     found = _applied(pages, [recipes], source, html, base, f"array<{POSTING}>", pa.list_(_POSTING), lambda versions: versions[0])

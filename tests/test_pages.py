@@ -264,4 +264,4 @@ def test_captures(spark, tmp_path):
     assert {(r.slug, r.reason) for r in captures.rejected(every).collect()} == {("b", "broken"), ("c", "empty"), ("d", "error"), ("e", "no_list")}
     assert captures.postings(every, wanted=("developer",)).count() == 1
     assert {r.platform for r in captures.captured(spark, folder, ["lever"]).collect()} == {"lever"}
-    assert captures.captured(spark, folder, most_bytes=20).where("raw is null").count() == 5
+    assert captures.captured(spark, folder, most_bytes=20).where("raw is null").count() == 4
