@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -30,6 +30,8 @@ from hirelake.llm.shared import written
 #: Payloads under so many bytes are never written as a revisit.
 LEAST_SHARED = 1000
 ARCHIVE_BYTES = 16 << 20
+#: Bytes that are unzipped at once.
+FEED = 1 << 16
 #: Fixed values of the format.
 VERSION = "WARC/1.1"
 END = "\r\n\r\n"
@@ -133,35 +135,73 @@ def write(pages: DataFrame, folder: str, key: str = "page_id", payload: str = "h
     return archives
 
 
-def _unzipped(data: bytes) -> bytes:
+def unzipped(data: bytes) -> Iterator[bytes]:
+    """The content piece by piece; of gzip, member after member, each fed from where it begins."""
+    view, at, member = memoryview(data), 0, None
     if data[:2] != b"\x1f\x8b":
-        return data
-    out = []
-    while data:
-        member = zlib.decompressobj(31)
-        out.append(member.decompress(data))
-        data = member.unused_data.lstrip(b"\0")
-    return b"".join(out)
-
-
-def parse(data: bytes) -> Iterator[tuple[dict[str, str], memoryview]]:
-    """Header fields (names in small letters) and block of each record."""
-    view, at = memoryview(data), 0
+        yield data
+        return
+    while at < len(view):
+        if member is None:
+            if view[at] == 0:  # padding
+                at += 1
+                continue
+            member = zlib.decompressobj(31)
+        piece = view[at : at + FEED]
+        out = member.decompress(piece)
+        at += len(piece) - len(member.unused_data)
+        if member.eof:
+            member = None
+        if out:
+            yield out
+    if member is not None:
+        raise ValueError("the last gzip member is cut off")
+
+
+def parse(data: bytes | Iterable[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Header fields (names in small letters) and block of each record, of a whole archive or of its pieces; holds one record at a time."""
+    pieces = iter([data]) if isinstance(data, bytes) else iter(data)
+    held, at, gone = bytearray(), 0, 0  # gone: bytes before those held
+
+    def more() -> bool:
+        nonlocal at, gone
+        piece = next(pieces, None)
+        if piece is None:
+            return False
+        if at > FEED:
+            gone += at
+            del held[:at]
+            at = 0
+        held.extend(piece)
+        return True
+
     while True:
-        while data[at : at + 2] == b"\r\n":
+        while len(held) - at >= 2 or more():
+            if len(held) - at < 2:
+                continue
+            if held[at : at + 2] != b"\r\n":
+                break
             at += 2
-        if at >= len(data):
+        if at >= len(held):
             return
-        end = data.find(b"\r\n\r\n", at)
-        if end < 0 or not data.startswith(b"WARC/", at):
-            raise ValueError(f"no WARC record at byte {at}")
-        lines = data[at:end].decode("utf-8").split("\r\n")[1:]
+        n = held.find(b"\r\n\r\n", at) - at
+        while n < 0:
+            seen = max(0, len(held) - at - 3)
+            if not more():
+                break
+            n = held.find(b"\r\n\r\n", at + seen) - at
+        if n < 0 or not held.startswith(b"WARC/", at):
+            raise ValueError(f"no WARC record at byte {gone + at}")
+        lines = held[at : at + n].decode("utf-8").split("\r\n")[1:]
         head = {name.strip().lower(): value.strip() for name, _, value in (x.partition(":") for x in lines)}
-        begin = end + 4
-        at = begin + int(head["content-length"])
-        if at > len(data):
-            raise ValueError(f"record at byte {begin} is cut off")
-        yield head, view[begin:at]
+        size = int(head["content-length"])
+        while len(held) - at < n + 4 + size:
+            if not more():
+                raise ValueError(f"record at byte {gone + at} is cut off")
+        with memoryview(held) as view:
+            block = bytes(view[at + n + 4 : at + n + 4 + size])
+        at += n + 4 + size
+        yield head, block
 
 
 _FIELDS = {
@@ -172,15 +212,18 @@ _SCHEMA = "record_id string, kind string, concurrent_to string, refers_to string
 
 
 def read(spark: SparkSession, folder: str, with_payload: bool = True) -> DataFrame:
-    """One row per record. bytes, sha1 and payload are of what follows the HTTP head, or of the whole block without one."""
+    """One row per record. bytes, sha1 and payload are of what follows the HTTP head, or of the whole block without one.
+
+    A task holds one archive as it is stored (at most 2 GB; standard ones have 1 GB) and one record of what it unzips.
+    """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0):
                 out: dict[str, list] = {k: [] for k in _FIELDS}
                 held = 0
-                for head, block in parse(_unzipped(content.as_py())):
-                    whole, top = bytes(block), b""
+                for head, block in parse(unzipped(content.as_py())):
+                    whole, top = block, b""
                     if head.get("content-type", "").startswith("application/http"):
                         top, _, whole = whole.partition(b"\r\n\r\n")
                     elif head.get("warc-type") == "metadata":
