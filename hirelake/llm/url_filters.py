@@ -86,8 +86,8 @@ def judge(
     expressions = expressions.withColumn(
         "full", F.sha2(F.concat_ws("\u0000", F.col("suffix"), F.col("prefix")), 256)
     ).withColumn("cut", F.substring("full", 1, SHORT))
-    on = (F.col("cut") == F.col("short")) & (F.col("full") == F.col("digest"))
-    on &= F.col("suffix").isNotNull() & F.col("prefix").isNotNull()
+    on = (F.col("cut") == F.col("short")) & F.col("suffix").isNotNull() & F.col("prefix").isNotNull()
+    confirmed = F.col("full") == F.col("digest")  # short digests only say who may fit
     if facts["n"] <= broadcast_rules:
         table = F.broadcast(table)
     else:
@@ -100,7 +100,7 @@ def judge(
     best = (
         expressions.join(table, on, "left")
         .groupBy("key", "host", "path")
-        .agg(F.first("copies").alias("copies"), F.max(F.when(F.col("rule").isNotNull(), rank)).alias("best"))
+        .agg(F.first("copies").alias("copies"), F.max(F.when(confirmed, rank)).alias("best"))
     )
     return best.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(
         F.col("key").alias(key),
