@@ -31,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from hirelake.llm import text as tx
@@ -48,6 +48,8 @@ ADDED = "field"
 
 #: Lines of each sort that train the field, at most, and tokens of each.
 TRAIN_LINES, TRAIN_TOKENS = 1500, 32
+#: Characters of a line that trains, at most.
+TRAIN_CHARS = 8192
 #: Plain lines come from about so many documents.
 TRAIN_DOCUMENTS = 4000
 BEGIN, INSIDE, OUTSIDE = range(3)
@@ -418,46 +420,53 @@ def planted(line: str, r: random.Random, kinds: list[str]) -> tuple[str, tuple[i
 
 
 def _window(line: str, spans: list[tuple[int, int]]) -> tuple[str, list[tuple[int, int]]]:
-    """So many tokens of the line about its first span, or its first ones."""
-    at = [m.start() for m in re.finditer(r"\S+", line)]
-    if len(at) <= TRAIN_TOKENS:
-        return line, spans
-    k = max(0, sum(a <= spans[0][0] for a in at) - TRAIN_TOKENS // 2) if spans else 0
-    low = at[k]
-    high = at[k + TRAIN_TOKENS] if k + TRAIN_TOKENS < len(at) else len(line)
+    """So many tokens and characters of the line about its first span, or its first ones."""
+    low, high = 0, len(line)
+    if high > TRAIN_CHARS:  # tokens can have any length
+        low = max(0, spans[0][0] - TRAIN_CHARS // 2) if spans else 0
+        high = min(high, low + TRAIN_CHARS)
+    at = [m.start() + low for m in re.finditer(r"\S+", line[low:high])]
+    if len(at) > TRAIN_TOKENS:
+        k = max(0, sum(a <= spans[0][0] for a in at) - TRAIN_TOKENS // 2) if spans else 0
+        low = at[k]
+        high = at[k + TRAIN_TOKENS] if k + TRAIN_TOKENS < len(at) else high
     return line[low:high], [(s - low, e - low) for s, e in spans if s >= low and e <= high]
 
 
 _LINE = StructType([StructField(n, IntegerType()) for n in ("sort", "turn", "file")] + [StructField("line", StringType()), StructField("s", ArrayType(IntegerType())), StructField("e", ArrayType(IntegerType()))])
 _LINE_ARROW = pa.schema({"sort": pa.int32(), "turn": pa.int32(), "file": pa.int32(), "line": pa.string(), "s": pa.list_(pa.int32()), "e": pa.list_(pa.int32())})
 _MATCHED, _DIGITS, _PLAIN = range(3)
-_NUMBER = re.compile(r"\S*[0-9]\S*")
+
+
+def _line(text: str, at: int) -> tuple[int, str]:
+    """Where the line around a place begins, and the line."""
+    low, high = text.rfind("\n", 0, at) + 1, text.find("\n", at)
+    return low, text[low : len(text) if high < 0 else high]
 
 
 def _lines_of(text: str, part: int) -> Iterator[tuple[int, str, list[tuple[int, int]]]]:
-    """Sort, window and values of lines that may train."""
-    spans = [(at, end) for _, _, end, at in base_spans(text)]
-    done = set()
-    for s, e in spans:
-        low = text.rfind("\n", 0, s) + 1
-        if low not in done:
-            done.add(low)
-            high = text.find("\n", e)
-            high = len(text) if high < 0 else high
-            # an assign match that ends at a line break may have its value there; values of one line, without repeats
-            own = sorted({(max(a, low), b) for a, b in spans if a >= low and b <= high})
-            own = [x for k, x in enumerate(own) if not k or x[0] >= own[k - 1][1]]
-            yield _MATCHED, *_window(text[low:high], [(a - low, b - low) for a, b in own])
+    """Sort, window and values of lines that may train; one pass over the values, line by line."""
+    values = sorted({(at, end) for _, _, end, at in base_spans(text)})
+    k = 0
+    while k < len(values):
+        low, line = _line(text, values[k][0])
+        high = low + len(line)
+        own: list[tuple[int, int]] = []  # values of the line, without those that overlap
+        while k < len(values) and values[k][0] < high:
+            a, b = values[k]
+            if b <= high and (not own or a >= own[-1][1]):
+                own.append((a, b))
+            k += 1
+        yield _MATCHED, *_window(line, [(a - low, b - low) for a, b in own])
     if zlib.crc32(text.encode()) % 1_000_000 < part:
-        plain = [x for x in text.split("\n") if x.strip()][:50]
-        for line in plain[:1]:
+        first, digit = re.search(r"\S", text), re.search("[0-9]", text)
+        if first:
+            line = _line(text, first.start())[1]
             if not base_spans(line):
                 yield _PLAIN, *_window(line, [])
-        m = _NUMBER.search(text)
-        if m and not spans:
-            low, high = text.rfind("\n", 0, m.start()) + 1, text.find("\n", m.end())
-            line = text[low : len(text) if high < 0 else high]
-            yield _DIGITS, _window(line, [(m.start() - low, m.end() - low)])[0], []
+        if digit and not values:
+            low, line = _line(text, digit.start())
+            yield _DIGITS, _window(line, [(digit.start() - low, digit.end() - low)])[0], []
 
 
 def _training_lines(part: int, most: int):
@@ -530,9 +539,10 @@ def train(documents: DataFrame, text: str = "text", most: int = TRAIN_LINES, doc
     n = documents.count()
     part = 1_000_000 if n <= documents_most else max(1, documents_most * 1_000_000 // n)
     lines = written(documents.select(text).mapInArrow(_training_lines(part, most), _LINE), "lines")
-    rows = []
-    for sort in (_MATCHED, _DIGITS, _PLAIN):
-        rows += lines.where(F.col("sort") == sort).dropDuplicates(["line"]).orderBy("turn", "line").limit(most).collect()  # bounded by most
+    order = Window.partitionBy("sort").orderBy("turn", "line")
+    each = lines.groupBy("sort", "line").agg(F.min(F.struct("turn", "file", "s", "e")).alias("r")).select("sort", "line", "r.*")
+    first = each.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
+    rows = sorted(first.collect(), key=lambda r: (r.sort, r.place))  # bounded by most
     discard(lines)
     return fit([(r.sort, r.file, r.line, list(zip(r.s, r.e, strict=True))) for r in rows], kinds)
 
