@@ -10,7 +10,7 @@
 4. The rest meets on its rarest shingles (the prefix that every link must touch). In each shard an
    inverted index answers the T-occurrence query of each class: short lists are merged by a heap,
    long ones probed by binary search. Where more than `block` classes meet through each other, they
-   are searched part by part, or, if they are very many, by shingle and size, so no shard grows with them and none is cut off.
+   are searched part by part, or, if they are very many, by shingles and size, so no shard grows with them and none is cut off.
 
 Words and shingles are compared by 64-bit hashes, shared shingles by 32 bits of them and their
 bucket: a false link needs two texts one shingle short of it that collide (about 1e-7 for a pair).
@@ -23,6 +23,7 @@ its own result. A null key is never a component's name unless all are null. Othe
 
 from __future__ import annotations
 
+import functools
 import heapq
 import itertools
 import math
@@ -44,6 +45,8 @@ SHARD = 300_000
 BLOCK = 2000
 #: Parts of a block at most; the classes of a larger one meet by each prefix shingle and size.
 PARTS = 16
+#: Prefix shingles that classes of a chained block share at most before they meet.
+DEPTH = 3
 #: Rounds of clustering by a least hash.
 ROUNDS = 2
 #: Weight of the merge against the probes when the lists are divided.
@@ -274,13 +277,42 @@ def _in_pairs(groups: DataFrame, block: int, shards: int) -> DataFrame:
     return dealt.select("number", where.alias("shard"))
 
 
+def _narrowed(rest: DataFrame, percent: int, most: int) -> DataFrame:
+    """number, key and m (classes of the key) of classes that meet by prefix shingle and band of size.
+
+    Where more than `most` classes share a key, they meet by that and one more shingle: two sets that
+    must share so many share k shingles among as many first ones as share one, and k - 1 more.
+    Keys with the same classes are one.
+    """
+    smallest = F.ceil(F.lit(percent) * F.col("n") / 100)
+    first = (F.size("tokens") - smallest + 1).cast("int").alias("first")
+    base = written(rest.select("number", "tokens", first, F.explode(_bands(F.col("n"), percent)).alias("band")), "banded")
+    meet = base.select("number", "band", F.explode(F.slice("tokens", F.lit(1), F.col("first"))).alias("t")).select("number", "band", F.array("t").alias("keys"))
+    out = []
+    for depth in range(1, DEPTH + 1):
+        meet = written(meet, "narrowed")
+        sums = meet.groupBy("keys", "band").agg(F.count("*").alias("m"), F.sum(F.xxhash64("number").cast("decimal(20,0)")).alias("sum")).where(F.col("m") > 1)
+        sums = sums.select("keys", "band", "m", F.xxhash64("sum", "m").alias("key"))
+        done = sums if depth == DEPTH else sums.where(F.col("m") <= most)
+        out.append(meet.join(done, ["keys", "band"]).select("number", "key", "m").distinct())
+        many = sums.where(F.col("m") > most).select("keys", "band")
+        if depth == DEPTH or many.isEmpty():
+            break
+        again = meet.join(many, ["keys", "band"]).join(base, ["number", "band"])
+        more = again.select("number", "band", "keys", F.explode(F.slice("tokens", F.lit(1), F.col("first") + depth)).alias("t"))
+        meet = more.where(~F.array_contains("keys", F.col("t"))).select("number", "band", F.array_sort(F.array_append("keys", F.col("t"))).alias("keys")).distinct()
+    return functools.reduce(DataFrame.unionByName, out)
+
+
 def dealt_classes(rest: DataFrame, percent: int, block: int, most_parts: int = PARTS) -> DataFrame:
     """shard (and the columns of rest) of the classes that may link to others.
 
     Classes that share prefix shingles, directly or through others, form a block; blocks go to shards,
     and one larger than `block` in pairs of parts. Unlike classes may chain into a block of more than
     `most_parts` parts; those classes are dealt by prefix shingle and band of size instead: two that
-    link share a shingle and a band. So no class is copied more often than it has parts or shingles.
+    link share a shingle and a band. A shingle with more classes than that is narrowed by a second
+    and third one (see _narrowed), so it is only what shares three prefix shingles and a size in such
+    numbers that is still searched in more parts.
     """
     smallest = F.ceil(F.lit(percent) * F.col("n") / 100)
     prefix = F.slice("tokens", 1, (F.size("tokens") - smallest + 1).cast("int"))
@@ -294,11 +326,7 @@ def dealt_classes(rest: DataFrame, percent: int, block: int, most_parts: int = P
     dealt = _in_pairs(sized.where(F.col("m") <= block * most_parts), block, shards)
     chained = sized.where(F.col("m") > block * most_parts).select("number")
     if not chained.isEmpty():
-        own = meet.join(chained, "number", "left_semi").select("number", "token", F.explode(_bands(F.col("n"), percent)).alias("band"))
-        # shingles with the same classes are one
-        sets = own.groupBy("token", "band").agg(F.count("*").alias("m"), F.sum(F.xxhash64("number").cast("decimal(20,0)")).alias("sum")).where(F.col("m") > 1)
-        groups = own.join(sets.select("token", "band", "m", F.xxhash64("sum", "m").alias("key")), ["token", "band"]).select("number", "key", "m").distinct()
-        dealt = dealt.unionByName(_in_pairs(groups, block, 1 << 62))
+        dealt = dealt.unionByName(_in_pairs(_narrowed(rest.join(chained, "number", "left_semi"), percent, block * most_parts), block, 1 << 62))
     return dealt.distinct().join(rest, "number")
 
 
