@@ -13,9 +13,10 @@ over it and the number and part of tokens over SURE makes the score. The machine
 of a toxic text the sentence with the worst token counts, of the others every sentence's worst.
 
 Defined cases: null and empty texts, and texts without a letter triple, get the margin EMPTY, the least there is.
-Tokens over LONG bytes are read in overlapping windows, so nothing is left out. Without toxic
-rows to learn from, every score is 0. Repeated rows get equal scores; of repeated label rows each
-counts; a null label counts as not toxic. Other columns are ignored.
+Tokens over LONG bytes are read in overlapping windows, so nothing is left out. A key's texts train once
+(the least of them); of a text over TRAIN_BYTES a window trains, its place chosen by a hash. Without toxic
+rows to learn from, every score is 0. Repeated rows get equal scores; label rows that repeat a key and
+label count once; a null label counts as not toxic. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -41,7 +42,7 @@ LONG, STRIDE = 24, 12
 LANDMARKS = 96
 #: The kernel is sharpened to exp(SHARP * (k - 1)).
 SHARP = 5.0
-#: Labelled texts of each label that train, and their length at most.
+#: Labelled texts of each label that train, and the length of what of them trains.
 TRAIN_ROWS, TRAIN_BYTES = 2500, 20_000
 ROUNDS = 2
 SURE = 0.25
@@ -315,8 +316,11 @@ def train(
     counts = {r.y: r.n for r in own.groupBy("y").agg(F.count("*").alias("n")).collect()}
     order = F.xxhash64("k")
     sample = own.where("y").orderBy(order, "k").limit(rows).unionByName(own.where("not y").orderBy(order, "k").limit(rows))
-    texts = documents.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.octet_length("t") <= most_bytes)
-    found = texts.join(F.broadcast(sample), "k").select("t", "y").collect()  # bounded by rows and most_bytes
+    texts = documents.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.col("t").isNotNull())
+    once = texts.join(F.broadcast(sample.distinct()), "k").groupBy("k", "y").agg(F.min("t").alias("t"))
+    begin = F.pmod(F.xxhash64("k"), F.greatest(F.length("t") - most_bytes + 1, F.lit(1))) + 1
+    window = F.when(F.length("t") > most_bytes, F.substr("t", begin.cast("int"), F.lit(most_bytes))).otherwise(F.col("t"))
+    found = once.select(window.alias("t"), "y").collect()  # bounded by rows and most_bytes
     found.sort(key=lambda r: (r.y, r.t))
     share = counts.get(True, 0) / max(1, sum(counts.values()))
     return fit([r.t for r in found], np.array([r.y for r in found], bool), share)
