@@ -38,18 +38,19 @@ def words_of(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarra
         yield first, last - first, tx.word_hashes(part, start, end), bounds
 
 
-def item_windows(ids: list, texts: list, size: int) -> tuple[np.ndarray, list]:
-    """The windows as rows of word hashes, padded with 0, and the item of each."""
-    tables, items = [np.zeros((0, size), np.uint64)], []
+def item_windows(ids: list, texts: list, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The word hashes of all items in turn, and of each window where it begins among them, its length and its item's place in ids."""
+    flat, starts, lengths, items, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
     for first, n, hashes, bounds in words_of(pa.array(texts, pa.large_string())):
         own = np.diff(bounds)
         many = np.where(own > 0, np.maximum(own - size + 1, 1), 0)
         which = np.repeat(np.arange(n), many)
-        start = bounds[which] + np.arange(len(which)) - np.repeat(np.cumsum(many) - many, many)
-        inside = np.arange(size) < np.minimum(own[which], size)[:, None]
-        tables.append(np.where(inside, hashes[np.minimum(start[:, None] + np.arange(size), max(len(hashes) - 1, 0))] if len(hashes) else np.uint64(0), np.uint64(0)))
-        items += [ids[first + k] for k in which.tolist()]
-    return np.concatenate(tables), items
+        flat.append(hashes)
+        starts.append(at + bounds[which] + np.arange(len(which)) - np.repeat(np.cumsum(many) - many, many))
+        lengths.append(np.minimum(own[which], size))
+        items.append(first + which)
+        at += len(hashes)
+    return np.concatenate(flat), np.concatenate(starts), np.concatenate(lengths), np.concatenate(items)
 
 
 def word_counts(documents: DataFrame, text: str, vocabulary: np.ndarray) -> np.ndarray:
@@ -73,20 +74,24 @@ def word_counts(documents: DataFrame, text: str, vocabulary: np.ndarray) -> np.n
 
 
 class Index:
-    """Windows by their rarest word."""
-
-    def __init__(self, table: np.ndarray, items: list, vocabulary: np.ndarray, counts: np.ndarray) -> None:
-        """vocabulary: the words of the table, sorted; counts: how often each occurs in the texts."""
-        at = np.searchsorted(vocabulary, table)
-        used = np.where(table > 0, np.append(counts, 0)[at], np.iinfo(np.int64).max)
-        self.offset = used.argmin(axis=1) if len(table) else np.zeros(0, np.int64)
-        self.length = (table != 0).sum(axis=1)
-        prefix = table[np.arange(len(table)), self.offset]
+    """Windows by their rarest word. A window is a place among the items' words, so it takes some bytes, not ten hashes."""
+
+    def __init__(self, windows: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray], ids: list, vocabulary: np.ndarray, counts: np.ndarray, size: int = WINDOW) -> None:
+        """windows: of item_windows; vocabulary: the words of the items, sorted; counts: how often each occurs in the texts."""
+        self.flat, start, length, item = windows
+        used = counts[np.searchsorted(vocabulary, self.flat)] if len(vocabulary) else np.zeros(0, np.int64)
+        offset = np.zeros(len(start), np.int8)
+        for k in range(0, len(start), 1 << 16):
+            own = slice(k, k + (1 << 16))
+            at = start[own, None] + np.arange(size)
+            inside = np.arange(size) < length[own, None]
+            offset[own] = np.where(inside, used[np.minimum(at, len(used) - 1)], np.iinfo(np.int64).max).argmin(axis=1)
+        prefix = self.flat[start + offset]
         order = np.argsort(prefix, kind="stable")
-        self.table, self.offset, self.length = table[order], self.offset[order], self.length[order]
-        self.items = [items[i] for i in order]
+        self.start, self.offset, self.length, self.item = start[order].astype(np.int32), offset[order], length[order].astype(np.int8), item[order].astype(np.int32)
+        self.ids, self.size = ids, size
         self.prefix, self.first = np.unique(prefix[order], return_index=True)
-        self.last = np.append(self.first[1:], len(table))
+        self.last = np.append(self.first[1:], len(start))
 
     def occurrences(self, hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Start word and window of every occurrence in the texts whose words begin at bounds."""
@@ -104,9 +109,9 @@ class Index:
             fits = (start >= bounds[row]) & (start + self.length[window] <= bounds[row + 1])
             start, window = start[fits], window[fits]
             same = np.ones(len(start), bool)
-            for i in range(self.table.shape[1]):
+            for i in range(self.size):
                 inside = i < self.length[window]
-                same &= ~inside | (hashes[np.minimum(start + i, len(hashes) - 1)] == self.table[window, i])
+                same &= ~inside | (hashes[np.minimum(start + i, len(hashes) - 1)] == self.flat[np.minimum(self.start[window] + i, len(self.flat) - 1)])
             starts.append(start[same])
             found.append(window[same])
         return np.concatenate(starts), np.concatenate(found)
@@ -141,7 +146,7 @@ def _find(index, hits_only: bool):
                     a, b = _merge(s - bounds[k], s - bounds[k] + index.value.length[w]) if len(s) else ([], [])
                     out["starts"].append(a)
                     out["ends"].append(b)
-                    out["items"].append(sorted({index.value.items[i] for i in set(w.tolist())} - {None}))
+                    out["items"].append(sorted({index.value.ids[i] for i in np.unique(index.value.item[w]).tolist()} - {None}))
                 out["n_words"] += np.diff(bounds).tolist()
             found = pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(out[k], t) for k, t in _KINDS.items())], names=["row", *_KINDS])
             yield found.filter(pa.array([bool(x) for x in out["starts"]], pa.bool_())) if hits_only else found
@@ -152,10 +157,10 @@ def _find(index, hits_only: bool):
 def _index(documents: DataFrame, text: str, items: DataFrame, size: int) -> Index:
     """Of one block of the benchmark, which the driver holds."""
     rows = items.collect()  # a block of the benchmark, of block_bytes on average
-    table, ids = item_windows([r.i for r in rows], [r.t for r in rows], size)
-    vocabulary = np.unique(table[table != 0])
+    windows = item_windows([r.i for r in rows], [r.t for r in rows], size)
+    vocabulary = np.unique(windows[0])
     counts = word_counts(documents, text, vocabulary) if len(vocabulary) else np.zeros(0, np.int64)
-    return Index(table, ids, vocabulary, counts)
+    return Index(windows, [r.i for r in rows], vocabulary, counts, size)
 
 
 def found_rows(documents: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", size: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
