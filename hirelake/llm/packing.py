@@ -122,7 +122,7 @@ def groups_for(documents: DataFrame, text: str = "text", group_bytes: int = GROU
 def pack(cut: DataFrame, key: str = "doc_id", capacity: int = CAPACITY, groups: int | None = None) -> DataFrame:
     """The pieces with sequence_id and offset. groups: how many are packed apart; if none is given, as many as shuffle partitions."""
     n = groups or int(cut.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = cut.withColumn("__group", F.pmod(F.xxhash64(key, "piece", "length", "ids_crc32"), F.lit(n)))
+    dealt = cut.withColumn("__group", F.pmod(F.xxhash64(key, "piece", "length", "ids_crc32", F.monotonically_increasing_id()), F.lit(n)))  # the number deals out rows that repeat
     full = dealt.columns
 
     def place(group: pd.DataFrame) -> pd.DataFrame:
