@@ -15,8 +15,8 @@ document that comes before, or earlier in the same one. Strings never cross docu
    prefixes (Kasai), and the parts' sorted strings are merged by binary search. The strings of a
    fingerprint with more than `block` contexts meet by their hashes instead, so no shard grows with it.
 
-Defined cases: a null text is empty; texts under the span lose nothing. Keys are integers; a null
-key comes last. Rows that repeat a key and text are one document, each with its own result row;
+Defined cases: a null text is empty; texts under the span lose nothing. Keys have any type that
+is ordered (all but integers are numbered in their order first); a null key comes last. Rows that repeat a key and text are one document, each with its own result row;
 different texts of one key come in a fixed order of their own. Fingerprints, contexts and texts are
 compared by hashes (64, 64 and 128 bits), strings of a hot fingerprint by 64 bits and that. Other columns are ignored.
 """
@@ -30,9 +30,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import IntegralType
 
 from hirelake.llm import repeats, text as tx
-from hirelake.llm.shared import discard, new_folder, written
+from hirelake.llm.merkle import placed
+from hirelake.llm.shared import discard, fresh, new_folder, written
 
 SPAN = 100
 GRAM = 32
@@ -306,7 +308,13 @@ def _cut(span: int, gram: int):
 def _rows(documents: DataFrame, key: str, text: str) -> DataFrame:
     body = F.coalesce(F.col(text), F.lit(""))
     digest = F.unhex(F.md5(F.encode(body, "UTF-8")))
-    o = F.coalesce(F.col(key).cast("long"), F.lit(_LAST))
+    place = F.col(key)
+    if not isinstance(documents.schema[key].dataType, IntegralType):  # other keys count by their place among all of them
+        own, name = fresh(documents, "own", "place")
+        keys = documents.where(F.col(key).isNotNull()).select(F.lit("").alias("tree"), F.col(key).alias(own)).distinct()
+        documents = documents.join(placed(keys, [own]).select(own, F.col("place").alias(name)), F.col(key) == F.col(own), "left")
+        place = F.col(name)
+    o = F.coalesce(place.cast("long"), F.lit(_LAST))
     return documents.select(F.col(key).alias("key"), o.alias("o"), digest.alias("digest"), body.alias("text")).withColumn("id", F.xxhash64("o", "digest"))
 
 
