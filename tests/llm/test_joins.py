@@ -1,5 +1,6 @@
 """The pair and repeat operators against brute force, with limits small enough that blocks, parts and shards come into play."""
 
+import itertools
 import random
 
 import numpy as np
@@ -59,13 +60,41 @@ def test_search_in_parts(spark):
 def test_parts_of_a_block_are_shards(spark):
     """However many pairs of parts a block or a hot shingle has, no shard gets more than one."""
     r = random.Random(8)
-    rest = [(i, i, 2, [7, 1000 + i]) for i in r.sample(range(10_000), 400)]
-    rest = spark.createDataFrame(rest, "number long, label long, n long, tokens array<long>")
-    for most_parts in (100, 1):
+    own = r.sample(range(10_000), 400)
+    for most_parts, common in ((100, [7]), (1, [7, 8, 9])):  # a block in parts, and shingles that stay hot however many are asked for
+        rest = [(i, i, 1 + len(common), [*common, 1000 + i]) for i in own]
+        rest = spark.createDataFrame(rest, "number long, label long, n long, tokens array<long>")
         sizes = [x["count"] for x in ngram_join.dealt_classes(rest, 75, 20, most_parts).groupBy("shard").count().collect()]
         assert len(sizes) == 20 * 21 // 2 and max(sizes) < 100
 
 
+def test_hot_prefix_shingle_copies_no_class_often(spark):
+    """Classes that share one prefix shingle, and two of them more, meet by what else they share; nobody is copied for each part of a hot shingle."""
+    rest = [(i, i, 12, [7, *(1000 * (i // 2) + k for k in range(10)), 900_000 + i]) for i in range(200)]
+    table = spark.createDataFrame(rest, "number long, label long, n long, tokens array<long>")
+    dealt = ngram_join.dealt_classes(table, 75, 2, 2)
+    assert max(r["count"] for r in dealt.groupBy("number").count().collect()) <= 6
+    links = {tuple(sorted(x)) for x in ngram_join.searched(table, 75, block=2).distinct().collect()}
+    assert links == {(i, i + 1) for i in range(0, 200, 2)}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_narrowed_groups_lose_no_link(spark, seed):
+    """Sets over few shingles, so that many are hot at any depth: every pair that links shares a shard."""
+    r = random.Random(seed)
+    rest = []
+    for i in range(150):
+        n = r.randint(3, 9)
+        rest.append((i, i, n, sorted(r.sample(range(14), n))))
+    table = spark.createDataFrame(rest, "number long, label long, n long, tokens array<long>")
+    shards = {}
+    for x in ngram_join.dealt_classes(table, 75, 5, 1).select("number", "shard").collect():
+        shards.setdefault(x.number, set()).add(x.shard)
+    for a, b in itertools.combinations(rest, 2):
+        if len(set(a[3]) & set(b[3])) >= ngram_join.least_overlap(a[2], b[2]):
+            assert shards.get(a[0], set()) & shards.get(b[0], set()), (a, b)
+
+
 def test_chained_block_stays_apart(spark):
     """Classes that chain into one block by shingles of two each are no common shard."""
     rest = [(i, i, 2, [i, i + 1]) for i in range(300)]
@@ -147,6 +176,28 @@ def test_suffix_dedup_repeated_rows(spark):
     assert {(r.doc_id, (r.n_bytes, r.n, len(r.spans), r.kept_sha256)) for r in found} == set(want.items())
 
 
+def test_suffix_dedup_keys_of_any_type(spark):
+    """Text keys come in their order; a name that the operator uses is no trouble."""
+    docs = pieces(6)
+    names = {d: f"k{(d * 37) % 211:03d}" for d, _ in docs}
+    want = brute.removed(sorted((int(names[d][1:]), t) for d, t in docs), 30)
+    table = spark.createDataFrame([(names[d], t, 1, 2) for d, t in docs] + [(None, docs[2][1] + "tail", 1, 2)], "doc_id string, text string, place int, own int")
+    found = suffix_dedup.dedup(table, span=30, gram=8).withColumn("n", suffix_dedup.n_removed()).collect()
+    assert {int(r.doc_id[1:]): (r.n_bytes, r.n, len(r.spans), r.kept_sha256) for r in found if r.doc_id} == want
+    assert len(found) == len(docs) + 1
+
+
+def test_index_is_small():
+    """Windows are places among the items' words: some bytes each, however long they are."""
+    import pickle
+
+    texts = [" ".join(f"w{i * 7919 % 50_021}x{k}" for i in range(20_000)) for k in range(5)]
+    windows = decontaminate.item_windows(list(range(5)), texts, 10)
+    vocabulary = np.unique(windows[0])
+    index = decontaminate.Index(windows, list(range(5)), vocabulary, np.ones(len(vocabulary), np.int64))
+    assert len(index.start) == 5 * (20_000 - 9) and len(pickle.dumps(index)) < 5.5 * sum(map(len, texts))
+
+
 def test_contexts_are_dealt_once(spark):
     """Contexts of a hot fingerprint stay out of the shards, and the others enter one each."""
     firsts = spark.createDataFrame([(fp, k, 100 * fp + k, 0, 130) for fp, m in ((1, 50), (2, 4), (3, 1)) for k in range(m)], "fp long, same long, id long, a long, e long")

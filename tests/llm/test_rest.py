@@ -144,9 +144,39 @@ def test_warc_repeated_and_null_keys(spark):
 def test_warc_members():
     record = b"WARC/1.0\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
     data = gzip.compress(record) + gzip.compress(record)
-    assert [bytes(b) for _, b in warc.parse(warc._unzipped(data))] == [b"abc", b"abc"]
+    assert [bytes(b) for _, b in warc.parse(warc.unzipped(data))] == [b"abc", b"abc"]
+    assert [bytes(b) for _, b in warc.parse(warc.unzipped(data + b"\0\0\0"))] == [b"abc", b"abc"]
+    assert list(warc.parse(b"")) == [] and list(warc.parse(warc.unzipped(b""))) == []
+    for bad in (record[:-8], b"no record\r\n\r\n", record + b"\r"):
+        with pytest.raises(ValueError):
+            list(warc.parse(bad))
     with pytest.raises(ValueError):
-        list(warc.parse(record[:-8]))
+        list(warc.parse(warc.unzipped(data[:-5])))
+
+
+def test_warc_pieces_of_any_size():
+    """However the content is cut, the records are the same; blocks may hold what looks like an end mark."""
+    r = random.Random(2)
+    blocks = [bytes(r.choice(b"ab\r\n") for _ in range(r.choice([0, 1, 5, 300, 70_000]))) for _ in range(40)]
+    data = b"".join(b"WARC/1.0\r\nWARC-Type: resource\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (len(b), b) for b in blocks)
+    for size in (1, 2, 3, 7, 4096, 1 << 17):
+        if size < 3:
+            some = data[: data.index(blocks[5]) if blocks[5] else 3000]
+            assert list(warc.parse(some[i : i + size] for i in range(0, len(some), size)))[:2] == list(warc.parse(data))[:2] if len(some) > 3000 else True
+        else:
+            assert [b for _, b in warc.parse(data[i : i + size] for i in range(0, len(data), size))] == blocks
+
+
+def test_warc_many_members_and_large_ones():
+    """A gzip member for each record, as standard archives have, and one large record: time in proportion."""
+    import time
+
+    begun = time.perf_counter()
+    member = gzip.compress(b"WARC/1.0\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n")
+    assert sum(1 for _ in warc.parse(warc.unzipped(member * 100_000))) == 100_000
+    large = b"WARC/1.0\r\nContent-Length: 200000000\r\n\r\n" + bytes(200_000_000) + b"\r\n\r\n"
+    assert [len(b) for _, b in warc.parse(warc.unzipped(gzip.compress(large, 1) + member))] == [200_000_000, 3]
+    assert time.perf_counter() - begun < 60
 
 
 def test_packing(spark):
@@ -438,3 +468,129 @@ def test_pipeline(spark):
     packed = step["packing"](spark, masked, sf)
     assert {r.doc_id for r in packed.collect()} == {r.doc_id for r in masked.collect()}
     assert step["packing"](spark, step["secrets"](spark, docs.limit(0), sf), sf).count() == 0
+
+
+def test_training_lines_are_linear_and_bounded():
+    """Hundreds of thousands of matched lines, a line of as many matches, and a token of megabytes, each in seconds."""
+    import time
+
+    begun = time.perf_counter()
+    many = "\n".join(f"token=abcdef{i}" for i in range(200_000))
+    found = list(secrets._lines_of(many, 0))
+    assert len(found) == 200_000 and found[7][1:] == ("token=abcdef7", [(6, 13)])
+    one = " ".join(f"token=abcdef{i}" for i in range(200_000))
+    ((_, line, spans),) = secrets._lines_of(one, 0)
+    assert line.count("token=") == secrets.TRAIN_TOKENS and spans[0] == (6, 13)
+    huge = "x " + "y" * 25_000_000 + "7" + " token=abcdef1"
+    sorts = [(sort, len(line)) for sort, line, _ in secrets._lines_of(huge, 10**6)]
+    assert {s for s, _ in sorts} == {secrets._MATCHED} or all(n <= secrets.TRAIN_CHARS for _, n in sorts)
+    assert all(n <= secrets.TRAIN_CHARS for _, n in sorts)
+    blank = " " * 5_000_000 + "\n" + "z" * 5_000_000
+    assert [n for _, line, _ in secrets._lines_of(blank, 10**6) if (n := len(line)) > secrets.TRAIN_CHARS] == []
+    assert time.perf_counter() - begun < 60
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_training_lines_against_plain(seed):
+    """Each line with a match comes once, with the values inside it that don't overlap."""
+    r = random.Random(seed)
+    parts = ["token=abcdef12", "password: hunter2x", "a" * 5 + "0123456789abcdef0123456789ab", "plain words", "AKIA" + "ABCDEFGH12345678X", "x", "secret = 'abcdefgh'"]
+    text = "\n".join(" ".join(r.choice(parts) for _ in range(r.randint(0, 4))) for _ in range(60))
+    want, at = [], 0
+    for line in text.split("\n"):
+        own = []
+        for a, b in sorted({(v, e) for _, _, e, v in secrets.base_spans(text) if at <= v and e <= at + len(line)}):
+            if not own or a >= own[-1][1]:
+                own.append((a, b))
+        if own:
+            want.append((line, [(a - at, b - at) for a, b in own]))
+        at += len(line) + 1
+    assert [(line, spans) for sort, line, spans in secrets._lines_of(text, 0) if sort == secrets._MATCHED] == want
+
+
+def triples_of(word):
+    """Every subsequence of three letters within reach, with the sum of its weights, and the norm of all of them."""
+    codes = [int(c) for c in toxicity._CODES[np.frombuffer(word.encode(), np.uint8)] if c != toxicity._MARK]
+    out, norm = {}, 0.0
+    for i, j, k in itertools.combinations(range(len(codes)), 3):
+        if k - i <= toxicity.REACH:
+            w = toxicity.DECAY ** (k - i)
+            t = (codes[i], codes[j], codes[k])
+            out[t] = out.get(t, 0) + w
+            norm += w * w
+    return out, norm**0.5
+
+
+def test_kernel_against_all_subsequences():
+    r = random.Random(9)
+    words = ["gruffler", "g.r.u.f.f.l.e.r", "gr uff ler", "abc", "ab", "aaaaaa", *("".join(r.choice("abcde-é0") for _ in range(r.randint(3, 20))) for _ in range(40))]
+    every = [triples_of(w) for w in words]
+    got = toxicity.vectors(words)
+    kernel = got @ got.T
+    for i, (a, n) in enumerate(every):
+        for j, (b, m) in enumerate(every):
+            want = sum(v * b.get(t, 0) for t, v in a.items()) / (n * m) if n and m else 0
+            assert abs(kernel[i, j] - want) < 1e-4
+    machine = toxicity.Machine.of(words[:6])
+    near = machine.features(words)
+    for i, (_, n) in enumerate(every):
+        for j in range(6):
+            want = np.exp(toxicity.SHARP * min(0, kernel[i, j] - 1)) if n else 0
+            assert abs(near[i, j] - want) < 1e-4
+
+
+def test_svm_is_at_the_optimum():
+    """No gradient is left, and gradient descent from elsewhere ends at the same loss."""
+    r = np.random.default_rng(5)
+    x, weight = r.normal(size=(200, 6)), r.uniform(0.5, 2, 200)
+    y = np.where(x[:, 0] + 0.5 * x[:, 1] + r.normal(scale=0.7, size=200) > 0.3, 1.0, -1.0)
+    one = np.concatenate([x, np.ones((200, 1))], axis=1)
+    ridge = np.array([1.0] * 6 + [1e-6])
+
+    def loss(w):
+        return (weight * np.maximum(0, 1 - y * (one @ w)) ** 2).sum() + (ridge * w * w).sum()
+
+    def slope(w):
+        return -2 * one.T @ (weight * y * np.maximum(0, 1 - y * (one @ w))) + 2 * ridge * w
+
+    w = toxicity.svm(x, y, weight)
+    assert abs(slope(w)).max() < 1e-4
+    v = r.normal(size=7)
+    for _ in range(20_000):
+        v -= 3e-4 * slope(v)
+    assert loss(v) >= loss(w) - 1e-6 and abs(loss(v) - loss(w)) < 1e-3
+
+
+def test_toxicity_labels_of_repeated_and_long_texts(spark):
+    """A key's rows train once, however many there are, and long texts by a window."""
+    rows = insults(3, 300)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(0, rows[0][1])] * 3000 + [(7, "calm words go on. " * 20_000)] * 2, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(y)) for i, _, y in rows] * 2, "doc_id long, toxic int")
+    seen = []
+    keep = toxicity.fit
+    toxicity.fit = lambda texts, *a: seen.append(texts) or keep(texts, *a)
+    try:
+        toxicity.train(docs, labels, rows=100)
+    finally:
+        toxicity.fit = keep
+    assert len(seen[0]) <= 200 and max(map(len, seen[0])) <= toxicity.TRAIN_BYTES
+    toxicity.train(docs, labels)
+
+
+@pytest.mark.parametrize("letters", [1, 2, 8])
+def test_url_filters_with_clashing_short_hashes(spark, monkeypatch, letters):
+    """Short hashes only propose rules: with one letter most clash, and the verdicts are the same."""
+    urls = [(i, f"https://{a}{b}.net/{c}/x") for i, (a, b, c) in enumerate(itertools.product(["", "www."], ["a", "b", "example", "spam"], ["en", "de", "fr", ""]))]
+    rules = spark.createDataFrame([(f"{h}.net", f"/{p}", v) for k, h in enumerate(["a", "b", "example", "c", "d", "e"]) for p, v in (("", "block"), ("en", "allow"), ("de/x", "block" if k % 2 else "allow"))], "host string, path string, verdict string")
+    pages = spark.createDataFrame(urls, "page_id long, url string")
+    want = sorted(map(tuple, url_filters.judge(pages, rules).collect()), key=str)
+    monkeypatch.setattr(url_filters, "SHORT", letters)
+    for most in (0, 100_000):
+        assert sorted(map(tuple, url_filters.judge(pages, rules, broadcast_rules=most).collect()), key=str) == want
+
+
+def test_packing_deals_out_repeated_rows(spark):
+    cut = packing.pieces(spark.createDataFrame([(1, "the same text")] * 4000, "doc_id long, text string").repartition(3), with_ids=False)
+    packed = packing.pack(cut, groups=8)
+    groups = {r[0] >> 40: r[1] for r in packed.groupBy("sequence_id").agg(F.count("*")).collect()}
+    assert len(groups) == 8
