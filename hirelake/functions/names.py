@@ -106,13 +106,16 @@ def loose_pattern(words: str, gap: int = 2) -> str:
 
 def title_passes(title: Column, wanted: tuple[str, ...], unwanted: tuple[str, ...] = ()) -> Column:
     """Whether a title holds a wanted phrase, whole or loosely, and no unwanted one. Wanted ones in match form."""
-    name = match_title(title)
-    hit = F.lit(not wanted)
-    for words in wanted:
-        hit = hit | F.regexp_like(name, F.lit(phrase_pattern(words))) | F.regexp_like(name, F.lit(loose_pattern(words)))
-    for words in unwanted:
-        hit = hit & ~F.regexp_like(name, F.lit(phrase_pattern(words)))
-    return hit
+
+    def passes(name: Column) -> Column:
+        hit = F.lit(not wanted)
+        for words in wanted:
+            hit = hit | F.regexp_like(name, F.lit(phrase_pattern(words))) | F.regexp_like(name, F.lit(loose_pattern(words)))
+        for words in unwanted:
+            hit = hit & ~F.regexp_like(name, F.lit(phrase_pattern(words)))
+        return hit
+
+    return F.exists(F.array(match_title(title)), passes)  # the match form is made once, not once a phrase
 
 
 def telling_words(text: Column) -> Column:

@@ -66,6 +66,49 @@ def local_day_start(ts: Column, zone: str, offset_days: int = 0) -> Column:
     return F.to_utc_timestamp(local + F.make_dt_interval(F.lit(offset_days)), zone)
 
 
+def local_day_window(ts: Column, zone: str) -> Column:
+    """struct(start, end): the UTC times between which the local day of ts lies; days of a change of clocks have 23 or 25 hours."""
+    return F.struct(local_day_start(ts, zone).alias("start"), local_day_start(ts, zone, 1).alias("end"))
+
+
+def local_date_time(day: Column, zone: str, end: bool = False) -> Column:
+    """The UTC time of a local calendar day's first second, or its last one."""
+    local = F.to_timestamp_ntz(F.concat(day.cast("date").cast("string"), F.lit(" 23:59:59" if end else " 00:00:00")))
+    return F.to_utc_timestamp(local.cast("timestamp"), zone)
+
+
+def naive_utc(text: Column) -> Column:
+    """A time in text as UTC without a zone (in a session whose zone is UTC): with an offset or Z it is moved, without one it is UTC already; null for what is no time."""
+    t = F.trim(text)
+    return F.to_timestamp_ntz(F.date_format(t.try_cast("timestamp"), "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+
+
+#: Words of a location that tell no place apart.
+LOCATION_STOP_WORDS = ("united", "states", "usa", "the", "and", "area", "greater", "metro")
+
+
+def location_tokens(text: Column) -> Column:
+    """The distinct words of three letters or digits and more, without the stop words; of null, none."""
+    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]{3,}"), F.lit(0))
+    return F.array_except(F.array_distinct(words), F.array(*map(F.lit, LOCATION_STOP_WORDS)))
+
+
+def posted_location(posting: Column) -> Column:
+    """The place of a JSON-LD posting's jobLocation: a text as it is; of a place its city, else region, else country, else name; of a list all of them, set apart by " | "."""
+    some = lambda x: F.nullif(F.trim(x), F.lit(""))
+
+    def one(place: Column) -> Column:
+        at = lambda path: F.get_json_object(place, path)
+        address = at("$.address")
+        inside = F.coalesce(*(some(at(f"$.address.{n}")) for n in ("addressLocality", "addressRegion", "addressCountry")))
+        named = F.when(F.startswith(address, F.lit("{")), inside).when(address.isNotNull(), some(address)).otherwise(some(at("$.name")))
+        return F.when(F.startswith(F.ltrim(place), F.lit("{")), named).otherwise(some(F.regexp_replace(place, '^"|"$', "")))
+
+    where = F.get_json_object(posting, "$.jobLocation")
+    many = F.array_join(F.filter(F.transform(F.from_json(where, "array<string>"), one), lambda x: x.isNotNull()), " | ")
+    return F.coalesce(F.when(F.startswith(F.ltrim(where), F.lit("[")), many).otherwise(one(where)), F.lit(""))
+
+
 def relative_label(ts: Column, as_of: Column) -> Column:
     days = F.datediff(as_of, ts)
     return (

@@ -75,41 +75,67 @@ def observed(text: Column, provenance: Column) -> Column:
 
 
 def normalized(low: Column, high: Column, period: Column, provenance: Column) -> Column:
-    """The yearly pair and how it was reached."""
+    """The yearly pair and how it was reached. Each step is worked out once a row and handed to the next."""
+    none = F.lit(None).cast("long")
+    pair = lambda x, y, code: F.struct(x.alias("x"), y.alias("y"), code.alias("code"))
+    fits = lambda v: v.between(LEAST, MOST)
+
+    def years(r: Column) -> Column:
+        known = r["period"] != "unknown"
+        one = lambda v: F.when(known, v * r["factor"]).otherwise(v)
+        told = F.when(~known | (r["period"] == "annual"), "ok").otherwise(F.concat(F.lit("salvaged_"), r["period"]))
+        small = lambda v: v.isNull() | ((v > MOST) & fits(v / 100))
+        cents = (r["provenance"] == "ats_structured") & ~known & small(r["low"]) & small(r["high"])
+        return F.struct(*(r[n].alias(n) for n in ("low", "high", "period")), one(r["low"]).alias("a"), one(r["high"]).alias("b"), told.alias("code"), F.coalesce(cents, F.lit(False)).alias("cents"))
+
+    def sides(r: Column) -> Column:
+        a, b = (F.when(fits(r[n]), r[n].cast("long")) for n in ("a", "b"))
+        c, d = ((r[n] / 100).cast("long") for n in ("low", "high"))
+        good = (r["low"].isNull() | fits(r["a"])) & (r["high"].isNull() | fits(r["b"]))
+        kept = F.when(r["low"].isNull() & r["high"].isNull(), pair(none, none, F.lit("empty"))).when(good, pair(a, b, r["code"])).when(r["cents"], pair(c, d, F.lit("salvaged_cents"))).otherwise(pair(none, none, F.lit("implausible")))
+        return F.struct(r["period"].alias("period"), kept.alias("p"))
+
+    def in_order(r: Column) -> Column:
+        x, y, code = (r["p"][n] for n in ("x", "y", "code"))
+        wrong = F.coalesce(x > y, F.lit(False))
+        far = wrong & (x > y * 10)
+        low, high = (F.when(far, none).when(wrong, p).otherwise(q) for p, q in ((y, x), (x, y)))
+        return F.struct(low.alias("salary_min"), high.alias("salary_max"), column_period(r["period"]).alias("period"), F.when(far, "implausible").otherwise(code).alias("resolution"))
+
     period = F.when(period.isin(*FACTORS), period).otherwise("unknown")
-    known = period != "unknown"
+    once = F.array(F.struct(low.alias("low"), high.alias("high"), period.alias("period"), provenance.alias("provenance")))
+    once = F.transform(once, lambda r: F.struct(*(r[n].alias(n) for n in ("low", "high", "period", "provenance")), factor(r["period"]).alias("factor")))
+    return F.get(F.transform(F.transform(F.transform(once, years), sides), in_order), F.lit(0))
 
-    def side(value: Column) -> Column:
-        year = F.when(known, annualized(value, period)).otherwise(value)
-        return F.when(year.between(LEAST, MOST), year.cast("long"))
 
-    a, b = side(low), side(high)
-    none = F.lit(None).cast("long")
-    resolved = (low.isNull() | a.isNotNull()) & (high.isNull() | b.isNotNull())
-    swapped = a > b
-    far = swapped & (a > b * 10)
-    code = F.when(~known | (period == "annual"), "ok").otherwise(F.concat(F.lit("salvaged_"), period))
-    cents = (
-        (provenance == "ats_structured") & ~known
-        & (low.isNull() | ((low > MOST) & (low / 100).between(LEAST, MOST)))
-        & (high.isNull() | ((high > MOST) & (high / 100).between(LEAST, MOST)))
-    )
-    c, d = (low / 100).cast("long"), (high / 100).cast("long")
-    cents_swapped = F.coalesce(c > d, F.lit(False))
-    cents_far = cents_swapped & (c > d * 10)
-
-    def out(x: Column, y: Column, resolution: Column) -> Column:
-        return F.struct(x.alias("salary_min"), y.alias("salary_max"), column_period(period).alias("period"), resolution.alias("resolution"))
-
-    return (
-        F.when(low.isNull() & high.isNull(), out(none, none, F.lit("empty")))
-        .when(resolved & F.coalesce(far, F.lit(False)), out(none, none, F.lit("implausible")))
-        .when(resolved & F.coalesce(swapped, F.lit(False)), out(b, a, code))
-        .when(resolved, out(a, b, code))
-        .when(F.coalesce(cents, F.lit(False)) & ~cents_far & cents_swapped, out(d, c, F.lit("salvaged_cents")))
-        .when(F.coalesce(cents, F.lit(False)) & ~cents_far, out(c, d, F.lit("salvaged_cents")))
-        .otherwise(out(none, none, F.lit("implausible")))
-    )
+#: How a pair was reached that may be shown.
+RESOLVED = ("ok", "salvaged_hourly", "salvaged_daily", "salvaged_weekly", "salvaged_monthly", "salvaged_cents")
+
+
+def captured(observation: Column) -> Column:
+    """What a source's observation gives a posting: the yearly pair and period only where it was resolved, currency, provenance, and the observation itself with how it was judged; null without one."""
+    norm = normalized(observation["min_value"], observation["max_value"], observation["period"], observation["provenance"])
+
+    def made(r: Column) -> Column:
+        good = r["n"]["resolution"].isin(*RESOLVED)
+        return F.struct(
+            F.when(good, r["n"]["salary_min"]).alias("salary_min"), F.when(good, r["n"]["salary_max"]).alias("salary_max"), F.when(good, r["n"]["period"]).alias("period"), r["o"]["currency"].alias("currency"),
+            r["o"]["provenance"].alias("provenance"), r["n"]["resolution"].alias("resolution"), F.array(r["o"]).alias("observations"),
+        )
+
+    once = F.array(F.struct(observation.alias("o"), norm.alias("n")))
+    return F.when(observation.isNotNull(), F.get(F.transform(once, made), F.lit(0)))
+
+
+def from_text(text: Column, provenance: str = "jd_regex") -> Column:
+    """struct(salary_min, salary_max) that a text names, both or neither: a range that is plausible as it stands or a year long."""
+    got = captured(observed(text, F.lit(provenance)))
+
+    def both(c: Column) -> Column:
+        whole = c["salary_min"].isNotNull() & c["salary_max"].isNotNull() & (c["resolution"] != "salvaged_cents")
+        return F.struct(F.when(whole, c["salary_min"]).alias("salary_min"), F.when(whole, c["salary_max"]).alias("salary_max"))
+
+    return F.get(F.transform(F.array(got), both), F.lit(0))
 
 
 def ordered(low: Column, high: Column, ratio: int = 10) -> Column:
