@@ -55,20 +55,40 @@ def _grams(text: Column) -> Column:
     return F.when(F.length(text) < 3, F.array(text)).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - 2), lambda i: F.substr(text, i, F.lit(3)))))
 
 
+def _held(units: DataFrame, wholes: DataFrame) -> DataFrame:
+    """unit, whole of the units that lie in a whole text; both sides distinct. A unit meets by its rarest string of three letters alone, so no common one brings all together."""
+    grams = wholes.select("whole", F.explode(_grams(F.col("whole"))).alias("gram"))
+    of_units = units.select("unit", F.explode(_grams(F.col("unit"))).alias("gram"))
+    counted = of_units.join(grams.groupBy("gram").agg(F.count("*").alias("df")), "gram", "left").withColumn("df", F.coalesce("df", F.lit(0)))
+    rarest = counted.groupBy("unit").agg(F.min(F.struct("df", "gram")).alias("g")).where("g.df > 0").select("unit", F.col("g.gram").alias("gram"))
+    return rarest.join(grams, "gram").where(F.contains("whole", F.col("unit"))).select("unit", "whole")
+
+
 def misplaced_slugs(companies: DataFrame, key: str = "company_id", name: str = "company") -> DataFrame:
     """owner_id, candidate_id, platform, slug and strength: an aggregator holds the slug of a company without one.
 
-    A word of one that lies in the other shares a string of three letters with it, so both meet by these,
-    never all with all. Slugs under three letters meet nothing. Of equal candidates the least id.
+    Strength is that of slug_strength. What must lie in the other is the whole text of one (3) or a word of
+    it (2), so distinct texts and words meet, each by its rarest string of three letters, and of equal ones
+    only the least id goes on: a word that every name has costs one row for each name, not one for each pair.
+    Slugs under three letters meet only equal ones. Of equal candidates the least id.
     """
     plain = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]+", "")
+    words = lambda c: F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda w: F.length(w) >= 3)
     has = (F.coalesce("platform", F.lit("")) != "") & (F.coalesce("slug", F.lit("")) != "")
-    owners = companies.where(has & is_aggregator(F.col(name))).select(F.col(key).alias("owner_id"), "platform", "slug", F.explode(_grams(plain("slug"))).alias("gram"))
-    free = companies.where(F.coalesce("platform", F.lit("")) == "").select(F.col(key).alias("candidate_id"), F.col(name).alias("candidate"), F.explode(_grams(plain(name))).alias("gram"))
-    met = owners.join(free, "gram").where(F.col("owner_id") != F.col("candidate_id")).drop("gram").distinct()
-    scored = met.withColumn("strength", slug_strength(F.col("candidate"), F.col("slug"))).where("strength >= 2")
-    best = F.struct("strength", (-F.col("candidate_id")).alias("turn"))
-    return scored.groupBy("owner_id", "platform", "slug").agg(F.max_by(F.struct("candidate_id", "strength"), best).alias("x")).select("owner_id", "platform", "slug", "x.*")
+    owners = companies.where(has & is_aggregator(F.col(name))).select(F.col(key).alias("owner_id"), "platform", "slug", plain("slug").alias("whole"), words("slug").alias("words")).where("whole <> ''")
+    free = companies.where(F.coalesce("platform", F.lit("")) == "").select(F.col(key).alias("candidate_id"), plain(name).alias("whole"), words(F.col(name)).alias("words")).where("whole <> ''")
+    own_units = owners.select("owner_id", F.col("whole").alias("unit"), F.lit(3).alias("strength")).unionByName(owners.select("owner_id", F.explode("words").alias("unit"), F.lit(2).alias("strength")))
+    free_units = free.select("candidate_id", F.col("whole").alias("unit"), F.lit(3).alias("strength")).unionByName(free.select("candidate_id", F.explode("words").alias("unit"), F.lit(2).alias("strength")))
+    names = free.groupBy("whole").agg(F.min("candidate_id").alias("candidate_id"))
+    # slugs and their words in names
+    in_names = _held(own_units.select("unit").distinct(), names.select("whole")).join(names, "whole").groupBy("unit").agg(F.min("candidate_id").alias("candidate_id"))
+    one = own_units.join(in_names, "unit").select("owner_id", "candidate_id", "strength")
+    # names and their words in slugs
+    least = free_units.groupBy("unit", "strength").agg(F.min("candidate_id").alias("candidate_id"))
+    in_slugs = _held(least.select("unit").distinct(), owners.select("whole").distinct()).join(least, "unit")
+    two = in_slugs.groupBy("whole", "strength").agg(F.min("candidate_id").alias("candidate_id")).join(owners.select("owner_id", "whole"), "whole").select("owner_id", "candidate_id", "strength")
+    best = one.unionByName(two).groupBy("owner_id").agg(F.max_by(F.struct("candidate_id", "strength"), F.struct("strength", (-F.col("candidate_id")).alias("turn"))).alias("x"))
+    return owners.select("owner_id", "platform", "slug").join(best, "owner_id").select("owner_id", "platform", "slug", "x.*")
 
 
 def healed_slugs(companies: DataFrame, jobs: DataFrame, key: str = "company_id", name: str = "company") -> tuple[DataFrame, DataFrame]:

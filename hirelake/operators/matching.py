@@ -21,24 +21,24 @@ def _keys(names: DataFrame, least: int) -> DataFrame:
     """
     part = (least - 0.5) / 100
     d, missing = 2 * (1 - part), 1 - part / (2 - part)
-    once = names.select(F.col("name"), F.array_sort(F.array_distinct(F.filter(F.split(F.lower("name"), r"\s+"), lambda w: w != ""))).alias("words"))
+    once = names.select("name", F.array_sort(F.array_distinct(F.filter(F.split(F.lower("name"), r"\s+"), lambda w: w != ""))).alias("words"))
     once = once.withColumns({"n": F.length(F.array_join("words", " ")), "w": F.size("words")}).where("w > 0")
-    grams = once.select(
-        "name", "n", "w",
-        F.explode(F.flatten(F.transform("words", lambda x: F.when(F.length(x) > 1, F.transform(F.sequence(F.lit(1), F.length(x) - 1), lambda i: F.substr(x, i, F.lit(2)))).otherwise(F.array(x))))).alias("gram"),
-    )
-    turn = F.row_number().over(Window.partitionBy("name", "gram").orderBy("gram"))
-    grams = grams.select("name", "n", "w", F.concat(F.lit("g"), turn.cast("string"), F.lit(":"), "gram").alias("key"), F.lit(1).alias("size"))
-    words = once.select("name", "n", "w", F.explode("words").alias("word")).select("name", "n", "w", F.concat(F.lit("w:"), "word").alias("key"), F.length("word").alias("size"))
-    every = grams.unionByName(words)
+    pairs = F.flatten(F.transform("words", lambda x: F.when(F.length(x) > 1, F.transform(F.sequence(F.lit(1), F.length(x) - 1), lambda i: F.substr(x, i, F.lit(2)))).otherwise(F.array(x))))
+    once = once.withColumn("pairs", pairs)
+    turn = lambda x, i: F.size(F.filter(F.slice(F.col("pairs"), F.lit(1), i + 1), lambda y: y == x)).cast("string")
+    grams = F.transform("pairs", lambda x, i: F.struct(F.concat(F.lit("g"), turn(x, i), F.lit(":"), x).alias("key"), F.lit(1).alias("size")))
+    own_words = F.transform("words", lambda x: F.struct(F.concat(F.lit("w:"), x).alias("key"), F.length(x).alias("size")))
+    every = once.select("name", "n", "w", F.explode(F.concat(grams, own_words)).alias("k")).select("name", "n", "w", "k.*")
     counted = every.join(every.groupBy("key").agg(F.count("*").alias("df")), "key")
-    kind = F.startswith("key", F.lit("w:"))
-    order = Window.partitionBy("name", kind).orderBy("df", "key")
-    before = F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    all_grams = F.count("*").over(Window.partitionBy("name", kind))
-    t = F.ceil((1 - 2 * d) * F.col("n") - 1 - 2 * (F.col("w") - 1))
-    inside = F.when(kind, (before <= missing * F.col("n")) | (t < 1)).otherwise((before < all_grams - t + 1) | (t < 1))
-    return counted.select("name", "key", inside.alias("prefix"))
+    lists = counted.groupBy("name", "n", "w").agg(F.array_sort(F.collect_list(F.struct("df", "key", "size"))).alias("all"))
+    is_word = lambda x: F.startswith(x["key"], F.lit("w:"))
+    lists = lists.withColumns({"g": F.filter("all", lambda x: ~is_word(x)), "v": F.filter("all", is_word)})
+    lists = lists.withColumn("t", F.ceil((1 - 2 * d) * F.col("n") - 1 - 2 * (F.col("w") - 1)))
+    short = F.col("t") < 1
+    of_grams = F.transform("g", lambda x, i: F.struct(x["key"].alias("key"), (short | (i < F.size("g") - F.col("t") + 1)).alias("prefix")))
+    before = lambda i: F.aggregate(F.slice(F.col("v"), F.lit(1), i), F.lit(0), lambda a, y: a + y["size"])
+    of_words = F.transform("v", lambda x, i: F.struct(x["key"].alias("key"), (short | (before(i) <= missing * F.col("n"))).alias("prefix")))
+    return lists.select("name", F.explode(F.concat(of_grams, of_words)).alias("k")).select("name", "k.*")
 
 
 def fuzzy_candidates(left: DataFrame, right: DataFrame, least: int) -> DataFrame:

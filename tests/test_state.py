@@ -66,3 +66,25 @@ def test_links_in_mail(spark):
     assert rows(got, "title", "company", "url") == [("Data Engineer", "more", "https://jobs.lever.co/a/1")]
     none = F.array().cast("array<string>")
     assert spark.range(1).select(mailbox.first_found(none, F.array(F.lit("x")), F.array(F.lit("y")))).first()[0] == ["x"]
+
+
+def test_misplaced_slugs_against_all_pairs(spark):
+    """Every pair compared, on names with common words, short slugs and equal candidates."""
+    import random
+
+    from hirelake.functions.urls import slug_strength
+
+    r = random.Random(4)
+    words = ["inc", "acme", "jobs", "data", "ab", "nova", "acmedata", "north", "media"]
+    text = lambda n, sep: sep.join(r.choice(words) for _ in range(r.randint(1, n)))
+    table = [(i, f"Top Jobs {i}", "lever", text(3, r.choice(["-", "", "."]))) for i in range(40)] + [(100 + i, text(3, " ").title(), None, None) for i in range(60)]
+    companies = spark.createDataFrame(table, "company_id int, company string, platform string, slug string")
+    got = {x.owner_id: (x.candidate_id, x.strength) for x in C.misplaced_slugs(companies).collect()}
+    both = companies.where("platform IS NOT NULL").alias("o").join(companies.where("platform IS NULL").alias("c"))
+    strength = both.select(F.col("o.company_id").alias("own"), F.col("o.slug").alias("slug"), F.col("c.company_id").alias("cand"), F.lower(F.regexp_replace("c.company", "[^A-Za-z0-9]", "")).alias("name"), slug_strength(F.col("c.company"), F.col("o.slug")).alias("s")).collect()
+    want = {}
+    for x in strength:
+        plain = "".join(ch for ch in x.slug if ch.isalnum())
+        if x.s >= 2 and (min(len(plain), len(x.name)) >= 3 or plain == x.name):
+            want[x.own] = max(want.get(x.own, (0, 0)), (x.s, -x.cand))
+    assert got == {o: (-c, s) for o, (s, c) in want.items()}
