@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from hirelake.functions.content import ENTITIES
+from hirelake.functions.names import unescaped
 
 #: What a word in a link takes away, and what a block costs.
 LINK, COST = 3, 8
@@ -30,8 +30,7 @@ def blocks(html: Column) -> Column:
     text = F.regexp_replace(F.regexp_replace(F.coalesce(html, F.lit("")), "[\u0001\u0002\u0003]", " "), MUTE, " ")
     text = F.regexp_replace(F.regexp_replace(text, r"(?i)<a\b[^>]*>", "\u0001"), r"(?i)</a\s*>", "\u0002")
     text = F.regexp_replace(F.regexp_replace(text, BLOCK_TAGS, "\u0003"), r"(?s)<[^>]*>", "")
-    for entity, letter in ENTITIES:
-        text = F.replace(text, F.lit(entity), F.lit(letter))
+    text = unescaped(text)
 
     def block(piece: Column) -> Column:
         links = F.array_join(F.regexp_extract_all(piece, F.lit("\u0001([^\u0001\u0002]*)"), F.lit(1)), " ")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from hirelake.functions.names import body_mentions, telling_words
+from hirelake.functions.names import body_mentions, telling_words, unescaped
 
 #: Beginnings of bodies that are page furniture, and their least length.
 JUNK_BEGINNINGS = ("sign in", "loading", "open roles at", "skip to content", "cookie", "privacy policy", "404")
@@ -158,9 +158,8 @@ MAIL_PHRASES = (
 )
 
 
-#: Marks of HTML in a text, and entities beside the numbered ones.
+#: Marks of HTML in a text.
 HTML_SIGNAL = r"(?i)</?(?:p|div|br|ul|ol|li|span|strong|em|b|i|h[1-6]|table|a)\b[^>]*>|&(?:nbsp|amp|lt|gt|quot|#\d+);"
-ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&rsquo;", "\u2019"), ("&ndash;", "\u2013"), ("&mdash;", "\u2014"), ("&bull;", "\u2022"), ("&amp;", "&"))
 #: Tails of cards behind a title.
 CARD_TAIL = r"(?i)\s*(?:posted\s+(?:\d+\+?\s+\w+\s+ago|today|yesterday).*|\d+\+?\s+(?:days?|hours?|weeks?|months?)\s+ago.*|(?:apply now|view job|learn more|save job|easy apply).*)$"
 #: Words of an error that tell of credentials.
@@ -176,8 +175,7 @@ def html_to_text(html: Column) -> Column:
     text = F.regexp_replace(text, r"(?i)</(?:p|div|section|article|ul|ol|table|h[1-6])\s*>", "\n\n")
     text = F.regexp_replace(text, r"(?i)<br\s*/?>|</(?:tr|li)\s*>", "\n")
     text = F.regexp_replace(text, r"(?s)<[^>]+>", "")
-    for entity, letter in ENTITIES:
-        text = F.replace(text, F.lit(entity), F.lit(letter))
+    text = unescaped(text)
     text = F.regexp_replace(F.regexp_replace(text, r"[ \t\u00a0]+", " "), r" ?\n ?", "\n")
     return F.trim(F.regexp_replace(F.regexp_replace(text, r"\n{3,}", "\n\n"), r"^\s+|\s+$", ""))
 

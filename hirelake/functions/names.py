@@ -36,7 +36,11 @@ TITLE_STOP_WORDS = (
     "vp", "vice", "president", "chief", "intern", "internship", "co", "op", "coop", "the", "and", "or", "of", "for", "in",
     "at", "to", "a", "an", "remote", "hybrid", "onsite", "fulltime", "part", "time", "contract", "i", "ii", "iii", "iv", "v",
 )
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
+#: Named entities and their letters; the ampersand's comes last, so nothing is decoded twice.
+ENTITIES = (
+    ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&rsquo;", "\u2019"), ("&ndash;", "\u2013"), ("&mdash;", "\u2014"), ("&bull;", "\u2022"), ("&amp;", "&"),
+)
+_NUMBERED = r"&#(?:[0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});"
 
 #: Codes and words of legal entities before a name, and levels behind a title.
 _ENTITY_CODE = r"^(?:\d{2,6}|[A-Z]{2,3}\d{2,5})\s+(?=[A-Za-z])"
@@ -50,11 +54,30 @@ def squeezed(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
+def _letter(n: Column) -> Column:
+    """The letter of a code point, by way of JSON's escapes; null where there is none."""
+    escape = lambda x: F.concat(F.lit("\\u"), F.lpad(F.hex(x.cast("long")), 4, "0"))
+    high, low = F.lit(0xD800) + F.shiftright(n - 0x10000, 10), F.lit(0xDC00) + (n - 0x10000) % 1024
+    told = F.when(n.between(1, 0xD7FF) | n.between(0xE000, 0xFFFF), escape(n)).when(n.between(0x10000, 0x10FFFF), F.concat(escape(high), escape(low)))
+    return F.get_json_object(F.concat(F.lit('{"a":"'), told, F.lit('"}')), "$.a")
+
+
 def unescaped(text: Column) -> Column:
-    """The common HTML entities, as characters."""
-    for entity, mark in ENTITIES:
-        text = F.replace(text, F.lit(entity), F.lit(mark))
-    return text
+    """HTML entities as characters: the common named ones, and numbered ones of any kind; a number without a letter stays as it is."""
+
+    def one(mark: Column) -> Column:
+        digits = F.regexp_replace(mark, "[&#;xX]", "")
+        n = F.when(F.regexp_like(mark, F.lit("^&#[xX]")), F.conv(digits, 16, 10)).otherwise(digits).try_cast("int")
+        return F.coalesce(_letter(n), mark)
+
+    def whole(t: Column) -> Column:
+        parts = F.zip_with(F.split(t, _NUMBERED, -1), F.regexp_extract_all(t, F.lit(_NUMBERED), F.lit(0)), lambda p, m: F.concat(p, F.coalesce(one(m), F.lit(""))))
+        t = F.when(F.contains(t, F.lit("&#")), F.array_join(parts, "")).otherwise(t)
+        for entity, mark in ENTITIES:
+            t = F.replace(t, F.lit(entity), F.lit(mark))
+        return t
+
+    return F.get(F.transform(F.array(text), whole), F.lit(0))  # what the text is made of is worked out once
 
 
 def without_entity_code(company: Column) -> Column:

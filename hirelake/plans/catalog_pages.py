@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from hirelake.functions import blocks as B, content
+from hirelake.functions import blocks as B, content, names as N
 from hirelake.operators import gazetteer as G
 from hirelake.plans import views as V
 from hirelake.plans.views import Registry
@@ -86,7 +86,7 @@ def q_recipe_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
 # bodies
 
 _ENTITIES = "text"
-for _entity, _letter in content.ENTITIES:
+for _entity, _letter in N.ENTITIES:
     _ENTITIES = f"replace({_ENTITIES}, '{_entity}', '{_letter.replace(chr(39), chr(39) * 2)}')"
 _SQL_TAGS = B.BLOCK_TAGS.replace("(?i)", "")
 

@@ -152,3 +152,13 @@ def test_bootstrap(spark):
     df = spark.createDataFrame([(i, i % 2, float(i % 10)) for i in range(400)], "k int, g int, v double")
     for r in evals.bootstrap_mean(df, "k", "v", "g").collect():
         assert r.low < r["mean"] < r.high and r.high - r.low < 2
+
+
+def test_numbered_entities(spark):
+    from hirelake.functions import blocks, content, names
+
+    text = "a&#8217;b &#x1F600; &#39;c&#39; &amp;#39; &#0; &#1114112; &#xD800; &lt;&rsquo; &#34;q&#92;"
+    want = "a’b \U0001f600 'c' &#39; &#0; &#1114112; &#xD800; <’ \"q\\"
+    assert one(spark, names.unescaped(F.lit(text))) == want and one(spark, names.unescaped(F.lit(None).cast("string"))) is None
+    assert one(spark, content.html_to_text(F.lit(f"<p>{text}</p>"))) == want
+    assert one(spark, blocks.blocks(F.lit("<p>x&#8211;y</p>")))[0].text == "x–y"
