@@ -341,18 +341,26 @@ def q_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.table(spark, sf_dir, "pages").select("page_id", urls.host(F.col("url")).alias("host"), urls.domain(F.col("url")).alias("domain"))
 
 
+@R.add(r"""
+WITH u AS (SELECT page_id, url, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)', 1) AS b, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)', 1) AS p,
+  list_sort(list_filter(string_split(regexp_extract(url, '^[^?#]*\?([^#]*)', 1), '&'), lambda x: x <> '' AND lower(split_part(x, '=', 1)) NOT IN ('gclid', 'fbclid', 'msclkid', 'ref', 'referer', 'referrer', 'trk', 'source') AND NOT starts_with(lower(x), 'utm_') AND NOT starts_with(lower(x), 'mc_'))) AS q,
+  regexp_extract(url, '(#.*)$', 1) AS f FROM pages),
+c AS (SELECT page_id, CASE WHEN b = '' THEN url ELSE lower(b) || p || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END || f END AS url FROM u)
+SELECT min(page_id) AS page_id, url FROM c GROUP BY url
+""")
 def q_canonical_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = V.table(spark, sf_dir, "pages").select("page_id", urls.canonical(F.col("url")).alias("url"))
     return feeds.first_seen_urls(pages, "url", ["page_id"])
 
 
+@R.add(r"""
+WITH a AS (SELECT page_id, unnest(regexp_extract_all(html, '<a\s[^>]*href="[^"]*"[^>]*>.*?</a>', 0, 'is')) AS a FROM pages)
+SELECT page_id, count(*) AS links, count(DISTINCT regexp_extract(a, 'href="([^"]*)"', 1, 'i')) AS distinct_links FROM a GROUP BY 1
+""")
 def q_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feeds.anchors(V.table(spark, sf_dir, "pages").select("page_id", "html")).groupBy("page_id").agg(F.count("*").alias("links"), F.count_distinct("link").alias("distinct_links"))
 
 
-R.queries |= {"q_canonical_urls": q_canonical_urls, "q_anchors": q_anchors}
-
-
 @R.add("""
 WITH s AS (SELECT dedup_key, salary AS v, CASE dedup_key % 4 WHEN 0 THEN 'annual' WHEN 1 THEN 'monthly' WHEN 2 THEN 'unknown' ELSE 'weekly' END AS period FROM v_jobs),
 y AS (SELECT dedup_key, period, v * CASE period WHEN 'monthly' THEN 12 WHEN 'weekly' THEN 52 ELSE 1 END AS year FROM s)

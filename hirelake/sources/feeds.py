@@ -27,7 +27,8 @@ RECORD = "title string, company string, location string, url string, body string
 
 def field(payload: Column, names: Sequence[str]) -> Column:
     """The first of the names whose value isn't empty, of a JSON object in text."""
-    return F.coalesce(*[F.nullif(F.trim(F.get_json_object(payload, f"$.{n}")), F.lit("")) for n in names])
+    found = F.transform(F.array(*(F.lit(f"$.{n}") for n in names)), lambda path: F.trim(F.call_function("get_json_object", payload, path)))
+    return F.get(F.filter(found, lambda v: F.coalesce(v, F.lit("")) != ""), F.lit(0))
 
 
 def is_error(payload: Column) -> Column:
