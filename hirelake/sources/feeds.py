@@ -6,10 +6,12 @@ instead of failing a load.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from hirelake.sources.recipes import Aliases
+
 #: Names under which feeds and boards keep a field.
 ALIASES = {
     "title": ("title", "name", "text", "position", "job_title", "jobTitle"),
@@ -37,14 +39,25 @@ def is_error(payload: Column) -> Column:
     return error.isNotNull() & F.coalesce(F.get_json_object(payload, "$.results"), F.get_json_object(payload, "$.jobs")).isNull()
 
 
-def postings(payloads: DataFrame, column: str = "payload") -> DataFrame:
-    """One record per JSON object; without title or company it is left out."""
+def postings(payloads: DataFrame, column: str = "payload", more: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
+    """One record per JSON object; without title or company it is left out. more: further names of fields, tried after the known ones."""
+    names_of = {name: (*names, *(n for n in (more or {}).get(name, ()) if n not in names)) for name, names in ALIASES.items()}
     got = payloads.where(~F.coalesce(is_error(F.col(column)), F.lit(False)))
-    out = got.select("*", *[field(F.col(column), names).alias(name) for name, names in ALIASES.items()])
+    out = got.select("*", *[field(F.col(column), names).alias(name) for name, names in names_of.items()])
     return out.where(F.col("title").isNotNull() & F.col("company").isNotNull()).withColumn("location", F.coalesce("location", F.lit("Remote")))
 
 
-def objects(documents: DataFrame, column: str, paths: Sequence[str] = ("$.jobs", "$.results", "$.data", "$.postings", "$")) -> DataFrame:
+#: Where payloads keep their list of postings, tried in turn.
+LISTS = ("$.jobs", "$.results", "$.data", "$.postings", "$")
+
+
+def aliased(documents: DataFrame, recipe: Aliases, column: str = "doc") -> DataFrame:
+    """Postings of payloads of a source whose names a recipe of aliases adds to the known ones; its lists are looked for after the known ones."""
+    found = objects(documents, column, (*LISTS[:-1], *(f"$.{n}" for n in recipe.arrays), LISTS[-1]))
+    return postings(found, more={"title": recipe.title, "url": recipe.url})
+
+
+def objects(documents: DataFrame, column: str, paths: Sequence[str] = LISTS) -> DataFrame:
     """The objects of the first path that holds an array, one row each, as payload."""
     arrays = [F.from_json(F.get_json_object(column, p), "array<string>") for p in paths]
     return documents.select("*", F.explode(F.coalesce(*arrays)).alias("payload"))

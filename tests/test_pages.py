@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from hirelake.functions import blocks, content
 from hirelake.operators import gazetteer
-from hirelake.sources import captures, recipes
+from hirelake.sources import captures, feeds, recipes
 
 # recipes
 
@@ -173,6 +173,13 @@ def test_replay(spark):
     assert (got["b"].lost, got["b"].won, got["b"].both, got["c"].neither, got["d"].rows_before, got["d"].rows_after) == (1, 1, 0, 1, 2, 1)
 
 
+def test_alias_recipes(spark):
+    docs = spark.createDataFrame([('{"vacancies": [{"headline": "Dev", "company": "A", "where_to": "u"}, {"title": "Known", "headline": "x", "company": "B"}]}',), ('{"jobs": [{"headline": "Ops", "company": "C"}]}',), (None,)], "doc string")
+    recipe = recipes.checked("ats", {"source": "ats:x", "title_fields": ["headline", "title"], "url_fields": ["where_to"], "array_keys": ["vacancies"]})
+    assert sorted((r.title, r.url or "") for r in feeds.aliased(docs, recipe).collect()) == [("Dev", "u"), ("Known", ""), ("Ops", "")]
+    assert feeds.postings(feeds.objects(docs, "doc")).count() == 0
+
+
 # bodies
 
 def test_best_run_against_all_runs(spark):
