@@ -65,6 +65,10 @@ def title_from_slug(url: Column) -> Column:
 
 #: Boards of applicant systems: platform, pattern whose first group is the company's slug, and how much it tells.
 BOARDS = (
+    ("greenhouse", r"^https?://boards-api\.greenhouse\.io/v1/boards/([\w-]+)", 4),
+    ("lever", r"^https?://api\.lever\.co/v0/postings/([\w.-]+)", 4),
+    ("ashby", r"^https?://api\.ashbyhq\.com/posting-api/job-board/([^/?#]+)", 4),
+    ("smartrecruiters", r"^https?://api\.smartrecruiters\.com/v1/companies/([\w-]+)", 4),
     ("greenhouse", r"^https?://(?:job-)?boards(?:\.eu)?\.greenhouse\.io/(?:embed/job_(?:board|app)\?for=)?([\w-]+)", 3),
     ("lever", r"^https?://jobs(?:\.eu)?\.lever\.co/([\w.-]+)", 3),
     ("ashby", r"^https?://jobs\.ashbyhq\.com/([^/?#]+)", 3),
@@ -77,6 +81,14 @@ BOARDS = (
     ("teamtailor", r"^https?://([\w-]+)\.teamtailor\.com", 2),
     ("personio", r"^https?://([\w-]+)\.jobs\.personio\.(?:de|com)", 2),
     ("jazzhr", r"^https?://([\w-]+)\.applytojob\.com", 2),
+    ("pinpoint", r"^https?://([\w-]+)\.pinpointhq\.com", 2),
+    ("rippling", r"^https?://ats\.rippling\.com/(?:[a-z]{2}-[a-z]{2}/)?([\w-]+)", 3),
+    ("paylocity", r"^https?://recruiting\.paylocity\.com/recruiting/jobs/all/([0-9a-f-]{36})", 3),
+    ("successfactors", r"^https?://career\d*\.successfactors\.(?:com|eu)/.*[?&]company=([\w-]+)", 2),
+    ("oracle_cloud", r"^https?://([\w-]+)\.fa\.(?:[\w-]+\.)?oraclecloud\.com", 2),
+    ("ultipro", r"^https?://recruiting\d*\.ultipro\.(?:com|ca)/([\w-]+)", 2),
+    ("eightfold", r"^https?://([\w-]+)\.eightfold\.ai", 2),
+    ("adp", r"^https?://workforcenow\.adp\.com/.*[?&]cid=([0-9a-f-]{36})", 2),
     ("icims", r"^https?://(?:careers-|jobs-)?([\w-]+)\.icims\.com", 1),
 )
 #: Patterns of a posting's id in the URL, by platform, in order.
@@ -86,6 +98,20 @@ POSTING_IDS = {
     "ashby": (r"ashbyhq\.com/[^/]+/([0-9a-f-]{36})",),
     "smartrecruiters": (r"smartrecruiters\.com/[^/]+/(\d+)",),
     "workday": (r"_([A-Za-z]*-?\d[\w-]*)/?(?:[?#].*)?$",),
+    "workable": (r"workable\.com/[^/]+/j/([0-9A-F]{10})",),
+    "breezy": (r"breezy\.hr/p/([0-9a-f]{12})",),
+    "bamboohr": (r"bamboohr\.com/careers/(\d+)", r"bamboohr\.com/jobs/view\.php\?id=(\d+)"),
+    "teamtailor": (r"/jobs/(\d+)",),
+    "personio": (r"/job/(\d+)",),
+    "pinpoint": (r"/postings/([0-9a-f-]{36})",),
+    "rippling": (r"/jobs/([0-9a-f-]{36})",),
+    "paylocity": (r"/details/(\d+)",),
+    "successfactors": (r"[?&]career_job_req_id=(\d+)", r"/job/[^/]+/(\d+)"),
+    "oracle_cloud": (r"/job/(\d+)",),
+    "ultipro": (r"[?&]opportunityId=([0-9a-f-]{36})",),
+    "eightfold": (r"/careers/job/(\d+)", r"[?&]pid=(\d+)"),
+    "adp": (r"[?&]jobId=(\d+)",),
+    "icims": (r"/jobs/(\d+)",),
 }
 #: Parts of paths of postings.
 JOB_PATHS = ("/jobs/", "/careers/", "/positions/", "/openings/")

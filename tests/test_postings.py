@@ -188,3 +188,19 @@ def test_single_field_writes(spark):
     assert {r.k: (r.attempts, r.checked_at is None) for r in tried.collect()} == {1: (2, False), 2: (1, True)}
     at = F.lit("2026-03-01").cast("timestamp")
     assert [one(spark, x, lambda c: P.may_try(c, F.lit("2026-01-01").cast("timestamp"), at), "int") for x in (2, 3)] == [True, True] and not one(spark, 3, lambda c: P.may_try(c, at, at), "int")
+
+
+def test_boards_of_more_platforms(spark):
+    long = "0f8fad5b-d9cb-469f-a165-70867728950e"
+    cases = {
+        "https://boards-api.greenhouse.io/v1/boards/Acme/jobs/12": ("greenhouse", "acme", "12"), "https://api.lever.co/v0/postings/acme?mode=json": ("lever", "acme", None), "https://api.ashbyhq.com/posting-api/job-board/acme": ("ashby", "acme", None),
+        "https://api.smartrecruiters.com/v1/companies/acme/postings": ("smartrecruiters", "acme", None), f"https://acme.pinpointhq.com/en/postings/{long}": ("pinpoint", "acme", long), f"https://ats.rippling.com/en-GB/acme/jobs/{long}": ("rippling", "acme", long),
+        f"https://recruiting.paylocity.com/recruiting/jobs/All/{long}/Acme": ("paylocity", long, None), "https://career5.successfactors.eu/career?company=acme&career_job_req_id=77": ("successfactors", "acme", "77"),
+        "https://acme.fa.em2.oraclecloud.com/hcmUI/CandidateExperience/en/sites/CX/job/990": ("oracle_cloud", "acme", "990"), f"https://recruiting2.ultipro.com/ACM1000/JobBoard/x/OpportunityDetail?opportunityId={long}": ("ultipro", "acm1000", long),
+        "https://acme.eightfold.ai/careers/job/555": ("eightfold", "acme", "555"), f"https://workforcenow.adp.com/mascsr/default/mdf/recruitment/recruitment.html?cid={long}&jobId=42": ("adp", long, "42"),
+        "https://apply.workable.com/acme/j/0123456789/": ("workable", "acme", "0123456789"), "https://acme.breezy.hr/p/0123456789ab-dev": ("breezy", "acme", "0123456789ab"), "https://acme.bamboohr.com/careers/31": ("bamboohr", "acme", "31"),
+        "https://acme.teamtailor.com/jobs/88-dev": ("teamtailor", "acme", "88"), "https://acme.jobs.personio.de/job/66": ("personio", "acme", "66"), "https://careers-acme.icims.com/jobs/17/dev/job": ("icims", "acme", "17"), "https://example.org/jobs/1": (None, None, None),
+    }
+    df = spark.createDataFrame([(u,) for u in cases], "u string").withColumn("b", urls.board(F.col("u")))
+    got = {r.u: (r.platform, r.slug, r.i) for r in df.select("u", "b.platform", "b.slug", urls.posting_id(F.col("u"), F.col("b.platform")).alias("i")).collect()}
+    assert got == cases
