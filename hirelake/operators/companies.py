@@ -50,25 +50,37 @@ def upserted_companies(old: DataFrame, new: DataFrame) -> DataFrame:
     return out.withColumn("kind", kind).drop("o", "n")
 
 
-def _grams(text: Column) -> Column:
-    """The distinct strings of three letters of a text, or the text itself where it is shorter."""
-    return F.when(F.length(text) < 3, F.array(text)).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - 2), lambda i: F.substr(text, i, F.lit(3)))))
+#: Lengths of the strings that units and whole texts meet by; a unit uses the longest that fits into it.
+GRAM_SIZES = (3, 6)
+
+
+def _grams(text: Column, size: int) -> Column:
+    """The distinct strings of so many letters of a text; none where it is shorter."""
+    places = F.when(F.length(text) >= size, F.sequence(F.lit(1), F.length(text) - (size - 1)))
+    return F.coalesce(F.array_distinct(F.transform(places, lambda i: F.substr(text, i, F.lit(size)))), F.array().cast("array<string>"))
 
 
 def _held(units: DataFrame, wholes: DataFrame) -> DataFrame:
-    """unit, whole of the units that lie in a whole text; both sides distinct. A unit meets by its rarest string of three letters alone, so no common one brings all together."""
-    grams = wholes.select("whole", F.explode(_grams(F.col("whole"))).alias("gram"))
-    of_units = units.select("unit", F.explode(_grams(F.col("unit"))).alias("gram"))
-    counted = of_units.join(grams.groupBy("gram").agg(F.count("*").alias("df")), "gram", "left").withColumn("df", F.coalesce("df", F.lit(0)))
-    rarest = counted.groupBy("unit").agg(F.min(F.struct("df", "gram")).alias("g")).where("g.df > 0").select("unit", F.col("g.gram").alias("gram"))
-    return rarest.join(grams, "gram").where(F.contains("whole", F.col("unit"))).select("unit", "whole")
+    """unit, whole of the units that lie in a whole text; both sides distinct. A unit meets by its rarest string of six letters alone (of three where it has fewer), so no common one brings all together.
+
+    Rows of strings are many times those of the texts, which the planner can't know: it is told to sort, or it would send them to every task by way of the driver.
+    """
+    short = lambda c: F.when(F.length(c) < GRAM_SIZES[0], F.array(c))
+    own = short(F.col("unit"))
+    for size in reversed(GRAM_SIZES):
+        own = F.coalesce(own, F.when((F.length("unit") >= size), _grams(F.col("unit"), size)))
+    grams = wholes.select("whole", F.explode(F.coalesce(short(F.col("whole")), F.concat(*[_grams(F.col("whole"), n) for n in GRAM_SIZES]))).alias("gram"))
+    of_units = units.select("unit", F.explode(own).alias("gram"))
+    counted = of_units.join(grams.groupBy("gram").agg(F.count("*").alias("df")).hint("merge"), "gram")
+    rarest = counted.groupBy("unit").agg(F.min(F.struct("df", "gram")).alias("g")).select("unit", F.col("g.gram").alias("gram"))
+    return rarest.hint("merge").join(grams, "gram").where(F.contains("whole", F.col("unit"))).select("unit", "whole")
 
 
 def misplaced_slugs(companies: DataFrame, key: str = "company_id", name: str = "company") -> DataFrame:
     """owner_id, candidate_id, platform, slug and strength: an aggregator holds the slug of a company without one.
 
     Strength is that of slug_strength. What must lie in the other is the whole text of one (3) or a word of
-    it (2), so distinct texts and words meet, each by its rarest string of three letters, and of equal ones
+    it (2), so distinct texts and words meet, each by its rarest string of six or three letters, and of equal ones
     only the least id goes on: a word that every name has costs one row for each name, not one for each pair.
     Slugs under three letters meet only equal ones. Of equal candidates the least id.
     """
@@ -81,24 +93,25 @@ def misplaced_slugs(companies: DataFrame, key: str = "company_id", name: str = "
     free_units = free.select("candidate_id", F.col("whole").alias("unit"), F.lit(3).alias("strength")).unionByName(free.select("candidate_id", F.explode("words").alias("unit"), F.lit(2).alias("strength")))
     names = free.groupBy("whole").agg(F.min("candidate_id").alias("candidate_id"))
     # slugs and their words in names
-    in_names = _held(own_units.select("unit").distinct(), names.select("whole")).join(names, "whole").groupBy("unit").agg(F.min("candidate_id").alias("candidate_id"))
-    one = own_units.join(in_names, "unit").select("owner_id", "candidate_id", "strength")
+    in_names = _held(own_units.select("unit").distinct(), names.select("whole")).join(names.hint("merge"), "whole").groupBy("unit").agg(F.min("candidate_id").alias("candidate_id"))
+    one = own_units.join(in_names.hint("merge"), "unit").select("owner_id", "candidate_id", "strength")
     # names and their words in slugs
     least = free_units.groupBy("unit", "strength").agg(F.min("candidate_id").alias("candidate_id"))
-    in_slugs = _held(least.select("unit").distinct(), owners.select("whole").distinct()).join(least, "unit")
-    two = in_slugs.groupBy("whole", "strength").agg(F.min("candidate_id").alias("candidate_id")).join(owners.select("owner_id", "whole"), "whole").select("owner_id", "candidate_id", "strength")
+    in_slugs = _held(least.select("unit").distinct(), owners.select("whole").distinct()).join(least.hint("merge"), "unit")
+    two = in_slugs.groupBy("whole", "strength").agg(F.min("candidate_id").alias("candidate_id")).join(owners.select("owner_id", "whole").hint("merge"), "whole").select("owner_id", "candidate_id", "strength")
     best = one.unionByName(two).groupBy("owner_id").agg(F.max_by(F.struct("candidate_id", "strength"), F.struct("strength", (-F.col("candidate_id")).alias("turn"))).alias("x"))
-    return owners.select("owner_id", "platform", "slug").join(best, "owner_id").select("owner_id", "platform", "slug", "x.*")
+    return owners.select("owner_id", "platform", "slug").join(best.hint("merge"), "owner_id").select("owner_id", "platform", "slug", "x.*")
 
 
 def healed_slugs(companies: DataFrame, jobs: DataFrame, key: str = "company_id", name: str = "company") -> tuple[DataFrame, DataFrame]:
     """Companies with misplaced slugs moved to their best candidate, and jobs moved along. A candidate that two owners would serve gets the least owner's."""
     moves = misplaced_slugs(companies, key, name).groupBy("candidate_id").agg(F.min_by(F.struct("owner_id", "platform", "slug"), "owner_id").alias("m")).select("candidate_id", "m.*")
-    gains = moves.select(F.col("candidate_id").alias(key), F.col("platform").alias("_p"), F.col("slug").alias("_s"))
-    losses = moves.select(F.col("owner_id").alias(key), F.lit(True).alias("_lost"))
-    both = companies.join(gains, key, "left").join(losses, key, "left")
+    # a company gains or loses: owners have a platform, candidates none
+    given = F.struct(F.col("candidate_id").alias(key), F.col("platform").alias("_p"), F.col("slug").alias("_s"), F.lit(False).alias("_lost"))
+    taken = F.struct(F.col("owner_id").alias(key), F.lit(None).cast("string").alias("_p"), F.lit(None).cast("string").alias("_s"), F.lit(True).alias("_lost"))
+    both = companies.join(moves.select(F.inline(F.array(given, taken))).hint("merge"), key, "left")
     changed = {c: F.when(~F.coalesce("_lost", F.lit(False)), F.coalesce(F.col(g), F.nullif(F.col(c), F.lit("")))) for c, g in (("platform", "_p"), ("slug", "_s"))}
-    moved = jobs.join(moves.select(F.col("owner_id").alias(key), F.col("candidate_id").alias("_to")), key, "left").withColumn(key, F.coalesce("_to", key)).drop("_to")
+    moved = jobs.join(moves.select(F.col("owner_id").alias(key), F.col("candidate_id").alias("_to")).hint("merge"), key, "left").withColumn(key, F.coalesce("_to", key)).drop("_to")
     return both.withColumns(changed).drop("_p", "_s", "_lost"), moved
 
 

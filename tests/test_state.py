@@ -88,3 +88,25 @@ def test_misplaced_slugs_against_all_pairs(spark):
         if x.s >= 2 and (min(len(plain), len(x.name)) >= 3 or plain == x.name):
             want[x.own] = max(want.get(x.own, (0, 0)), (x.s, -x.cand))
     assert got == {o: (-c, s) for o, (s, c) in want.items()}
+
+
+def test_misplaced_slugs_send_no_table_by_the_driver(spark):
+    """Strings of texts are many times the texts, so none of their joins may be a broadcast, however small the tables look."""
+    table = [(i, f"Top Jobs {i}", "lever", f"slug{i:07d}") for i in range(20)] + [(100 + i, f"Slug{i:07d} Inc", None, None) for i in range(20)]
+    companies = spark.createDataFrame(table, "company_id int, company string, platform string, slug string")
+    found = C.misplaced_slugs(companies)
+    assert {(x.owner_id, x.candidate_id, x.strength) for x in found.collect()} == {(i, 100 + i, 3) for i in range(20)}
+    healed = C.healed_slugs(companies, spark.createDataFrame([(1, 1)], "dedup_key int, company_id int"))
+    for df in (found, *healed):
+        df.collect()
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_units_meet_by_six_letters(spark):
+    """Units that share all strings of three letters with many texts, but none of six, meet none of them."""
+    strings = lambda t: spark.range(1).select(C._grams(F.lit(t), 6).alias("g")).first()[0]
+    assert strings("abcdefgh") == ["abcdef", "bcdefg", "cdefgh"] and strings("abcde") == []
+    units = spark.createDataFrame([("abcdef",), ("abc",), ("ab",), ("abcd",)], "unit string")
+    wholes = spark.createDataFrame([("xabcdefy",), ("abcxbcdxcdexdef",), ("ab",), ("zabcdz",), ("q",)], "whole string")
+    want = [("ab", "ab"), ("abc", "abcxbcdxcdexdef"), ("abc", "xabcdefy"), ("abc", "zabcdz"), ("abcd", "xabcdefy"), ("abcd", "zabcdz"), ("abcdef", "xabcdefy")]
+    assert rows(C._held(units, wholes), "unit", "whole") == want
