@@ -229,15 +229,17 @@ def position_swap(first: DataFrame, second: DataFrame, pair: str) -> DataFrame:
     return both.select(pair, F.when(same, F.col("_a")).otherwise("tie").alias("winner"), same.alias("agreed"))
 
 
-def recommended(results: DataFrame) -> DataFrame:
+def recommended(results: DataFrame, single: bool = True) -> DataFrame:
     """site and model. results: model, site, verdict, secondary, and uniformity, retry, latency, memory of the model.
 
     The model that passes every site wins all of them (of several the least figures in that order);
-    where none does, each site has its own, by verdict and the secondary figure. Ties go to the least name.
+    where none does, or where single is off, each site has its own, by verdict and the secondary figure. Ties go to the least name.
     """
     ranks = F.coalesce(*[F.when(F.col("verdict") == v, k) for k, v in enumerate(("PASS", "WARN", "FAIL", "SKIP"))], F.lit(99))
     best = F.min_by("model", F.struct(ranks.alias("r"), F.coalesce("secondary", F.lit(999.0)).alias("s"), "model"))
     per_site = results.groupBy("site").agg(best.alias("_own"))
+    if not single:
+        return per_site.select("site", F.col("_own").alias("model"), F.lit("per_site").alias("mode"))
     sites = results.agg(F.count_distinct("site").alias("sites"))
     swept = results.where("verdict = 'PASS'").groupBy("model").agg(F.count_distinct("site").alias("n"), F.min(F.struct("uniformity", "retry", "latency", "memory")).alias("figures"))
     sweeper = swept.join(F.broadcast(sites), F.col("n") == F.col("sites")).agg(F.min_by("model", F.struct("figures", "model")).alias("_all"))  # one row each

@@ -110,3 +110,17 @@ def test_units_meet_by_six_letters(spark):
     wholes = spark.createDataFrame([("xabcdefy",), ("abcxbcdxcdexdef",), ("ab",), ("zabcdz",), ("q",)], "whole string")
     want = [("ab", "ab"), ("abc", "abcxbcdxcdexdef"), ("abc", "xabcdefy"), ("abc", "zabcdz"), ("abcd", "xabcdefy"), ("abcd", "zabcdz"), ("abcdef", "xabcdefy")]
     assert rows(C._held(units, wholes), "unit", "whole") == want
+
+
+def test_recommended_per_site_where_one_passes_all(spark, tmp_path):
+    """Customers whose sums let every model pass every site, against the SQL."""
+    import duckdb
+
+    from hirelake.plans import catalog
+
+    spark.createDataFrame([(k + 20 * i,) for k in range(20) for i in range(8)], "c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")  # sums: 8 k + 560
+    got = catalog.QUERIES["q_recommended"](spark, str(tmp_path))
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW customer AS SELECT * FROM '{tmp_path}/customer.parquet/*.parquet'")
+    want = duck.sql(f"SELECT site, model, mode FROM ({catalog.ORACLE_SQL['q_recommended']})").fetchall()
+    assert len(want) == 4 and rows(got, "site", "model", "mode") == sorted(want)
