@@ -1,6 +1,7 @@
 """Boards' payloads as files: one file a board's answer, read in parallel, kept as it was, and mapped to postings.
 
-Files lie in `<folder>/platform=<name>/slug=<board>/`; asking for some platforms or boards reads only
+Answers too small for a file of their own lie together, a line each (opening a file costs more than reading some
+thousand bytes). Files lie in `<folder>/platform=<name>/slug=<board>/`; asking for some platforms or boards reads only
 their folders. A file's bytes stay in `raw` beside what was made of it. What can't be used becomes a
 row of `rejected` with its reason, never a failed job: broken (no JSON), error (an error under a good
 status), no_list (no list of postings where the platform keeps it), empty.
@@ -21,18 +22,21 @@ from hirelake.sources import boards, feeds
 LISTS = ("$.jobs", "$.results", "$.data", "$.postings", "$.offers", "$.content", "$.jobPostings", "$.opportunities", "$.requisitions", "$.items", "$")
 
 
-def write(payloads: DataFrame, folder: str, payload: str = "payload") -> None:
-    """One file for each row, under its platform and slug."""
+def write(payloads: DataFrame, folder: str, payload: str = "payload", together: bool = False) -> None:
+    """One file for each row, under its platform and slug; or, together, one line for each row, as many in a file as a task has of a board."""
     rows = payloads.select("platform", "slug", F.regexp_replace(payload, r"[\r\n]+", " ").alias("value"))
-    rows.write.option("maxRecordsPerFile", 1).partitionBy("platform", "slug").mode("append").text(folder)
+    if together:  # a board's rows come together, and Spark splits a large one
+        rows.hint("rebalance", F.col("platform"), F.col("slug")).write.partitionBy("platform", "slug").mode("append").text(folder)
+    else:
+        rows.write.option("maxRecordsPerFile", 1).partitionBy("platform", "slug").mode("append").text(folder)
 
 
-def captured(spark: SparkSession, folder: str, platforms: Sequence[str] = (), most_bytes: int = 64 << 20) -> DataFrame:
-    """platform, slug, file and raw of each file; those over most_bytes have a null raw, so that no task holds more at once."""
-    rows = spark.read.schema("value string, platform string, slug string").option("wholetext", True).text(folder)
+def captured(spark: SparkSession, folder: str, platforms: Sequence[str] = (), most_bytes: int = 64 << 20, together: bool = False) -> DataFrame:
+    """platform, slug, file and raw of each file, or of each line of a file where answers lie together; those over most_bytes have a null raw, so that no task holds more at once."""
+    rows = spark.read.schema("value string, platform string, slug string").option("wholetext", not together).text(folder)
     if platforms:
         rows = rows.where(F.col("platform").isin(*platforms))
-    size = F.col("_metadata.file_size")
+    size = F.octet_length("value") if together else F.col("_metadata.file_size")
     return rows.select("platform", "slug", F.col("_metadata.file_path").alias("file"), F.when(size <= most_bytes, F.col("value")).alias("raw"))
 
 

@@ -274,6 +274,24 @@ def test_captures(spark, tmp_path):
     assert captures.captured(spark, folder, most_bytes=20).where("raw is null").count() == 4
 
 
+def test_captures_together(spark, tmp_path):
+    """A line for each answer: as many rows as with a file for each, in as many files as there are boards, not answers."""
+    good = [json.dumps({"jobs": [{"title": f"T{i}", "absolute_url": f"u{i}"}, {"title": "\n"}]}) for i in range(200)]
+    rows = [("greenhouse", f"b{i % 2}", x) for i, x in enumerate(good)] + [("lever", "bad", x) for x in ("", None, "x", '{"total":\r\n1}')]
+    payloads = spark.createDataFrame(rows, "platform string, slug string, payload string").repartition(4)
+    found = {}
+    for together in (False, True):
+        folder = str(tmp_path / f"boards{together}")
+        captures.write(payloads, folder, together=together)
+        every = captures.captured(spark, folder, together=together)
+        found[together] = (
+            sorted(map(tuple, captures.postings(every).select("platform", "slug", "title", "url").collect())), sorted(r.reason for r in captures.rejected(every).collect()), every.count()
+        )
+    assert found[True] == found[False] and len(found[True][0]) == 200 and found[True][1] == ["broken", "empty", "empty", "no_list"]
+    assert every.select("file").distinct().count() == 3
+    assert captures.captured(spark, folder, most_bytes=20, together=True).where("raw is null").count() == 200
+
+
 def test_recipe_postings_of_cut_entities(spark, tmp_path):
     """Titles that end inside an entity, against the SQL."""
     import duckdb
