@@ -52,7 +52,12 @@ def chosen(choices: Column, land: Column | None = None, home: str | None = None)
 
 
 def _joined(rows: DataFrame, names: DataFrame, on: str, small: bool) -> DataFrame:
-    return rows.join(F.broadcast(names) if small else names, on)
+    # rows cut out of texts look smaller to the planner than they are, so it isn't left to choose
+    return rows.join(F.broadcast(names) if small else names.hint("merge"), on)
+
+
+def _small(names: DataFrame, told: str, broadcast_bytes: int) -> bool:
+    return (names.agg(F.sum(F.octet_length("run") + 64 + F.octet_length(F.to_json(told)))).first()[0] or 0) <= broadcast_bytes
 
 
 def _longest_from_left(found: DataFrame, key: str) -> DataFrame:
@@ -74,8 +79,7 @@ def _longest_from_left(found: DataFrame, key: str) -> DataFrame:
 
 def mentions(texts: DataFrame, key: str, text: Column, names: DataFrame, most_words: int = MOST_WORDS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """key, at (the first word's number, from 0), n_words, run and choices of each name in each text. key tells the texts apart; names: of `dictionary`."""
-    size = names.agg(F.sum(F.octet_length("run") + 64 + F.octet_length(F.to_json("choices")))).first()[0] or 0
-    small = size <= broadcast_bytes
+    small = _small(names, "choices", broadcast_bytes)
     first = F.split("run", " ", 2)[0]
     begins = names.groupBy(first.alias("word")).agg(F.collect_set("n_words").alias("lengths"))
     own = texts.select(F.col(key), words(text).alias("w"))
@@ -87,15 +91,17 @@ def mentions(texts: DataFrame, key: str, text: Column, names: DataFrame, most_wo
     return _longest_from_left(found, key)
 
 
-def hinted(urls: DataFrame, key: str, url: Column, names: DataFrame, home: str | None = None, most_words: int = MOST_WORDS) -> DataFrame:
+def hinted(urls: DataFrame, key: str, url: Column, names: DataFrame, home: str | None = None, most_words: int = MOST_WORDS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """key and hint of each address: the longest beginning of its last path part that is a name, as the thing meant; no row without one.
 
-    The part is cut at hyphens and underscores; words with anything but letters are passed over.
+    The part is cut at hyphens and underscores; words with anything but letters are passed over. What a name means is settled
+    once a name, so an address carries one thing and never all choices.
     """
     path = F.regexp_replace(F.regexp_replace(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*", ""), r"[?#].*$", "")
     part = F.try_element_at(F.filter(F.split(path, "/"), lambda x: x != ""), F.lit(-1))
     own = F.filter(F.split(F.lower(part), r"[-_]+"), lambda x: F.regexp_like(x, F.lit(r"^\p{L}+$")))
     starts = F.transform(F.sequence(F.lit(1), F.lit(most_words)), lambda n: F.when(n <= F.size(own), F.array_join(F.slice(own, F.lit(1), n), " ")))
     tried = urls.select(F.col(key), F.explode(starts).alias("run")).where(F.col("run").isNotNull())
-    found = tried.join(names, "run").groupBy(key).agg(F.max_by(F.struct("run", "choices"), "n_words").alias("m"))
-    return found.select(key, F.col("m.run").alias("run"), chosen(F.col("m.choices"), home=home)["thing"].alias("hint"))
+    meant = names.select("run", "n_words", chosen(F.col("choices"), home=home)["thing"].alias("hint"))
+    found = _joined(tried, meant, "run", _small(meant, "hint", broadcast_bytes))
+    return found.groupBy(key).agg(F.max_by(F.struct("run", "hint"), "n_words").alias("m")).select(key, "m.run", "m.hint")

@@ -254,6 +254,19 @@ def test_hints(spark):
     assert got == {0: ("new york", "US"), 1: ("new york", "US"), 2: ("paris", "US")}
 
 
+def test_hints_carry_no_choices(spark):
+    """A name in many lands: what addresses carry from the join on is the thing meant, and no table of addresses is broadcast."""
+    names = gazetteer.dictionary(spark.createDataFrame([("rome", f"land{i}", i) for i in range(50)], "name string, land string, population int"))
+    urls = spark.createDataFrame([(i, f"https://x.org/jobs/rome-{i}") for i in range(20)], "id int, url string")
+    for most, kind in ((0, "SortMergeJoin"), (1 << 20, "BroadcastHashJoin")):
+        found = gazetteer.hinted(urls, "id", F.col("url"), names, home="land7", broadcast_bytes=most)
+        assert {(r.run, r.hint["land"]) for r in found.collect()} == {("rome", "land7")} and found.count() == 20
+        plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        assert kind in plan
+        after = plan[: plan.index(kind)]
+        assert "choices" not in after and "hint" in after
+
+
 # payloads
 
 def test_captures(spark, tmp_path):
