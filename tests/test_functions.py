@@ -162,3 +162,11 @@ def test_numbered_entities(spark):
     assert one(spark, names.unescaped(F.lit(text))) == want and one(spark, names.unescaped(F.lit(None).cast("string"))) is None
     assert one(spark, content.html_to_text(F.lit(f"<p>{text}</p>"))) == want
     assert one(spark, blocks.blocks(F.lit("<p>x&#8211;y</p>")))[0].text == "x–y"
+
+
+def test_salary_text_is_read_once(spark):
+    """However much a text is made of, it stands once in the plan; steps don't repeat those before them."""
+    text = F.concat(F.lit("pays $"), F.col("id").cast("string"), F.lit("0K - $"), (F.col("id") + 3).cast("string"), F.lit("0K zzz"))
+    df = spark.range(7, 9).select("id", salary.from_text(text).alias("p")).select("id", "p.*")
+    assert [tuple(r) for r in df.orderBy("id").collect()] == [(7, 70_000, 100_000), (8, 80_000, 110_000)]
+    assert df._jdf.queryExecution().analyzed().toString().count("0K zzz") == 1
