@@ -49,11 +49,11 @@ def linked_postings(mail: DataFrame, body: str = "body") -> DataFrame:
     begin = total(F.slice("_between", F.lit(1), F.col("place") + 1)) + total(F.slice("_raw", F.lit(1), F.col("place")))
     before = _lines(F.left(F.col(body), begin))
     after = _lines(F.substr(F.col(body), begin + F.length(F.get("_raw", F.col("place"))) + 1))
-    near = F.reverse(F.slice(F.reverse(before), 1, WINDOW))
-    title = F.element_at(F.filter(near, _speaks), F.lit(-1))
+    title = F.get(F.filter(F.slice(F.reverse(before), 1, WINDOW), _speaks), F.lit(0))
     company = F.get(F.filter(F.slice(after, 1, WINDOW), lambda x: ~F.startswith(x, F.lit(")")) & ~F.startswith(x, F.lit("(")) & _speaks(x)), F.lit(0))
-    found = rows.withColumns({"title": F.when(F.size(F.filter(near, _speaks)) > 0, title), "company": company})
-    return found.where(F.col("title").isNotNull() & F.col("company").isNotNull()).drop("_raw", "_between", "_urls")
+    # an array of one or none, so that the lines are looked through once and not again by the filter
+    told = F.filter(F.array(F.struct(title.alias("title"), company.alias("company"))), lambda x: x["title"].isNotNull() & x["company"].isNotNull())
+    return rows.select("*", F.inline(told)).drop("_raw", "_between", "_urls")
 
 
 def first_found(*candidates: Column) -> Column:

@@ -124,3 +124,10 @@ def test_recommended_per_site_where_one_passes_all(spark, tmp_path):
     duck.sql(f"CREATE VIEW customer AS SELECT * FROM '{tmp_path}/customer.parquet/*.parquet'")
     want = duck.sql(f"SELECT site, model, mode FROM ({catalog.ORACLE_SQL['q_recommended']})").fetchall()
     assert len(want) == 4 and rows(got, "site", "model", "mode") == sorted(want)
+
+
+def test_links_in_mail_are_looked_through_once(spark):
+    """The lines before a link stand once in the plan, not again in the filter on what they gave."""
+    found = mailbox.linked_postings(spark.createDataFrame([("Data Engineer\nhttps://jobs.lever.co/a/1\nAcme",)], "body string"))
+    assert rows(found, "title", "company") == [("Data Engineer", "Acme")]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("reverse(") == 1
