@@ -85,15 +85,16 @@ def mail_matches(mail: DataFrame, jobs: DataFrame, key: str, days: int = 60) ->
     The company must be named in subject or sender; four signals match at once, three do if one is of the sender's
     domain, fewer wait for a look. The domain counts in classified mail only.
     """
-    both = mail.join(jobs, key)
-    text, sender, company = F.lower(F.concat_ws(" ", "subject", "body")), F.col("sender"), F.col("company")
-    classified = M.email_class("subject", "body").isNotNull()
+    # what a message tells by itself is worked out once a message, before it meets the jobs
+    own = mail.withColumns({"_text": F.lower(F.concat_ws(" ", "subject", "body")), "_classified": M.email_class("subject", "body").isNotNull(), "_system": M.from_applicant_system(F.col("sender"))})
+    both = own.drop("body").join(jobs, key)
+    text, sender, company, classified = F.col("_text"), F.col("sender"), F.col("company"), F.col("_classified")
     signals = F.array_compact(
         F.array(
             F.when(M.names_company(company, F.col("subject"), sender), "company"),
             F.when(M.names_title(F.col("title"), text), "title"),
             F.when(M.within_days(F.col("sent"), F.col("first_seen"), days), "timing"),
-            F.when(classified & M.from_applicant_system(sender), "ats_domain"),
+            F.when(classified & F.col("_system"), "ats_domain"),
             F.when(classified & M.from_company(sender, company), "sender_company"),
         )
     )
