@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from hirelake.functions.content import is_candidate_line
@@ -57,5 +59,9 @@ def linked_postings(mail: DataFrame, body: str = "body") -> DataFrame:
 
 
 def first_found(*candidates: Column) -> Column:
-    """The first array that holds anything: strategies in their order. None: the last one."""
-    return F.coalesce(*[F.when(F.size(c) > 0, c) for c in candidates], candidates[-1])
+    """The first array that holds anything: strategies in their order, each worked out once and only if those before found nothing. None: the last one."""
+
+    def else_(first: Column, rest: Column) -> Column:
+        return F.get(F.transform(F.array(first), lambda found: F.when(F.size(found) > 0, found).otherwise(rest)), F.lit(0))
+
+    return reduce(lambda rest, c: else_(c, rest), reversed(candidates[:-1]), candidates[-1])

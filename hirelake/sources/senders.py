@@ -143,28 +143,35 @@ def _lines(text: Column) -> Column:
 
 
 def _in_lines(body: Column, layout: Lines) -> Column:
-    """Postings of one plain layout: an array of (place, title, url, company, location)."""
+    """Postings of one plain layout: an array of (place, title, url, company, location). Links and lines are worked out once a mail and handed to its cards."""
+    link = f"(?i){layout.link}"
+
+    def cut(text: Column) -> Column:
+        links = F.transform(F.regexp_extract_all(text, F.lit(link), F.lit(0)), lambda u: F.regexp_replace(u, r"""[.,;)\]>"']+$""", ""))
+        links = links if layout.keep is None else F.transform(links, lambda u: F.regexp_extract(u, layout.keep, 0))
+        parts = F.transform(F.split(text, link, -1), lambda p: p if layout.head is None else F.regexp_replace(p, layout.head, ""))
+        return F.struct(links.alias("links"), F.transform(parts, lambda p: F.filter(_lines(p), lambda x: _fit(x, layout))).alias("fit"))
+
+    def told(mail: Column) -> Column:
+        links, fit = mail["links"], mail["fit"]
+
+        def card(url: Column, i: Column) -> Column:
+            above = F.get(fit, i)
+            if layout.kind == "around":
+                below = F.get(fit, i + 1)
+                title, company, place = F.try_element_at(above, F.lit(-1)), F.get(below, F.lit(0)), F.lit(None).cast("string")
+            else:
+                title, second = F.get(above, F.lit(0)), F.get(above, F.lit(1))
+                # a company's line may end with the place
+                company = F.regexp_replace(second, r"\s+[-–·]\s+.*$", "")
+                place = F.coalesce(F.nullif(F.regexp_extract(second, r"\s+[-–·]\s+(.*)$", 1), F.lit("")), F.get(above, F.lit(2)))
+            return F.struct(i.alias("place"), title.alias("title"), url.alias("url"), company.alias("company"), place.alias("location"))
+
+        first = F.filter(F.transform(links, card), lambda c: (F.array_position(links, c["url"]) == c["place"] + 1) & c["title"].isNotNull())
+        return F.transform(first, lambda c, i: c.withField("place", i))
+
     text = body if layout.end is None else F.regexp_replace(body, rf"(?s){layout.end}.*$", "")
-    links = F.transform(F.regexp_extract_all(text, F.lit(f"(?i){layout.link}"), F.lit(0)), lambda u: F.regexp_replace(u, r"""[.,;)\]>"']+$""", ""))
-    links = links if layout.keep is None else F.transform(links, lambda u: F.regexp_extract(u, layout.keep, 0))
-    parts = F.transform(F.split(text, f"(?i){layout.link}", -1), lambda p: p if layout.head is None else F.regexp_replace(p, layout.head, ""))
-    fit = F.transform(parts, lambda p: F.filter(_lines(p), lambda x: _fit(x, layout)))
-
-    def card(url: Column, i: Column) -> Column:
-        above = F.get(fit, i)
-        if layout.kind == "around":
-            below = F.get(fit, i + 1)
-            title, company, place = F.try_element_at(above, F.lit(-1)), F.get(below, F.lit(0)), F.lit(None).cast("string")
-        else:
-            title, second = F.get(above, F.lit(0)), F.get(above, F.lit(1))
-            # a company's line may end with the place
-            company = F.regexp_replace(second, r"\s+[-–·]\s+.*$", "")
-            place = F.coalesce(F.nullif(F.regexp_extract(second, r"\s+[-–·]\s+(.*)$", 1), F.lit("")), F.get(above, F.lit(2)))
-        return F.struct(i.alias("place"), title.alias("title"), url.alias("url"), company.alias("company"), place.alias("location"))
-
-    cards = F.transform(links, card)
-    first = F.filter(cards, lambda c: (F.array_position(links, c["url"]) == c["place"] + 1) & c["title"].isNotNull())
-    return F.transform(first, lambda c, i: c.withField("place", i))
+    return F.get(F.transform(F.transform(F.array(text), cut), told), F.lit(0))
 
 
 def postings(mail: DataFrame, sender: str = "sender", body: str = "body", overrides: Mapping[str, dict] | None = None, fallback: bool = True) -> DataFrame:
@@ -185,20 +192,20 @@ def postings(mail: DataFrame, sender: str = "sender", body: str = "body", overri
     for d, layouts in PLAIN.items():
         found = mailbox.first_found(*[_in_lines(text, x) for x in layouts])
         plain = F.when((F.col("_domain") == d) & ~markup, found).otherwise(plain)
-    lined = rows.where(~markup).withColumn("_found", plain)
+    # generated with a null for none, so that no filter looks through the lines a second time
+    lined = rows.where(~markup).select("*", F.explode_outer(plain).alias("_p"))
     kept = ["title", "company", "location", "url", "place"]
 
     def out(df: DataFrame, found: str, layout: str) -> DataFrame:
         return df.select(*mail.columns, *(F.col(f"{found}.{c}").alias(c) for c in kept), F.lit(layout).alias("layout"))
 
-    by_lines = lined.where(F.size("_found") > 0).withColumn("_p", F.explode("_found"))
-    every = out(by_lines, "_p", "lines")
+    every = out(lined.where(F.col("_p").isNotNull()), "_p", "lines")
     rich = rows.where(markup)
     root = F.when(F.col("_domain") == "match.indeed.com", "indeed.com").otherwise(F.col("_domain"))
     by_markup = recipes.first_found(rich, rounds, root, F.col(body), F.lit(None).cast("string"), "_p")
     every = every.unionByName(out(by_markup, "_p", "markup"))
     if fallback:
-        left = lined.where(F.size("_found") == 0).drop("_found")
+        left = lined.where(F.col("_p").isNull()).drop("_p")
         by_links = mailbox.linked_postings(left, body).withColumn("location", F.lit(None).cast("string"))
         every = every.unionByName(by_links.select(*mail.columns, *kept, F.lit("links").alias("layout")))
     return every

@@ -1,8 +1,9 @@
 """One mail of each layout a sender has had, the order of layouts, overrides and the way back to links alone."""
 
 import pytest
+from pyspark.sql import functions as F
 
-from hirelake.sources import recipes, senders
+from hirelake.sources import mailbox, recipes, senders
 
 GLASSDOOR_OLD = """<html><body><a href="https://www.glassdoor.com/partner/jobListing.htm?pos=1&amp;jobListingId=1001"><span class="gd-628b46d9ce">Acme</span>
 <p class="gd-6c2846d4dc">Data Engineer</p><p class="gd-28d35bae2f">Austin, TX</p><p class="gd-28d35bae2f">$120K - $150K (Employer est.)</p></a></body></html>"""
@@ -128,3 +129,15 @@ def test_rules_of_a_recipe():
     assert one(selector=":scope", attr="class", lead="x-") == "x-c"
     made = recipes.checked("email", {"source": "s", "container_selector": "b", "up": 2, "fields": {"title": {"selector": "p", "attr": "text"}, "url": {"selector": "p", "attr": "text"}}})
     assert recipes.Extractor(made)(page, None)[0]["title"] == "skip 1" and recipes.checked("email", recipes.as_mapping(made)) == made
+
+
+def test_lines_are_worked_out_once_a_mail(spark):
+    """Neither a card nor a layout that comes later in the order looks through the whole mail again."""
+    layout = senders.PLAIN["indeed.com"][0]
+
+    def steps(found):
+        plan = spark.createDataFrame([(INDEED,)], "body string").select(found.alias("found"))._jdf.queryExecution().optimizedPlan().toString()
+        return plan.count("regexp_extract_all("), plan.count(r"jobs? (?:in|near|for)")
+
+    assert steps(senders._in_lines(F.col("body"), layout)) == (1, 1)
+    assert steps(mailbox.first_found(*[senders._in_lines(F.col("body"), x) for x in senders.PLAIN["indeed.com"]])) == (2, 2)
