@@ -9,12 +9,17 @@ a caller's rule allows, and one more raises instead of returning half a result.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from hirelake.streaming.stateful import shared_folder
 
+#: Roles with the same list from which on they move together.
+MANY = 16
+
 
 def written(df: DataFrame, name: str = "state") -> DataFrame:
     """The rows as a Parquet table in the shared folder: cuts the lineage, and its size is known to the planner."""
@@ -25,9 +30,21 @@ def written(df: DataFrame, name: str = "state") -> DataFrame:
     return out
 
 
+def bucketed(df: DataFrame, key: str, buckets: int, name: str) -> DataFrame:
+    """As written, in buckets by a key by which the rows are dealt into as many partitions: joins and groups by it don't shuffle the table."""
+    folder = shared_folder(df.sparkSession, name)
+    named = f"{name}_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, key).sortBy(key).option("path", folder).saveAsTable(named)
+    out = df.sparkSession.table(named)
+    out.written_to, out.named = folder, named
+    return out
+
+
 def discard(table: DataFrame) -> None:
-    """Removes a table that `written` made."""
+    """Removes a table that `written` or `bucketed` made."""
     spark = table.sparkSession
+    if getattr(table, "named", None):
+        spark.sql(f"DROP TABLE {table.named}")
     path = spark._jvm.org.apache.hadoop.fs.Path(table.written_to)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
@@ -91,28 +108,67 @@ def assigned(pairs: DataFrame, most: int = 10_000) -> DataFrame:
     turn among those that ask, and the others ask their next one. Since all jobs agree on who comes
     first, this ends in what choosing in turn gives. Roles with the same list would ask in vain for
     what the ones before them take, so the n-th of them begins at its n-th job, and stays behind the
-    one before it. Each pass moves at least one role forward, so passes end; all that a pass carries
-    is one number a role, and a job's many askers are reduced before they are shuffled.
+    one before it (where at least MANY share a list; the passes do it for fewer). Each pass moves at least one role
+    forward, so passes end. A pass carries only the roles that it moved, and those of shared lists: a role that got its
+    job rests, in buckets by job, until an earlier one asks for it. The lists lie in buckets by role. Neither is
+    shuffled again, and a job's many askers are reduced before they are shuffled.
 
     Rows that repeat a role and job count once, with the best rank. Null roles and jobs are left out.
     """
-    once = pairs.where("role IS NOT NULL AND job IS NOT NULL").groupBy("role", "job").agg(F.min("rank").alias("rank"), F.min("turn").alias("turn"))
+    spark = pairs.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # dealt by role once: counting, ordering and writing all keep to it
+    dealt = pairs.where("role IS NOT NULL AND job IS NOT NULL").repartition(buckets, "role")
+    once = dealt.groupBy("role", "job").agg(F.min("rank").alias("rank"), F.min("turn").alias("turn"))
     liked = Window.partitionBy("role").orderBy("rank", "job")
-    lists = written(once.withColumn("pos", F.row_number().over(liked)), "lists")
+    lists = bucketed(once.withColumn("pos", F.row_number().over(liked)), "role", buckets, "lists")
     # a list's sign is a sum, so no list is gathered
     sign = F.sum(F.xxhash64("job", "pos").cast("decimal(38,0)"))
     own = lists.groupBy("role").agg(F.min("turn").alias("turn"), sign.alias("list"), F.max("pos").alias("n"))
     order = Window.partitionBy("list", "n").orderBy("turn", "role")
-    state = own.withColumn("nth", F.row_number().over(order)).withColumn("pos", F.col("nth")).withColumn("moved", F.lit(True))
+    alike = own.withColumn("nth", F.row_number().over(order))
+    # a list that few roles have needs no sign: there the passes alone are as quick
+    sizes = Window.partitionBy("list", "n")
+    shared = F.when(F.max("nth").over(sizes) >= MANY, F.col("list"))
+    # places are told apart after roles have met, so that the lists' buckets serve
+    choices = lists.select(F.col("role").alias("_role"), F.col("pos").alias("_pos"), "job", "rank")
+    kept = ["role", "turn", "list", "n", "nth", "pos"]
+    one = F.struct("turn", "role")
+    #: those that got a job in each pass; whoever of them comes earliest has it
+    rested: list[DataFrame] = []
+
+    def asking(at: DataFrame) -> DataFrame:
+        """The roles with the job they ask for; those past the end of their list are left out."""
+        return at.select(*kept).join(choices, (F.col("role") == F.col("_role")) & (F.col("pos") - F.col("_pos") == 0)).select(*kept, "job", "rank", F.lit(True).alias("moved"))
 
     def step(now: DataFrame, number: int) -> DataFrame:
-        asked = now.where(F.col("pos") <= F.col("n")).join(lists.select("role", "pos", "job"), ["role", "pos"])
-        held = asked.groupBy("job").agg(F.min(F.struct("turn", "role")).alias("first"))
-        away = asked.join(held, "job").where(F.col("first.role") != F.col("role")).select("role", F.lit(1).alias("on"))
-        moved = now.join(away, "role", "left").withColumn("to", F.col("pos") + F.coalesce("on", F.lit(0)))
+        """now: roles that have moved on, and all of the lists that many share."""
+        first = now.groupBy("job").agg(F.min(one).alias("first"))
+        columns = [*kept, "job", "rank", "moved", "on"]
+        if not rested:
+            asked = now.join(first, "job").withColumn("on", (F.col("first.role") != F.col("role")).cast("int")).select(*columns)
+            after = bucketed(asked, "job", buckets, "asked")
+        else:
+            met = reduce(DataFrame.unionByName, [r.join(first.select("job"), "job") for r in rested])
+            holder = met.groupBy("job").agg(F.min(F.struct("turn", "role", "list", "n", "nth", "pos", "rank")).alias("h"))
+            has = F.when(F.col("h").isNotNull(), F.struct("h.turn", "h.role"))
+            contest = first.join(holder, "job", "left").withColumn("first", F.least("first", has))
+            asked = now.join(contest.select("job", "first"), "job").withColumn("on", (F.col("first.role") != F.col("role")).cast("int")).select(*columns)
+            # those of a shared list are among the asking ones anyway
+            ousted = contest.where((F.col("h.role") != F.col("first.role")) & F.col("h.list").isNull()).select("job", "h.*", F.lit(True).alias("moved"), F.lit(1).alias("on"))
+            after = written(asked.unionByName(ousted), "asked")
+        rested.append(after.where("on = 0 AND moved"))
+        alone = after.where("list IS NULL AND on = 1").withColumn("next", F.col("pos") + 1)
         # no role stands before one of the same list that comes earlier, or beside it
-        behind = F.max(F.col("to") - F.col("nth")).over(order.rowsBetween(Window.unboundedPreceding, 0)) + F.col("nth")
-        return moved.withColumn("next", behind).select("role", "turn", "list", "n", "nth", F.col("next").alias("pos"), (F.col("next") != F.col("pos")).alias("moved"))
-
-    done, _ = until_stable(state, step, lambda: F.col("moved"), most)
-    return done.where(F.col("pos") <= F.col("n")).join(lists.select("role", "pos", "job", "rank"), ["role", "pos"]).select("role", "job", "rank")
+        behind = F.max(F.col("pos") + F.col("on") - F.col("nth")).over(order.rowsBetween(Window.unboundedPreceding, 0)) + F.col("nth")
+        alike = after.where("list IS NOT NULL").withColumn("next", behind)
+        stay = alike.where(F.col("next") == F.col("pos")).select(*kept, "job", "rank", F.lit(False).alias("moved"))
+        return stay.unionByName(asking(alone.unionByName(alike.where(F.col("next") != F.col("pos"))).withColumn("pos", F.col("next"))))
+
+    start = asking(alike.select("role", "turn", shared.alias("list"), "n", "nth", F.col("nth").alias("pos")))
+    done, _ = until_stable(start, step, lambda: F.col("moved"), most)
+    discard(done)
+    discard(lists)
+    late = reduce(DataFrame.unionByName, rested[1:], rested[0].limit(0))
+    last = late.groupBy("job").agg(F.min(F.struct("turn", "role", "rank")).alias("h")).select("h.role", "job", "h.rank")
+    return rested[0].join(late.select("job"), "job", "left_anti").select("role", "job", "rank").unionByName(last)

@@ -52,6 +52,28 @@ def test_equal_lists_take_few_passes(spark, monkeypatch):
     assert sorted(map(tuple, got)) == [(i, i, 1) for i in range(40)] and passes[0][1] == 0
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_assigned_with_shared_lists(spark, monkeypatch, seed):
+    """Many roles have one of three lists, others a list of their own that crosses them."""
+    monkeypatch.setattr(rounds, "MANY", 2)
+    r = random.Random(seed)
+    lists = [[(100 + r.randint(0, 20), r.randint(1, 2)) for _ in range(r.randint(1, 9))] for _ in range(3)]
+    pairs = [(role, role * 7 % 5, job, rank) for role in range(30) for job, rank in (lists[role % 3] if role % 4 else [(100 + r.randint(0, 20), 1) for _ in range(3)])]
+    got = rounds.assigned(spark.createDataFrame(pairs, "role int, turn int, job int, rank int")).collect()
+    assert sorted(map(tuple, got)) == in_turn(pairs)
+
+
+def test_passes_carry_who_moves(spark, monkeypatch):
+    """A hundred roles of which one after another is sent on by one that comes earlier: the others rest."""
+    sizes = []
+    keep = rounds.written
+    monkeypatch.setattr(rounds, "written", lambda df, name="state": (out := keep(df, name), sizes.append(out.count()) if name == "state" else None)[0])
+    pairs = [(role, role, job, 1) for role in range(100) for job in (role, role + 1000)] + [(-3, -3, 1, 1), (-2, -2, 1, 1), (-2, -2, 2, 2)]
+    got = rounds.assigned(spark.createDataFrame(pairs, "role int, turn int, job int, rank int")).collect()
+    assert sorted(map(tuple, got)) == in_turn(pairs)
+    assert sizes[0] == 102 and max(sizes[1:]) == 2
+
+
 def test_assigned_empty(spark):
     assert rounds.assigned(spark.createDataFrame([], "role int, turn int, job int, rank int")).count() == 0
 
