@@ -6,6 +6,7 @@ instead of failing a load.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -27,9 +28,10 @@ ERROR_KEYS = ("error", "errors", "error_message", "message")
 RECORD = "title string, company string, location string, url string, body string, posted string, source_id string"
 
 
-def field(payload: Column, names: Sequence[str]) -> Column:
-    """The first of the names whose value isn't empty, of a JSON object in text."""
-    found = F.transform(F.array(*(F.lit(f"$.{n}") for n in names)), lambda path: F.trim(F.call_function("get_json_object", payload, path)))
+def field(payload: Column, names: Sequence[str], keys: Column | None = None) -> Column:
+    """The first of the names whose value isn't empty, of a JSON object in text. keys: the object's, so that only names it has are looked for (paths always are)."""
+    has = lambda n: F.lit(f"$.{n}") if keys is None or not re.fullmatch(r"\w+", n) else F.when(F.array_contains(keys, n), f"$.{n}")
+    found = F.transform(F.array_compact(F.array(*map(has, names))), lambda path: F.trim(F.call_function("get_json_object", payload, path)))
     return F.get(F.filter(found, lambda v: F.coalesce(v, F.lit("")) != ""), F.lit(0))
 
 
@@ -42,9 +44,19 @@ def is_error(payload: Column) -> Column:
 def postings(payloads: DataFrame, column: str = "payload", more: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
     """One record per JSON object; without title or company it is left out. more: further names of fields, tried after the known ones."""
     names_of = {name: (*names, *(n for n in (more or {}).get(name, ()) if n not in names)) for name, names in ALIASES.items()}
-    got = payloads.where(~F.coalesce(is_error(F.col(column)), F.lit(False)))
-    out = got.select("*", *[field(F.col(column), names).alias(name) for name, names in names_of.items()])
-    return out.where(F.col("title").isNotNull() & F.col("company").isNotNull()).withColumn("location", F.coalesce("location", F.lit("Remote")))
+
+    def read(p: Column) -> Column:
+        return F.struct(p.alias("payload"), F.json_object_keys(p).alias("keys"))
+
+    def told(r: Column) -> Column:
+        payload, keys = r["payload"], r["keys"]
+        error = F.when(F.arrays_overlap(keys, F.array(*map(F.lit, ERROR_KEYS))), is_error(payload))
+        return F.struct(F.coalesce(error, F.lit(False)).alias("_error"), *[field(payload, names, keys).alias(name) for name, names in names_of.items()])
+
+    # generated, so that no filter makes the payload and its fields a second time
+    out = payloads.select("*", F.inline_outer(F.transform(F.transform(F.array(column), read), told)))
+    out = out.where(~F.col("_error") & F.col("title").isNotNull() & F.col("company").isNotNull()).drop("_error")
+    return out.withColumn("location", F.coalesce("location", F.lit("Remote")))
 
 
 #: Where payloads keep their list of postings, tried in turn.

@@ -94,3 +94,17 @@ def test_mail_signals(spark):
     assert [tuple(r) for r in got.collect()] == [(True, False, True, True, "Hingehealth"), (True, True, False, True, "Acme"), (False, False, False, False, "Notgreenhouse"), (False, False, False, False, None)]
     text = spark.createDataFrame([("Hi there. We would like to schedule time! Bye",)], "body string")
     assert text.select(mail.snippet(c("body"), ("offer", "schedule time"))).first()[0] == "We would like to schedule time!"
+
+
+def test_payloads_are_made_and_read_once(spark):
+    made = spark.createDataFrame([(1,)], "k int").select(F.to_json(F.struct(F.lit("t").alias("title"), F.col("k").alias("company"))).alias("payload"))
+    found = feeds.postings(made)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("StructsToJsonEvaluator(") == 1
+    assert [(r.title, r.company, r.location, r.url) for r in found.collect()] == [("t", "1", "Remote", None)]
+
+
+def test_fields_of_odd_payloads(spark):
+    rows = ['{"title": "a", "title": "b", "company": "c"}', '{"title": null, "name": " n ", "company": "c"}', '{"title": "a", "company": "c"', '[]', None, '{"job": {"label": "deep"}, "company": {"x": 1}}',
+            '{"title": "a", "company": "c", "error": null}', '{"title": "a", "company": "c", "error": "e", "jobs": []}', '{"title": "a", "company": "c", "message": "m"}']
+    got = feeds.postings(spark.createDataFrame([(r,) for r in rows], "payload string"), more={"title": ["job.label"]}).select("title", "company").collect()
+    assert sorted(map(tuple, got)) == [("a", "c"), ("a", "c"), ("a", "c"), ("deep", '{"x":1}'), ("n", "c")]
