@@ -12,6 +12,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -75,15 +76,26 @@ def reverted(jobs: DataFrame, events: DataFrame, detections: DataFrame, first: s
     Result, a row a job: job_id, status, n_reverted, outcome (untouched, kept, no_detection, reverted)
     and dismissed (ids in the order they were dismissed). A null `from_status` is `first`; a job without a status is `first`.
     """
-    steps = events.where("auto").groupBy("job_id", "to_status", "ts").agg(F.max(F.coalesce("from_status", F.lit(first))).alias("prior"))
-    found = detections.select("job_id", "detection_id", F.col("ts").alias("seen"), "valid")
     none = F.array().cast("array<long>")
     state = jobs.select("job_id", F.coalesce("status", F.lit(first)).alias("status"), F.lit(0).alias("n_reverted"), F.lit("untouched").alias("outcome"), none.alias("dismissed"), F.lit(True).alias("moved"))
+    if not movable:
+        return state.drop("moved")
+    # what no pass changes is worked out once: the newest step into each status, and the detections that may count from there
+    steps = events.where("auto").where(F.col("to_status").isin(*movable)).groupBy("job_id", F.col("to_status").alias("status"))
+    newest = written(steps.agg(F.max(F.struct("ts", F.coalesce("from_status", F.lit(first)).alias("prior"))).alias("e")), "newest")
+    times = newest.groupBy("job_id").agg(*[F.max(F.when(F.col("status") == s, F.col("e.ts"))).alias(f"t{i}") for i, s in enumerate(movable)])
+    told = detections.select("job_id", "detection_id", F.col("ts").alias("seen"), "valid").join(times, "job_id")
+    at = F.struct("seen", "detection_id")
+    # a valid one is never dismissed, so none before the newest valid one is looked at
+    stops = told.where("valid").groupBy("job_id").agg(*[F.max(F.when(F.col("seen") <= F.col(f"t{i}"), at)).alias(f"v{i}") for i in range(len(movable))])
+    may = [(F.col("seen") <= F.col(f"t{i}")) & (F.col(f"v{i}").isNull() | (at >= F.col(f"v{i}"))) for i in range(len(movable))]
+    found = told.join(stops, "job_id", "left").where(reduce(or_, may, F.lit(False))).select("job_id", "detection_id", "seen", "valid")
+    found = written(found, "detections")
 
     def step(now: DataFrame, number: int) -> DataFrame:
         open_ = now.where(F.col("moved") & F.col("status").isin(*movable))
         rest = now.where(~(F.col("moved") & F.col("status").isin(*movable))).withColumn("moved", F.lit(False))
-        last = open_.join(steps.withColumnRenamed("to_status", "status"), ["job_id", "status"], "left").groupBy(*now.columns).agg(F.max(F.struct("ts", "prior")).alias("e"))
+        last = open_.join(newest, ["job_id", "status"], "left")
         may = (F.col("seen") <= F.col("e.ts")) & ~F.coalesce(F.array_contains("dismissed", F.col("detection_id")), F.lit(False))
         # one row a job: the newest detection that may count
         cause = last.join(found, "job_id", "left").groupBy(*now.columns, "e").agg(F.max(F.when(may, F.struct("seen", "detection_id", "valid"))).alias("d"))
@@ -95,7 +107,10 @@ def reverted(jobs: DataFrame, events: DataFrame, detections: DataFrame, first: s
         )
         return after.unionByName(rest)
 
-    return until_stable(state, step, lambda: F.col("moved"), most)[0].drop("moved")
+    done = until_stable(state, step, lambda: F.col("moved"), most)[0].drop("moved")
+    discard(newest)
+    discard(found)
+    return done
 
 
 def assigned(pairs: DataFrame, most: int = 10_000) -> DataFrame:

@@ -218,3 +218,17 @@ def test_names_are_used_once():
         registry.add()(q_one)
     with pytest.raises(ValueError):
         whole({"a": 1}, {"a": 2})
+
+
+def test_reverts_look_at_few_detections(spark, monkeypatch):
+    """Of fifty detections only the newest that is valid, and those after it, can count; none before is carried into the passes."""
+    sizes = {}
+    keep = rounds.written
+    monkeypatch.setattr(rounds, "written", lambda df, name="state": (out := keep(df, name), sizes.setdefault(name, out.count()))[0])
+    jobs = spark.createDataFrame([(1, "applied"), (2, "discovered")], "job_id int, status string")
+    events = spark.createDataFrame([(1, 100, "discovered", "applied", True)], "job_id int, ts int, from_status string, to_status string, auto boolean")
+    detections = spark.createDataFrame([(i, 1, i, i % 10 == 0) for i in range(1, 50)] + [(99, 1, 101, True), (98, 2, 5, False)], "detection_id long, job_id int, ts int, valid boolean")
+    got = {r.job_id: tuple(r)[1:] for r in rounds.reverted(jobs, events, detections).collect()}
+    assert got == {1: ("discovered", 1, "reverted", [49]), 2: ("discovered", 0, "untouched", [])}
+    assert sizes["detections"] == 10 and sizes["newest"] == 1
+    assert rounds.reverted(jobs, events, detections, movable=()).where("n_reverted > 0").isEmpty()
