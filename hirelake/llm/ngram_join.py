@@ -8,9 +8,10 @@
    becomes one cluster. Shingles that occur in one cluster only can't link two, and go; so do
    classes with too few others. Large groups of copies end here, without their pairs.
 4. The rest meets on its rarest shingles (the prefix that every link must touch). In each shard an
-   inverted index answers the T-occurrence query of each class: short lists are merged by a heap,
-   long ones probed by binary search. Where more than `block` classes meet through each other, they
-   are searched part by part, or, if they are very many, by shingles and size, so no shard grows with them and none is cut off.
+   inverted index answers the T-occurrence query of each class: short lists are merged (counted as
+   arrays), long ones probed by binary search for what the merge leaves. Where more than `block`
+   classes meet through each other, they are searched part by part, or, if they are very many, by
+   shingles and size, so no shard grows with them and none is cut off.
 
 Words and shingles are compared by 64-bit hashes, shared shingles by 32 bits of them and their
 bucket: a false link needs two texts one shingle short of it that collide (about 1e-7 for a pair).
@@ -24,8 +25,6 @@ its own result. A null key is never a component's name unless all are null. Othe
 from __future__ import annotations
 
 import functools
-import heapq
-import itertools
 import math
 from collections.abc import Iterator
 
@@ -49,8 +48,8 @@ PARTS = 16
 DEPTH = 3
 #: Rounds of clustering by a least hash.
 ROUNDS = 2
-#: Weight of the merge against the probes when the lists are divided.
-MU = 0.005
+#: A list with over so many ids a candidate is probed, not merged: a probe takes about as long as so many ids of the merge.
+PROBE = 20
 
 
 def least_overlap(a: int, b: int, percent: int = PERCENT) -> int:
@@ -185,54 +184,82 @@ def clustered(classes: DataFrame, percent: int, rounds: int) -> DataFrame:
     return links
 
 
-def divide_skip(lists: list[np.ndarray], least: int, mu: float = MU) -> dict[int, int]:
-    """Ids in at least `least` of the sorted lists, with their counts.
+def _spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ... of each span, one span after another."""
+    ends = np.cumsum(size)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - size), size)
 
-    The L longest lists are only probed: an id must be in least - L of the short ones, which a heap
-    merges. L grows with `least`, less so the longer the longest list.
+
+def _counted(x: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The values of x, all under n, in order, and how often each occurs."""
+    if 8 * len(x) < n:
+        return np.unique(x, return_counts=True)
+    counts = np.bincount(x, minlength=n)
+    ids = np.flatnonzero(counts)
+    return ids, counts[ids]
+
+
+def _divide_skip(rows: np.ndarray, keys: np.ndarray, first: np.ndarray, size: np.ndarray, least: int, allowed: np.ndarray, probe: int) -> tuple[np.ndarray, np.ndarray]:
+    """Allowed ids in at least `least` of the lists (places first and on of rows, none empty), with their counts.
+
+    keys: of each place its list's number times len(allowed), and its id. An id must be in one of the
+    shortest lists, all but least - 1. Of the others those over `probe` ids a candidate are long.
     """
-    if len(lists) < least:
-        return {}
-    lists = sorted(lists, key=len)
-    n_long = min(least - 1, int(least / (mu * math.log2(len(lists[-1]) + 2) + 1)))
-    short, long = lists[: len(lists) - n_long], lists[len(lists) - n_long :]
-    counts = {}
-    for x, run in itertools.groupby(heapq.merge(*(s.tolist() for s in short))):
-        n = sum(1 for _ in run)
-        if n >= least - n_long:
-            counts[x] = n
-    if not counts:
-        return counts
-    ids, total = (np.fromiter(x, np.int64, len(counts)) for x in (counts, counts.values()))
-    for k, probed in enumerate(reversed(long)):
-        at = np.minimum(np.searchsorted(probed, ids), len(probed) - 1)
-        total += probed[at] == ids
-        hope = total + (len(long) - k - 1) >= least
-        if not hope.any():
-            return {}
+    none, n = np.zeros(0, np.int64), len(allowed)
+    if len(size) < least:
+        return none, none
+    order = np.argsort(size, kind="stable")
+    first, size = first[order], size[order]
+    n_short = len(size) - least + 1
+    found = rows[_spans(first[:n_short], size[:n_short])]
+    ids, total = _counted(found[allowed[found]], n)
+    if not len(ids):
+        return none, none
+    split = n_short + int(np.searchsorted(size[n_short:], probe * len(ids), side="right"))
+    if split > n_short:
+        more, counts = _counted(rows[_spans(first[n_short:split], size[n_short:split])], n)
+        at = np.minimum(np.searchsorted(more, ids), len(more) - 1)
+        total = total + np.where(more[at] == ids, counts[at], 0)
+        hope = total + (len(size) - split) >= least
         ids, total = ids[hope], total[hope]
-    return dict(zip(ids[total >= least].tolist(), total[total >= least].tolist(), strict=True))
+    if split < len(size) and len(ids):
+        wanted = (keys[first[split:]] // n * n)[:, None] + ids
+        total = total + (keys[np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)] == wanted).sum(axis=0)
+    return ids[total >= least], total[total >= least]
+
+
+def divide_skip(lists: list[np.ndarray], least: int, probe: int = PROBE) -> dict[int, int]:
+    """Ids in at least `least` of the sorted lists, with their counts: short lists are merged, long ones are probed for the ids that the merge leaves."""
+    lists = [x for x in lists if len(x)]
+    rows = np.concatenate(lists).astype(np.int64) if lists else np.zeros(0, np.int64)
+    size = np.array([len(x) for x in lists], np.int64)
+    allowed = np.ones(int(rows.max(initial=-1)) + 1, bool)
+    keys = np.repeat(np.arange(len(lists)), size) * len(allowed) + rows
+    ids, total = _divide_skip(rows, keys, np.cumsum(size) - size, size, least, allowed, probe)
+    return dict(zip(ids.tolist(), total.tolist(), strict=True))
 
 
-def search(tokens: list[np.ndarray], sizes: np.ndarray, labels: np.ndarray, percent: int = PERCENT) -> list[tuple[int, int]]:
+def search(tokens: list[np.ndarray], sizes: np.ndarray, labels: np.ndarray, percent: int = PERCENT, probe: int = PROBE) -> list[tuple[int, int]]:
     """Pairs of places whose sets overlap enough; of places already joined through others, none need be given."""
-    rows = np.repeat(np.arange(len(tokens)), [len(t) for t in tokens])
+    many = np.array([len(t) for t in tokens], np.int64)
+    rows = np.repeat(np.arange(len(tokens)), many)
     every = np.concatenate(tokens) if len(tokens) else np.zeros(0, np.int64)
     order = np.argsort(every, kind="stable")
     every, rows = every[order], rows[order]
-    names, first = np.unique(every, return_index=True)
-    last = np.append(first[1:], len(every))
+    last = np.searchsorted(every, every, side="right")  # where the list of each place ends
+    keys = np.cumsum(np.append(False, every[1:] != every[:-1])[: len(every)]) * len(tokens) + rows
+    place = np.empty(len(order), np.int64)  # of each class's tokens, as given
+    place[order] = np.arange(len(order))
+    ends = np.cumsum(many)
+    sizes = np.asarray(sizes).astype(np.int64)
     group = np.array(labels)
     pairs = []
-    for i, own in enumerate(tokens):
-        n = int(sizes[i])
-        least = -(-percent * n // 100)
-        at = np.searchsorted(names, own)
-        lists = [r[np.searchsorted(r, i, side="right") :] for r in (rows[first[k] : last[k]] for k in at.tolist())]
-        other = group != group[i]
-        lists = [x for x in (r[other[r]] for r in lists if len(r)) if len(x)]
-        for j in divide_skip(lists, max(1, least)):
-            if group[i] != group[j] and len(np.intersect1d(own, tokens[j], assume_unique=True)) >= least_overlap(n, int(sizes[j]), percent):
+    for i in range(len(tokens)):
+        n, own = int(sizes[i]), place[ends[i] - many[i] : ends[i]]
+        own = own[last[own] > own + 1]  # places behind a class's own are those of later classes
+        ids, total = _divide_skip(rows, keys, own + 1, last[own] - own - 1, max(1, -(-percent * n // 100)), group != group[i], probe)
+        for j in ids[(100 + percent) * total >= percent * (n + sizes[ids])].tolist():
+            if group[i] != group[j]:
                 group[group == max(group[i], group[j])] = min(group[i], group[j])
                 pairs.append((i, j))
     return pairs
@@ -250,6 +277,35 @@ def _search_shard(percent: int):
     return shard
 
 
+def _gathered(percent: int, most: int = 200_000):
+    """number, n, label and tokens (rarest first) of rows (number, n, label, df, token) that lie together by number, if the tokens are enough for a link."""
+
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def classes(number: np.ndarray, n: np.ndarray, label: np.ndarray, df: np.ndarray, token: np.ndarray) -> pa.RecordBatch:
+            new = np.flatnonzero(np.append(True, number[1:] != number[:-1])[: len(number)])
+            many = np.diff(np.append(new, len(number)))
+            keep = 100 * many >= percent * n[new]
+            order = np.lexsort((token, df, np.repeat(np.arange(len(new)), many)))
+            lists = pa.ListArray.from_arrays(pa.array(np.append(new, len(number)), pa.int32()), pa.array(token[order], pa.int64()))
+            columns = [*(pa.array(x[new], pa.int64()) for x in (number, n, label)), lists]
+            return pa.RecordBatch.from_arrays(columns, names=["number", "n", "label", "tokens"]).filter(pa.array(keep))
+
+        held, rows, enough = [], 0, most
+        for batch in batches:
+            held.append([np.asarray(x) for x in batch.columns])
+            rows += batch.num_rows
+            if rows >= enough:
+                columns = [np.concatenate(x) for x in zip(*held, strict=True)]
+                done = int(np.flatnonzero(columns[0] != columns[0][-1])[-1]) + 1 if columns[0][0] != columns[0][-1] else 0
+                yield classes(*(x[:done] for x in columns))
+                held, rows = [[x[done:] for x in columns]], rows - done  # the last class may go on
+                enough = max(most, 2 * rows)
+        if held:
+            yield classes(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+    return gathered
+
+
 def contested(classes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """number, label, n and tokens (rarest first) of the classes that may link to another cluster."""
     marked = classes.join(labels, classes["number"] == labels["node"], "left").select(
@@ -257,8 +313,8 @@ def contested(classes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     )
     stats = marked.groupBy("token").agg(F.count("*").alias("df"), F.min("label").alias("low"), F.max("label").alias("high"))
     between = stats.where(F.col("low") != F.col("high")).select("token", "df")
-    back = marked.join(between, "token").groupBy("number", "n", "label").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t"))
-    return back.where(100 * F.size("t") >= percent * F.col("n")).select("number", "n", "label", F.transform("t", lambda x: x["token"]).alias("tokens"))
+    back = marked.join(between, "token").select("number", "n", "label", "df", "token").repartition("number").sortWithinPartitions("number")
+    return back.mapInArrow(_gathered(percent), "number long, n long, label long, tokens array<long>")
 
 
 def _bands(n: Column, percent: int) -> Column:
@@ -327,7 +383,7 @@ def dealt_classes(rest: DataFrame, percent: int, block: int, most_parts: int = P
     chained = sized.where(F.col("m") > block * most_parts).select("number")
     if not chained.isEmpty():
         dealt = dealt.unionByName(_in_pairs(_narrowed(rest.join(chained, "number", "left_semi"), percent, block * most_parts), block, 1 << 62))
-    return dealt.distinct().join(rest, "number")
+    return dealt.distinct().join(rest, "number").repartition(shards, "shard")  # by number of shards: small in bytes, they would be put into few tasks
 
 
 def searched(rest: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:

@@ -2,8 +2,10 @@
 
 import itertools
 import random
+import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -111,7 +113,53 @@ def test_divide_skip():
         lists = [np.array(sorted(r.sample(range(30), r.randint(1, 25)))) for _ in range(r.randint(1, 12))]
         least = r.randint(1, 8)
         counts = {x: sum(x in s for s in map(set, lists)) for x in range(30)}
-        assert ngram_join.divide_skip(lists, least) == {x: n for x, n in counts.items() if n >= least}
+        for probe in (0, 1, 20):
+            assert ngram_join.divide_skip(lists, least, probe) == {x: n for x, n in counts.items() if n >= least}
+
+
+def test_search_of_a_large_near_copy_group():
+    """800 versions of one text, nearly all just too unlike to link, so that no link saves a comparison: nothing is walked id by id."""
+    r = np.random.default_rng(3)
+    sets = [np.sort(r.choice(400, r.integers(320, 345), replace=False)) for _ in range(800)]
+    sizes = np.array([len(x) for x in sets])
+    held = np.zeros((800, 400), np.int32)
+    for k, x in enumerate(sets):
+        held[k, x] = 1
+    both = held @ held.T
+    linked = 100 * both >= 75 * (sizes[:, None] + sizes - both)
+    want = {(a, b) for a, b in zip(*np.nonzero(linked), strict=True) if a < b}
+    assert 0 < len(want) < 20_000
+    begun = time.process_time()
+    pairs = ngram_join.search(sets, sizes, np.arange(800))
+    assert time.process_time() - begun < 6
+    assert set(pairs) <= want and len(set(pairs)) == len(pairs)
+    group = list(range(800))
+    for a, b in want:
+        group = [min(group[a], group[b]) if g in (group[a], group[b]) else g for g in group] if group[a] != group[b] else group
+    assert len(pairs) == 800 - len(set(group))
+
+
+def test_small_shards_are_not_one_task(spark):
+    """Shards take few bytes and much time, so they are not all put into one task for being small; a shard is in one task."""
+    rest = [(i, i, 4, [10 * (i // 2) + k for k in range(4)]) for i in range(200)]
+    table = spark.createDataFrame(rest, "number long, label long, n long, tokens array<long>")
+    tasks = ngram_join.dealt_classes(table, 75, 20).select(F.spark_partition_id().alias("p"), "shard").distinct().collect()
+    assert len({x.shard for x in tasks}) > 4 and len({x.p for x in tasks}) > 2
+    assert len({x.shard for x in tasks}) == len(tasks)
+
+
+@pytest.mark.parametrize("most", [1, 7, 1000])
+def test_contested_lists_over_many_batches(most):
+    """A class whose rows lie in several batches is one list, rarest first; too few tokens, and it goes."""
+    r = random.Random(9)
+    tokens = {n: [(r.randint(2, 4), r.randrange(-99, 99) * 100 + k) for k in range(r.randint(1, 9))] for n in range(-20, 20)}
+    flat = [(n, 8, -n, df, t) for n, own in tokens.items() for df, t in own]
+    columns = [pa.array(x, pa.int64()) for x in zip(*flat, strict=True)]
+    batches = pa.RecordBatch.from_arrays(columns, names=["number", "n", "label", "df", "token"])
+    cut = [batches.slice(k, 3) for k in range(0, len(flat), 3)]
+    got = [x for b in ngram_join._gathered(75, most)(iter(cut)) for x in b.to_pylist()]
+    assert got == [{"number": n, "n": 8, "label": -n, "tokens": [t for _, t in sorted(own)]} for n, own in tokens.items() if len(own) >= 6]
+    assert list(ngram_join._gathered(75, most)(iter([]))) == []
 
 
 def test_one_of_each(spark):
